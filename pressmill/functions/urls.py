@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,9 +76,20 @@ def title_case(x) -> Column:
     return F.initcap(_c(x))
 
 
-# Latin letters with diacritics and their ASCII base letters, position by position
-_ACCENTED = "àáâãäåāăąçćĉċčďđèéêëēĕėęěĝğġģĥħìíîïĩīĭįıĵķĺļľŀłñńņňòóôõöøōŏőŕŗřśŝşšţťŧùúûüũūŭůűųŵýÿŷźżž"
-_PLAIN = "aaaaaaaaacccccddeeeeeeeeegggghhiiiiiiiiijklllllnnnnoooooooooorrrssssttttuuuuuuuuuuwyyyzzz"
+def _fold_table() -> tuple[str, str]:
+    """Lower-case Latin letters with diacritics (U+00C0-U+017F) and the ASCII
+    letter each decomposes to, position by position."""
+    src, dst = [], []
+    for cp in range(0xC0, 0x180):
+        ch = chr(cp)
+        base = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode()
+        if ch == ch.lower() and len(base) == 1 and base.isalpha():
+            src.append(ch)
+            dst.append(base.lower())
+    return "".join(src), "".join(dst)
+
+
+_ACCENTED, _PLAIN = _fold_table()
 
 
 def slugify(x) -> Column:

@@ -279,3 +279,303 @@ def doc_chunks(spark, sf_dir):
     return p.select("doc_id", "lang", F.size("parts").alias("n_parts"),
                     F.sha2(F.array_join("parts", "\u0002"), 256).alias("parts_digest"),
                     F.array_max(F.transform("parts", lambda x: F.length(x))).alias("max_part_len"))
+
+
+@query("doc_paragraphs", f"""
+WITH {O.paragraphs_cte('para', 'documents', 'doc_id', 'text')}
+SELECT doc_id, n_pieces, n_groups, sha256(markup) AS markup_digest FROM para
+""")
+def doc_paragraphs(spark, sf_dir):
+    """Every document untagged, cut into 10-sentence groups, quotes
+    balanced and marked up as paragraphs."""
+    docs = read_table(spark, sf_dir, "documents")
+    groups = tx.sentence_groups(tx.untag(F.col("text")))
+    pieces = tx.sentence_pieces(tx.untag(F.col("text")))
+    return docs.select("doc_id", F.size(pieces).alias("n_pieces"), F.size(groups).alias("n_groups"),
+                       F.sha2(tx.tag_p(groups), 256).alias("markup_digest"))
+
+
+# ---------------------------------------------------------------------------
+# Language
+# ---------------------------------------------------------------------------
+def _lang_model(spark, sf_dir):
+    from pressmill.operators import lang
+    docs = read_table(spark, sf_dir, "documents")
+    return lang.train_profiles(docs.select("doc_id", "text", "lang"))
+
+
+@query("doc_language", f"""
+WITH {O.lang_model_cte()}, {O.detect_cte('det', 'documents', 'doc_id', 'text')}
+SELECT d.doc_id, d.lang, det.detected FROM documents d JOIN det USING (doc_id)
+""")
+def doc_language(spark, sf_dir):
+    """Trigram language scoring of every document (profiles from the corpus labels)."""
+    from pressmill.operators import lang
+    prof, prior = _lang_model(spark, sf_dir)
+    docs = read_table(spark, sf_dir, "documents")
+    det = lang.detect(docs.select("doc_id", "text"), prof, prior, "doc_id", "text")
+    return docs.select("doc_id", "lang").join(det, "doc_id")
+
+
+@query("page_language", f"""
+WITH {O.PAGE_ARTICLES_CTE},
+page_text AS (SELECT page_id, {O.untag('body')} AS t FROM page_art WHERE length(body) > 0),
+{O.lang_model_cte()}, {O.detect_cte('det', 'page_text', 'page_id', 't')}
+SELECT p.page_id, regexp_extract(p.html, '<html[^>]*\\slang="([^"]*)"', 1) AS declared, det.detected
+FROM pages p JOIN det USING (page_id)
+""")
+def page_language(spark, sf_dir):
+    """L1: language of each extracted page article (text of the cleaned body)."""
+    from pressmill.operators import lang
+    prof, prior = _lang_model(spark, sf_dir)
+    arts = _page_articles(spark, sf_dir).select("page_id", tx.untag(F.col("body")).alias("t"))
+    det = lang.detect(arts, prof, prior, "page_id", "t")
+    pages = read_table(spark, sf_dir, "pages")
+    return (pages.select("page_id", F.regexp_extract("html", r'<html[^>]*\slang="([^"]*)"', 1).alias("declared"))
+            .join(det, "page_id"))
+
+
+@query("language_agreement", f"""
+WITH {O.lang_model_cte()},
+titles AS (SELECT doc_id, split_part(text, chr(10), 1) AS t FROM documents),
+{O.detect_cte('tl', 'titles', 'doc_id', 't')},
+{O.detect_cte('bl', 'documents', 'doc_id', 'text')}
+SELECT doc_id, tl.detected AS title_lang, bl.detected AS body_lang,
+       CASE WHEN coalesce(tl.detected, '') = coalesce(bl.detected, '') THEN coalesce(bl.detected, '') ELSE '' END
+           AS source_language,
+       coalesce(tl.detected = 'en' AND bl.detected = 'en', false) AS translated
+FROM tl JOIN bl USING (doc_id)
+""")
+def language_agreement(spark, sf_dir):
+    """L3: title and body detected separately; the language is kept only when
+    they agree, and both English means the article needs no translation."""
+    from pressmill.operators import lang
+    prof, prior = _lang_model(spark, sf_dir)
+    docs = read_table(spark, sf_dir, "documents")
+    titles = docs.select("doc_id", F.substring_index("text", "\n", 1).alias("t"))
+    tl = lang.detect(titles, prof, prior, "doc_id", "t", out="title_lang")
+    bl = lang.detect(docs.select("doc_id", "text"), prof, prior, "doc_id", "text", out="body_lang")
+    j = tl.join(bl, "doc_id")
+    return j.select("doc_id", "title_lang", "body_lang",
+                    lang.agree(F.col("title_lang"), F.col("body_lang")).alias("source_language"),
+                    F.coalesce((F.col("title_lang") == "en") & (F.col("body_lang") == "en"),
+                               F.lit(False)).alias("translated"))
+
+
+def _detected_articles(spark, sf_dir):
+    from pressmill.operators import lang
+    prof, prior = _lang_model(spark, sf_dir)
+    arts = derive.articles(spark, sf_dir)
+    det = lang.detect(arts.select("id", "body"), prof, prior, "id", "body", out="_det")
+    return (arts.join(det, "id")
+            .withColumn("source_language", F.coalesce(F.col("_det"), F.lit("und"))).drop("_det")
+            .withColumn("translated", F.lit(False))
+            .withColumn("translated_title", F.lit(None).cast("string"))
+            .withColumn("translated_body", F.lit(None).cast("string")))
+
+
+_DETECTED_ARTICLES = f"""{O.ARTICLES_CTE}, {O.lang_model_cte()}, {O.detect_cte('det', 'articles', 'id', 'body')},
+darts AS (SELECT a.*, coalesce(det.detected, 'und') AS lang FROM articles a JOIN det USING (id))"""
+
+
+@query("english_passthrough", f"""
+WITH {_DETECTED_ARTICLES}
+SELECT id, lang AS source_language, lang = 'en' AS translated,
+       CASE WHEN lang = 'en' THEN title END AS translated_title,
+       CASE WHEN lang = 'en' THEN sha256(body) END AS translated_body_digest
+FROM darts
+""")
+def english_passthrough(spark, sf_dir):
+    """L1 + L2: detected English articles carry their originals as translations."""
+    from pressmill.operators import lang
+    a = lang.english_passthrough(_detected_articles(spark, sf_dir))
+    return a.select("id", "source_language", "translated", "translated_title",
+                    F.sha2(F.col("translated_body"), 256).alias("translated_body_digest"))
+
+
+@query("untranslated", f"""
+WITH {_DETECTED_ARTICLES}
+SELECT id, lang AS source_language FROM darts WHERE lang <> 'en'
+""")
+def untranslated(spark, sf_dir):
+    """L2 + L7: the translation backlog after English pass-through."""
+    from pressmill.operators import lang
+    a = lang.untranslated(lang.english_passthrough(_detected_articles(spark, sf_dir)))
+    return a.select("id", "source_language")
+
+
+@query("undetermined", f"""
+WITH {_DETECTED_ARTICLES}
+SELECT id, article_url FROM darts WHERE lang = 'und'
+""")
+def undetermined(spark, sf_dir):
+    """Articles whose language cannot be determined leave the store."""
+    from pressmill.operators import lang
+    _, dropped = lang.undetermined(_detected_articles(spark, sf_dir))
+    return dropped.select("id", "article_url")
+
+
+# ---------------------------------------------------------------------------
+# Translation scatter / gather
+# ---------------------------------------------------------------------------
+def _memory(spark, sf_dir):
+    """Translation memory from earlier runs: every part of the documents whose
+    label says quality 1 was translated then (stand-in text ``[xx>en] part``)."""
+    from pressmill.operators import translate
+    arts = derive.articles(spark, sf_dir)
+    labels = read_table(spark, sf_dir, "labels").filter(F.col("quality") == 1).select(F.col("doc_id").alias("id"))
+    done = arts.join(labels, "id", "left_semi")
+    parts = translate.scatter(done, "id", "source_language")
+    return parts.select("source", "text",
+                        F.concat(F.lit("["), F.col("source"), F.lit(">en] "), F.col("text")).alias("translated"))
+
+
+@query("translate_gather", f"""
+WITH {O.ARTICLES_CTE},
+todo AS (SELECT * FROM articles WHERE NOT translated AND source_language <> 'en'),
+{O.parts_cte('tp', 'todo', 'id', 'title', ', source_language')},
+{O.parts_cte('bp', 'todo', 'id', 'body', ', source_language')},
+good AS (SELECT a.* FROM articles a WHERE a.id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+{O.parts_cte('mtp', 'good', 'id', 'title', ', source_language')},
+{O.parts_cte('mbp', 'good', 'id', 'body', ', source_language')},
+memory AS (
+    SELECT DISTINCT source_language AS source, unnest(parts) AS text FROM mtp
+    UNION SELECT DISTINCT source_language, unnest(parts) FROM mbp),
+scat AS (
+    SELECT id, source_language AS source, 'title' AS field, generate_subscripts(parts, 1) AS part_no,
+           unnest(parts) AS text FROM tp
+    UNION ALL
+    SELECT id, source_language, 'body', generate_subscripts(parts, 1), unnest(parts) FROM bp),
+looked AS (
+    SELECT s.id, s.field, s.part_no,
+           coalesce(CASE WHEN m.text IS NOT NULL THEN '[' || m.source || '>en] ' || m.text END, '') AS tr
+    FROM scat s LEFT JOIN memory m ON m.source = s.source AND m.text = s.text),
+g AS (
+    SELECT id,
+           coalesce(string_agg(CASE WHEN field = 'title' THEN tr END, '' ORDER BY part_no), '') AS tt,
+           coalesce(string_agg(CASE WHEN field = 'body' THEN tr END, '' ORDER BY part_no), '') AS tb
+    FROM looked GROUP BY id)
+SELECT id, length(tb) > 0 AS translated, length(tt) AS title_chars, length(tb) AS body_chars,
+       sha256(tt) AS title_digest, sha256(tb) AS body_digest
+FROM g
+""")
+def translate_gather(spark, sf_dir):
+    """L6 + J8 + A4: non-English articles cut into parts, looked up in the
+    translation memory, and gathered back in order."""
+    from pressmill.operators import translate
+    arts = derive.articles(spark, sf_dir)
+    g = translate.translate_articles(arts, _memory(spark, sf_dir))
+    return g.select("id", "translated", F.length("translated_title").alias("title_chars"),
+                    F.length("translated_body").alias("body_chars"),
+                    F.sha2(F.col("translated_title"), 256).alias("title_digest"),
+                    F.sha2(F.col("translated_body"), 256).alias("body_digest"))
+
+
+# ---------------------------------------------------------------------------
+# Enrichment, tags
+# ---------------------------------------------------------------------------
+@query("keywords_topk", f"""
+WITH {O.keywords_cte('kw', 'documents', 'doc_id', 'text', 50)}
+SELECT doc_id, term, round(score, 6) AS score, rank FROM kw
+""")
+def keywords_topk(spark, sf_dir):
+    """A5: the 50 best TF-IDF keywords of every document."""
+    from pressmill.operators import enrich
+    docs = read_table(spark, sf_dir, "documents")
+    kw = enrich.keywords(docs.select("doc_id", "text"), "doc_id", "text", 50)
+    return kw.select("doc_id", "term", F.round("score", 6).alias("score"), "rank")
+
+
+@query("locations", """
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\\p{L}+') AS w FROM documents),
+g AS (
+    SELECT doc_id, unnest(w) AS phrase FROM w
+    UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w
+    UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w) - 1),
+                                                   lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w),
+gaz AS (SELECT lower(n_name) AS phrase, 'country' AS type FROM nation
+        UNION ALL SELECT lower(r_name), 'region' FROM region)
+SELECT DISTINCT doc_id, phrase AS name, type FROM g JOIN gaz USING (phrase)
+""")
+def locations(spark, sf_dir):
+    """Places (countries, regions) the documents mention, from a gazetteer
+    seeded by the nation and region tables."""
+    from pressmill.operators import enrich
+    docs = read_table(spark, sf_dir, "documents")
+    gaz = enrich.gazetteer_from_tables(read_table(spark, sf_dir, "nation"), read_table(spark, sf_dir, "region"))
+    return enrich.locations(docs.select("doc_id", "text"), gaz, "doc_id", "text")
+
+
+def _kw5(spark, sf_dir):
+    from pressmill.operators import enrich
+    docs = read_table(spark, sf_dir, "documents")
+    return enrich.keywords(docs.select("doc_id", "text", "lang"), "doc_id", "text", 5), docs
+
+
+_KW5 = f"""{O.keywords_cte('kw', 'documents', 'doc_id', 'text', 5)},
+bridge AS (SELECT DISTINCT kw.doc_id, {O.slugify('kw.term')} AS slug FROM kw WHERE {O.slugify('kw.term')} <> ''),
+named AS (SELECT kw.doc_id, {O.slugify('kw.term')} AS slug, kw.term AS name, d.lang
+          FROM kw JOIN documents d USING (doc_id) WHERE {O.slugify('kw.term')} <> '')"""
+
+
+@query("tag_upsert", f"""
+WITH {_KW5},
+existing AS (SELECT slug, arg_min(name, doc_id) AS name FROM named WHERE lang = 'en' GROUP BY slug),
+incoming AS (SELECT slug, arg_min(name, doc_id) AS name FROM named WHERE lang <> 'en' GROUP BY slug)
+SELECT slug, name FROM existing
+UNION ALL
+SELECT slug, name FROM incoming WHERE slug NOT IN (SELECT slug FROM existing)
+""")
+def tag_upsert(spark, sf_dir):
+    """P13 + J6: tags of English articles exist; keywords of the other
+    articles are slugged and only unseen slugs are inserted (first name wins)."""
+    from pressmill.operators import enrich
+    kw, docs = _kw5(spark, sf_dir)
+    rows = enrich.tag_rows(kw, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    existing = (rows.filter(F.col("lang") == "en").groupBy("slug")
+                .agg(F.min_by("name", F.col("doc_id")).alias("name")))
+    incoming = rows.filter(F.col("lang") != "en").select("doc_id", "slug", "name")
+    return enrich.upsert_tags(existing, incoming, order="doc_id")
+
+
+@query("article_tags", f"""
+WITH {_KW5},
+tags AS (SELECT slug, arg_min(name, doc_id) AS name FROM named GROUP BY slug)
+SELECT b.doc_id, string_agg(t.name, '|' ORDER BY t.name) AS tags, count(*) AS n_tags
+FROM bridge b JOIN tags t USING (slug) GROUP BY b.doc_id
+""")
+def article_tags(spark, sf_dir):
+    """E3 + J5: bridge rows (set semantics) and the sorted tag names per article."""
+    from pressmill.operators import enrich
+    kw, _ = _kw5(spark, sf_dir)
+    rows = enrich.tag_rows(kw, "doc_id")
+    tags = rows.groupBy("slug").agg(F.min_by("name", F.col("doc_id")).alias("name"))
+    names = enrich.tag_names(rows.select("doc_id", "slug"), tags, "doc_id")
+    return names.select("doc_id", F.array_join("tags", "|").alias("tags"), F.size("tags").alias("n_tags"))
+
+
+@query("enrich_record", f"""
+WITH {O.ARTICLES_CTE},
+gate AS (SELECT id, body FROM articles WHERE translated AND NOT processed),
+{O.keywords_cte('kw', 'gate', 'id', 'body', 10)}
+SELECT g.id, coalesce(string_agg(kw.term, ',' ORDER BY kw.rank), '') AS keywords, 0 AS n_locations,
+       true AS processed
+FROM gate g LEFT JOIN kw USING (id) GROUP BY g.id
+""")
+def enrich_record(spark, sf_dir):
+    """E1 + E2 + E4: translated, unprocessed articles get their keyword and
+    location record and are marked processed."""
+    from pressmill.operators import enrich
+    arts = derive.articles(spark, sf_dir).withColumn("translated_body", F.col("body"))
+    gate = enrich.enrichment_gate(arts)
+    kw = enrich.keywords(gate.select("id", "body"), "id", "body", 10)
+    gaz = enrich.gazetteer_from_tables(read_table(spark, sf_dir, "nation"), read_table(spark, sf_dir, "region"))
+    loc = enrich.locations(gate.select("id", "body"), gaz, "id", "body")
+    kws = kw.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))),
+                                                          lambda x: x["term"]), ",").alias("keywords"))
+    locs = loc.groupBy("id").agg(F.count(F.lit(1)).alias("n_locations"))
+    return (gate.select("id", "translated_body")
+            .join(kws, "id", "left").join(locs, "id", "left")
+            .select("id", F.coalesce("keywords", F.lit("")).alias("keywords"),
+                    F.coalesce("n_locations", F.lit(0)).alias("n_locations"),
+                    enrich.mark_processed(F.col("translated_body")).alias("processed")))

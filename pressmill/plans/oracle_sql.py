@@ -133,3 +133,120 @@ searches AS (
 
 def ts_text(x: str) -> str:
     return f"strftime({x}, '%Y-%m-%d %H:%M:%S')"
+
+
+def parts_cte(name: str, source: str, key: str, text: str, extra: str = "") -> str:
+    """CTE ``name(key, extra..., parts)``: translation parts of ``text`` (T5)."""
+    x = f"{name}_"
+    return f"""
+{x}w AS (
+    SELECT {key}{extra}, list_filter(string_split_regex({strip(text)}, '\\s+'), lambda x: x <> '') AS words
+    FROM {source}),
+{x}s AS (
+    SELECT {key}{extra}, CASE WHEN len(words) = 0 THEN ['']
+        ELSE string_split(regexp_replace(array_to_string(words, ' '), '\\. ', '.' || chr(1), 'g')
+                          || CASE WHEN ends_with(array_to_string(words, ' '), '.') THEN chr(1) ELSE ' ' END,
+                          chr(1)) END AS sents
+    FROM {x}w),
+{x}k AS (
+    SELECT {key}{extra}, list_reduce(sents,
+        lambda acc, x: CASE WHEN length(acc.cur) + length(x) + 1 < 1000
+                            THEN {{'out': acc.out, 'cur': acc.cur || x || ' '}}
+                            ELSE {{'out': list_append(acc.out, acc.cur), 'cur': x || ' '}} END,
+        {{'out': []::VARCHAR[], 'cur': ''}}) AS st
+    FROM {x}s),
+{name} AS (SELECT {key}{extra}, list_append(st.out, st.cur) AS parts FROM {x}k)"""
+
+
+def paragraphs_cte(name: str, source: str, key: str, text: str) -> str:
+    """CTE ``name(key, n_pieces, groups, markup)``."""
+    x = f"{name}_"
+    return f"""
+{x}p AS (
+    SELECT {key}, string_split(regexp_replace(regexp_replace(replace({untag(text)}, chr(10), ' '), '[“”]', '"', 'g'),
+                                              '([.!?][\\t ")])', '\\1' || chr(1), 'g'), chr(1)) AS pieces
+    FROM {source}),
+{x}g AS (
+    SELECT {key}, len(pieces) AS n_pieces,
+           list_transform(range(0, CAST(ceil(len(pieces) / 10) AS BIGINT)),
+                          lambda k: array_to_string(pieces[k * 10 + 1 : k * 10 + 10], '')) AS groups
+    FROM {x}p),
+{x}b AS (
+    SELECT {key}, n_pieces, groups, list_reduce(groups,
+        lambda acc, g: {{'out': list_append(acc.out,
+                            CASE WHEN ((length(CASE WHEN acc.carry THEN '"' || g ELSE g END)
+                                        - length(replace(CASE WHEN acc.carry THEN '"' || g ELSE g END, '"', ''))) % 2 = 1)
+                                      AND NOT ends_with(CASE WHEN acc.carry THEN '"' || g ELSE g END, '"')
+                                 THEN (CASE WHEN acc.carry THEN '"' || g ELSE g END) || '"'
+                                 ELSE (CASE WHEN acc.carry THEN '"' || g ELSE g END) END),
+                         'carry': ((length(CASE WHEN acc.carry THEN '"' || g ELSE g END)
+                                    - length(replace(CASE WHEN acc.carry THEN '"' || g ELSE g END, '"', ''))) % 2 = 1)
+                                  AND NOT ends_with(CASE WHEN acc.carry THEN '"' || g ELSE g END, '"')
+                                  AND len(acc.out) < len(groups) - 1}},
+        {{'out': []::VARCHAR[], 'carry': false}}) AS st
+    FROM {x}g),
+{name} AS (
+    SELECT {key}, n_pieces, len(groups) AS n_groups,
+           array_to_string(list_transform(st.out, lambda s: '<p> ' || s || '</p>'), chr(10)) AS markup
+    FROM {x}b)"""
+
+
+def grams_cte(name: str, source: str, key: str, text: str) -> str:
+    """CTE ``name(key, gram, cnt)``: character trigrams."""
+    return f"""
+{name}_t AS (SELECT {key}, ' ' || lower({collapse_ws(text)}) || ' ' AS t FROM {source}),
+{name} AS (
+    SELECT {key}, substr(t, i, 3) AS gram, count(*) AS cnt
+    FROM {name}_t, LATERAL (SELECT unnest(range(1, length(t) - 1)) AS i)
+    WHERE length(t) >= 3
+    GROUP BY ALL)"""
+
+
+def lang_model_cte() -> str:
+    """CTEs ``prof(lang, gram, delta)`` and ``prior(lang, unseen)`` from documents."""
+    return f"""{grams_cte('train_g', 'documents', 'doc_id', 'text')},
+per AS (SELECT d.lang, g.gram, sum(g.cnt) AS n FROM train_g g JOIN documents d USING (doc_id) GROUP BY ALL),
+prof AS (SELECT lang, gram, ln(n + 1) AS delta FROM per),
+prior AS (SELECT lang, -ln(sum(n) + (SELECT count(DISTINCT gram) FROM per)) AS unseen FROM per GROUP BY lang)"""
+
+
+def detect_cte(name: str, source: str, key: str, text: str) -> str:
+    """CTE ``name(key, detected)`` (needs lang_model_cte)."""
+    return f"""{grams_cte(name + '_g', source, key, text)},
+{name}_n AS (SELECT {key}, sum(cnt) AS n_grams FROM {name}_g GROUP BY ALL),
+{name}_h AS (SELECT g.{key}, p.lang, sum(g.cnt * p.delta) AS hit FROM {name}_g g JOIN prof p USING (gram) GROUP BY ALL),
+{name}_s AS (
+    SELECT h.{key}, h.lang, n.n_grams * pr.unseen + h.hit AS score,
+           row_number() OVER (PARTITION BY h.{key} ORDER BY n.n_grams * pr.unseen + h.hit DESC, h.lang DESC) AS rk
+    FROM {name}_h h JOIN {name}_n n USING ({key}) JOIN prior pr USING (lang)),
+{name} AS (
+    SELECT s.{key}, b.lang AS detected
+    FROM (SELECT DISTINCT {key} FROM {source}) s LEFT JOIN {name}_s b ON b.{key} = s.{key} AND b.rk = 1)"""
+
+
+def keywords_cte(name: str, source: str, key: str, text: str, k: int) -> str:
+    return f"""
+{name}_tf AS (
+    SELECT {key}, term, count(*) AS tf
+    FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '\\p{{L}}+')) AS term FROM {source})
+    GROUP BY ALL),
+{name}_df AS (SELECT term, count(*) AS df FROM {name}_tf GROUP BY term),
+{name}_sc AS (
+    SELECT t.{key}, t.term, t.tf * ln((SELECT count(*) FROM {source}) / d.df) AS score
+    FROM {name}_tf t JOIN {name}_df d USING (term)),
+{name} AS (
+    SELECT * FROM (
+        SELECT {key}, term, score,
+               row_number() OVER (PARTITION BY {key} ORDER BY round(score, 9) DESC, term) AS rank
+        FROM {name}_sc) WHERE rank <= {k})"""
+
+
+from pressmill.functions.urls import _ACCENTED as ACCENTED, _PLAIN as PLAIN  # noqa: E402
+
+
+def slugify(x: str) -> str:
+    s = f"translate(lower({x}), {q(ACCENTED)}, {q(PLAIN)})"
+    s = f"replace(replace(replace({s}, 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe')"
+    s = f"regexp_replace({s}, '[^a-z0-9_\\s-]', '', 'g')"
+    s = f"regexp_replace({s}, '[\\s_-]+', '-', 'g')"
+    return f"regexp_replace({s}, '^-+|-+$', '', 'g')"
