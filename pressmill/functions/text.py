@@ -22,6 +22,15 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
+
+    Inside higher-order-function lambdas Spark re-evaluates every outer
+    expression per element (no common-subexpression elimination there), so
+    arrays used by a lambda are bound first."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(c) -> Column:
     """Unicode strip of both ends."""
     return F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
@@ -68,18 +77,19 @@ def sentences_for_parts(c) -> Column:
     A sentence ends only at a word ending in '.'; words are re-joined by one
     blank; the unfinished tail (or '' after a final '.') is the last element.
     """
-    words = word_list(c)
-    joined = F.array_join(words, " ")
-    # a blank preceded by '.' is exactly "a word ending in '.' followed by a word"
-    pieces = F.split(joined, r"(?<=\.) ", -1)
-    n = F.size(pieces)
-    tail_fixed = F.when(
-        F.endswith(joined, F.lit(".")), F.array_append(pieces, F.lit(""))
-    ).otherwise(
-        F.concat(F.slice(pieces, 1, n - 1),
-                 F.array(F.concat(F.element_at(pieces, n), F.lit(" "))))
-    )
-    return F.when(F.size(words) == 0, F.array(F.lit(""))).otherwise(tail_fixed)
+    def with_joined(joined):
+        # a blank preceded by '.' is exactly "a word ending in '.' followed by a word"
+        def with_pieces(pieces):
+            n = F.size(pieces)
+            return F.when(F.length(joined) == 0, F.array(F.lit(""))).when(
+                F.endswith(joined, F.lit(".")), F.array_append(pieces, F.lit(""))
+            ).otherwise(
+                F.concat(F.slice(pieces, 1, n - 1),
+                         F.array(F.concat(F.element_at(pieces, n), F.lit(" "))))
+            )
+        return let(F.split(joined, r"(?<=\.) ", -1), with_pieces)
+
+    return let(F.array_join(word_list(c), " "), with_joined)
 
 
 def translation_parts(c, threshold: int = TRANSLATE_THRESHOLD) -> Column:
@@ -113,12 +123,13 @@ def sentence_pieces(c) -> Column:
 
 def sentence_groups(c, per_group: int = SENTENCES_PER_PARAGRAPH) -> Column:
     """Glue every ``per_group`` consecutive pieces into one group."""
-    pieces = sentence_pieces(c)
-    n_groups = F.floor((F.size(pieces) + (per_group - 1)) / per_group).cast("int")
-    return F.transform(
-        F.sequence(F.lit(0), n_groups - 1),
-        lambda k: F.array_join(F.slice(pieces, k * per_group + 1, per_group), ""),
-    )
+    def body(pieces):
+        n_groups = F.floor((F.size(pieces) + (per_group - 1)) / per_group).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), n_groups - 1),
+            lambda k: F.array_join(F.slice(pieces, k * per_group + 1, per_group), ""),
+        )
+    return let(sentence_pieces(c), body)
 
 
 def _quote_count(x: Column) -> Column:
@@ -128,20 +139,22 @@ def _quote_count(x: Column) -> Column:
 def balance_quotes(groups) -> Column:
     """T7 step 1: a group with an odd number of '"' that does not end in '"'
     is closed with '"', and the next group is opened with '"'."""
-    g = _c(groups)
-    n = F.size(g)
-    init = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("carry"))
-
-    def step(acc, x):
-        cur = F.when(acc["carry"], F.concat(F.lit('"'), x)).otherwise(x)
-        close = ((_quote_count(cur) % 2) == 1) & ~F.endswith(cur, F.lit('"'))
-        is_last = F.size(acc["out"]) == n - 1
-        return F.struct(
-            F.array_append(acc["out"], F.when(close, F.concat(cur, F.lit('"'))).otherwise(cur)).alias("out"),
-            (close & ~is_last).alias("carry"),
-        )
-
-    return F.aggregate(g, init, step, lambda acc: acc["out"])
+    def body(g):
+        n = F.size(g)
+        init = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("carry"))
+
+        def step(acc, x):
+            def with_cur(cur):
+                close = ((_quote_count(cur) % 2) == 1) & ~F.endswith(cur, F.lit('"'))
+                is_last = F.size(acc["out"]) == n - 1
+                return F.struct(
+                    F.array_append(acc["out"], F.when(close, F.concat(cur, F.lit('"'))).otherwise(cur)).alias("out"),
+                    (close & ~is_last).alias("carry"),
+                )
+            return let(F.when(acc["carry"], F.concat(F.lit('"'), x)).otherwise(x), with_cur)
+
+        return F.aggregate(g, init, step, lambda acc: acc["out"])
+    return let(_c(groups), body)
 
 
 def tag_p(groups) -> Column:

@@ -19,6 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressmill.functions import text as tx
+from pressmill.session import materialize
+
+
+# a capturing look-ahead: every overlapping trigram in one pass
+_TRIGRAM = r"(?s)(?=(.{3}))"
 
 
 def _norm(c: Column) -> Column:
@@ -26,13 +31,9 @@ def _norm(c: Column) -> Column:
 
 
 def grams(df: DataFrame, key: str, text_col: str) -> DataFrame:
-    """(key, gram, cnt): character trigrams of the normalised text.
-
-    One regex pass per text: a capturing look-ahead yields every overlapping
-    trigram in O(length) (a position loop over ``substr`` would rescan the
-    UTF-8 bytes for each position). Only the grams are exploded."""
-    t = _norm(F.col(text_col))
-    g = df.select(F.col(key), F.explode(F.regexp_extract_all(t, F.lit(r"(?s)(?=(.{3}))"), 1)).alias("gram"))
+    """(key, gram, cnt): trigram counts per text (map-side combined)."""
+    t = df.select(F.col(key), _norm(F.col(text_col)).alias("_t"))
+    g = t.select(key, F.explode(F.regexp_extract_all("_t", F.lit(_TRIGRAM), 1)).alias("gram"))
     return g.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("cnt"))
 
 
@@ -42,10 +43,12 @@ def train_profiles(labelled: DataFrame, key: str = "doc_id", text_col: str = "te
 
     With add-one smoothing over the shared vocabulary V,
     ``log p(g|lang) = log(n + 1) - log(total_lang + V)``: ``unseen`` is the
-    second term (negated), ``delta = log(n + 1)`` is what a seen gram adds."""
-    g = grams(labelled.select(key, text_col), key, text_col)
-    g = g.join(labelled.select(key, F.col(lang_col).alias("lang")), key)
-    per = g.groupBy("lang", "gram").agg(F.sum("cnt").alias("n"))
+    second term (negated), ``delta = log(n + 1)`` is what a seen gram adds.
+    Counting is a (lang, gram) aggregate combined map-side."""
+    t = labelled.select(F.col(lang_col).alias("lang"), _norm(F.col(text_col)).alias("_t"))
+    occ = t.select("lang", F.explode(F.regexp_extract_all("_t", F.lit(_TRIGRAM), 1)).alias("gram"))
+    # checkpointed once: both the profile and the prior read it
+    per = materialize(occ.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")))
     prof = per.select("lang", "gram", F.log(F.col("n") + 1).alias("delta"))
     prior = per.sparkSession.sql(
         "SELECT lang, -ln(sum(n) + (SELECT count(DISTINCT gram) FROM {per})) AS unseen FROM {per} GROUP BY lang",
@@ -53,17 +56,44 @@ def train_profiles(labelled: DataFrame, key: str = "doc_id", text_col: str = "te
     return prof, prior
 
 
+# profiles up to this many (language, gram) rows are broadcast (~50 bytes/row)
+MAX_BROADCAST_PROFILE = 4_000_000
+
+
+def _text_grams(df: DataFrame, key: str, text_col: str) -> DataFrame:
+    """(key, n_grams, gram) with one row per trigram occurrence.
+
+    The normalised text and its gram count are projected *before* the
+    explode: an expression placed next to a generator is evaluated after it,
+    once per generated row."""
+    t = df.select(F.col(key), _norm(F.col(text_col)).alias("_t"))
+    t = t.select(key, "_t", (F.length("_t") - 2).alias("n_grams"))
+    return t.select(key, "n_grams", F.explode(F.regexp_extract_all("_t", F.lit(_TRIGRAM), 1)).alias("gram"))
+
+
 def detect(df: DataFrame, profile: DataFrame, prior: DataFrame, key: str, text_col: str,
            out: str = "detected") -> DataFrame:
     """(key, out): best-scoring language per text; NULL when no gram of the
     text was ever seen. Languages without a single shared gram are not
-    candidates (their score is the floor ``n * unseen``)."""
-    g = grams(df, key, text_col)
-    n = g.groupBy(key).agg(F.sum("cnt").alias("n_grams"))
-    hit = (g.join(profile, "gram")
-           .groupBy(key, "lang").agg(F.sum(F.col("cnt") * F.col("delta")).alias("hit")))
-    # the prior has one row per language: broadcast it
-    scores = (hit.join(n, key).join(F.broadcast(prior), "lang")
+    candidates (their score is the floor ``n * unseen``).
+
+    The profile is checkpointed and counted; when it is within the broadcast
+    bound, gram occurrences probe it in place and are summed per
+    (text, language) with map-side combining, so the only shuffle carries a
+    few rows per text. Beyond the bound, grams are first counted per text and
+    shuffle-joined to the profile."""
+    prof = materialize(profile)
+    prior_b = F.broadcast(prior)   # one row per language
+    if prof.count() <= MAX_BROADCAST_PROFILE:
+        occ = _text_grams(df, key, text_col)
+        hit = (occ.join(F.broadcast(prof), "gram")
+               .groupBy(key, "lang").agg(F.sum("delta").alias("hit"), F.max("n_grams").alias("n_grams")))
+    else:
+        g = grams(df, key, text_col)
+        n = g.groupBy(key).agg(F.sum("cnt").alias("n_grams"))
+        hit = (g.join(prof, "gram").groupBy(key, "lang")
+               .agg(F.sum(F.col("cnt") * F.col("delta")).alias("hit")).join(n, key))
+    scores = (hit.join(prior_b, "lang")
               .select(key, "lang", (F.col("n_grams") * F.col("unseen") + F.col("hit")).alias("score")))
     best = scores.groupBy(key).agg(F.max_by("lang", F.struct(F.col("score"), F.col("lang"))).alias(out))
     return df.select(key).join(best, key, "left")

@@ -75,5 +75,30 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+# tables whose rows carry whole texts: the per-row work (regex, segmentation,
+# n-grams) is CPU-heavy, so these must be spread over all task slots
+TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
+
+
+def spread(df):
+    """Repartition when the scan yields fewer partitions than task slots.
+
+    Large inputs arrive as many files/row groups and pass through untouched;
+    a small input stored as one row group would otherwise run all its
+    CPU-heavy text work in a single task."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str):
-    return spark.read.parquet(table_path(sf_dir, name))
+    df = spark.read.parquet(table_path(sf_dir, name))
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def materialize(df):
+    """Cut lineage with a reliable checkpoint in the shared checkpoint folder
+    (used for small derived tables that are counted, then broadcast)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
