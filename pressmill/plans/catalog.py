@@ -579,3 +579,262 @@ def enrich_record(spark, sf_dir):
             .select("id", F.coalesce("keywords", F.lit("")).alias("keywords"),
                     F.coalesce("n_locations", F.lit(0)).alias("n_locations"),
                     enrich.mark_processed(F.col("translated_body")).alias("processed")))
+
+
+# ---------------------------------------------------------------------------
+# Frontier scheduling over saved searches
+# ---------------------------------------------------------------------------
+_DUE_SQL = f"""active AND (last_processed IS NULL OR TIMESTAMP '{derive.NOW}' - last_processed >
+    CASE period WHEN 'hourly' THEN INTERVAL 1 HOUR WHEN 'daily' THEN INTERVAL 1 DAY
+                WHEN 'weekly' THEN INTERVAL 7 DAY ELSE INTERVAL 30 DAY END)"""
+
+
+@query("due_searches", f"""
+WITH {O.SEARCHES_CTE}
+SELECT id, search_id, period, {O.ts_text('last_processed')} AS last_processed FROM searches WHERE {_DUE_SQL}
+""")
+def due_searches(spark, sf_dir):
+    """active searches never run or whose period has passed (clock = NOW)."""
+    s = frontier.due_searches(derive.searches(spark, sf_dir), derive.NOW)
+    return s.select("id", "search_id", "period", _ts_text("last_processed").alias("last_processed"))
+
+
+@query("next_schedule", f"""
+WITH {O.SEARCHES_CTE}
+SELECT id, {O.ts_text(f"CASE WHEN {_DUE_SQL} THEN TIMESTAMP '{derive.NOW}' ELSE last_processed END")} AS last_processed
+FROM searches
+""")
+def next_schedule(spark, sf_dir):
+    """due searches are stamped with the run time, found anything or not."""
+    s = frontier.advance_schedule(derive.searches(spark, sf_dir), derive.NOW)
+    return s.select("id", _ts_text("last_processed").alias("last_processed"))
+
+
+@query("search_work", f"""
+WITH {O.SEARCHES_CTE}, due AS (SELECT * FROM searches WHERE {_DUE_SQL})
+SELECT id AS search_pk, 'engine' AS kind, query AS target, unnest(string_split(source, ', ')) AS engine,
+       search_depth AS depth
+FROM due WHERE search_type IN ('search_engine', 'simple_search')
+UNION ALL SELECT id, 'rss', rss_link, NULL, NULL FROM due WHERE search_type = 'rss'
+UNION ALL SELECT id, 'url', article_url, NULL, NULL FROM due WHERE search_type = 'article'
+UNION ALL SELECT e.user_id, 'url', 'https://mail.example.org/' || e.event_id, NULL, NULL
+          FROM events e JOIN due d ON d.id = e.user_id WHERE d.search_type = 'email' AND e.event_type = 'click'
+UNION ALL SELECT e.user_id, 'url', 'https://mail.example.org/' || e.event_id || '/k' || json_extract_string(e.props, '$.k'),
+                 NULL, NULL
+          FROM events e JOIN due d ON d.id = e.user_id WHERE d.search_type = 'email' AND e.event_type = 'click'
+""")
+def search_work(spark, sf_dir):
+    """F2 + F3 + F4 + F12: due searches routed by type into crawl work; engine
+    lists fan out, mailbox JSON flattens to one row per link."""
+    w = frontier.search_work(derive.searches(spark, sf_dir), derive.NOW, derive.email_searches(spark, sf_dir))
+    return w.select("search_pk", "kind", "target", "engine", "depth")
+
+
+@query("request_plan", f"""
+WITH {O.SEARCHES_CTE}, due AS (SELECT * FROM searches WHERE {_DUE_SQL}),
+work AS (SELECT id AS search_pk, query AS target, unnest(string_split(source, ', ')) AS engine,
+                search_depth AS depth, exact_terms
+         FROM due WHERE search_type IN ('search_engine', 'simple_search')),
+spec AS (SELECT * FROM (VALUES {", ".join(f"({O.q(e)}, {O.q(k)}, {s}, {b}, {'NULL' if m is None else m})"
+                                          for e, k, s, b, m in __import__('pressmill.schemas', fromlist=['x']).ENGINE_PAGING)})
+         AS t(engine, paging, step, base, max_depth)),
+j AS (SELECT w.*, s.paging, s.step, s.base, least(coalesce(w.depth, 0), coalesce(s.max_depth, w.depth, 0)) AS d
+      FROM work w JOIN spec s USING (engine)),
+p AS (SELECT *, unnest(CASE WHEN paging = 'paged' THEN CASE WHEN d > 0 THEN range(0, d) ELSE [] END
+                            WHEN paging = 'single' THEN CASE WHEN d > 0 THEN [0] ELSE [] END
+                            ELSE [0] END) AS page FROM j)
+SELECT search_pk, engine, page, CASE WHEN paging = 'paged' THEN base + step * page END AS start,
+       CASE WHEN paging = 'single' THEN step * d END AS size, target AS q, exact_terms
+FROM p
+""")
+def request_plan(spark, sf_dir):
+    """F5 + F6 + F9: engine work -> one request per result page, depth
+    clamped per engine, query options merged into the request parameters."""
+    w = frontier.search_work(derive.searches(spark, sf_dir), derive.NOW)
+    plan = frontier.request_plan(w, frontier.engine_spec(spark))
+    return plan.select("search_pk", "engine", F.col("page").cast("bigint").alias("page"),
+                       F.col("start").cast("bigint").alias("start"), F.col("size").cast("bigint").alias("size"),
+                       F.col("params")["q"].alias("q"), F.col("params")["exactTerms"].alias("exact_terms"))
+
+
+@query("search_validation", f"""
+WITH {O.SEARCHES_CTE}
+SELECT id, array_to_string(list_sort(list_distinct(list_filter(string_split(source, ', '),
+           lambda x: NOT list_contains({O.sql_list(__import__('pressmill.schemas', fromlist=['x']).SOURCES)}, x)))), ',')
+           AS unknown_sources
+FROM searches
+""")
+def search_validation(spark, sf_dir):
+    """F8 (+F7): engines named by each search that have no parser."""
+    s = derive.searches(spark, sf_dir)
+    return s.select("id", F.array_join(F.array_sort(frontier.invalid_sources(F.col("source"))), ",")
+                    .alias("unknown_sources"))
+
+
+@query("engine_errors", f"""
+WITH {O.SEARCHES_CTE}, due AS (SELECT * FROM searches WHERE {_DUE_SQL})
+SELECT search_pk, engine FROM (
+    SELECT id AS search_pk, unnest(string_split(source, ', ')) AS engine
+    FROM due WHERE search_type IN ('search_engine', 'simple_search'))
+WHERE NOT list_contains({O.sql_list(__import__('pressmill.schemas', fromlist=['x']).SOURCES)}, engine)
+""")
+def engine_errors(spark, sf_dir):
+    """due engine work naming an engine without a parser goes to the error output."""
+    w = frontier.search_work(derive.searches(spark, sf_dir), derive.NOW)
+    return frontier.engine_errors(w, frontier.engine_spec(spark)).select("search_pk", "engine")
+
+
+# ---------------------------------------------------------------------------
+# Export, ledger, store reads
+# ---------------------------------------------------------------------------
+def _status_articles(spark, sf_dir):
+    arts, searches = _articles_with_search(spark, sf_dir)
+    en = arts.withColumn("translated_title", F.when(F.col("translated"), F.col("title"))) \
+             .withColumn("translated_body", F.when(F.col("translated"), F.col("body")))
+    return triage.assign_status(en, derive.trash_rules(spark), searches), searches
+
+
+_STATUS_ARTICLES = f"""{O.ARTICLES_CTE}, {O.SEARCHES_CTE},
+sa AS (
+    SELECT a.*, s.search_id, s.channel AS s_channel,
+           {O.initial_status(O.trash_exists('a.article_url', 'a.body'), 's.channel')} AS st
+    FROM articles a LEFT JOIN searches s ON a.search_pk = s.id),
+sel AS (
+    SELECT *, row_number() OVER (ORDER BY post_date_crawled DESC, id) - 1 AS position
+    FROM sa WHERE translated AND processed AND NOT pushed
+              AND post_date_crawled >= TIMESTAMP '2016-10-04 00:00:00' AND search_id IS NOT NULL)"""
+
+
+def _batched(spark, sf_dir):
+    from pressmill.operators import export
+    arts, searches = _status_articles(spark, sf_dir)
+    return export.batches(export.export_selection(arts, searches))
+
+
+@query("export_batches", f"""
+WITH {_STATUS_ARTICLES}
+SELECT id, position, position // 50 AS batch_id FROM sel
+""")
+def export_batches(spark, sf_dir):
+    """K1 + A8 + O1: the export backlog, newest first, in batches of 50."""
+    return _batched(spark, sf_dir).select("id", "position", F.col("batch_id").cast("bigint").alias("batch_id"))
+
+
+@query("export_payload", f"""
+WITH {_STATUS_ARTICLES}
+SELECT id, position // 50 AS batch_id,
+       to_json({{'article_url': article_url, 'source_language': source_language, 'title': title,
+                'translated_title': CASE WHEN translated THEN title END,
+                'body': body, 'translated_body': CASE WHEN translated THEN body END,
+                'post_date_crawled': {O.ts_text('post_date_crawled')}, 'translated': translated,
+                'processed': processed, 'search_id': search_id, 'channel': s_channel, 'status': st,
+                'tags': []::STRUCT(name VARCHAR)[]}}) AS payload
+FROM sel
+""")
+def export_payload(spark, sf_dir):
+    """K2: the transfer document of every exported article."""
+    from pressmill.operators import export
+    p = export.payload(_batched(spark, sf_dir))
+    return p.select("id", F.col("batch_id").cast("bigint").alias("batch_id"), "payload")
+
+
+@query("push_ledger", f"""
+WITH {_STATUS_ARTICLES},
+ledger AS (SELECT id AS article_id FROM sel WHERE position < 50),
+rest AS (SELECT s.* FROM sel s WHERE s.id NOT IN (SELECT article_id FROM ledger))
+SELECT id, (row_number() OVER (ORDER BY post_date_crawled DESC, id) - 1) // 50 AS batch_id FROM rest
+""")
+def push_ledger(spark, sf_dir):
+    """K4: the previous run pushed one batch and recorded it in the ledger;
+    this run anti-joins the ledger and numbers what is left."""
+    from pressmill.operators import export
+    arts, searches = _status_articles(spark, sf_dir)
+    sel = export.export_selection(arts, searches)
+    first_run = export.batches(sel, max_batches=1)
+    ledger = export.ledger_rows(first_run, derive.NOW)
+    second = export.batches(export.unpushed(sel, ledger))
+    return second.select("id", F.col("batch_id").cast("bigint").alias("batch_id"))
+
+
+@query("search_articles_page", f"""
+WITH {O.ARTICLES_CTE}, {O.SEARCHES_CTE}
+SELECT a.id, a.article_url, a.title, a.source_language
+FROM articles a JOIN searches s ON a.search_pk = s.id WHERE s.search_id = 'search-3'
+ORDER BY a.id LIMIT 10 OFFSET 10
+""")
+def search_articles_page(spark, sf_dir):
+    """J2 + K3 + O4: page 2 (10 per page) of the articles of search 'search-3'."""
+    from pressmill.operators import export
+    arts, searches = _articles_with_search(spark, sf_dir)
+    a = export.articles_of_search(arts, searches, "search-3")
+    return export.page(a, 2).select("id", "article_url", "title", "source_language")
+
+
+@query("article_by_key", f"""
+WITH {O.ARTICLES_CTE},
+req AS (SELECT l.doc_id AS request_id, to_base64(encode(a.article_url)) AS key
+        FROM labels l JOIN articles a ON a.id = l.doc_id)
+SELECT r.request_id, a.id, a.title
+FROM req r JOIN articles a ON a.article_url = decode(from_base64(r.key))
+""")
+def article_by_key(spark, sf_dir):
+    """K6 + P9: lookup requests (base64 URL keys, one per labelled document) -> stored articles."""
+    from pressmill.operators import export
+    arts = derive.articles(spark, sf_dir)
+    labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("request_id"))
+    req = labels.join(arts.select(F.col("id").alias("request_id"), "article_url"), "request_id") \
+                .select("request_id", ux.encode_key(F.col("article_url")).alias("key"))
+    return export.lookup_by_key(arts, req).select("request_id", "id", "title")
+
+
+@query("article_search", f"""
+WITH {O.ARTICLES_CTE}, {O.SEARCHES_CTE}
+SELECT a.id FROM articles a JOIN searches s ON a.search_pk = s.id
+WHERE a.translated AND NOT a.pushed AND a.article_url ILIKE '%/EN/%' AND s.search_id ILIKE '%SEARCH-1%'
+""")
+def article_search(spark, sf_dir):
+    """Admin list filter (translated, not pushed) + case-insensitive
+    contains on the article URL and the search id."""
+    from pressmill.operators import export
+    arts, searches = _articles_with_search(spark, sf_dir)
+    a = arts.join(searches.select(F.col("id").alias("search_pk"), "search_id"), "search_pk")
+    return export.admin_search(a, translated=True, pushed=False, url_contains="/EN/",
+                               search_contains="SEARCH-1").select("id")
+
+
+@query("flag_update", f"""
+WITH {_STATUS_ARTICLES}
+SELECT id, CASE WHEN st = 'trash' THEN false ELSE pushed END AS pushed,
+       CASE WHEN st = 'keep' THEN true ELSE processed END AS processed
+FROM sa
+""")
+def flag_update(spark, sf_dir):
+    """Bulk actions: trash articles are marked not pushed, kept ones processed."""
+    arts, _ = _status_articles(spark, sf_dir)
+    a = triage.set_flag(arts, F.col("status") == "trash", "pushed", False)
+    a = triage.set_flag(a, F.col("status") == "keep", "processed", True)
+    return a.select("id", "pushed", "processed")
+
+
+@query("quota_admission", """
+WITH c AS (
+    SELECT event_id, user_id, ts, CAST(floor(value * 100) AS BIGINT) AS volume,
+           lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_ts,
+           lag(CAST(floor(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_volume
+    FROM events)
+SELECT event_id, user_id, volume,
+       CASE WHEN prev_ts IS NULL THEN NULL ELSE (epoch_us(ts) - epoch_us(prev_ts)) // 1000 END AS gap_ms,
+       CASE WHEN prev_ts IS NULL THEN 'FIRST'
+            WHEN epoch_us(ts) - epoch_us(prev_ts) >= 120000000 THEN 'TIME'
+            WHEN prev_volume <= 2000 THEN 'OK' ELSE 'VOLUME' END AS decision
+FROM c
+""")
+def quota_admission(spark, sf_dir):
+    """Every translate-API call (event) admitted or refused by the
+    2-minute / 2000-character rule against the same caller's previous call."""
+    from pressmill.operators import export
+    ev = read_table(spark, sf_dir, "events").select(
+        "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"),
+        F.floor(F.col("value") * 100).cast("bigint").alias("volume"))
+    d = export.quota_decisions(ev, "user_id", "ts", "volume", "event_id")
+    return d.select("event_id", "user_id", "volume", F.col("gap_ms").cast("bigint").alias("gap_ms"), "decision")

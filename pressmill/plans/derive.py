@@ -90,7 +90,7 @@ def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
         source.alias("source"),
         F.element_at(_lit_array(CHANNELS), (F.pmod(u, F.lit(7)) + 1).cast("int")).alias("channel"),
         F.pmod(u, F.lit(13)).cast("int").alias("search_depth"),
-        (F.pmod(u, F.lit(9)) != 8).alias("active"),
+        (F.pmod(u, F.lit(11)) != 10).alias("active"),
         F.element_at(_lit_array(PERIOD_CHOICES), (F.pmod(F.floor(u / 5), F.lit(5)) + 1).cast("int")).alias("period"),
         F.col("last_view").cast("timestamp").alias("last_processed"),
         F.when(F.pmod(u, F.lit(4)) == 0, F.concat(F.lit("10.0.0."), u)).alias("response_address"),
