@@ -838,3 +838,139 @@ def quota_admission(spark, sf_dir):
         F.floor(F.col("value") * 100).cast("bigint").alias("volume"))
     d = export.quota_decisions(ev, "user_id", "ts", "volume", "event_id")
     return d.select("event_id", "user_id", "volume", F.col("gap_ms").cast("bigint").alias("gap_ms"), "decision")
+
+
+# ---------------------------------------------------------------------------
+# Sources: landed responses derived from pages / conversations, parsed back
+# ---------------------------------------------------------------------------
+def _pages(spark, sf_dir):
+    return read_table(spark, sf_dir, "pages")
+
+
+_FEED_TS = f"strftime(TIMESTAMP '{derive.FEED_EPOCH}' + to_minutes(CAST(page_id AS BIGINT)) - INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S')"
+
+
+@query("rss_items", f"""
+WITH {O.NAV_CTE}
+SELECT page_id, 0 AS item_no, {O.strip('url')} AS article_url, {O.strip('title_text')} AS title,
+       {O.strip('lead')} AS body, {_FEED_TS} AS post_date_created
+FROM nav
+UNION ALL
+SELECT page_id, k + 1, {O.strip('link')}, {O.strip('text')}, '', {_FEED_TS} FROM links
+""")
+def rss_items(spark, sf_dir):
+    """S1 + S8 + P1 + P2: RSS feeds (CDATA titles, +0100 dates, redirect-wrapped
+    news links) parsed into stripped candidates with UTC publication times."""
+    from pressmill.sources import feeds
+    items = feeds.parse_rss(derive.rss_payloads(_pages(spark, sf_dir)), unwrap_param="url")
+    return items.select("page_id", F.col("item_no").cast("bigint").alias("item_no"), "article_url", "title", "body",
+                        "post_date_created")
+
+
+@query("cse_results", f"""
+WITH {O.NAV_CTE},
+complete AS (SELECT host FROM nav GROUP BY host HAVING bool_and(NOT contains(url, '#')))
+SELECT page_id, host, k AS item_no, {O.strip('link')} AS article_url, {O.strip('text')} AS title,
+       {O.strip('title_text')} AS body
+FROM links WHERE host IN (SELECT host FROM complete)
+""")
+def cse_results(spark, sf_dir):
+    """JSON result pages per request (host); a request with any page
+    lacking ``items`` yields nothing."""
+    from pressmill.sources import feeds
+    items = feeds.parse_cse(derive.cse_payloads(_pages(spark, sf_dir)), request="host")
+    return items.select("page_id", "host", F.col("item_no").cast("bigint").alias("item_no"),
+                        "article_url", "title", "body")
+
+
+@query("social_posts", f"""
+SELECT conv_id, turn, 0 AS item_no, 'https://social.example.org/' || conv_id || '/' || turn AS article_url,
+       role || ' - @user' || conv_id AS title, {O.strip('text')} AS body
+FROM conversations WHERE role <> 'system'
+""")
+def social_posts(spark, sf_dir):
+    """S3: social-search JSON -> (url, 'network - @user', text) candidates."""
+    from pressmill.sources import feeds
+    posts, _ = feeds.parse_social(derive.social_payloads(read_table(spark, sf_dir, "conversations")))
+    return posts.select("conv_id", "turn", F.col("item_no").cast("bigint").alias("item_no"),
+                        "article_url", "title", "body")
+
+
+@query("social_errors", """
+SELECT conv_id, turn, 'Social search returned empty result' AS error FROM conversations WHERE role = 'system'
+""")
+def social_errors(spark, sf_dir):
+    """S3 error output: responses without posts."""
+    from pressmill.sources import feeds
+    _, errors = feeds.parse_social(derive.social_payloads(read_table(spark, sf_dir, "conversations")))
+    return errors
+
+
+@query("xml_results", f"""
+WITH {O.NAV_CTE}
+SELECT page_id, k AS item_no, {O.strip('link')} AS article_url, {O.strip("text || ' ' || text")} AS title,
+       {O.strip('title_text')} AS body
+FROM links WHERE NOT contains(url, '#')
+""")
+def xml_results(spark, sf_dir):
+    """XML search responses -> (url, recursive text of title, of passages)."""
+    from pressmill.sources import feeds
+    items, _, _ = feeds.parse_xml_search(derive.xml_search_payloads(_pages(spark, sf_dir)))
+    return items.select("page_id", F.col("item_no").cast("bigint").alias("item_no"), "article_url", "title", "body")
+
+
+@query("xml_totals", f"""
+WITH {O.NAV_CTE}
+SELECT page_id, CAST(len(hs) * 7 AS BIGINT) AS found, 'Found ' || (len(hs) * 1000) || ' answers' AS found_human,
+       least(len(hs) * 7 / 10.0, 100.0) AS pages
+FROM nav WHERE NOT contains(url, '#')
+""")
+def xml_totals(spark, sf_dir):
+    """First ``found`` of each response, its human text and the page count."""
+    from pressmill.sources import feeds
+    _, totals, _ = feeds.parse_xml_search(derive.xml_search_payloads(_pages(spark, sf_dir)))
+    return totals
+
+
+@query("xml_errors", f"""
+WITH {O.NAV_CTE}
+SELECT page_id, 15 AS code, 'Sorry, there are no results for this search' AS description
+FROM nav WHERE contains(url, '#')
+""")
+def xml_errors(spark, sf_dir):
+    """Error envelopes -> (code, description) on the error output."""
+    from pressmill.sources import feeds
+    _, _, errors = feeds.parse_xml_search(derive.xml_search_payloads(_pages(spark, sf_dir)))
+    return errors
+
+
+@query("html_results", f"""
+WITH {O.NAV_CTE}
+SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'google' ELSE 'bing' END AS engine, k AS item_no,
+       {O.strip('link')} AS article_url, {O.strip('text')} AS title,
+       {O.strip(O.unescape_html('raw_title'))} AS body
+FROM links
+""")
+def html_results(spark, sf_dir):
+    """HTML result pages (google layout with redirect links, bing layout)
+    -> candidates, via the selector-driven HTML walk."""
+    from pressmill.sources import html_results as hr
+    r = hr.parse_html_results(derive.html_result_payloads(_pages(spark, sf_dir)))
+    return r.select("page_id", "engine", F.col("item_no").cast("bigint").alias("item_no"),
+                    "article_url", "title", "body")
+
+
+@query("link_files", """
+SELECT url AS article_url, CAST(NULL AS BIGINT) AS search_pk FROM pages
+""")
+def link_files(spark, sf_dir):
+    """The page URLs written as a URL-list text file (with blank lines) in
+    the shared folder, then read back as candidates without a search."""
+    import uuid
+    from pressmill.session import checkpoint_dir
+    from pressmill.sources import feeds
+    path = f"{checkpoint_dir(spark).rstrip('/')}/link-files/{uuid.uuid4().hex}"
+    pages = _pages(spark, sf_dir)
+    lines = pages.select(F.explode(F.array(F.col("url"), F.lit(""))).alias("value"))
+    lines.write.mode("overwrite").text(path)
+    return feeds.read_url_lines(spark, path)

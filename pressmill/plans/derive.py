@@ -117,3 +117,114 @@ def email_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (ev.filter((stype == "email") & F.col("event_type").isin("click", "error"))
             .select(F.col("event_id").alias("message_id"), u.alias("search_pk"),
                     F.when(F.col("event_type") == "click", doc).alias("email_links")))
+
+
+# ---------------------------------------------------------------------------
+# Landed responses derived from the shipped pages / conversations. Each page
+# yields one response per source kind, bounded by the page itself.
+# ---------------------------------------------------------------------------
+FEED_EPOCH = "2017-05-17 17:36:27"   # local (+0100) publication time of page 0
+SITE = r"^([A-Za-z]+://[^/?#]+)"
+NAV = r'<a href="([^"]*)">([^<]*)</a>'
+
+
+def _xml_escape(c):
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
+                     F.lit(">"), F.lit("&gt;"))
+
+
+def nav_links(pages: DataFrame) -> DataFrame:
+    """(page_id, url, host, raw_title, title_text, lead, links array<struct<url, text>>)."""
+    from pressmill.functions import text as tx
+    hrefs = F.regexp_extract_all("html", F.lit(NAV), 1)
+    texts = F.regexp_extract_all("html", F.lit(NAV), 2)
+    site = F.regexp_extract("url", SITE, 1)
+    raw_title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
+    lead = tx.untag(F.regexp_extract("html", r"(?is)<article[^>]*>.*?<p>(.*?)</p>", 1))
+    p = pages.select("page_id", "url", hrefs.alias("_h"), texts.alias("_t"), site.alias("_site"),
+                     raw_title.alias("raw_title"), lead.alias("lead"))
+    links = F.transform("_h", lambda h, i: F.struct(
+        F.when(F.startswith(h, F.lit("/")), F.concat(F.col("_site"), h)).otherwise(h).alias("url"),
+        F.col("_t")[i].alias("text")))
+    return p.select("page_id", "url", F.lower(F.regexp_extract("url", r"^[A-Za-z]+://([^/?#:]+)", 1)).alias("host"),
+                    "raw_title", tx.unescape_html(F.col("raw_title")).alias("title_text"), "lead",
+                    links.alias("links"))
+
+
+def rss_payloads(pages: DataFrame) -> DataFrame:
+    """One RSS document per page: the page itself, then one item per
+    navigation link wrapped by a news redirector (parameter ``url``)."""
+    n = nav_links(pages)
+    local = F.lit(FEED_EPOCH).cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("page_id").cast("int"))
+    pub = F.concat(F.date_format(local, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0100"))
+
+    def item(title, link, desc):
+        return F.concat(F.lit("<item><title><![CDATA["), title, F.lit("]]></title><link>"), _xml_escape(link),
+                        F.lit("</link><description><![CDATA["), desc, F.lit("]]></description><pubDate>"), pub,
+                        F.lit("</pubDate></item>"))
+
+    first = item(F.col("title_text"), F.col("url"), F.col("lead"))
+    rest = F.transform("links", lambda l: item(
+        l["text"], F.concat(F.lit("https://news.google.com/news/url?sa=t&url="), F.url_encode(l["url"])), F.lit("")))
+    doc = F.concat(F.lit('<rss version="2.0"><channel><title>feed</title>'), first, F.array_join(rest, ""),
+                   F.lit("</channel></rss>"))
+    return n.select("page_id", doc.alias("payload"))
+
+
+def cse_payloads(pages: DataFrame) -> DataFrame:
+    """One JSON result page per landed page, requested per host; pages whose
+    URL carries a fragment came back without ``items``."""
+    n = nav_links(pages)
+    items = F.transform("links", lambda l: F.struct(l["url"].alias("link"), l["text"].alias("title"),
+                                                     F.col("title_text").alias("snippet")))
+    doc = F.when(F.col("url").contains("#"), F.lit('{"kind": "customsearch#search"}')).otherwise(
+        F.to_json(F.struct(items.alias("items"))))
+    return n.select("page_id", "host", doc.alias("payload"))
+
+
+def social_payloads(conversations: DataFrame) -> DataFrame:
+    """One social-search JSON response per conversation turn (the turn is the
+    post, its role the network); system turns came back without ``posts``."""
+    post = F.struct(F.col("role").alias("network"), F.col("text").alias("text"),
+                    F.concat(F.lit("https://social.example.org/"), F.col("conv_id"), F.lit("/"), F.col("turn")).alias("url"),
+                    F.struct(F.concat(F.lit("user"), F.col("conv_id")).alias("name")).alias("user"))
+    doc = F.when(F.col("role") == "system", F.lit('{"meta": {"http_code": 200}}')).otherwise(
+        F.to_json(F.struct(F.array(post).alias("posts"), F.struct(F.lit(200).alias("http_code")).alias("meta"))))
+    return conversations.select("conv_id", "turn", doc.alias("payload"))
+
+
+def xml_search_payloads(pages: DataFrame) -> DataFrame:
+    """One XML search response per page; pages whose URL carries a fragment
+    came back as an error envelope."""
+    n = nav_links(pages)
+    k = F.size("links")
+    groups = F.array_join(F.transform("links", lambda l: F.concat(
+        F.lit("<group><doc><url>"), _xml_escape(l["url"]), F.lit("</url><title>"), _xml_escape(l["text"]),
+        F.lit(" <hlword>"), _xml_escape(l["text"]), F.lit("</hlword></title><passages><passage>"),
+        _xml_escape(F.col("title_text")), F.lit("</passage></passages></doc></group>"))), "")
+    ok = F.concat(F.lit('<found priority="phrase">'), (k * 7).cast("string"), F.lit('</found><found priority="all">'),
+                  (k * 1000).cast("string"), F.lit("</found><found-human>Found "), (k * 1000).cast("string"),
+                  F.lit(" answers</found-human><results><grouping>"), groups, F.lit("</grouping></results>"))
+    err = F.lit('<error code="15">Sorry, there are no results for this search</error>')
+    doc = F.concat(F.lit("<yandexsearch><response>"), F.when(F.col("url").contains("#"), err).otherwise(ok),
+                   F.lit("</response></yandexsearch>"))
+    return n.select("page_id", doc.alias("payload"))
+
+
+def html_result_payloads(pages: DataFrame) -> DataFrame:
+    """One HTML result page per landed page, laid out as a google page
+    (redirect-wrapped links) or a bing page, alternating by page id."""
+    n = nav_links(pages)
+    engine = F.element_at(F.array(F.lit("google"), F.lit("bing")), (F.pmod(F.col("page_id"), F.lit(2)) + 1).cast("int"))
+    google = F.array_join(F.transform("links", lambda l: F.concat(
+        F.lit('<div class="g"><h3><a href="/url?q='), F.url_encode(l["url"]), F.lit('&amp;sa=U">'), l["text"],
+        F.lit('</a></h3><span class="st">'), F.col("raw_title"), F.lit("</span></div>"))), "")
+    bing = F.array_join(F.transform("links", lambda l: F.concat(
+        F.lit('<li class="b_algo"><h2><a href="'), l["url"], F.lit('">'), l["text"],
+        F.lit('</a></h2><div class="b_caption"><p>'), F.col("raw_title"), F.lit("</p></div></li>"))), "")
+    doc = F.when(engine == "google", F.concat(
+        F.lit('<html><head><title>Google Search</title></head><body><div id="res">'), google,
+        F.lit("</div></body></html>"))).otherwise(F.concat(
+            F.lit('<html><head><title>Bing</title></head><body><ol id="b_results">'), bing,
+            F.lit("</ol></body></html>")))
+    return n.select("page_id", engine.alias("engine"), doc.alias("payload"))

@@ -250,3 +250,20 @@ def slugify(x: str) -> str:
     s = f"regexp_replace({s}, '[^a-z0-9_\\s-]', '', 'g')"
     s = f"regexp_replace({s}, '[\\s_-]+', '-', 'g')"
     return f"regexp_replace({s}, '^-+|-+$', '', 'g')"
+
+
+NAV_CTE = f"""
+nav AS (
+    SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) AS host,
+           regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1) AS site,
+           regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS raw_title,
+           {unescape_html("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title_text,
+           {untag("regexp_extract(html, '(?is)<article[^>]*>.*?<p>(.*?)</p>', 1)")} AS lead,
+           regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 1) AS hs,
+           regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 2) AS ts
+    FROM pages),
+links AS (
+    SELECT page_id, url, host, raw_title, title_text, k,
+           CASE WHEN starts_with(hs[k + 1], '/') THEN site || hs[k + 1] ELSE hs[k + 1] END AS link,
+           ts[k + 1] AS text
+    FROM (SELECT *, unnest(range(0, len(hs))) AS k FROM nav))"""
