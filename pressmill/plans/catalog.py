@@ -974,3 +974,138 @@ def link_files(spark, sf_dir):
     lines = pages.select(F.explode(F.array(F.col("url"), F.lit(""))).alias("value"))
     lines.write.mode("overwrite").text(path)
     return feeds.read_url_lines(spark, path)
+
+
+# ---------------------------------------------------------------------------
+# Page metadata (authors, dates, images) through the tag harvest
+# ---------------------------------------------------------------------------
+def _page_meta(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    h = extract.harvest_tags(extract.pages_as_responses(pages), key_cols=("page_id", "url"))
+    return extract.article_meta(h)
+
+
+@query("page_meta")
+def page_meta(spark, sf_dir):
+    """Authors (LD-JSON, meta, itemprop, rel, class precedence),
+    publication date (LD-JSON > meta keys > time/span/class tags, parsed by
+    format list) and top image of every landed page. No SQL form: the rules
+    walk HTML; checked on inline pages in tests."""
+    m = _page_meta(spark, sf_dir)
+    return m.select("page_id", "authors", "post_date_created", "top_image_url",
+                    F.length(F.coalesce("dense_text_html", F.lit(""))).alias("dense_chars"))
+
+
+@query("image_worklist", """
+WITH img AS (
+    SELECT page_id,
+           coalesce(nullif(regexp_extract(html, '<meta[^>]*property="og:image"[^>]*content="([^"]*)"', 1), ''),
+                    regexp_extract(html, '<img[^>]*src="([^"]*)"', 1)) AS top_image_url
+    FROM pages)
+SELECT page_id, top_image_url, lower(regexp_extract(top_image_url, '\\.([A-Za-z0-9]+)$', 1)) AS ext
+FROM img
+WHERE top_image_url <> ''
+  AND regexp_matches(lower(top_image_url), '\\.(bmp|gif|ico|ief|jpe|jpeg|jpg|png|svg|tif|tiff|webp|ras|pnm|pbm|pgm|ppm|rgb|xbm|xpm|xwd|heic|heif|avif)$')
+""")
+def image_worklist(spark, sf_dir):
+    """K7 (+X8, P5): pages whose top image (og:image, else first <img>) still
+    has to be fetched; ``image_file`` (P10) names where it will be stored."""
+    from pressmill.operators import export
+    m = _page_meta(spark, sf_dir).withColumn("top_image", F.lit(None).cast("string"))
+    w = export.image_worklist(m)
+    return w.select("page_id", "top_image_url",
+                    F.lower(F.regexp_extract("top_image_url", r"\.([A-Za-z0-9]+)$", 1)).alias("ext"))
+
+
+# ---------------------------------------------------------------------------
+# Streams (availableNow runs; the sink is returned as a batch DataFrame)
+# ---------------------------------------------------------------------------
+def _stream(spark, sf_dir, name):
+    from pressmill.streaming import jobs
+    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
+    return jobs.read_stream(spark, sf_dir, name, schema)
+
+
+@query("stream_url_dedup", f"""
+WITH {O.SEARCHES_CTE},
+cand AS (SELECT DISTINCT 'https://news.example.org/item/' || json_extract_string(props, '$.k') AS article_url FROM events)
+SELECT article_url FROM cand
+WHERE article_url NOT IN (SELECT article_url FROM searches WHERE article_url IS NOT NULL)
+""")
+def stream_url_dedup(spark, sf_dir):
+    """M5 (+F11): URLs named by arriving events, once each, skipping those
+    already queued by saved 'article' searches."""
+    from pressmill.streaming import jobs
+    store = derive.searches(spark, sf_dir).filter(F.col("article_url").isNotNull()).select("article_url")
+    return jobs.url_dedup(spark, _stream(spark, sf_dir, "events"), store).select("article_url")
+
+
+@query("stream_quota_windows", """
+WITH v AS (SELECT time_bucket(INTERVAL 2 MINUTE, ts) AS window_start, user_id,
+                  CAST(floor(value * 100) AS BIGINT) AS volume FROM events),
+wm AS (SELECT max(ts) - INTERVAL 10 MINUTE AS watermark FROM events)
+SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, user_id, sum(volume) AS volume,
+       count(*) AS calls, sum(volume) > 2000 AS over_limit
+FROM v, wm WHERE window_start + INTERVAL 2 MINUTE <= wm.watermark
+GROUP BY window_start, user_id
+""")
+def stream_quota_windows(spark, sf_dir):
+    """M7: translate volume per caller per 2-minute event-time window, with a
+    10-minute watermark; only windows the watermark has closed are final."""
+    from pressmill.streaming import jobs
+    w = jobs.quota_windows(spark, _stream(spark, sf_dir, "events"))
+    return w.select(_ts_text("window_start").alias("window_start"), "user_id", "volume", "calls", "over_limit")
+
+
+@query("stream_email_links", f"""
+SELECT event_id AS message_id, user_id AS search_pk, 'https://mail.example.org/' || event_id AS target
+FROM events WHERE user_id % 5 = 4 AND event_type = 'click'
+UNION ALL
+SELECT event_id, user_id, 'https://mail.example.org/' || event_id || '/k' || json_extract_string(props, '$.k')
+FROM events WHERE user_id % 5 = 4 AND event_type = 'click'
+""")
+def stream_email_links(spark, sf_dir):
+    """M4 (+F4): mailbox links of arriving email searches, queued at once."""
+    from pressmill.streaming import jobs
+    ev = _stream(spark, sf_dir, "events")
+    u = F.col("user_id")
+    stype = F.element_at(F.array(*[F.lit(t) for t in __import__("pressmill.schemas", fromlist=["x"]).SEARCH_TYPES]),
+                         (F.pmod(u, F.lit(5)) + 1).cast("int"))
+    base = F.concat(F.lit("https://mail.example.org/"), F.col("event_id").cast("string"))
+    doc = F.to_json(F.create_map(
+        F.lit("inbox"), F.struct(F.array(base).alias("links")),
+        F.lit("digest"), F.struct(F.array(F.concat(base, F.lit("/k"), F.get_json_object("props", "$.k"))).alias("links"))))
+    rows = (ev.filter((stype == "email") & F.col("event_type").isin("click", "error"))
+            .select(F.col("event_id").alias("message_id"), u.alias("search_pk"),
+                    F.when(F.col("event_type") == "click", doc).alias("email_links")))
+    return jobs.email_links(spark, rows).select("message_id", "search_pk", "target")
+
+
+@query("stream_enrich", ORACLES["enrich_record"])
+def stream_enrich(spark, sf_dir):
+    """M3 (+E1-E4): arriving articles pass the enrichment gate and get their
+    keyword record and processed flag, micro-batch by micro-batch."""
+    from pressmill.streaming import jobs
+    arts = derive.articles(spark, sf_dir, docs=_stream(spark, sf_dir, "documents"))
+    arts = arts.withColumn("translated_body", F.col("body"))
+    out = jobs.enrich(spark, arts, read_table(spark, sf_dir, "nation"), read_table(spark, sf_dir, "region"))
+    return out.select("id", "keywords", "n_locations", "processed")
+
+
+@query("stream_export", f"""
+WITH {_STATUS_ARTICLES}
+SELECT id AS article_id, position // 50 AS batch_id FROM sel
+""")
+def stream_export(spark, sf_dir):
+    """M2 + K1-K4 + M8: exportable articles pushed in batches of 50 per
+    micro-batch, recorded in the push ledger (returned)."""
+    from pressmill.streaming import jobs
+    arts = derive.articles(spark, sf_dir, docs=_stream(spark, sf_dir, "documents"))
+    arts = (arts.withColumn("translated_title", F.when(F.col("translated"), F.col("title")))
+                .withColumn("translated_body", F.when(F.col("translated"), F.col("body"))))
+    searches = derive.searches(spark, sf_dir)
+    s = searches.select(F.col("id").alias("_sid"), F.col("channel").alias("_ch"))
+    arts = (arts.join(s, arts["search_pk"] == s["_sid"], "left")
+            .withColumn("channel", F.col("_ch")).drop("_sid", "_ch"))
+    ledger = jobs.export(spark, arts, searches)
+    return ledger.select("article_id", F.col("batch_id").cast("bigint").alias("batch_id"))

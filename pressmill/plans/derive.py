@@ -49,8 +49,10 @@ def _lit_array(values):
     return F.array(*[F.lit(v) for v in values])
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+def articles(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    """The article store; ``docs`` may be a stream of documents (the label
+    table is then joined as a static side)."""
+    docs = docs if docs is not None else read_table(spark, sf_dir, "documents")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     d = docs.join(labels, "doc_id", "left")
     return d.select(
