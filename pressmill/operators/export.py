@@ -82,6 +82,15 @@ def push(batched: DataFrame, sink_dir: str, ledger_dir: str, pushed_at, key: str
     ledger_rows(batched, pushed_at, key).write.mode("append").parquet(ledger_dir)
 
 
+def upsert_articles(store: DataFrame, incoming: DataFrame, key: str = "article_url", order: str = "id") -> DataFrame:
+    """K5: insert incoming articles whose URL is not stored; a URL arriving
+    several times in the batch is inserted once (smallest ``order``).
+    Stored rows are never replaced (unique URL)."""
+    from pressmill.operators.dedup import keep_first
+    fresh = keep_first(incoming.join(store.select(key), key, "left_anti"), key, order)
+    return store.unionByName(fresh.select(*store.columns))
+
+
 def backlog_exists(selection: DataFrame) -> bool:
     """Is there anything to export (no full count needed)."""
     return not selection.isEmpty()

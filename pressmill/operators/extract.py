@@ -66,6 +66,11 @@ def main_html(html) -> Column:
     return F.coalesce(F.nullif(art, F.lit("")), F.nullif(main, F.lit("")), body)
 
 
+def author_list(authors) -> Column:
+    """A list of author names as one string."""
+    return F.array_join(_c(authors), ", ")
+
+
 def prefer(*cols: Column) -> Column:
     """Trust-ordered merge, most trusted first; NULL or '' never overrides."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols[:-1]], cols[-1])

@@ -123,3 +123,14 @@ def undetermined(articles: DataFrame, lang_col: str = "source_language") -> tupl
 def untranslated(articles: DataFrame) -> DataFrame:
     """The translation backlog."""
     return articles.filter(~F.coalesce(F.col("translated"), F.lit(False)))
+
+
+def fill_language(articles: DataFrame, profile: DataFrame, prior: DataFrame, key: str = "id",
+                  lang_col: str = "source_language", body_col: str = "body") -> DataFrame:
+    """L4: an empty language is detected again on the first translation part
+    of the body; the result fills the gap (NULL stays when nothing is found)."""
+    empty = F.coalesce(F.col(lang_col), F.lit("")) == ""
+    todo = articles.filter(empty).select(key, F.get(tx.translation_parts(F.col(body_col)), 0).alias("_first"))
+    found = detect(todo, profile, prior, key, "_first", out="_fill")
+    return (articles.join(found, key, "left")
+            .withColumn(lang_col, F.when(empty, F.col("_fill")).otherwise(F.col(lang_col))).drop("_fill"))

@@ -1109,3 +1109,65 @@ def stream_export(spark, sf_dir):
             .withColumn("channel", F.col("_ch")).drop("_sid", "_ch"))
     ledger = jobs.export(spark, arts, searches)
     return ledger.select("article_id", F.col("batch_id").cast("bigint").alias("batch_id"))
+
+
+# ---------------------------------------------------------------------------
+# Store maintenance and reads
+# ---------------------------------------------------------------------------
+@query("store_upsert", f"""
+WITH {O.ARTICLES_CTE},
+store AS (SELECT id, article_url, title FROM articles WHERE processed),
+incoming AS (SELECT id, article_url, title FROM articles
+             WHERE article_url NOT IN (SELECT article_url FROM store)),
+fresh AS (SELECT article_url, arg_min(id, id) AS id, arg_min(title, id) AS title FROM incoming GROUP BY article_url)
+SELECT id, article_url, title FROM store
+UNION ALL SELECT id, article_url, title FROM fresh
+""")
+def store_upsert(spark, sf_dir):
+    """K5: processed articles are stored; the whole corpus arrives as a batch;
+    only unseen URLs are inserted, each once."""
+    from pressmill.operators import export
+    arts = derive.articles(spark, sf_dir).select("id", "article_url", "title", "processed")
+    store = arts.filter("processed").select("id", "article_url", "title")
+    return export.upsert_articles(store, arts.select("id", "article_url", "title"))
+
+
+@query("search_detail", f"""
+WITH {O.SEARCHES_CTE}
+SELECT id, search_id, search_type, source, channel, search_depth, active, period
+FROM searches WHERE search_id = 'search-7'
+""")
+def search_detail(spark, sf_dir):
+    """K9: one saved search by its search_id."""
+    s = derive.searches(spark, sf_dir)
+    return s.filter(F.col("search_id") == "search-7").select(
+        "id", "search_id", "search_type", "source", "channel", "search_depth", "active", "period")
+
+
+@query("language_fallback", f"""
+WITH {O.lang_model_cte()},
+titles AS (SELECT doc_id, split_part(text, chr(10), 1) AS t FROM documents),
+{O.detect_cte('tl', 'titles', 'doc_id', 't')},
+{O.detect_cte('bl', 'documents', 'doc_id', 'text')},
+agreed AS (
+    SELECT doc_id, CASE WHEN coalesce(tl.detected, '') = coalesce(bl.detected, '') THEN coalesce(bl.detected, '')
+                        ELSE '' END AS lang
+    FROM tl JOIN bl USING (doc_id)),
+todo AS (SELECT d.doc_id, d.text FROM documents d JOIN agreed a USING (doc_id) WHERE a.lang = ''),
+{O.parts_cte('fp', 'todo', 'doc_id', 'text')},
+firsts AS (SELECT doc_id, parts[1] AS first_part FROM fp),
+{O.detect_cte('fl', 'firsts', 'doc_id', 'first_part')}
+SELECT a.doc_id, a.lang AS agreed_language,
+       CASE WHEN a.lang = '' THEN fl.detected ELSE a.lang END AS source_language
+FROM agreed a LEFT JOIN fl USING (doc_id)
+""")
+def language_fallback(spark, sf_dir):
+    """L3 + L4: where title and body disagree, the language is detected again
+    on the first translation part of the body."""
+    from pressmill.operators import lang
+    prof, prior = _lang_model(spark, sf_dir)
+    agreed = language_agreement(spark, sf_dir).select("doc_id", F.col("source_language").alias("agreed_language"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    a = agreed.join(docs, "doc_id").withColumn("source_language", F.col("agreed_language"))
+    filled = lang.fill_language(a, prof, prior, key="doc_id", body_col="text")
+    return filled.select("doc_id", "agreed_language", "source_language")
