@@ -70,16 +70,16 @@ def ledger_rows(batched: DataFrame, pushed_at, key: str = "id") -> DataFrame:
 
 
 def push(batched: DataFrame, sink_dir: str, ledger_dir: str, pushed_at, key: str = "id") -> None:
-    """K4 sink: write the payloads partitioned by batch, then append the ledger.
+    """K4 sink: write the payloads partitioned by batch, then the ledger.
 
-    The payload write is an overwrite of exactly this run's batch partitions
-    (dynamic partition overwrite), so a retried run rewrites, never
-    duplicates; the ledger append happens only after the payload commit."""
+    ``sink_dir`` and ``ledger_dir`` belong to this run (e.g. one folder per
+    micro-batch epoch): both are overwritten, so a retried run rewrites and
+    never duplicates; the ledger is written only after the payload commit."""
     spark = batched.sparkSession
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     (batched.select(key, "batch_id", "payload").write.mode("overwrite")
      .partitionBy("batch_id").json(sink_dir))
-    ledger_rows(batched, pushed_at, key).write.mode("append").parquet(ledger_dir)
+    ledger_rows(batched, pushed_at, key).write.mode("overwrite").parquet(ledger_dir)
 
 
 def upsert_articles(store: DataFrame, incoming: DataFrame, key: str = "article_url", order: str = "id") -> DataFrame:

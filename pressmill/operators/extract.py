@@ -76,10 +76,15 @@ def prefer(*cols: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols[:-1]], cols[-1])
 
 
-def page_articles(responses: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+def page_articles(responses: DataFrame, candidates: DataFrame | None = None,
+                  density_fallback: bool = False) -> DataFrame:
     """X9 without language: responses (+ optional initial candidate fields)
     -> cleaned articles. Rows with an empty cleaned body are dropped (T4);
-    non-HTML responses keep the initial title/body and become trash (G4)."""
+    non-HTML responses keep the initial title/body and become trash (G4).
+
+    With ``density_fallback`` the pages that have neither ``<article>`` nor
+    ``<main>`` (and only those) cross to the Python harvest, which picks the
+    block with the most text; all other pages stay on the native path."""
     r = successful(responses)
     if candidates is not None:
         c = candidates.select(F.col("article_url").alias("_req_url"),
@@ -91,13 +96,21 @@ def page_articles(responses: DataFrame, candidates: DataFrame | None = None) ->
              .withColumn("init_body", F.lit(None).cast("string"))
              .withColumn("init_date", F.lit(None).cast("string")))
     html = is_html(F.col("content_type"))
-    title = F.when(html, prefer(title_of("payload"), F.col("init_title"))).otherwise(F.col("init_title"))
-    raw_body = F.when(html, prefer(main_html("payload"), F.col("init_body"))).otherwise(F.col("init_body"))
+    r = r.withColumn("is_html", html).withColumn("_main", main_html("payload"))
+    if density_fallback:
+        structured = F.col("payload").rlike(r"(?i)<(article|main)\b")
+        fast = r.filter(~F.col("is_html") | structured)
+        slow = r.filter(F.col("is_html") & ~structured)
+        dense = harvest_tags(slow, key_cols=slow.columns)     # every column passes through
+        slow = (dense.withColumn("_main", F.coalesce(F.nullif(F.col("dense_text_html"), F.lit("")), F.col("_main")))
+                .select(*r.columns))
+        r = fast.unionByName(slow)
+    title = F.when(F.col("is_html"), prefer(title_of("payload"), F.col("init_title"))).otherwise(F.col("init_title"))
+    raw_body = F.when(F.col("is_html"), prefer(F.col("_main"), F.col("init_body"))).otherwise(F.col("init_body"))
     body = tx.collapse_ws(tx.clean_html(raw_body))
-    out = (r.withColumn("is_html", html)
-           .withColumn("title", title)
+    out = (r.withColumn("title", title)
            .withColumn("body", body)
-           .drop("payload", "init_title", "init_body"))
+           .drop("payload", "init_title", "init_body", "_main"))
     return out.filter(F.length("body") > 0)
 
 
@@ -274,9 +287,7 @@ def _harvest_batches(it, key_cols):
     for pdf in it:
         rows = [harvest_one(x) for x in pdf["payload"]]
         res = pd.DataFrame(rows, columns=[f.name for f in HARVEST_SCHEMA.fields])
-        for k in key_cols:
-            res.insert(0, k, pdf[k].values)
-        yield res
+        yield pd.concat([pdf[key_cols].reset_index(drop=True), res], axis=1)
 
 
 def harvest_tags(responses: DataFrame, key_cols=("url",)) -> DataFrame:
@@ -284,8 +295,8 @@ def harvest_tags(responses: DataFrame, key_cols=("url",)) -> DataFrame:
     key_cols = list(key_cols)
     key_fields = [responses.schema[k] for k in key_cols]
     schema = T.StructType(key_fields + HARVEST_SCHEMA.fields)
-    return responses.select(*key_cols, "payload").mapInPandas(
-        lambda it: _harvest_batches(it, key_cols), schema)
+    cols = key_cols + ([] if "payload" in key_cols else ["payload"])
+    return responses.select(*cols).mapInPandas(lambda it: _harvest_batches(it, key_cols), schema)
 
 
 # ---------------------------------------------------------------------------

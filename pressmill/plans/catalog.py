@@ -1171,3 +1171,32 @@ def language_fallback(spark, sf_dir):
     a = agreed.join(docs, "doc_id").withColumn("source_language", F.col("agreed_language"))
     filled = lang.fill_language(a, prof, prior, key="doc_id", body_col="text")
     return filled.select("doc_id", "agreed_language", "source_language")
+
+
+@query("article_assembly")
+def article_assembly(spark, sf_dir):
+    """X9 end to end: landed pages -> article rows with title, cleaned body,
+    authors, publication date, top image, detected language, English
+    pass-through and status. Checked on row counts here; every step has its
+    own SQL-checked query."""
+    from pressmill.plans.assembly import build_articles
+    prof, prior = _lang_model(spark, sf_dir)
+    resp = extract.pages_as_responses(_pages(spark, sf_dir))
+    a = build_articles(resp, derive.trash_rules(spark), prof, prior)
+    return a.select("page_id", "article_url", "title", F.length("body").alias("n_chars"), "authors",
+                    "post_date_created", "top_image_url", "source_language", "translated", "status")
+
+
+@query("stream_due")
+def stream_due(spark, sf_dir):
+    """M1 + M6: every event is a scheduler tick for its user's saved search;
+    a stateful stream keeps each search's last run and marks the due ticks.
+    No SQL form (the state recurses); checked against a plain-Python replay
+    in tests."""
+    from pressmill.streaming import jobs
+    ev = _stream(spark, sf_dir, "events")
+    periods = derive.searches(spark, sf_dir).select(F.col("id").alias("search_pk"), "period")
+    ticks = (ev.select(F.col("user_id").alias("search_pk"), F.col("event_id").alias("tick_id"),
+                       F.col("ts").cast("timestamp").alias("tick_ts"))
+             .join(periods, "search_pk", "left"))
+    return jobs.due_gate(spark, ticks).select("search_pk", "tick_id", "tick_ts", "due")

@@ -62,12 +62,12 @@ def url_dedup(spark: SparkSession, events: DataFrame, store_urls: DataFrame, nam
 
     def push(batch: DataFrame, epoch: int):
         new = batch.select("article_url").dropDuplicates(["article_url"]).join(store, "article_url", "left_anti")
-        try:
-            seen = spark.read.parquet(sink).select("article_url")
+        try:   # what earlier micro-batches emitted (a replay of this one rewrites it)
+            seen = spark.read.parquet(sink).filter(F.col("epoch") < epoch).select("article_url")
             new = new.join(seen, "article_url", "left_anti")
         except Exception:  # noqa: BLE001 - first batch: the sink does not exist yet
             pass
-        new.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(sink)
+        new.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
 
     _run(cand.writeStream.foreachBatch(push).option("checkpointLocation", ckpt), trigger)
     return spark.read.parquet(sink)
@@ -125,7 +125,7 @@ def enrich(spark: SparkSession, articles: DataFrame, nation: DataFrame, region:
          .select("id", F.coalesce("keywords", F.lit("")).alias("keywords"),
                  F.coalesce("n_locations", F.lit(0)).alias("n_locations"),
                  en.mark_processed(F.col("translated_body")).alias("processed"))
-         .write.mode("append").parquet(sink))
+         .write.mode("overwrite").parquet(f"{sink}/epoch={epoch}"))   # a replayed epoch rewrites itself
 
     _run(gated.writeStream.foreachBatch(process).option("checkpointLocation", ckpt), trigger)
     return spark.read.parquet(sink)
@@ -143,14 +143,60 @@ def export(spark: SparkSession, articles: DataFrame, searches: DataFrame, name:
 
     def process(batch: DataFrame, epoch: int):
         sel = ex.export_selection(batch, searches)
-        try:
-            sel = ex.unpushed(sel, spark.read.parquet(ledger))
+        try:   # articles pushed by earlier micro-batches
+            sel = ex.unpushed(sel, spark.read.parquet(ledger).filter(F.col("epoch") < epoch))
         except Exception:  # noqa: BLE001 - first batch: no ledger yet
             pass
         if sel.isEmpty():
             return
         b = ex.batches(sel)
-        ex.push(ex.payload(b), f"{sink}/epoch={epoch}", ledger, pushed_at)
+        # payload and ledger partitions of this epoch are overwritten on replay
+        ex.push(ex.payload(b), f"{sink}/epoch={epoch}", f"{ledger}/epoch={epoch}", pushed_at)
 
     _run(articles.writeStream.foreachBatch(process).option("checkpointLocation", ckpt), trigger)
     return spark.read.parquet(ledger)
+
+
+_PERIOD_SECONDS = {"hourly": 3600, "daily": 86400, "weekly": 7 * 86400}
+
+
+def _period_seconds(period) -> int:
+    """hourly / daily / weekly; anything else is 30 days."""
+    return _PERIOD_SECONDS.get(period, 30 * 86400)
+
+
+def _gate(key, pdfs, state):
+    """Per search: a tick is due when the search never ran or its period has
+    strictly passed since the last due tick; due ticks advance the state."""
+    import pandas as pd
+    last = state.get[0] if state.exists else None
+    chunks = [p for p in pdfs]
+    out_cols = ["search_pk", "tick_id", "tick_ts", "due"]
+    if not chunks:
+        yield pd.DataFrame(columns=out_cols)
+        return
+    batch = pd.concat(chunks).sort_values(["tick_ts", "tick_id"])
+    due = []
+    for ts, period in zip(batch["tick_ts"], batch["period"]):
+        ok = last is None or (ts - last).total_seconds() > _period_seconds(period)
+        if ok:
+            last = ts
+        due.append(ok)
+    state.update((last,))
+    yield pd.DataFrame({"search_pk": batch["search_pk"].values, "tick_id": batch["tick_id"].values,
+                        "tick_ts": batch["tick_ts"].values, "due": due})
+
+
+def due_gate(spark: SparkSession, ticks: DataFrame, name: str = "due_gate", trigger: dict | None = None,
+             run_id: str | None = None) -> DataFrame:
+    """M1 + M6: scheduler ticks ``(search_pk, tick_id, tick_ts, period)``
+    pass through a per-search state holding the last run time (one value
+    per search, kept in the checkpointed state store)."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+    ckpt, sink = stream_paths(spark, name, run_id)
+    out = ticks.groupBy("search_pk").applyInPandasWithState(
+        _gate, "search_pk long, tick_id long, tick_ts timestamp, due boolean", "last timestamp",
+        "append", GroupStateTimeout.NoTimeout)
+    _run(out.writeStream.outputMode("append").format("parquet").option("path", sink)
+         .option("checkpointLocation", ckpt), trigger)
+    return spark.read.parquet(sink)

@@ -64,3 +64,14 @@ def test_parse_date_formats(spark):
                                 ("Thursday, November 26, 2015,  6:42 AM",), ("not a date",)], "s string")
     got = [r[0] for r in df.select(F.date_format(extract.parse_date("s"), "yyyy-MM-dd HH:mm")).collect()]
     assert got == ["2015-11-26 07:11", "2015-11-26 10:06", "2015-11-25 22:40", "2015-11-26 06:42", None]
+
+
+def test_density_fallback_only_for_unstructured_pages(spark):
+    loose = ("<html><head><title>Loose</title></head><body><div class='nav'><a href='/'>home</a></div>"
+             "<div class='content'>The longest block of text on this page wins the body.</div>"
+             "<div>short</div></body></html>")
+    r = _responses(spark, [("http://l/", None, 200, "text/html", None, loose),
+                           ("http://a/", None, 200, "text/html", None, PAGE)])
+    rows = {x["url"]: x for x in extract.page_articles(r, density_fallback=True).collect()}
+    assert rows["http://l/"]["body"] == "<p>The longest block of text on this page wins the body.</p>"
+    assert rows["http://a/"]["body"] == '<h1>Head</h1><p>Body text</p>'
