@@ -192,13 +192,15 @@ def paragraphs_cte(name: str, source: str, key: str, text: str) -> str:
 
 
 def grams_cte(name: str, source: str, key: str, text: str) -> str:
-    """CTE ``name(key, gram, cnt)``: character trigrams."""
+    """CTE ``name(key, gram, cnt)``: character trigrams (A6). Each text is
+    split into characters once; trigrams are built inside the list, so the
+    text is never copied into the exploded rows."""
     return f"""
-{name}_t AS (SELECT {key}, ' ' || lower({collapse_ws(text)}) || ' ' AS t FROM {source}),
+{name}_t AS (SELECT {key}, string_split(' ' || lower({collapse_ws(text)}) || ' ', '') AS c FROM {source}),
 {name} AS (
-    SELECT {key}, substr(t, i, 3) AS gram, count(*) AS cnt
-    FROM {name}_t, LATERAL (SELECT unnest(range(1, length(t) - 1)) AS i)
-    WHERE length(t) >= 3
+    SELECT {key}, gram, count(*) AS cnt
+    FROM (SELECT {key}, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram
+          FROM {name}_t WHERE len(c) >= 3)
     GROUP BY ALL)"""
 
 
