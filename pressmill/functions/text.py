@@ -31,6 +31,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def non_empty(c) -> Column:
+    """NULL for NULL or '' (``nullif(c, '')`` without evaluating ``c`` twice)."""
+    return let(_c(c), lambda v: F.when(v != "", v))
+
+
 def strip(c) -> Column:
     """Unicode strip of both ends."""
     return F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
@@ -63,7 +68,8 @@ def clean_html(c) -> Column:
     x = F.regexp_replace(x, r"(?is)<style\b[^>]*>.*?</style\s*>", "")
     x = F.regexp_replace(x, r"(?s)<!--.*?-->", "")
     x = F.regexp_replace(x, r"""(?i)\s+on[a-z]+\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "")
-    return F.when(x.rlike(r"<[A-Za-z]"), x).otherwise(F.concat(F.lit("<p>"), x, F.lit("</p>")))
+    # bound once: the branches below would otherwise each re-run the chain
+    return let(x, lambda v: F.when(v.rlike(r"<[A-Za-z]"), v).otherwise(F.concat(F.lit("<p>"), v, F.lit("</p>"))))
 
 
 def word_list(c) -> Column:

@@ -63,7 +63,7 @@ def main_html(html) -> Column:
     art = F.regexp_extract(h, r"(?is)<article\b[^>]*>(.*?)</article>", 1)
     main = F.regexp_extract(h, r"(?is)<main\b[^>]*>(.*?)</main>", 1)
     body = F.regexp_extract(h, r"(?is)<body\b[^>]*>(.*?)</body>", 1)
-    return F.coalesce(F.nullif(art, F.lit("")), F.nullif(main, F.lit("")), body)
+    return F.coalesce(tx.non_empty(art), tx.non_empty(main), body)
 
 
 def author_list(authors) -> Column:
@@ -73,7 +73,7 @@ def author_list(authors) -> Column:
 
 def prefer(*cols: Column) -> Column:
     """Trust-ordered merge, most trusted first; NULL or '' never overrides."""
-    return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols[:-1]], cols[-1])
+    return F.coalesce(*[tx.non_empty(c) for c in cols[:-1]], cols[-1])
 
 
 def page_articles(responses: DataFrame, candidates: DataFrame | None = None,
@@ -108,10 +108,11 @@ def page_articles(responses: DataFrame, candidates: DataFrame | None = None,
     title = F.when(F.col("is_html"), prefer(title_of("payload"), F.col("init_title"))).otherwise(F.col("init_title"))
     raw_body = F.when(F.col("is_html"), prefer(F.col("_main"), F.col("init_body"))).otherwise(F.col("init_body"))
     body = tx.collapse_ws(tx.clean_html(raw_body))
-    out = (r.withColumn("title", title)
-           .withColumn("body", body)
-           .drop("payload", "init_title", "init_body", "_main"))
-    return out.filter(F.length("body") > 0)
+    keep = [c for c in r.columns if c not in ("payload", "init_title", "init_body", "_main")]
+    # T4 as a 0-or-1 element generator: a plain filter on ``body`` would be
+    # pushed below the projection and run the whole cleaning chain twice
+    return r.select(*keep, title.alias("title"),
+                    F.explode(F.filter(F.array(body), lambda b: F.length(b) > 0)).alias("body"))
 
 
 # ---------------------------------------------------------------------------
