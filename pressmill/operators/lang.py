@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressmill.functions import text as tx
-from pressmill.session import materialize
+from pressmill.session import checkpoint_dir, materialize
 
 
-# a capturing look-ahead: every overlapping trigram in one pass
+# a capturing look-ahead: every overlapping trigram in one pass. Grams are
+# keyed by their 64-bit xxhash (joins and aggregates hash longs, not strings;
+# ~1e5 distinct trigrams make a collision vanishingly unlikely)
 _TRIGRAM = r"(?s)(?=(.{3}))"
 
 
@@ -33,8 +35,8 @@ def _norm(c: Column) -> Column:
 def grams(df: DataFrame, key: str, text_col: str) -> DataFrame:
     """(key, gram, cnt): trigram counts per text (map-side combined)."""
     t = df.select(F.col(key), _norm(F.col(text_col)).alias("_t"))
-    g = t.select(key, F.explode(F.regexp_extract_all("_t", F.lit(_TRIGRAM), 1)).alias("gram"))
-    return g.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("cnt"))
+    g = t.select(key, F.explode(F.regexp_extract_all("_t", F.lit(_TRIGRAM), 1)).alias("_g"))
+    return g.select(key, F.xxhash64("_g").alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def train_profiles(labelled: DataFrame, key: str = "doc_id", text_col: str = "text",
@@ -46,7 +48,8 @@ def train_profiles(labelled: DataFrame, key: str = "doc_id", text_col: str = "te
     second term (negated), ``delta = log(n + 1)`` is what a seen gram adds.
     Counting is a (lang, gram) aggregate combined map-side."""
     t = labelled.select(F.col(lang_col).alias("lang"), _norm(F.col(text_col)).alias("_t"))
-    occ = t.select("lang", F.explode(F.regexp_extract_all("_t", F.lit(_TRIGRAM), 1)).alias("gram"))
+    occ = t.select("lang", F.explode(F.regexp_extract_all("_t", F.lit(_TRIGRAM), 1)).alias("_g"))
+    occ = occ.select("lang", F.xxhash64("_g").alias("gram"))
     # checkpointed once: both the profile and the prior read it
     per = materialize(occ.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")))
     prof = per.select("lang", "gram", F.log(F.col("n") + 1).alias("delta"))
@@ -68,7 +71,8 @@ def _text_grams(df: DataFrame, key: str, text_col: str) -> DataFrame:
     once per generated row."""
     t = df.select(F.col(key), _norm(F.col(text_col)).alias("_t"))
     t = t.select(key, "_t", (F.length("_t") - 2).alias("n_grams"))
-    return t.select(key, "n_grams", F.explode(F.regexp_extract_all("_t", F.lit(_TRIGRAM), 1)).alias("gram"))
+    g = t.select(key, "n_grams", F.explode(F.regexp_extract_all("_t", F.lit(_TRIGRAM), 1)).alias("_g"))
+    return g.select(key, "n_grams", F.xxhash64("_g").alias("gram"))
 
 
 def detect(df: DataFrame, profile: DataFrame, prior: DataFrame, key: str, text_col: str,
@@ -134,3 +138,33 @@ def fill_language(articles: DataFrame, profile: DataFrame, prior: DataFrame, key
     found = detect(todo, profile, prior, key, "_first", out="_fill")
     return (articles.join(found, key, "left")
             .withColumn(lang_col, F.when(empty, F.col("_fill")).otherwise(F.col(lang_col))).drop("_fill"))
+
+
+def _input_key(df: DataFrame) -> str:
+    """Identity of a DataFrame's input: every file's path, length and
+    modification time (Hadoop file system metadata, any cluster store)."""
+    import hashlib
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    parts = []
+    for f in sorted(df.inputFiles()):
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        st = p.getFileSystem(conf).getFileStatus(p)
+        parts.append(f"{f}|{st.getLen()}|{st.getModificationTime()}")
+    return hashlib.sha1("\n".join(parts).encode()).hexdigest()[:20]
+
+
+def load_or_train(labelled: DataFrame, key: str = "doc_id", text_col: str = "text",
+                  lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
+    """A trained profile is a model table: trained once per training input and
+    stored under the shared checkpoint folder, then read by every detection
+    job. A changed input (any file's length or time) trains a new one."""
+    spark = labelled.sparkSession
+    base = f"{checkpoint_dir(spark).rstrip('/')}/models/lang-{_input_key(labelled)}-{text_col}-{lang_col}"
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    done = jvm.org.apache.hadoop.fs.Path(f"{base}/prior/_SUCCESS")
+    if not done.getFileSystem(conf).exists(done):
+        prof, prior = train_profiles(labelled, key, text_col, lang_col)
+        prof.write.mode("overwrite").parquet(f"{base}/profile")
+        prior.write.mode("overwrite").parquet(f"{base}/prior")     # written last: marks the model complete
+    return spark.read.parquet(f"{base}/profile"), spark.read.parquet(f"{base}/prior")

@@ -301,7 +301,7 @@ def doc_paragraphs(spark, sf_dir):
 def _lang_model(spark, sf_dir):
     from pressmill.operators import lang
     docs = read_table(spark, sf_dir, "documents")
-    return lang.train_profiles(docs.select("doc_id", "text", "lang"))
+    return lang.load_or_train(docs.select("doc_id", "text", "lang"))
 
 
 @query("doc_language", f"""
