@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressmill.functions import urls as ux
+from pressmill.session import materialize
 from pressmill.schemas import LOCATION_TYPES
 
 # gazetteers are curated place lists; beyond this count the join shuffles
@@ -24,16 +25,29 @@ def terms(df: DataFrame, key: str, text_col: str) -> DataFrame:
     return t.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+# vocabularies up to this many terms are broadcast to the tf rows
+MAX_BROADCAST_VOCAB = 5_000_000
+
+
 def keywords(df: DataFrame, key: str = "id", text_col: str = "body", k: int = 50) -> DataFrame:
     """A5: (key, term, score, rank) for the ``k`` best TF-IDF terms of each text
-    (ties broken by term). Document frequency is a map-side-combined count."""
-    tf = terms(df, key, text_col)
-    n_docs = df.select(F.count(F.lit(1)).alias("n"))
-    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    (ties broken by term).
+
+    The texts are hash-partitioned by ``key`` once; term counting per
+    (key, term) and the per-text ranking then reuse that partitioning, and
+    the document frequencies (a map-side-combined count per term) are
+    broadcast when the vocabulary is within bound, so the term rows are
+    never shuffled again."""
     spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = df.select(key, text_col).repartition(parts, key)
+    tf = terms(d, key, text_col)
+    n_docs = df.select(F.count(F.lit(1)).alias("n"))
+    dfreq = materialize(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    dside = F.broadcast(dfreq) if dfreq.count() <= MAX_BROADCAST_VOCAB else dfreq
     scored = spark.sql(
         "SELECT t.*, t.tf * ln((SELECT n FROM {n_docs}) / d.df) AS score FROM {tf} t JOIN {dfreq} d USING (term)",
-        n_docs=n_docs, tf=tf, dfreq=dfreq)
+        n_docs=n_docs, tf=tf, dfreq=dside)
     # order on the score rounded to 9 places so last-bit differences of the
     # logarithm never reorder mathematically equal scores; ties -> term
     w = Window.partitionBy(key).orderBy(F.round("score", 9).desc(), F.col("term"))
