@@ -21,14 +21,17 @@ from pressmill.functions import text as tx
 
 
 def scatter(articles: DataFrame, key: str = "id", lang_col: str = "source_language") -> DataFrame:
-    """(key, source, field, part_no, text) for title and body parts."""
+    """(key, source, field, part_no, text) for the non-blank title and body
+    parts; ``part_no`` is the position among all parts."""
     fields = F.array(
         F.struct(F.lit("title").alias("field"), tx.translation_parts(F.col("title")).alias("parts")),
         F.struct(F.lit("body").alias("field"), tx.translation_parts(F.col("body")).alias("parts")),
     )
     f = articles.select(F.col(key), F.col(lang_col).alias("source"), F.explode(fields).alias("f"))
-    return f.select(key, "source", F.col("f.field").alias("field"),
-                    F.posexplode(F.col("f.parts")).alias("part_no", "text"))
+    parts = f.select(key, "source", F.col("f.field").alias("field"),
+                     F.posexplode(F.col("f.parts")).alias("part_no", "text"))
+    # blank parts (an over-long first sentence, the closing tail) carry no text
+    return parts.filter(F.length(F.trim(F.col("text"))) > 0)
 
 
 def lookup(parts: DataFrame, memory: DataFrame) -> DataFrame:

@@ -439,13 +439,16 @@ good AS (SELECT a.* FROM articles a WHERE a.id IN (SELECT doc_id FROM labels WHE
 {O.parts_cte('mtp', 'good', 'id', 'title', ', source_language')},
 {O.parts_cte('mbp', 'good', 'id', 'body', ', source_language')},
 memory AS (
-    SELECT DISTINCT source_language AS source, unnest(parts) AS text FROM mtp
-    UNION SELECT DISTINCT source_language, unnest(parts) FROM mbp),
+    SELECT * FROM (SELECT DISTINCT source_language AS source, unnest(parts) AS text FROM mtp
+                   UNION SELECT DISTINCT source_language, unnest(parts) FROM mbp)
+    WHERE trim(text) <> ''),
 scat AS (
-    SELECT id, source_language AS source, 'title' AS field, generate_subscripts(parts, 1) AS part_no,
-           unnest(parts) AS text FROM tp
-    UNION ALL
-    SELECT id, source_language, 'body', generate_subscripts(parts, 1), unnest(parts) FROM bp),
+    SELECT * FROM (
+        SELECT id, source_language AS source, 'title' AS field, generate_subscripts(parts, 1) AS part_no,
+               unnest(parts) AS text FROM tp
+        UNION ALL
+        SELECT id, source_language, 'body', generate_subscripts(parts, 1), unnest(parts) FROM bp)
+    WHERE trim(text) <> ''),
 looked AS (
     SELECT s.id, s.field, s.part_no,
            coalesce(CASE WHEN m.text IS NOT NULL THEN '[' || m.source || '>en] ' || m.text END, '') AS tr
