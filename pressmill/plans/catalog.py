@@ -27,7 +27,7 @@ def query(name: str, oracle: str | None = None):
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ensure_conf(spark)
-            return fn(spark, sf_dir)
+            return _widen_ints(fn(spark, sf_dir))
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
@@ -37,6 +37,14 @@ def query(name: str, oracle: str | None = None):
     return wrap
 
 
+def _widen_ints(df: DataFrame) -> DataFrame:
+    """Integer outputs are BIGINT (the SQL checks produce BIGINT counts/lengths)."""
+    small = {"int", "smallint", "tinyint"}
+    if not any(t in small for _, t in df.dtypes):
+        return df
+    return df.select(*[F.col(c).cast("bigint").alias(c) if t in small else F.col(c) for c, t in df.dtypes])
+
+
 def _ts_text(c):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
@@ -65,7 +73,7 @@ def page_articles(spark, sf_dir):
 
 @query("trash_matches", f"""
 WITH {O.PAGE_ARTICLES_CTE}
-SELECT a.page_id, r.id AS rule_id
+SELECT a.page_id, CAST(r.id AS BIGINT) AS rule_id
 FROM page_art a, {O.rules_values()}
 WHERE length(a.body) > 0
   AND (a.article_url IS NULL OR coalesce(regexp_matches(a.article_url, r.url), false))
@@ -479,14 +487,16 @@ def translate_gather(spark, sf_dir):
 # ---------------------------------------------------------------------------
 @query("keywords_topk", f"""
 WITH {O.keywords_cte('kw', 'documents', 'doc_id', 'text', 50)}
-SELECT doc_id, term, round(score, 6) AS score, rank FROM kw
+SELECT doc_id, term, CAST(round(score, 6) AS DECIMAL(18, 6)) AS score, rank FROM kw
 """)
 def keywords_topk(spark, sf_dir):
     """A5: the 50 best TF-IDF keywords of every document."""
     from pressmill.operators import enrich
     docs = read_table(spark, sf_dir, "documents")
     kw = enrich.keywords(docs.select("doc_id", "text"), "doc_id", "text", 50)
-    return kw.select("doc_id", "term", F.round("score", 6).alias("score"), "rank")
+    # exact decimal output: the compared value never depends on last-bit rounding
+    return kw.select("doc_id", "term", F.round("score", 6).cast("decimal(18,6)").alias("score"),
+                     F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("locations", """
@@ -561,7 +571,7 @@ def article_tags(spark, sf_dir):
 WITH {O.ARTICLES_CTE},
 gate AS (SELECT id, body FROM articles WHERE translated AND NOT processed),
 {O.keywords_cte('kw', 'gate', 'id', 'body', 10)}
-SELECT g.id, coalesce(string_agg(kw.term, ',' ORDER BY kw.rank), '') AS keywords, 0 AS n_locations,
+SELECT g.id, coalesce(string_agg(kw.term, ',' ORDER BY kw.rank), '') AS keywords, CAST(0 AS BIGINT) AS n_locations,
        true AS processed
 FROM gate g LEFT JOIN kw USING (id) GROUP BY g.id
 """)
@@ -616,7 +626,7 @@ def next_schedule(spark, sf_dir):
 @query("search_work", f"""
 WITH {O.SEARCHES_CTE}, due AS (SELECT * FROM searches WHERE {_DUE_SQL})
 SELECT id AS search_pk, 'engine' AS kind, query AS target, unnest(string_split(source, ', ')) AS engine,
-       search_depth AS depth
+       CAST(search_depth AS BIGINT) AS depth
 FROM due WHERE search_type IN ('search_engine', 'simple_search')
 UNION ALL SELECT id, 'rss', rss_link, NULL, NULL FROM due WHERE search_type = 'rss'
 UNION ALL SELECT id, 'url', article_url, NULL, NULL FROM due WHERE search_type = 'article'
@@ -647,7 +657,7 @@ p AS (SELECT *, unnest(CASE WHEN paging = 'paged' THEN CASE WHEN d > 0 THEN rang
                             WHEN paging = 'single' THEN CASE WHEN d > 0 THEN [0] ELSE [] END
                             ELSE [0] END) AS page FROM j)
 SELECT search_pk, engine, page, CASE WHEN paging = 'paged' THEN base + step * page END AS start,
-       CASE WHEN paging = 'single' THEN step * d END AS size, target AS q, exact_terms
+       CAST(CASE WHEN paging = 'single' THEN step * d END AS BIGINT) AS size, target AS q, exact_terms
 FROM p
 """)
 def request_plan(spark, sf_dir):
@@ -731,7 +741,7 @@ SELECT id, position // 50 AS batch_id,
                 'body': body, 'translated_body': CASE WHEN translated THEN body END,
                 'post_date_crawled': {O.ts_text('post_date_crawled')}, 'translated': translated,
                 'processed': processed, 'search_id': search_id, 'channel': s_channel, 'status': st,
-                'tags': []::STRUCT(name VARCHAR)[]}}) AS payload
+                'tags': []::STRUCT(name VARCHAR)[]}})::VARCHAR AS payload
 FROM sel
 """)
 def export_payload(spark, sf_dir):
@@ -887,7 +897,7 @@ def cse_results(spark, sf_dir):
 
 
 @query("social_posts", f"""
-SELECT conv_id, turn, 0 AS item_no, 'https://social.example.org/' || conv_id || '/' || turn AS article_url,
+SELECT conv_id, turn, CAST(0 AS BIGINT) AS item_no, 'https://social.example.org/' || conv_id || '/' || turn AS article_url,
        role || ' - @user' || conv_id AS title, {O.strip('text')} AS body
 FROM conversations WHERE role <> 'system'
 """)
@@ -937,7 +947,7 @@ def xml_totals(spark, sf_dir):
 
 @query("xml_errors", f"""
 WITH {O.NAV_CTE}
-SELECT page_id, 15 AS code, 'Sorry, there are no results for this search' AS description
+SELECT page_id, CAST(15 AS BIGINT) AS code, 'Sorry, there are no results for this search' AS description
 FROM nav WHERE contains(url, '#')
 """)
 def xml_errors(spark, sf_dir):
@@ -1047,7 +1057,7 @@ def stream_url_dedup(spark, sf_dir):
 WITH v AS (SELECT time_bucket(INTERVAL 2 MINUTE, ts) AS window_start, user_id,
                   CAST(floor(value * 100) AS BIGINT) AS volume FROM events),
 wm AS (SELECT max(ts) - INTERVAL 10 MINUTE AS watermark FROM events)
-SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, user_id, sum(volume) AS volume,
+SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, user_id, CAST(sum(volume) AS BIGINT) AS volume,
        count(*) AS calls, sum(volume) > 2000 AS over_limit
 FROM v, wm WHERE window_start + INTERVAL 2 MINUTE <= wm.watermark
 GROUP BY window_start, user_id

@@ -120,7 +120,7 @@ searches AS (
            'topic ' || first_type AS query,
            {sql_list(SOURCE_LISTS)}[(user_id % {len(SOURCE_LISTS)}) + 1] AS source,
            {sql_list(CHANNELS)}[(user_id % 7) + 1] AS channel,
-           CAST(user_id % 13 AS INTEGER) AS search_depth,
+           CAST(user_id % 13 AS BIGINT) AS search_depth,
            (user_id % 11) <> 10 AS active,
            {sql_list(PERIOD_CHOICES)}[((user_id // 5) % 5) + 1] AS period,
            last_view AS last_processed,
