@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pressmill.functions import text as tx
 from pressmill.operators import extract, lang, triage
+from pressmill.session import materialize
 
 
 def build_articles(responses: DataFrame, rules: DataFrame, profile: DataFrame, prior: DataFrame,
@@ -23,6 +24,9 @@ def build_articles(responses: DataFrame, rules: DataFrame, profile: DataFrame, p
     arts = extract.page_articles(responses, candidates, density_fallback=True)
     meta = extract.article_meta(extract.harvest_tags(extract.successful(responses), key_cols=(key,)))
     arts = arts.join(meta.select(key, "authors", "post_date_created", "post_ts", "top_image_url"), key, "left")
+    # the extracted rows (HTML gone) feed several branches below: cut the
+    # lineage once so the Python harvest never runs again for them
+    arts = materialize(arts)
     det = lang.detect(arts.select(key, tx.untag(F.col("body")).alias("_t")), profile, prior, key, "_t",
                       out="source_language")
     arts = (arts.join(det, key, "left")

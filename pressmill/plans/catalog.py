@@ -522,7 +522,9 @@ def locations(spark, sf_dir):
 def _kw5(spark, sf_dir):
     from pressmill.operators import enrich
     docs = read_table(spark, sf_dir, "documents")
-    return enrich.keywords(docs.select("doc_id", "text", "lang"), "doc_id", "text", 5), docs
+    from pressmill.session import materialize
+    # top-5 keyword rows feed several branches (existing / incoming tags): computed once
+    return materialize(enrich.keywords(docs.select("doc_id", "text", "lang"), "doc_id", "text", 5)), docs
 
 
 _KW5 = f"""{O.keywords_cte('kw', 'documents', 'doc_id', 'text', 5)},
