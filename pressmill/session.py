@@ -47,10 +47,37 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_conf(spark: SparkSession) -> None:
-    """Pin the settings results depend on (zone, ANSI)."""
+    """Pin the settings results depend on (zone, ANSI) and make the package
+    importable by the Python workers."""
     for k, v in RESULT_CONF.items():
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
+    ship_package(spark)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Distribute this package to the executors' Python workers (once per
+    SparkContext): functions run by mapInPandas / applyInPandasWithState are
+    unpickled there and import ``pressmill``."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import zipfile
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="pressmill-pkg-"), "pressmill.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
