@@ -1074,25 +1074,15 @@ def stream_quota_windows(spark, sf_dir):
 
 @query("stream_email_links", f"""
 SELECT event_id AS message_id, user_id AS search_pk, 'https://mail.example.org/' || event_id AS target
-FROM events WHERE user_id % 5 = 4 AND event_type = 'click'
+FROM events WHERE user_id IN {O.EMAIL_USERS_SQL} AND event_type = 'click'
 UNION ALL
 SELECT event_id, user_id, 'https://mail.example.org/' || event_id || '/k' || json_extract_string(props, '$.k')
-FROM events WHERE user_id % 5 = 4 AND event_type = 'click'
+FROM events WHERE user_id IN {O.EMAIL_USERS_SQL} AND event_type = 'click'
 """)
 def stream_email_links(spark, sf_dir):
     """M4 (+F4): mailbox links of arriving email searches, queued at once."""
     from pressmill.streaming import jobs
-    ev = _stream(spark, sf_dir, "events")
-    u = F.col("user_id")
-    stype = F.element_at(F.array(*[F.lit(t) for t in __import__("pressmill.schemas", fromlist=["x"]).SEARCH_TYPES]),
-                         (F.pmod(u, F.lit(5)) + 1).cast("int"))
-    base = F.concat(F.lit("https://mail.example.org/"), F.col("event_id").cast("string"))
-    doc = F.to_json(F.create_map(
-        F.lit("inbox"), F.struct(F.array(base).alias("links")),
-        F.lit("digest"), F.struct(F.array(F.concat(base, F.lit("/k"), F.get_json_object("props", "$.k"))).alias("links"))))
-    rows = (ev.filter((stype == "email") & F.col("event_type").isin("click", "error"))
-            .select(F.col("event_id").alias("message_id"), u.alias("search_pk"),
-                    F.when(F.col("event_type") == "click", doc).alias("email_links")))
+    rows = derive.email_searches(spark, sf_dir, events=_stream(spark, sf_dir, "events"))
     return jobs.email_links(spark, rows).select("message_id", "search_pk", "target")
 
 

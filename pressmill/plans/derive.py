@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressmill.schemas import CHANNELS, SEARCH_TYPES, TRASH_FILTERS
+from pressmill.schemas import CHANNELS, TRASH_FILTERS
 from pressmill.session import read_table
 
 # Trash rules used by the shipped queries (id, url regex, text regex, max length).
@@ -36,6 +36,9 @@ SOURCE_LISTS = [
     "google_blogs, google", "yandex", "google_cse, bing, social", "altavista, google",
 ]
 PERIOD_CHOICES = ["hourly", "daily", "weekly", "monthly", "yearly"]
+# a saved search's type follows its user's first event
+TYPE_BY_FIRST_EVENT = [("signup", "simple_search"), ("view", "search_engine"), ("click", "rss"),
+                       ("purchase", "article"), ("error", "email")]
 # scheduler clock for the shipped queries (events span January 2024)
 NOW = "2024-01-31 00:00:00"
 CRAWL_EPOCH = "2016-09-28 00:00:00"
@@ -80,7 +83,7 @@ def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min_by("event_type", "event_id").alias("first_type"),
     )
     u = F.col("user_id")
-    stype = F.element_at(_lit_array(SEARCH_TYPES), (F.pmod(u, F.lit(5)) + 1).cast("int"))
+    stype = search_type_of(F.col("first_type"))
     source = F.element_at(_lit_array(SOURCE_LISTS), (F.pmod(u, F.lit(len(SOURCE_LISTS))) + 1).cast("int"))
     return users.select(
         u.alias("id"),
@@ -102,21 +105,35 @@ def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def email_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def search_type_of(first_event_type):
+    c = F.lit(None).cast("string")
+    for ev, t in reversed(TYPE_BY_FIRST_EVENT):
+        c = F.when(first_event_type == ev, F.lit(t)).otherwise(c)
+    return c
+
+
+def first_event_types(events: DataFrame) -> DataFrame:
+    """(user_id, first_type): the type of each user's first event (map-side combined)."""
+    return events.groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("first_type"))
+
+
+def email_searches(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Email searches as they arrive: one row per mail event of a user whose
     saved search is of type 'email', carrying the store's JSON column
     ``{"inbox": {"links": [...]}, "digest": {"links": [...]}}``. Every row is
     bounded (two links per message); 'error' events arrive without links."""
-    ev = read_table(spark, sf_dir, "events")
+    users = first_event_types(read_table(spark, sf_dir, "events"))
+    email_users = users.filter(search_type_of(F.col("first_type")) == "email").select("user_id")
+    ev = events if events is not None else read_table(spark, sf_dir, "events")
     u = F.col("user_id")
-    stype = F.element_at(_lit_array(SEARCH_TYPES), (F.pmod(u, F.lit(5)) + 1).cast("int"))
     base = F.concat(F.lit("https://mail.example.org/"), F.col("event_id").cast("string"))
     k = F.get_json_object(F.col("props"), "$.k")
     doc = F.to_json(F.create_map(
         F.lit("inbox"), F.struct(F.array(base).alias("links")),
         F.lit("digest"), F.struct(F.array(F.concat(base, F.lit("/k"), k)).alias("links")),
     ))
-    return (ev.filter((stype == "email") & F.col("event_type").isin("click", "error"))
+    # users are one row each: the email users join as a broadcastable side
+    return (ev.filter(F.col("event_type").isin("click", "error")).join(email_users, "user_id", "left_semi")
             .select(F.col("event_id").alias("message_id"), u.alias("search_pk"),
                     F.when(F.col("event_type") == "click", doc).alias("email_links")))
 

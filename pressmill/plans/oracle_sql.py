@@ -8,8 +8,8 @@ test corpus carries only ASCII whitespace).
 
 from __future__ import annotations
 
-from pressmill.plans.derive import CRAWL_EPOCH, PERIOD_CHOICES, SOURCE_LISTS, TRASH_RULES
-from pressmill.schemas import CHANNELS, SEARCH_TYPES
+from pressmill.plans.derive import CRAWL_EPOCH, PERIOD_CHOICES, SOURCE_LISTS, TRASH_RULES, TYPE_BY_FIRST_EVENT
+from pressmill.schemas import CHANNELS
 
 
 def q(s: str) -> str:
@@ -103,6 +103,9 @@ articles AS (
     FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
 """
 
+SEARCH_TYPE_SQL = "(CASE first_type " + " ".join(f"WHEN '{e}' THEN '{t}'" for e, t in TYPE_BY_FIRST_EVENT) + " END)"
+EMAIL_USERS_SQL = f"(SELECT user_id FROM events GROUP BY user_id HAVING arg_min(event_type, event_id) = 'error')"
+
 SEARCHES_CTE = f"""
 search_users AS (
     SELECT user_id,
@@ -112,10 +115,10 @@ search_users AS (
 searches AS (
     SELECT user_id AS id,
            'search-' || user_id AS search_id,
-           {sql_list(SEARCH_TYPES)}[(user_id % 5) + 1] AS search_type,
-           CASE WHEN {sql_list(SEARCH_TYPES)}[(user_id % 5) + 1] = 'article'
+           {SEARCH_TYPE_SQL} AS search_type,
+           CASE WHEN {SEARCH_TYPE_SQL} = 'article'
                 THEN 'https://news.example.org/item/' || user_id END AS article_url,
-           CASE WHEN {sql_list(SEARCH_TYPES)}[(user_id % 5) + 1] = 'rss'
+           CASE WHEN {SEARCH_TYPE_SQL} = 'rss'
                 THEN 'https://feeds.example.org/' || user_id || '.xml' END AS rss_link,
            'topic ' || first_type AS query,
            {sql_list(SOURCE_LISTS)}[(user_id % {len(SOURCE_LISTS)}) + 1] AS source,
