@@ -36,6 +36,10 @@ SOURCE_LISTS = [
     "google_blogs, google", "yandex", "google_cse, bing, social", "altavista, google",
 ]
 PERIOD_CHOICES = ["hourly", "daily", "weekly", "monthly", "yearly"]
+# a saved search's period follows the type of its user's highest-value event;
+# it is inactive when the user's latest event is an error
+PERIOD_BY_TOP_EVENT = [("signup", "hourly"), ("view", "daily"), ("click", "weekly"), ("purchase", "monthly"),
+                       ("error", "yearly")]
 # a saved search's type follows its user's first event
 TYPE_BY_FIRST_EVENT = [("signup", "simple_search"), ("view", "search_engine"), ("click", "rss"),
                        ("purchase", "article"), ("error", "email")]
@@ -81,6 +85,8 @@ def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = ev.groupBy("user_id").agg(
         F.max(F.when(F.col("event_type") == "view", F.col("ts"))).alias("last_view"),
         F.min_by("event_type", "event_id").alias("first_type"),
+        F.max_by("event_type", "event_id").alias("last_type"),
+        F.max_by("event_type", F.struct("value", "event_id")).alias("top_type"),
     )
     u = F.col("user_id")
     stype = search_type_of(F.col("first_type"))
@@ -95,8 +101,8 @@ def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
         source.alias("source"),
         F.element_at(_lit_array(CHANNELS), (F.pmod(u, F.lit(7)) + 1).cast("int")).alias("channel"),
         F.pmod(u, F.lit(13)).cast("int").alias("search_depth"),
-        (F.pmod(u, F.lit(11)) != 10).alias("active"),
-        F.element_at(_lit_array(PERIOD_CHOICES), (F.pmod(F.floor(u / 5), F.lit(5)) + 1).cast("int")).alias("period"),
+        (F.col("last_type") != "error").alias("active"),
+        period_of(F.col("top_type")).alias("period"),
         F.col("last_view").cast("timestamp").alias("last_processed"),
         F.when(F.pmod(u, F.lit(4)) == 0, F.concat(F.lit("10.0.0."), u)).alias("response_address"),
         F.when(source.contains("google_cse"),
@@ -112,6 +118,13 @@ def search_type_of(first_event_type):
     return c
 
 
+def period_of(top_event_type):
+    c = F.lit(None).cast("string")
+    for ev, p in reversed(PERIOD_BY_TOP_EVENT):
+        c = F.when(top_event_type == ev, F.lit(p)).otherwise(c)
+    return c
+
+
 def first_event_types(events: DataFrame) -> DataFrame:
     """(user_id, first_type): the type of each user's first event (map-side combined)."""
     return events.groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("first_type"))

@@ -8,7 +8,7 @@ test corpus carries only ASCII whitespace).
 
 from __future__ import annotations
 
-from pressmill.plans.derive import CRAWL_EPOCH, PERIOD_CHOICES, SOURCE_LISTS, TRASH_RULES, TYPE_BY_FIRST_EVENT
+from pressmill.plans.derive import CRAWL_EPOCH, PERIOD_BY_TOP_EVENT, SOURCE_LISTS, TRASH_RULES, TYPE_BY_FIRST_EVENT
 from pressmill.schemas import CHANNELS
 
 
@@ -104,13 +104,16 @@ articles AS (
 """
 
 SEARCH_TYPE_SQL = "(CASE first_type " + " ".join(f"WHEN '{e}' THEN '{t}'" for e, t in TYPE_BY_FIRST_EVENT) + " END)"
+PERIOD_SQL = "(CASE top_type " + " ".join(f"WHEN '{e}' THEN '{p}'" for e, p in PERIOD_BY_TOP_EVENT) + " END)"
 EMAIL_USERS_SQL = f"(SELECT user_id FROM events GROUP BY user_id HAVING arg_min(event_type, event_id) = 'error')"
 
 SEARCHES_CTE = f"""
 search_users AS (
     SELECT user_id,
            max(CASE WHEN event_type = 'view' THEN ts END) AS last_view,
-           arg_min(event_type, event_id) AS first_type
+           arg_min(event_type, event_id) AS first_type,
+           arg_max(event_type, event_id) AS last_type,
+           arg_max(event_type, (value, event_id)) AS top_type
     FROM events GROUP BY user_id),
 searches AS (
     SELECT user_id AS id,
@@ -124,8 +127,8 @@ searches AS (
            {sql_list(SOURCE_LISTS)}[(user_id % {len(SOURCE_LISTS)}) + 1] AS source,
            {sql_list(CHANNELS)}[(user_id % 7) + 1] AS channel,
            CAST(user_id % 13 AS BIGINT) AS search_depth,
-           (user_id % 11) <> 10 AS active,
-           {sql_list(PERIOD_CHOICES)}[((user_id // 5) % 5) + 1] AS period,
+           last_type <> 'error' AS active,
+           {PERIOD_SQL} AS period,
            last_view AS last_processed,
            CASE WHEN user_id % 4 = 0 THEN '10.0.0.' || user_id END AS response_address,
            CASE WHEN contains({sql_list(SOURCE_LISTS)}[(user_id % {len(SOURCE_LISTS)}) + 1], 'google_cse')
