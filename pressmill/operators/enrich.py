@@ -41,9 +41,11 @@ def keywords(df: DataFrame, key: str = "id", text_col: str = "body", k: int = 50
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = df.select(key, text_col).repartition(parts, key)
-    tf = terms(d, key, text_col)
+    # term counts are checkpointed once: document frequencies and scoring both
+    # read them (the checkpoint keeps the by-key partitioning the window reuses)
+    tf = materialize(terms(d, key, text_col))
     n_docs = df.select(F.count(F.lit(1)).alias("n"))
-    dfreq = materialize(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     dside = F.broadcast(dfreq) if dfreq.count() <= MAX_BROADCAST_VOCAB else dfreq
     scored = spark.sql(
         "SELECT t.*, t.tf * ln((SELECT n FROM {n_docs}) / d.df) AS score FROM {tf} t JOIN {dfreq} d USING (term)",
