@@ -1192,16 +1192,33 @@ def article_assembly(spark, sf_dir):
                     "post_date_created", "top_image_url", "source_language", "translated", "status")
 
 
-@query("stream_due")
+_PERIOD_INTERVAL = ("CASE t.period WHEN 'hourly' THEN INTERVAL 1 HOUR WHEN 'daily' THEN INTERVAL 1 DAY "
+                    "WHEN 'weekly' THEN INTERVAL 7 DAY ELSE INTERVAL 30 DAY END")
+
+
+@query("stream_due", f"""
+WITH RECURSIVE {O.SEARCHES_CTE},
+t AS (
+    SELECT e.user_id AS search_pk, e.event_id AS tick_id, e.ts AS tick_ts, s.period,
+           row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS rn
+    FROM events e LEFT JOIN searches s ON s.id = e.user_id),
+g(search_pk, rn, tick_id, last_due, due) AS (
+    SELECT search_pk, rn, tick_id, tick_ts, true FROM t WHERE rn = 1
+    UNION ALL
+    SELECT t.search_pk, t.rn, t.tick_id,
+           CASE WHEN t.tick_ts - g.last_due > {_PERIOD_INTERVAL} THEN t.tick_ts ELSE g.last_due END,
+           t.tick_ts - g.last_due > {_PERIOD_INTERVAL}
+    FROM g JOIN t ON t.search_pk = g.search_pk AND t.rn = g.rn + 1)
+SELECT search_pk, tick_id, due FROM g
+""")
 def stream_due(spark, sf_dir):
     """M1 + M6: every event is a scheduler tick for its user's saved search;
-    a stateful stream keeps each search's last run and marks the due ticks.
-    No SQL form (the state recurses); checked against a plain-Python replay
-    in tests."""
+    a stateful stream keeps each search's last run and marks the due ticks
+    (checked against a recursive SQL walk, and a plain-Python replay in tests)."""
     from pressmill.streaming import jobs
     ev = _stream(spark, sf_dir, "events")
     periods = derive.searches(spark, sf_dir).select(F.col("id").alias("search_pk"), "period")
     ticks = (ev.select(F.col("user_id").alias("search_pk"), F.col("event_id").alias("tick_id"),
                        F.col("ts").cast("timestamp").alias("tick_ts"))
              .join(periods, "search_pk", "left"))
-    return jobs.due_gate(spark, ticks).select("search_pk", "tick_id", "tick_ts", "due")
+    return jobs.due_gate(spark, ticks).select("search_pk", "tick_id", "due")
