@@ -109,7 +109,11 @@ def sanitize_utf8(x) -> Column:
 
 
 def decode_payload(payload_bytes, charset) -> Column:
-    """Bytes to text; ISO-8859-1 or unknown declarations are read as UTF-8."""
+    """Bytes to text in the declared charset; ISO-8859-1, missing and
+    unknown declarations are read as UTF-8 (the parser sniffs the bytes)."""
     cs = F.upper(F.coalesce(_c(charset), F.lit("UTF-8")))
-    use_utf8 = cs.isin("ISO-8859-1", "LATIN1", "") | ~cs.isin("UTF-8", "US-ASCII", "UTF-16", "UTF-16BE", "UTF-16LE")
-    return F.when(use_utf8, F.decode(_c(payload_bytes), "UTF-8")).otherwise(F.decode(_c(payload_bytes), cs))
+    b = _c(payload_bytes)
+    out = F.decode(b, "UTF-8")
+    for name in ("US-ASCII", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32"):
+        out = F.when(cs == name, F.decode(b, name)).otherwise(out)
+    return out
