@@ -1,25 +1,25 @@
 """Sources on the reference's golden payloads (read-only sample files) and on inline pages."""
 
-import os
-
 import pytest
 from pyspark.sql import functions as F
 
 from pressmill.sources import feeds
 from pressmill.sources import html_results as hr
-from tests.conftest import REFERENCE_SAMPLES
+from tests.conftest import golden
+
 
-needs_samples = pytest.mark.skipif(not os.path.isdir(REFERENCE_SAMPLES), reason="golden samples not present")
+def needs(kind):
+    return pytest.mark.skipif(golden(kind) is None, reason=f"no golden {kind} payload found")
 
 
-def _payload(spark, name):
-    return spark.read.text(f"{REFERENCE_SAMPLES}/{name}", wholetext=True).select(
-        F.lit(name).alias("request"), F.col("value").alias("payload"))
+def _payload(spark, kind):
+    return spark.read.text(golden(kind), wholetext=True).select(
+        F.lit(kind).alias("request"), F.col("value").alias("payload"))
 
 
-@needs_samples
+@needs("rss")
 def test_rss_golden(spark):
-    rows = feeds.parse_rss(_payload(spark, "rss.xml")).orderBy("item_no").collect()
+    rows = feeds.parse_rss(_payload(spark, "rss")).orderBy("item_no").collect()
     assert len(rows) == 9
     first = rows[0]
     assert first["article_url"] == "http://www.oie.int/wahis_2/public/wahid.php/Reviewreport/Review?reportid=23744"
@@ -28,22 +28,22 @@ def test_rss_golden(spark):
     assert first["post_date_created"] == "2017-05-17 16:36:27"     # 17:36:27 +0100 in UTC
 
 
-@needs_samples
+@needs("rss")
 def test_rss_file_source(spark):
-    rows = feeds.read_rss_files(spark, f"{REFERENCE_SAMPLES}/rss.xml").collect()
+    rows = feeds.read_rss_files(spark, golden("rss")).collect()
     assert len(rows) == 9 and rows[0]["title"] == "Niger : Anthrax"
 
 
-@needs_samples
+@needs("json_results")
 def test_cse_golden(spark):
-    rows = feeds.parse_cse(_payload(spark, "google_cse.json"), request="request").collect()
+    rows = feeds.parse_cse(_payload(spark, "json_results"), request="request").collect()
     assert len(rows) == 10
     assert all(r["article_url"] for r in rows)
 
 
-@needs_samples
+@needs("json_posts")
 def test_social_golden(spark):
-    posts, errors = feeds.parse_social(_payload(spark, "social.json"))
+    posts, errors = feeds.parse_social(_payload(spark, "json_posts"))
     rows = posts.orderBy("item_no").collect()
     assert len(rows) == 10 and errors.count() == 0
     assert rows[0]["article_url"] == "http://twitter.com/Infern_arny/statuses/854307064516161536"
@@ -51,9 +51,9 @@ def test_social_golden(spark):
     assert len(rows[0]["body"]) > 0
 
 
-@needs_samples
+@needs("xml_search")
 def test_xml_golden(spark):
-    items, totals, errors = feeds.parse_xml_search(_payload(spark, "yandex.xml"))
+    items, totals, errors = feeds.parse_xml_search(_payload(spark, "xml_search"))
     rows = items.orderBy("item_no").collect()
     assert len(rows) == 10 and errors.count() == 0
     assert rows[0]["article_url"] == "https://yandex.ru/"
