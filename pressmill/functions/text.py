@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 
 from pressmill.schemas import SENTENCES_PER_PARAGRAPH, TRANSLATE_THRESHOLD
 
-# Unicode-aware whitespace class (plain \s is ASCII-only in Java regex)
-_WS = r"(?U)\s"
-
-
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
