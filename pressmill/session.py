@@ -62,7 +62,10 @@ def ship_package(spark: SparkSession) -> None:
     """Distribute this package to the executors' Python workers (once per
     SparkContext): functions run by mapInPandas / applyInPandasWithState are
     unpickled there and import ``pressmill``."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - a Connect session ships code with addArtifacts instead
+        return
     key = sc.applicationId
     if key in _SHIPPED:
         return
@@ -113,10 +116,12 @@ def spread(df):
     Large inputs arrive as many files/row groups and pass through untouched;
     a small input stored as one row group would otherwise run all its
     CPU-heavy text work in a single task."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD API (e.g. a Connect session): leave the layout alone
+        return df
+    return df.repartition(slots) if parts < slots else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str):
