@@ -1,16 +1,20 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-A pre-token is a doubly linked list of byte spans. Every adjacent pair whose
-joined bytes are in the vocabulary waits, by its left span's position, in the
-bucket of its rank. A bitmap over the ranks, in words of 256 bits under one
-top word, tells by find-first-set which bucket is next; a bucket gives its
-leftmost position first. Merging a pair only writes the links and queues the
-two new pairs beside it: entries that a merge has made untrue stay where they
-are and are skipped when they come up. A pre-token of n bytes thus costs
-O(n log n), which matters for runs of thousands of bytes without a break.
-
-The split pattern and the vocabulary file are parameters. Ids of pre-tokens are
-remembered per worker in a table of bounded size.
+The bytes of many pre-tokens form one doubly linked list of spans, with no links
+across pre-tokens. Every adjacent pair whose joined bytes are in the
+vocabulary waits, by its left span's position, in the bucket of its rank. A
+bitmap over the ranks, in words of 256 bits under one top word, tells by
+find-first-set which bucket is next; its positions are merged from left to right.
+A merge only writes the links and queues the two new pairs beside it: entries
+that it makes untrue stay where they are and are skipped when they come up. If
+a new pair has a lower rank than the bucket at work, the rest of the bucket waits
+until that pair is done. Each pre-token therefore sees its own merges
+lowest rank first, and one of n bytes costs O(n log n), which matters for
+runs of thousands of bytes without a break.
+
+The split pattern and the vocabulary file are parameters. Ids of pre-tokens, and
+of whole blank-separated units, are remembered per worker in tables of bounded
+size, so only what a worker has not seen yet goes through the queue.
 
 Defined results: a null text is an empty text; an empty text has no tokens;
 marks of special tokens in a text are ordinary text.
@@ -20,10 +24,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+import re
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -33,65 +38,35 @@ from pyspark.sql import functions as F
 from pressmill.llm.common import prepare, read
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: Pre-tokens remembered per worker.
-MEMORY = 600_000
-#: Only pre-tokens up to this many characters are worth remembering.
+#: Pre-tokens, and blank-separated units, remembered per worker.
+MEMORY = 500_000
+#: Longer ones are forgotten after the batch they stand in.
 MEMORY_CHARS = 64
 
-_WORD = 256
+#: Bits per word of the rank bitmap.
 _WORD_BITS = 8
-
-
-class RankQueue:
-    """Positions waiting by rank; pops the lowest rank's leftmost position."""
-
-    __slots__ = ("buckets", "words", "top")
-
-    def __init__(self):
-        self.buckets: dict[int, list[int]] = {}
-        self.words: dict[int, int] = {}
-        self.top = 0
-
-    def push(self, rank: int, pos: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heapq.heappush(bucket, pos)
-            return
-        self.buckets[rank] = [pos]
-        w = rank >> _WORD_BITS
-        self.words[w] = self.words.get(w, 0) | (1 << (rank & (_WORD - 1)))
-        self.top |= 1 << w
-
-    def pop(self) -> tuple[int, int]:
-        """(rank, position); the queue must not be empty (``top`` is not 0)."""
-        top = self.top
-        w = (top & -top).bit_length() - 1
-        word = self.words[w]
-        low = word & -word
-        rank = (w << _WORD_BITS) | (low.bit_length() - 1)
-        bucket = self.buckets[rank]
-        pos = heapq.heappop(bucket)
-        if not bucket:
-            word ^= low
-            self.words[w] = word
-            if not word:
-                self.top = top ^ (1 << w)
-        return rank, pos
+#: A blank that may not be cut before: white space or the end follows.
+_LOOSE_BLANK = re.compile(r" (?:\s|$)").search
 
 
 class ByteBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = MEMORY):
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
+        # under this pattern every blank with a visible character behind it begins a pre-token
+        self.cuts_at_blanks = pattern == public_tokenizers.PATTERN
         self.by_id = {i: b for b, i in ranks.items()}
         self.text_of = {i: str(i) for i in self.by_id}
+        self.memory = memory
+        self.tokens: dict[str, tuple[int, ...]] = {}
+        self.units: dict[str, tuple[int, ...]] = {}  # key: what follows the blank
         self.pairs: dict[int, int] = {}  # joined rank of two ids, -1 if there is none
-        self.memory, self.known = memory, {}
+        self.shift = max(ranks.values()).bit_length()
         try:
-            self.single = [ranks[bytes([b])] for b in range(256)]
+            self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         except KeyError as e:
             raise ValueError("a byte-level vocabulary has all 256 single bytes") from e
-        self.shift = max(ranks.values()).bit_length()
+        self.byte_pairs = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int64)
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBPE:
@@ -105,77 +80,151 @@ class ByteBPE:
 
     def _pair(self, key: int) -> int:
         joined = self.by_id[key >> self.shift] + self.by_id[key & ((1 << self.shift) - 1)]
-        rank = self.ranks.get(joined, -1)
-        if len(self.pairs) >= 2_000_000:
+        if len(self.pairs) >= 1_000_000:
             self.pairs.clear()
-        self.pairs[key] = rank
+        rank = self.pairs[key] = self.ranks.get(joined, -1)
         return rank
 
-    def merge(self, data: bytes) -> tuple[int, ...]:
-        """Ids of one pre-token's bytes."""
-        whole = self.ranks.get(data)
-        if whole is not None:
-            return (whole,)
-        n = len(data)
-        ids = [self.single[b] for b in data]
-        shift, pairs, pair = self.shift, self.pairs, self._pair
-        ahead = list(range(1, n + 1))
-        back = list(range(-1, n - 1))
-        queue = RankQueue()
-        push = queue.push
-        waits = [-1] * n  # the rank by which a position truly waits
-        for i in range(n - 1):
-            key = (ids[i] << shift) | ids[i + 1]
-            r = pairs.get(key)
-            if r is None:
-                r = pair(key)
-            if r >= 0:
-                waits[i] = r
-                push(r, i)
-        pop = queue.pop
-        while queue.top:
-            r, i = pop()
-            if waits[i] != r:
-                continue  # stale
-            j = ahead[i]
-            k = ahead[j]
-            ids[i] = r
-            ids[j] = -1
-            waits[j] = -1
-            ahead[i] = k
-            waits[i] = -1
-            if k < n:
-                back[k] = i
-                key = (r << shift) | ids[k]
-                s = pairs.get(key)
-                if s is None:
-                    s = pair(key)
+    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of each piece (the bytes of a pre-token; not empty)."""
+        out: list = [None] * len(pieces)
+        parts = []
+        for k, data in enumerate(pieces):
+            whole = self.ranks.get(data)
+            if whole is None:
+                parts.append(k)
+            else:
+                out[k] = (whole,)
+        if not parts:
+            return out
+        sizes = np.array([len(pieces[k]) for k in parts])
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        raw = np.frombuffer(b"".join([pieces[k] for k in parts]), np.uint8).astype(np.int64)
+        n = len(raw)
+        waits_at = np.full(n, -1, np.int64)  # the rank by which a position waits, -1 for none
+        waits_at[:-1] = self.byte_pairs[(raw[:-1] << 8) | raw[1:]]
+        waits_at[starts[1:] - 1] = -1
+        ids = self.single[raw].tolist()
+        waits = waits_at.tolist()
+        ahead_at, back_at = np.arange(1, n + 1), np.arange(-1, n - 1)
+        ahead_at[starts[1:] - 1] = -1
+        back_at[starts[:-1]] = -1
+        ahead, back = ahead_at.tolist(), back_at.tolist()
+
+        # the queue: buckets of positions, and a bitmap of the ranks that have one
+        buckets: dict[int, list[int]] = {}
+        words: dict[int, int] = {}
+        top = 0
+        queued = np.flatnonzero(waits_at >= 0)
+        queued = queued[np.argsort(waits_at[queued], kind="stable")]
+        ranks, first = np.unique(waits_at[queued], return_index=True)
+        for r, group in zip(ranks.tolist(), np.split(queued, first[1:])):
+            buckets[r] = group.tolist()
+            w = r >> _WORD_BITS
+            words[w] = words.get(w, 0) | (1 << (r & 255))
+            top |= 1 << w
+        shift, known_pair, pair = self.shift, self.pairs.get, self._pair
+        while top:
+            w = (top & -top).bit_length() - 1
+            word = words[w]
+            low = word & -word
+            r = (w << _WORD_BITS) | (low.bit_length() - 1)
+            word ^= low
+            words[w] = word
+            if not word:
+                top ^= 1 << w
+            bucket = buckets.pop(r)
+            bucket.sort()
+            for at, i in enumerate(bucket):
+                if waits[i] != r:
+                    continue  # stale
+                j = ahead[i]
+                k = ahead[j]
+                h = back[i]
+                ids[i] = r
+                ids[j] = waits[j] = -1
+                ahead[i] = k
+                s = -1
+                if k >= 0:
+                    back[k] = i
+                    key = (r << shift) | ids[k]
+                    s = known_pair(key)
+                    if s is None:
+                        s = pair(key)
+                waits[i] = lowest = s
                 if s >= 0:
-                    waits[i] = s
-                    push(s, i)
-            h = back[i]
-            if h >= 0:
-                key = (ids[h] << shift) | r
-                s = pairs.get(key)
-                if s is None:
-                    s = pair(key)
-                if s != waits[h]:
-                    waits[h] = s
-                    if s >= 0:
-                        push(s, h)
-        return tuple([t for t in ids if t >= 0])
-
-    def piece(self, token: str) -> tuple[int, ...]:
-        ids = self.merge(token.encode("utf-8"))
-        if len(token) <= MEMORY_CHARS:
-            if len(self.known) >= self.memory:
-                self.known.clear()
-            self.known[token] = ids
-        return ids
+                    if s in buckets:
+                        buckets[s].append(i)
+                    else:
+                        buckets[s] = [i]
+                        w = s >> _WORD_BITS
+                        words[w] = words.get(w, 0) | (1 << (s & 255))
+                        top |= 1 << w
+                if h >= 0:
+                    key = (ids[h] << shift) | r
+                    s = known_pair(key)
+                    if s is None:
+                        s = pair(key)
+                    if s != waits[h]:
+                        waits[h] = s
+                        if s >= 0:
+                            if s in buckets:
+                                buckets[s].append(h)
+                            else:
+                                buckets[s] = [h]
+                                w = s >> _WORD_BITS
+                                words[w] = words.get(w, 0) | (1 << (s & 255))
+                                top |= 1 << w
+                            if s < lowest or lowest < 0:
+                                lowest = s
+                if 0 <= lowest <= r and at + 1 < len(bucket):
+                    buckets.setdefault(r, []).extend(bucket[at + 1:])
+                    w = r >> _WORD_BITS
+                    words[w] = words.get(w, 0) | (1 << (r & 255))
+                    top |= 1 << w
+                    break
+
+        left = np.array(ids)
+        ends = np.cumsum(left >= 0)[starts[1:] - 1].tolist()
+        left = left[left >= 0].tolist()
+        begin = 0
+        for k, end in zip(parts, ends):
+            out[k] = tuple(left[begin:end])
+            begin = end
+        return out
+
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        tokens, units, split = self.tokens, self.units, self.split
+        for table in (tokens, units):
+            if len(table) > self.memory:
+                table.clear()
+        plans, fresh = [], set()
+        for t in texts:
+            if self.cuts_at_blanks and not _LOOSE_BLANK(t):
+                head, *rest = t.split(" ")
+                plans.append((split(head), rest))
+                fresh |= set(rest).difference(units)
+            else:
+                plans.append((split(t), ()))
+        cut = {u: split(" " + u) for u in fresh}
+        unseen = {p for head, _ in plans for p in head}
+        unseen.update(chain.from_iterable(cut.values()))
+        unseen = list(unseen.difference(tokens))
+        for p, ids in zip(unseen, self.merge([p.encode("utf-8") for p in unseen])):
+            tokens[p] = ids
+        flat, token = chain.from_iterable, tokens.__getitem__
+        for u, pieces in cut.items():
+            units[u] = token(pieces[0]) if len(pieces) == 1 else tuple(flat(map(token, pieces)))
+        unit = units.__getitem__
+        out = [[*flat(map(token, head)), *flat(map(unit, rest))] for head, rest in plans]
+        for table, new in ((tokens, unseen), (units, fresh)):
+            for x in new:
+                if len(x) > MEMORY_CHARS:
+                    del table[x]
+        return out
 
     def encode(self, text: str) -> list[int]:
-        known, piece = self.known.get, self.piece
-        return list(chain.from_iterable([known(t) or piece(t) for t in self.split(text)]))
+        return self.encode_batch([text])[0]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.by_id.__getitem__, ids))
@@ -197,7 +246,7 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches):
         bpe = coder(path, pattern)
         for b in batches:
-            ids = [bpe.encode(t or "") for t in b.column(1).to_pylist()]
+            ids = bpe.encode_batch([t or "" for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return src.mapInArrow(run, f"doc_id {id_type}, ids array<int>")
@@ -232,8 +281,7 @@ def token_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sha, decimal = hashlib.sha256, bpe.text_of.__getitem__
         for b in batches:
             sizes, left, right = [], [], []
-            for t in b.column(1).to_pylist():
-                ids = bpe.encode(t or "")
+            for ids in bpe.encode_batch([t or "" for t in b.column(1).to_pylist()]):
                 sizes.append(len(ids))
                 left.append(sha(" ".join(map(decimal, ids)).encode()).hexdigest())
                 right.append(sha(bpe.decode(ids)).hexdigest())
