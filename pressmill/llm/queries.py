@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pressmill.llm import byte_bpe, exact_dedup, sharding
+from pressmill.llm import byte_bpe, exact_dedup, packing, sharding
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op7_sharding": sharding.op7_shards,
+    "op10_packing": packing.op10_packing,
 }
 
 ORACLES = {
