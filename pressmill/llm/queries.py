@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pressmill.llm import byte_bpe, exact_dedup, language_id, packing, prefix_fingerprint, sharding
+from pressmill.llm import byte_bpe, exact_dedup, language_id, packing, prefix_fingerprint, sharding, url_filter
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
     "op2_prefix_fingerprint": prefix_fingerprint.op2_prefix_fingerprints,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op6_url_filter": url_filter.op6_url_filter,
     "op7_sharding": sharding.op7_shards,
     "op8_language_id": language_id.op8_language_id,
     "op10_packing": packing.op10_packing,
@@ -15,4 +16,5 @@ QUERIES = {
 
 ORACLES = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op6_url_filter": url_filter.OP6_SQL,
 }
