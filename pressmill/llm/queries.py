@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pressmill.llm import byte_bpe, exact_dedup, language_id, packing, prefix_fingerprint, sharding, url_filter
+from pressmill.llm import byte_bpe, exact_dedup, language_id, packing, prefix_fingerprint, quality, sharding, url_filter
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_sharding": sharding.op7_shards,
     "op8_language_id": language_id.op8_language_id,
+    "op9_quality": quality.op9_quality,
     "op10_packing": packing.op10_packing,
 }
 
