@@ -35,7 +35,7 @@ MAX_RATED = 16_000
 BUCKETS = 1 << 19
 GRADES = 3
 LEAST_GRADE = 2
-LEAST_TAIL = 0.3
+LEAST_TAIL = 0.4
 #: Weight of a shape's share, and of the repetition shares, beside a word's 1.
 SHARE_SCALE = 8.0
 
@@ -116,7 +116,7 @@ class Model:
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], grades: int = GRADES, epochs: int = 15, rate: float = 0.3,
-        decay: float = 3e-3, batch: int = 64, least_rows: int = 5, seed: int = 11) -> Model:
+        decay: float = 1e-3, batch: int = 64, least_rows: int = 5, seed: int = 11) -> Model:
     """Maximum penalised likelihood by Adagrad over shuffled batches. Thresholds are kept in order
     by fitting the first and the logarithms of the steps. ``rows``: buckets, values, grade.
     Buckets of fewer than ``least_rows`` rows keep weight 0: they would only single out their rows."""
@@ -137,7 +137,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], grades: int = GRADES, ep
     weights = np.zeros(len(used))
     norm2, pnorm2 = np.full(len(used), 1e-8), np.full(grades - 1, 1e-8)
     rng = np.random.default_rng(seed)
-    for _ in range(epochs):
+    mean, pmean, steps = np.zeros(len(used)), np.zeros(grades - 1), 0  # over the last half: steadier than the last step
+    for epoch in range(epochs):
         order = rng.permutation(len(rows))
         for lo in range(0, len(order), batch):
             pick = order[lo:lo + batch]
@@ -159,9 +160,13 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], grades: int = GRADES, ep
             pnorm2 += dparam ** 2
             weights -= rate * grad / np.sqrt(norm2)
             params -= rate * dparam / np.sqrt(pnorm2)
+            if 2 * epoch >= epochs:
+                steps += 1
+                mean += (weights - mean) / steps
+                pmean += (params - pmean) / steps
     out = np.zeros(BUCKETS, np.float32)
-    out[used] = weights
-    return Model(out, params[0] + np.concatenate([[0], np.cumsum(np.exp(params[1:]))]))
+    out[used] = mean
+    return Model(out, pmean[0] + np.concatenate([[0], np.cumsum(np.exp(pmean[1:]))]))
 
 
 def graded(labels: DataFrame) -> DataFrame:
