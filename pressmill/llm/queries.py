@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pressmill.llm import byte_bpe, exact_dedup, language_id, near_dedup, packing, prefix_fingerprint, quality, sharding, url_filter
+from pressmill.llm import byte_bpe, exact_dedup, language_id, lm_scoring, near_dedup, packing, prefix_fingerprint, quality, sharding, url_filter
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
     "op2_prefix_fingerprint": prefix_fingerprint.op2_prefix_fingerprints,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_near_dedup": near_dedup.op4_near_dedup,
+    "op5_lm_scoring": lm_scoring.op5_lm_scoring,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_sharding": sharding.op7_shards,
     "op8_language_id": language_id.op8_language_id,
