@@ -161,16 +161,22 @@ def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[floa
 
 
 def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int,
-                   gap: float = 5e-4, rounds: int = 5_000) -> tuple[np.ndarray, np.ndarray]:
+                   gap: float = 5e-4, rounds: int = 3_000, patience: int = 150) -> tuple[np.ndarray, np.ndarray]:
     """Column generation for min sum(x), patterns @ x = demand: (patterns as
-    columns, x). Stops when no pattern is worth more than a sequence, or the
-    sequences are within ``gap`` of the least that the total length allows."""
+    columns, x). Stops when no pattern is worth more than a sequence, when the
+    sequences are within ``gap`` of the least that the total length allows, or when
+    ``patience`` rounds have saved less than a hundredth of that; any basis is a plan."""
     m = len(sizes)
     least = float(demand @ sizes) / capacity
     basis = np.diag((capacity // sizes).astype(float))
     inverse = np.diag(1.0 / np.diag(basis))
     x = inverse @ demand
+    before = np.inf
     for step in range(rounds):
+        if step % patience == 0:
+            if x.sum() > before - 0.01 * gap * least:
+                break
+            before = x.sum()
         prices = inverse.sum(axis=0)  # all costs are one sequence
         value, pattern = knapsack(prices, sizes, capacity)
         if value <= 1 + 1e-6 or x.sum() <= least * (1 + gap):
@@ -184,12 +190,14 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int,
         if not np.isfinite(ratio[leave]):
             break
         basis[:, leave] = column
-        if step % 100 == 99:
-            inverse = np.linalg.inv(basis)
-        else:
-            row = inverse[leave] / way[leave]
-            inverse -= np.outer(way, row)
-            inverse[leave] = row
+        row = inverse[leave] / way[leave]
+        inverse -= np.outer(way, row)
+        inverse[leave] = row
+        if step % 100 == 99:  # rounding errors add up
+            try:
+                inverse = np.linalg.inv(basis)
+            except np.linalg.LinAlgError:
+                break
         x = np.maximum(inverse @ demand, 0.0)
     return np.rint(basis).astype(np.int64), x
 

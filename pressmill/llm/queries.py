@@ -4,6 +4,12 @@ from __future__ import annotations
 
 from pressmill.llm import byte_bpe, exact_dedup, language_id, lm_scoring, near_dedup, packing, prefix_fingerprint, quality, sharding, url_filter
 
+def pipeline(spark, sf_dir):
+    """The top-level pipeline, which is shipped beside the package."""
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
     "op2_prefix_fingerprint": prefix_fingerprint.op2_prefix_fingerprints,
@@ -15,6 +21,7 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_quality": quality.op9_quality,
     "op10_packing": packing.op10_packing,
+    "pipeline": pipeline,
 }
 
 ORACLES = {
