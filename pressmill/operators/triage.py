@@ -6,71 +6,60 @@ any rule matches:
     url matches (or the article has no url)
     AND (body is NULL or '' OR (text matches AND (length = 0 OR len(body) <= length)))
 
-This is a theta join with pattern columns. The rule table is a small admin
-table: its row count is checked before it is broadcast, and the join runs as
-a broadcast nested-loop existence join (one pass over the articles, each
-rule evaluated per article). Patterns should stay in the regex subset shared
-by Java and RE2 (no look-around, no back-references).
+The rule table is an admin-entered parameter. Its rows become literal
+conditions, so Spark compiles each pattern once and the articles are read in one
+pass, without a join. Patterns should stay in the regex subset shared by Java and
+RE2 (no look-around, no back-references).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressmill.schemas import KEEP_CHANNELS
 
-# rule tables are admin-entered; beyond this count we refuse to broadcast
-MAX_BROADCAST_RULES = 20_000
+
+def rule_list(rules: DataFrame) -> list[tuple]:
+    """(id, url pattern, text pattern, length) of every rule; NULLs match all."""
+    return [(r["id"], r["url"] if r["url"] is not None else ".", r["text"] if r["text"] is not None else ".",
+             r["length"] or 0) for r in rules.select("id", "url", "text", "length").collect()]
 
 
-def _checked_rules(rules: DataFrame) -> DataFrame:
-    n = rules.count()
-    if n > MAX_BROADCAST_RULES:
-        raise ValueError(f"trash rule table has {n} rows; at most {MAX_BROADCAST_RULES} are broadcast")
-    return F.broadcast(rules.select(
-        F.col("id").alias("rule_id"),
-        F.coalesce(F.col("url"), F.lit(".")).alias("rule_url"),
-        F.coalesce(F.col("text"), F.lit(".")).alias("rule_text"),
-        F.coalesce(F.col("length"), F.lit(0)).alias("rule_length"),
-    ))
+def rule_matches(rule: tuple, url: Column, body: Column) -> Column:
+    """Boolean test of one rule, never NULL."""
+    _, url_pattern, text_pattern, length = rule
+    url_ok = url.isNull() | F.coalesce(url.rlike(url_pattern), F.lit(False))
+    text_ok = F.coalesce(body.rlike(text_pattern), F.lit(False))
+    if length:
+        text_ok = text_ok & (F.length(body) <= length)
+    return url_ok & (body.isNull() | (body == "") | text_ok)
 
 
-def rule_matches(url: Column, body: Column) -> Column:
-    """Boolean rule test against columns ``rule_url/rule_text/rule_length``."""
-    url_ok = url.isNull() | F.coalesce(F.rlike(url, F.col("rule_url")), F.lit(False))
-    empty = body.isNull() | (body == "")
-    text_ok = F.coalesce(F.rlike(body, F.col("rule_text")), F.lit(False)) & (
-        (F.col("rule_length") == 0) | (F.length(body) <= F.col("rule_length")))
-    return url_ok & (empty | text_ok)
+def _any(conditions: list[Column]) -> Column:
+    """A balanced OR, so that many rules make no deep expression."""
+    if not conditions:
+        return F.lit(False)
+    while len(conditions) > 1:
+        conditions = [reduce(lambda a, b: a | b, conditions[i:i + 2]) for i in range(0, len(conditions), 2)]
+    return conditions[0]
 
 
 def mark_trash(articles: DataFrame, rules: DataFrame, url_col: str = "article_url",
                body_col: str = "body", out: str = "is_trash") -> DataFrame:
-    """J3 as an existence join: adds boolean ``out`` to every article.
-
-    The EXISTS subquery in the select list plans as a BroadcastNestedLoopJoin
-    ExistenceJoin: articles are streamed once, never shuffled.
-    """
-    r = _checked_rules(rules)
-    return articles.sparkSession.sql(f"""
-        SELECT a.*, EXISTS (
-            SELECT 1 FROM {{r}} r
-            WHERE (a.`{url_col}` IS NULL OR coalesce(a.`{url_col}` RLIKE r.rule_url, false))
-              AND (a.`{body_col}` IS NULL OR a.`{body_col}` = ''
-                   OR (coalesce(a.`{body_col}` RLIKE r.rule_text, false)
-                       AND (r.rule_length = 0 OR length(a.`{body_col}`) <= r.rule_length)))
-        ) AS `{out}`
-        FROM {{a}} a
-    """, a=articles, r=r)
+    """Adds boolean ``out`` (any rule matches) to every article."""
+    return articles.withColumn(out, _any([rule_matches(r, F.col(url_col), F.col(body_col)) for r in rule_list(rules)]))
 
 
 def trash_hits(articles: DataFrame, rules: DataFrame, key: str = "id", url_col: str = "article_url",
                body_col: str = "body") -> DataFrame:
     """Which rule matched which article: (key, rule_id) pairs for every match."""
-    r = _checked_rules(rules)
-    a = articles.select(F.col(key), F.col(url_col).alias("_u"), F.col(body_col).alias("_b"))
-    return a.join(r, rule_matches(F.col("_u"), F.col("_b")), "inner").select(key, "rule_id")
+    kind = rules.schema["id"].dataType
+    hits = [F.when(rule_matches(r, F.col(url_col), F.col(body_col)), F.lit(r[0]).cast(kind)) for r in rule_list(rules)]
+    found = F.array_compact(F.array(*hits)) if hits else F.array().cast(f"array<{kind.simpleString()}>")
+    return articles.select(key, found.alias("_hits")).select(key, F.explode("_hits").alias("rule_id"))
 
 
 def initial_status(is_trash: Column, channel: Column) -> Column:

@@ -31,12 +31,19 @@ def test_default_rule_does_not_match_newline_body(spark):
     assert triage.mark_trash(arts, rules).collect()[0]["is_trash"] is False
 
 
-def test_existence_join_plan_has_no_shuffle_of_articles(spark):
-    rules = spark.createDataFrame([(1, "a", ".", 0)], "id long, url string, text string, length int")
-    arts = spark.range(100).select(F.col("id"), F.concat(F.lit("http://a/"), F.col("id")).alias("article_url"),
+def test_rules_are_literal_conditions_without_a_join(spark):
+    rules = spark.createDataFrame([(i, f"a{i}", ".", i) for i in range(300)], "id long, url string, text string, length int")
+    arts = spark.range(100).select(F.col("id"), F.concat(F.lit("http://a"), F.col("id")).alias("article_url"),
                                    F.lit("body").alias("body"))
-    plan = triage.mark_trash(arts, rules)._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastNestedLoopJoin" in plan and "ExistenceJoin" in plan
+    marked = triage.mark_trash(arts, rules)
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    # rule 0 has no length limit, rules 1 to 3 are too short for the body
+    assert {r["id"] for r in marked.filter(~F.col("is_trash")).collect()} == {1, 2, 3}
+    hits = triage.trash_hits(arts, rules).filter("id = 45").collect()
+    assert {r["rule_id"] for r in hits} == {4, 45}
+    none = triage.mark_trash(arts, rules.limit(0)).filter("is_trash").count()
+    assert none == 0 and triage.trash_hits(arts, rules.limit(0)).count() == 0
 
 
 def test_status_channels_and_reset(spark):
@@ -58,4 +65,6 @@ def test_status_channels_and_reset(spark):
                               "id long, article_url string, body string, status string, channel string"),
         rules).collect()}
     assert changed == {6: "keep"}                  # raw + research resets to keep
-    assert triage.binary_to_trash(F.lit("keep"), F.lit(False)) is not None
+    binary = spark.createDataFrame([("keep", False), ("keep", True), (None, False)], "status string, html boolean")
+    got = [r[0] for r in binary.select(triage.binary_to_trash(F.col("status"), F.col("html"))).collect()]
+    assert got == ["trash", "keep", "trash"]
