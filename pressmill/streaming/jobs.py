@@ -35,9 +35,17 @@ def stream_paths(spark: SparkSession, name: str, run_id: str | None = None) -> t
 
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str, schema) -> DataFrame:
-    """A shipped table as a file stream (one file per table)."""
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    """A shipped table as a file stream, whether it is one file or a folder of
+    part files (the pattern matches the name itself, so both are listed)."""
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+            .parquet(f"{sf_dir.rstrip('/')}/{name}.parque[t]"))
+
+
+def _has_epochs(spark: SparkSession, path: str) -> bool:
+    """Whether a sink holds a finished micro-batch."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/epoch=*/_SUCCESS")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
 
 
 def _run(writer, trigger: dict | None):
@@ -62,11 +70,9 @@ def url_dedup(spark: SparkSession, events: DataFrame, store_urls: DataFrame, nam
 
     def push(batch: DataFrame, epoch: int):
         new = batch.select("article_url").dropDuplicates(["article_url"]).join(store, "article_url", "left_anti")
-        try:   # what earlier micro-batches emitted (a replay of this one rewrites it)
+        if _has_epochs(spark, sink):  # what earlier micro-batches emitted (a replay of this one rewrites it)
             seen = spark.read.parquet(sink).filter(F.col("epoch") < epoch).select("article_url")
             new = new.join(seen, "article_url", "left_anti")
-        except Exception:  # noqa: BLE001 - first batch: the sink does not exist yet
-            pass
         new.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
 
     _run(cand.writeStream.foreachBatch(push).option("checkpointLocation", ckpt), trigger)
@@ -143,13 +149,14 @@ def export(spark: SparkSession, articles: DataFrame, searches: DataFrame, name:
 
     def process(batch: DataFrame, epoch: int):
         sel = ex.export_selection(batch, searches)
-        try:   # articles pushed by earlier micro-batches
-            sel = ex.unpushed(sel, spark.read.parquet(ledger).filter(F.col("epoch") < epoch))
-        except Exception:  # noqa: BLE001 - first batch: no ledger yet
-            pass
-        if sel.isEmpty():
-            return
-        b = ex.batches(sel)
+        first = 0
+        if _has_epochs(spark, ledger):  # articles pushed by earlier micro-batches
+            pushed = spark.read.parquet(ledger).filter(F.col("epoch") < epoch)
+            sel = ex.unpushed(sel, pushed)
+            last = pushed.agg(F.max("batch_id")).first()[0]
+            first = 0 if last is None else int(last) + 1
+        # batch numbers go on from one micro-batch to the next
+        b = ex.batches(sel).withColumn("batch_id", F.col("batch_id") + F.lit(first))
         # payload and ledger partitions of this epoch are overwritten on replay
         ex.push(ex.payload(b), f"{sink}/epoch={epoch}", f"{ledger}/epoch={epoch}", pushed_at)
 
