@@ -14,8 +14,6 @@ from pressmill.functions import urls as ux
 from pressmill.session import materialize
 from pressmill.schemas import LOCATION_TYPES
 
-# gazetteers are curated place lists; beyond this count the join shuffles
-MAX_BROADCAST_PLACES = 2_000_000
 TOKEN = r"\p{L}+"
 
 
@@ -25,19 +23,14 @@ def terms(df: DataFrame, key: str, text_col: str) -> DataFrame:
     return t.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-# vocabularies up to this many terms are broadcast to the tf rows
-MAX_BROADCAST_VOCAB = 5_000_000
-
-
 def keywords(df: DataFrame, key: str = "id", text_col: str = "body", k: int = 50) -> DataFrame:
     """A5: (key, term, score, rank) for the ``k`` best TF-IDF terms of each text
     (ties broken by term).
 
     The texts are hash-partitioned by ``key`` once; term counting per
-    (key, term) and the per-text ranking then reuse that partitioning, and
-    the document frequencies (a map-side-combined count per term) are
-    broadcast when the vocabulary is within bound, so the term rows are
-    never shuffled again."""
+    (key, term) reuses that partitioning. Document frequencies (a map-side
+    combined count per term) meet the term rows in a join without a hint, since
+    the vocabulary grows with the corpus."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = df.select(key, text_col).repartition(parts, key)
@@ -46,10 +39,9 @@ def keywords(df: DataFrame, key: str = "id", text_col: str = "body", k: int = 50
     tf = materialize(terms(d, key, text_col))
     n_docs = df.select(F.count(F.lit(1)).alias("n"))
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    dside = F.broadcast(dfreq) if dfreq.count() <= MAX_BROADCAST_VOCAB else dfreq
     scored = spark.sql(
         "SELECT t.*, t.tf * ln((SELECT n FROM {n_docs}) / d.df) AS score FROM {tf} t JOIN {dfreq} d USING (term)",
-        n_docs=n_docs, tf=tf, dfreq=dside)
+        n_docs=n_docs, tf=tf, dfreq=dfreq)
     # order on the score rounded to 9 places so last-bit differences of the
     # logarithm never reorder mathematically equal scores; ties -> term
     w = Window.partitionBy(key).orderBy(F.round("score", 9).desc(), F.col("term"))
@@ -63,11 +55,6 @@ def gazetteer_from_tables(nation: DataFrame, region: DataFrame) -> DataFrame:
             .unionByName(region.select(F.lower(F.col("r_name")).alias("phrase"), F.lit("region").alias("type"))))
 
 
-def _checked(gaz: DataFrame) -> DataFrame:
-    n = gaz.count()
-    return F.broadcast(gaz) if n <= MAX_BROADCAST_PLACES else gaz
-
-
 def locations(df: DataFrame, gazetteer: DataFrame, key: str = "id", text_col: str = "body") -> DataFrame:
     """J7 (+P11, P12): (key, name, type) for every place the text mentions,
     once each; only country / city / region places count."""
@@ -81,7 +68,7 @@ def locations(df: DataFrame, gazetteer: DataFrame, key: str = "id", text_col: st
                     lambda x, i: F.concat_ws(" ", x, F.col("w")[i + 1], F.col("w")[i + 2])),
     )).alias("g"))
     phrases = grams.select(key, F.explode("g").alias("phrase"))
-    gaz = _checked(gazetteer.filter(F.col("type").isin(*LOCATION_TYPES)))
+    gaz = gazetteer.filter(F.col("type").isin(*LOCATION_TYPES))
     hits = phrases.join(gaz, "phrase").select(key, "phrase", "type").dropDuplicates([key, "phrase", "type"])
     return hits.select(key, ux.delete_symbols(ux.title_case(F.col("phrase"))).alias("name"), "type")
 

@@ -59,10 +59,6 @@ def train_profiles(labelled: DataFrame, key: str = "doc_id", text_col: str = "te
     return prof, prior
 
 
-# profiles up to this many (language, gram) rows are broadcast (~50 bytes/row)
-MAX_BROADCAST_PROFILE = 4_000_000
-
-
 def _text_grams(df: DataFrame, key: str, text_col: str) -> DataFrame:
     """(key, n_grams, gram) with one row per trigram occurrence.
 
@@ -81,22 +77,13 @@ def detect(df: DataFrame, profile: DataFrame, prior: DataFrame, key: str, text_c
     text was ever seen. Languages without a single shared gram are not
     candidates (their score is the floor ``n * unseen``).
 
-    The profile is checkpointed and counted; when it is within the broadcast
-    bound, gram occurrences probe it in place and are summed per
-    (text, language) with map-side combining, so the only shuffle carries a
-    few rows per text. Beyond the bound, grams are first counted per text and
-    shuffle-joined to the profile."""
-    prof = materialize(profile)
+    Gram occurrences meet the profile in a join without a hint: Spark broadcasts
+    it where its size allows and shuffles it where not. What a text's grams add is
+    summed per (text, language) with map-side combining."""
     prior_b = F.broadcast(prior)   # one row per language
-    if prof.count() <= MAX_BROADCAST_PROFILE:
-        occ = _text_grams(df, key, text_col)
-        hit = (occ.join(F.broadcast(prof), "gram")
-               .groupBy(key, "lang").agg(F.sum("delta").alias("hit"), F.max("n_grams").alias("n_grams")))
-    else:
-        g = grams(df, key, text_col)
-        n = g.groupBy(key).agg(F.sum("cnt").alias("n_grams"))
-        hit = (g.join(prof, "gram").groupBy(key, "lang")
-               .agg(F.sum(F.col("cnt") * F.col("delta")).alias("hit")).join(n, key))
+    occ = _text_grams(df, key, text_col)
+    hit = (occ.join(profile, "gram")
+           .groupBy(key, "lang").agg(F.sum("delta").alias("hit"), F.max("n_grams").alias("n_grams")))
     scores = (hit.join(prior_b, "lang")
               .select(key, "lang", (F.col("n_grams") * F.col("unseen") + F.col("hit")).alias("score")))
     best = scores.groupBy(key).agg(F.max_by("lang", F.struct(F.col("score"), F.col("lang"))).alias(out))
