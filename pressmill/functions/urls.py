@@ -108,12 +108,23 @@ def sanitize_utf8(x) -> Column:
     return F.make_valid_utf8(_c(x))
 
 
+#: Single-byte charsets, as declared (upper case) -> codec that gives their upper half.
+_SINGLE_BYTE = {"WINDOWS-1251": "cp1251", "CP1251": "cp1251", "KOI8-R": "koi8_r", "WINDOWS-1252": "cp1252",
+                "WINDOWS-1250": "cp1250", "ISO-8859-2": "iso8859_2", "ISO-8859-5": "iso8859_5", "ISO-8859-15": "iso8859_15"}
+
+
 def decode_payload(payload_bytes, charset) -> Column:
     """Bytes to text in the declared charset; ISO-8859-1, missing and
-    unknown declarations are read as UTF-8 (the parser sniffs the bytes)."""
-    cs = F.upper(F.coalesce(_c(charset), F.lit("UTF-8")))
+    unknown declarations are read as UTF-8 (the parser sniffs the bytes). No row
+    fails: what is not valid is replaced."""
+    cs = F.upper(F.trim(F.coalesce(_c(charset), F.lit("UTF-8"))))
     b = _c(payload_bytes)
-    out = F.decode(b, "UTF-8")
-    for name in ("US-ASCII", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32"):
-        out = F.when(cs == name, F.decode(b, name)).otherwise(out)
+    out = F.make_valid_utf8(b.cast("string"))
+    latin = F.decode(b, "ISO-8859-1")  # every byte is a character there
+    upper = "".join(map(chr, range(128, 256)))
+    for name, codec in _SINGLE_BYTE.items():
+        table = bytes(range(128, 256)).decode(codec, "replace")
+        out = F.when(cs == name, F.translate(latin, upper, table)).otherwise(out)
+    for name, unit in (("UTF-16", 2), ("UTF-16BE", 2), ("UTF-16LE", 2), ("UTF-32", 4)):
+        out = F.when((cs == name) & (F.octet_length(b) % unit == 0), F.decode(b, name)).otherwise(out)
     return out

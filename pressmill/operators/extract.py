@@ -248,6 +248,13 @@ def _og_image(metas):
     return None
 
 
+def _text_or_none(value):
+    """A linked-data value as text; a list gives its first text, anything else none."""
+    if isinstance(value, list):
+        value = next((v for v in value if isinstance(v, str)), None)
+    return value if isinstance(value, str) else None
+
+
 def harvest_one(html: str | None) -> dict:
     h = _Harvester()
     out = {f.name: None for f in HARVEST_SCHEMA.fields}
@@ -264,9 +271,9 @@ def harvest_one(html: str | None) -> dict:
             if isinstance(data, dict):
                 author = data.get("author")
                 if isinstance(author, dict):
-                    out["ld_author"] = author.get("name")
-                out["ld_published"] = data.get("datePublished")
-                out["ld_created"] = data.get("dateCreated")
+                    out["ld_author"] = _text_or_none(author.get("name"))
+                out["ld_published"] = _text_or_none(data.get("datePublished"))
+                out["ld_created"] = _text_or_none(data.get("dateCreated"))
         except ValueError:
             pass
     out["meta_author"] = _meta_author(h.metas)

@@ -75,3 +75,15 @@ def test_density_fallback_only_for_unstructured_pages(spark):
     rows = {x["url"]: x for x in extract.page_articles(r, density_fallback=True).collect()}
     assert rows["http://l/"]["body"] == "<p>The longest block of text on this page wins the body.</p>"
     assert rows["http://a/"]["body"] == '<h1>Head</h1><p>Body text</p>'
+
+
+def test_odd_linked_data_does_not_end_the_job(spark):
+    from pressmill.operators import extract
+    def page(ld):
+        return f'<html><script type="application/ld+json">{ld}</script><article>x</article></html>'
+    rows = [("a", page('{"author": {"name": ["A. Writer", "B"]}, "datePublished": 20240101}')),
+            ("b", page('{"author": {"name": {"x": 1}}, "datePublished": {"y": 2}, "dateCreated": ["2024-01-02"]}'))]
+    df = spark.createDataFrame(rows, "url string, payload string")
+    out = {r["url"]: r for r in extract.harvest_tags(df).collect()}
+    assert (out["a"]["ld_author"], out["a"]["ld_published"]) == ("A. Writer", None)
+    assert (out["b"]["ld_author"], out["b"]["ld_created"]) == (None, "2024-01-02")
