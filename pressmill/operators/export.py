@@ -70,23 +70,22 @@ def ledger_rows(batched: DataFrame, pushed_at, key: str = "id") -> DataFrame:
 
 
 def push(batched: DataFrame, sink_dir: str, ledger_dir: str, pushed_at, key: str = "id") -> None:
-    """K4 sink: write the payloads partitioned by batch, then the ledger.
+    """K4 sink: write the payloads (``batch_id`` is a column), then the ledger.
 
     ``sink_dir`` and ``ledger_dir`` belong to this run (e.g. one folder per
     micro-batch epoch): both are overwritten, so a retried run rewrites and
     never duplicates; the ledger is written only after the payload commit."""
-    spark = batched.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    (batched.select(key, "batch_id", "payload").write.mode("overwrite")
-     .partitionBy("batch_id").json(sink_dir))
+    batched.select(key, "batch_id", "payload").write.mode("overwrite").json(sink_dir)
     ledger_rows(batched, pushed_at, key).write.mode("overwrite").parquet(ledger_dir)
 
 
 def upsert_articles(store: DataFrame, incoming: DataFrame, key: str = "article_url", order: str = "id") -> DataFrame:
     """K5: insert incoming articles whose URL is not stored; a URL arriving
     several times in the batch is inserted once (smallest ``order``).
-    Stored rows are never replaced (unique URL)."""
+    Stored rows are never replaced; of stored rows with one URL the smallest
+    ``order`` stays, so URLs are unique in the result."""
     from pressmill.operators.dedup import keep_first
+    store = keep_first(store, key, order).select(*store.columns)
     fresh = keep_first(incoming.join(store.select(key), key, "left_anti"), key, order)
     return store.unionByName(fresh.select(*store.columns))
 

@@ -1121,7 +1121,8 @@ def stream_export(spark, sf_dir):
 # ---------------------------------------------------------------------------
 @query("store_upsert", f"""
 WITH {O.ARTICLES_CTE},
-store AS (SELECT id, article_url, title FROM articles WHERE processed),
+store AS (SELECT arg_min(id, id) AS id, article_url, arg_min(title, id) AS title FROM articles WHERE processed
+          GROUP BY article_url),
 incoming AS (SELECT id, article_url, title FROM articles
              WHERE article_url NOT IN (SELECT article_url FROM store)),
 fresh AS (SELECT article_url, arg_min(id, id) AS id, arg_min(title, id) AS title FROM incoming GROUP BY article_url)
