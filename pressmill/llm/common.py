@@ -13,8 +13,10 @@ TEXT_BATCH_ROWS = 256
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin result settings and keep Arrow batches of whole texts small."""
+    """Pin result settings, keep Arrow batches of whole texts small, and let each query's shuffle
+    files go when it ends: what an operator needs later it has checkpointed."""
     ensure_conf(spark)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) != TEXT_BATCH_ROWS:
         spark.conf.set(key, str(TEXT_BATCH_ROWS))
@@ -37,4 +39,11 @@ def shuffle_parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-__all__ = ["TEXT_BATCH_ROWS", "bucket_of", "materialize", "prepare", "read", "shuffle_parts"]
+def compact(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """A checkpoint of ``df`` in as few partitions as its rows need: what is derived
+    from a small table then runs in few tasks and leaves few shuffle files."""
+    kept = materialize(df)
+    return kept.coalesce(max(1, -(-kept.count() // rows)))
+
+
+__all__ = ["TEXT_BATCH_ROWS", "bucket_of", "compact", "materialize", "prepare", "read", "shuffle_parts"]

@@ -15,9 +15,12 @@ How it stays linear where groups are large:
 - A key is made only if both its halves occur in another document too.
 - In each table every member is first paired with the table's smallest id only. Links found
   so give components, and most members of a large group are in one by then.
-- What is left are tables that hold several components. A member is then paired with
-  all documents of the other components in its table, whichever of them shares the
-  table, so no candidate pair is skipped; pairs inside one component need no link.
+- Tables of the same members count once.
+- What is left are tables that hold several components. There a member meets a whole other
+  component: all its documents, whichever of them shares the table, so no candidate
+  pair is skipped. Both sides are dealt into blocks of bounded size, a task compares
+  blocks in memory, and one link per member and block is kept, for the component is
+  connected already. No row is made per pair.
 - Pairs whose minhashes agree in far fewer places than the threshold asks
   for (five standard deviations) are not fetched for confirmation.
 
@@ -39,13 +42,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressmill.llm.common import materialize, prepare, read
+from pressmill.llm.common import compact, materialize, prepare, read, shuffle_parts
 
 SHINGLE = 5
 THRESHOLD = 80  # per cent
 COLLECTIONS = 16
 ROWS = 3
 SEED = 77
+#: Members of a component that a task compares with one caller after the other.
+BLOCK = 2048
 #: Words remembered per worker.
 MEMORY = 1_000_000
 #: Shingles hashed at a time: bounds a worker's memory on very long texts.
@@ -139,7 +144,11 @@ def table_members(reps: DataFrame, collections: int) -> DataFrame:
                  F.collect_list(F.when(F.col("at") >= collections, F.col("h"))).alias("v")))
     keys = live.select("id", F.explode(F.flatten(F.transform(
         "u", lambda a: F.transform("v", lambda b: F.xxhash64(a, b))))).alias("key"))
-    tables = keys.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("hi")).where("lead < hi").drop("hi")
+    tables = keys.groupBy("key").agg(
+        F.min("id").alias("lead"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("members"),
+        F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("lead < hi")
+    # tables of the same members count once
+    tables = tables.groupBy("lead", "hi", "members", "x", "y").agg(F.min("key").alias("key")).select("key", "lead")
     return materialize(keys.join(tables, "key"))
 
 
@@ -163,9 +172,8 @@ def _alike(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
     return p.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _confirm(pairs: DataFrame, src: DataFrame, sketcher_args: tuple, threshold: int) -> DataFrame:
-    """Pairs whose full shingle sets are alike enough. ``pairs`` is a written table."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _full_sets(src: DataFrame, ids: DataFrame, sketcher_args: tuple) -> DataFrame:
+    """(doc_id, set): the full shingle sets of ``ids`` (doc_id)."""
 
     def sets(batches):
         s = Sketcher(*sketcher_args)
@@ -174,9 +182,14 @@ def _confirm(pairs: DataFrame, src: DataFrame, sketcher_args: tuple, threshold:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f.tobytes() for f in found], pa.binary())],
                                              names=["doc_id", "set"])
 
-    full = src.where("doc_id IS NOT NULL").join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, set binary")
+    full = src.where("doc_id IS NOT NULL").join(ids.distinct(), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, set binary")
     # of rows repeated with one id the larger set counts
-    full = materialize(full.groupBy("doc_id").agg(F.max_by("set", F.struct(F.octet_length("set"), "set")).alias("set")))
+    return materialize(full.groupBy("doc_id").agg(F.max_by("set", F.struct(F.octet_length("set"), "set")).alias("set")))
+
+
+def _confirm(pairs: DataFrame, src: DataFrame, sketcher_args: tuple, threshold: int) -> DataFrame:
+    """Pairs whose full shingle sets are alike enough. ``pairs`` is a written table."""
+    full = _full_sets(src, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), sketcher_args)
 
     def compare(batches):
         for b in batches:
@@ -196,11 +209,104 @@ def _confirm(pairs: DataFrame, src: DataFrame, sketcher_args: tuple, threshold:
     return both.mapInArrow(compare, "a long, b long")
 
 
+def _blocks(meets: DataFrame, belongs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Deal both sides of (id, other) x (b, other) into units (other, mb, sb) of bounded
+    size: every id of a component's callers meets every block of its members."""
+    sizes = (belongs.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("nm"))
+             .join(meets.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / F.lit(8 * BLOCK)).cast("int").alias("ns")), "other"))
+    unit = ["other", "mb", "sb"]
+    members = (belongs.join(sizes, "other").withColumn("mb", F.expr("cast(pmod(xxhash64(b), nm) as int)"))
+               .withColumn("sb", F.explode(F.expr("sequence(0, ns - 1)"))).select(*unit, F.col("b").alias("doc_id")))
+    callers = (meets.join(sizes, "other").withColumn("sb", F.expr("cast(pmod(xxhash64(id), ns) as int)"))
+               .withColumn("mb", F.explode(F.expr("sequence(0, nm - 1)"))).select(*unit, F.col("id").alias("doc_id")))
+    return members, callers
+
+
+def _meet(members: DataFrame, callers: DataFrame, data: DataFrame, compare, schema: str) -> DataFrame:
+    """Bring each unit's members, then its callers, past ``compare(unit, ids, datas)``, which takes
+    the members and returns a function of a caller (id, data) giving output rows, and one of the end."""
+    both = (members.withColumn("side", F.lit(0)).unionByName(callers.withColumn("side", F.lit(1))).join(data, "doc_id"))
+    parts = max(8, shuffle_parts(data))
+    sorted_ = (both.select("other", "mb", "sb", "side", "doc_id", "data").repartition(parts, "other", "mb", "sb")
+               .sortWithinPartitions("other", "mb", "sb", "side", "doc_id"))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        unit, ids, datas, call, end = None, [], [], None, None
+        for b in batches:
+            out = []
+            for o, mb, sb, side, doc, value in zip(*(b.column(c).to_pylist() for c in range(6))):
+                if (o, mb, sb) != unit:
+                    out += end() if end else []
+                    unit, ids, datas, call, end = (o, mb, sb), [], [], None, None
+                if side == 0:
+                    ids.append(doc)
+                    datas.append(value)
+                elif ids:  # a block may have no member
+                    if call is None:
+                        call, end = compare(unit, ids, datas)
+                    out += call(doc, value)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
+        if end and (out := end()):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
+
+    return sorted_.mapInArrow(run, schema)
+
+
+def _meet_sketches(threshold: int):
+    """Callers that minhashes and sizes do not rule out, and the members they are like."""
+
+    def compare(unit, ids, datas):
+        sig = np.array([np.frombuffer(d[8:], np.uint16) for d in datas])
+        n = np.array([int.from_bytes(d[:8], "big") for d in datas])
+        used = np.zeros(len(ids), bool)
+        t, k = threshold / 100, sig.shape[1]
+        least = (t - 5 * np.sqrt(t * (1 - t) / k)) * k
+
+        def call(doc, value):
+            own = int.from_bytes(value[:8], "big")
+            fine = ((sig == np.frombuffer(value[8:], np.uint16)).sum(axis=1) >= least)
+            fine &= 100 * np.minimum(n, own) >= threshold * np.maximum(n, own)
+            if not fine.any():
+                return []
+            used[fine] = True
+            return [(*unit, 1, doc)]
+
+        return call, lambda: [(*unit, 0, ids[k]) for k in np.flatnonzero(used)]
+
+    return compare
+
+
+def _meet_sets(threshold: int):
+    """One link per caller to a member whose full set is alike enough."""
+
+    def compare(unit, ids, datas):
+        sets = [np.frombuffer(d, np.uint64) for d in datas]
+        n = np.array([len(x) for x in sets])
+        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+
+        def call(doc, value):
+            own = np.frombuffer(value, np.uint64)
+            lo, hi = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+            count = hi - lo
+            at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            common = np.bincount(owner[at], minlength=len(sets))
+            fine = np.flatnonzero(100 * common >= threshold * (n + len(own) - common))
+            return [(ids[fine[0]], doc)] if len(fine) else []
+
+        return call, lambda: []
+
+    return compare
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id that has a link: the smallest id reachable.
     Alternating large-star and small-star steps; each is an aggregate with map-side
     minima and a join, so a hub's links are not gathered anywhere."""
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
+    edges = compact(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     if edges.isEmpty():
         return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     while True:
@@ -213,7 +319,7 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         after = (large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct())
-        after = materialize(after)
+        after = compact(after)
         # a star forest: no id is both a leaf and a centre, and each leaf has one centre
         leaves = after.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
         settled = leaves.where("n > 1").isEmpty() and after.join(after.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
@@ -231,24 +337,28 @@ def near_links(src: DataFrame, reps: DataFrame, sketcher_args: tuple, threshold:
     """(id, component) of the representatives that have a link."""
     members = table_members(reps, sketcher_args[1])
     star = members.where("lead < id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    star = materialize(_alike(star, reps, threshold))
-    links = materialize(_confirm(star, src, sketcher_args, threshold))
+    star = compact(_alike(star, reps, threshold))
+    links = compact(_confirm(star, src, sketcher_args, threshold))
     groups = components(links)
 
     # tables that still hold several components
     labelled = _label(members.select("key", "id"), groups)
     split = (labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
              .where("lo < hi").select("key"))
-    rest = materialize(labelled.join(split, "key").distinct())
-    others = rest.select("key", F.col("component").alias("other")).distinct()
-    meets = (rest.join(others, "key").where("other < component").select("id", "other").distinct())
-    belongs = _label(rest.select("id").distinct(), groups).select(F.col("id").alias("b"), F.col("component").alias("other"))
-    pairs = (meets.join(belongs, "other").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-             .join(star, ["a", "b"], "left_anti"))
-    pairs = materialize(_alike(pairs, reps, threshold))
-    if pairs.isEmpty():
+    rest = compact(labelled.join(split, "key").join(reps.select(F.col("doc_id").alias("id"), "n"), "id"))
+    # a link needs sizes that fit: only components with such a member in the table are met
+    others = rest.groupBy("key", F.col("component").alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    fits = (100 * F.col("n") >= threshold * F.col("lo")) & (100 * F.col("hi") >= threshold * F.col("n"))
+    meets = compact(rest.join(others, "key").where(F.expr("other < component") & fits).select("id", "other").distinct())
+    if meets.isEmpty():
         return groups
-    more = _confirm(pairs, src, sketcher_args, threshold)
+    belongs = compact(_label(rest.select("id").distinct(), groups).select(F.col("id").alias("b"), F.col("component").alias("other")))
+    sketch = reps.select("doc_id", F.concat(F.unhex(F.lpad(F.hex("n"), 16, "0")), "sig").alias("data"))
+    hits = compact(_meet(*_blocks(meets, belongs), sketch, _meet_sketches(threshold),
+                             "other long, mb long, sb long, side long, doc_id long"))
+    sets = _full_sets(src, hits.select("doc_id"), sketcher_args).withColumnRenamed("set", "data")
+    sides = [hits.where(F.col("side") == k).drop("side") for k in (0, 1)]
+    more = _meet(*sides, sets, _meet_sets(threshold), "a long, b long")
     return components(links.unionByName(more))
 
 

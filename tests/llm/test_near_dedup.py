@@ -81,6 +81,22 @@ def test_query_against_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
+def test_large_family_meets_in_blocks(spark, monkeypatch):
+    # many members below the threshold to the smallest id, some linked only among themselves
+    monkeypatch.setattr(nd, "BLOCK", 7)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    texts = variants(rng, base, 120, 9)
+    for t in list(texts[:30]):
+        texts += variants(rng, t.split(), 2, 6)
+    docs = list(enumerate(texts))
+    got = {r.doc_id: (r.n_shingles, r.component_id)
+           for r in nd.near_groups(spark.createDataFrame([(*d, "x", "y") for d in docs], SCHEMA), size=2).collect()}
+    want = brute(docs, 2)
+    assert len({c for _, c in want.values()}) > 3
+    assert got == want
+
+
 def test_components_of_chains_rings_and_hubs(spark):
     rng = random.Random(0)
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + k) for k in range(1, 80)] + [(300, 301), (301, 302), (302, 300)]
