@@ -296,9 +296,12 @@ class Scorer:
             owner = np.repeat(np.arange(hi - lo), sizes)
             out[lo:hi] += np.bincount(owner, voc.inner[flat], hi - lo)
             x_at, y, real, text = windows(voc.place_of[flat], sizes)
-            last = np.concatenate([net.forward(x_at[b:b + SCORED])[0] for b in range(0, len(x_at), SCORED)])
             logs = np.zeros(len(y))
-            logs[real] = net.log_probabilities(last[real], y[real])
+            for b in range(0, len(x_at), SCORED):  # blocks that stay in the processor's cache
+                part = slice(b * FRESH, (b + SCORED) * FRESH)
+                keep = real[part]
+                h = net.forward(x_at[b:b + SCORED])[0]
+                logs[part][keep] = net.log_probabilities(h[keep], y[part][keep])
             out[lo:hi] += np.bincount(text, logs, hi - lo) / math.log(10)
             lo = hi
         return out
