@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressmill.schemas import EMAIL_LINKS, ENGINE_PAGING, OPTIONS, SOURCES
+from pressmill.schemas import EMAIL_LINKS, ENGINE_PAGING, OPTION_ENGINES, OPTIONS, SOURCES
 
 
 def _ts(now) -> Column:
@@ -99,7 +99,7 @@ def request_plan(work: DataFrame, spec: DataFrame) -> DataFrame:
 
     Unknown engines get no pages (``engine_errors`` lists them). Depth is
     clamped per engine; depth 0 gives no page. Options decoded from JSON
-    override request parameters (last value wins)."""
+    override request parameters of the engines that take them (last value wins)."""
     w = work.filter(F.col("kind") == "engine").drop("kind")
     s = F.broadcast(spec.withColumnRenamed("kind", "paging"))
     j = w.join(s, "engine", "inner")
@@ -110,10 +110,11 @@ def request_plan(work: DataFrame, spec: DataFrame) -> DataFrame:
              .when(F.col("paging") == "single",
                    F.when(depth > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))
              .otherwise(F.array(F.lit(0))))
-    params = F.map_concat(
-        F.create_map(F.lit("q"), F.col("target")),
-        F.coalesce(F.from_json(F.col("options"), OPTIONS), F.create_map().cast("map<string,string>")),
-    )
+    none = F.create_map().cast("map<string,string>")
+    j = j.withColumn("_options", F.when(F.col("engine").isin(*OPTION_ENGINES),
+                                        F.coalesce(F.from_json(F.col("options"), OPTIONS), none)).otherwise(none))
+    own = F.map_filter(F.create_map(F.lit("q"), F.col("target")), lambda k, _: ~F.map_contains_key("_options", k))
+    params = F.map_concat(own, "_options")
     j = j.select("search_pk", "engine", "paging", "step", "base", depth.alias("depth"),
                  F.explode(pages).alias("page"), params.alias("params"))
     start = F.when(F.col("paging") == "paged", F.col("base") + F.col("step") * F.col("page"))

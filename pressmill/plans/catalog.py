@@ -659,7 +659,8 @@ p AS (SELECT *, unnest(CASE WHEN paging = 'paged' THEN CASE WHEN d > 0 THEN rang
                             WHEN paging = 'single' THEN CASE WHEN d > 0 THEN [0] ELSE [] END
                             ELSE [0] END) AS page FROM j)
 SELECT search_pk, engine, page, CASE WHEN paging = 'paged' THEN base + step * page END AS start,
-       CAST(CASE WHEN paging = 'single' THEN step * d END AS BIGINT) AS size, target AS q, exact_terms
+       CAST(CASE WHEN paging = 'single' THEN step * d END AS BIGINT) AS size, target AS q,
+       CASE WHEN engine = 'google_cse' THEN exact_terms END AS exact_terms
 FROM p
 """)
 def request_plan(spark, sf_dir):

@@ -49,6 +49,8 @@ ENGINE_PAGING = [
     ("social", "single", 10, 0, None),
     ("yandex", "first", 0, 0, None),
 ]
+# engines whose requests take the saved search's options
+OPTION_ENGINES = ("google_cse",)
 # HTML result-page selectors per engine: container class, link/title element,
 # snippet element and class, and whether rows lacking link or snippet are skipped.
 HTML_ENGINE_SELECTORS = [

@@ -45,6 +45,14 @@ def test_work_and_request_plan(spark):
     assert params["exactTerms"] == "x" and params["q"] == "q2"
 
 
+def test_options_override_only_where_the_engine_takes_them(spark):
+    w = spark.createDataFrame([(1, "engine", "own", "google_cse", 1, '{"q": "other", "siteSearch": "a"}'),
+                               (2, "engine", "own", "bing", 1, '{"q": "other"}'), (3, "engine", "own", "google_cse", 1, None)],
+                              "search_pk long, kind string, target string, engine string, depth int, options string")
+    got = {r["search_pk"]: r["params"] for r in frontier.request_plan(w, frontier.engine_spec(spark)).collect()}
+    assert got == {1: {"q": "other", "siteSearch": "a"}, 2: {"q": "own"}, 3: {"q": "own"}}
+
+
 def test_candidates_and_new_urls(spark):
     c = frontier.normalise_candidates(spark.createDataFrame([("http://a/",), ("http://a/",), ("http://b/",)],
                                                             "candidate string"))
