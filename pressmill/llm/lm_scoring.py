@@ -3,15 +3,16 @@
 Texts are words (ASCII white space between, A-Z lower-cased) and one end. A word's
 subword ids come from a given byte-level vocabulary. The model predicts the next id in two steps, its group and then
 the member of the group (groups follow the ids' frequency, so the frequent ones share
-few products). Ids beyond ``GROUPS * MEMBERS`` share the last member by their counts.
+few products). Of the 50,258 ids of the rank file the 50,175 most frequent have a place of
+their own; the rest (83) share the last member by their counts.
 One attention layer with a feed-forward layer reads the ids before, in windows of
 ``WINDOW`` places. Windows overlap: of each, only the last ``FRESH`` places are scored, so
 every token is scored once and has ``WINDOW - FRESH`` places of context at least (or
 all there are). Windows go through attention in batches, under a causal mask.
 
-What is learned: word and subword counts come from all learning rows; the network's
-weights from a fixed share (``SHARE``) of them, in ``ROUNDS`` rounds of local training
-(one trainer per partition, Adam) and averaging of the weights, so both grow with the corpus.
+What is learned: word and subword counts and the network's weights come from all learning
+rows; the weights in ``ROUNDS`` rounds over them of local training (one trainer per partition, in
+bounded runs, Adam) and averaging of the weights.
 
 Beside the model's score there is the add-0.1 unigram score over words. Counts of the
 most frequent words (``HOT_WORDS`` at most) go to every worker; a text's other words
@@ -43,21 +44,27 @@ WINDOW = 48
 FRESH = 32
 WIDTH = 16
 HIDDEN = 32
-GROUPS = 64
-MEMBERS = 64
+GROUPS = 224
+MEMBERS = 224
 #: Words whose counts go to every worker.
 HOT_WORDS = 200_000
 #: Tokens of the texts that are scored together (a longer text alone).
 STEP_TOKENS = 1 << 18
-#: One in so many learning rows trains the network.
-SHARE = 48
+#: One in so many learning rows trains the network: all do.
+SHARE = 1
 ROUNDS = 2
 #: Words per trainer, as far as there are partitions.
 TRAINER_WORDS = 100_000
 #: Steps that a trainer takes per round at least, over its rows again if they are few.
 LEAST_STEPS = 60
 RATE = 4e-3
+#: Windows per step: the first for few windows, growing with them to the second.
 BATCH = 32
+MOST_BATCH = 256
+#: Tokens that a trainer holds at once; longer texts are trained in pieces.
+RUN_TOKENS = 1 << 19
+#: Weights per row when trainers' results are averaged.
+BLOCK = 1024
 #: Windows that are scored together.
 SCORED = 512
 #: Distinct words that a task counts before it hands them on.
@@ -309,20 +316,26 @@ class Scorer:
 
 def train_locally(flat: np.ndarray, vocabulary: Vocabulary, texts: list[np.ndarray], rate: float, least_steps: int,
                   seed: int) -> np.ndarray:
-    """Adam from the given weights over the texts' windows."""
+    """Adam from the given weights over the windows of texts of ids."""
+    return train_places(flat, [vocabulary.place_of[t] for t in texts], rate, least_steps, seed)
+
+
+def train_places(flat: np.ndarray, texts: list[np.ndarray], rate: float, least_steps: int, seed: int) -> np.ndarray:
+    """Adam from the given weights over the windows of texts of places."""
     net = Network(flat)
     sizes = np.array([len(t) for t in texts])
-    x_at, y, real, _ = windows(vocabulary.place_of[np.concatenate(texts)], sizes)
+    x_at, y, real, _ = windows(np.concatenate(texts), sizes)
     y, real = y.reshape(-1, FRESH), real.reshape(-1, FRESH)
     rng = np.random.default_rng(seed)
-    per_pass = -(-len(x_at) // BATCH)
+    batch = min(MOST_BATCH, max(BATCH, len(x_at) // LEAST_STEPS))
+    per_pass = -(-len(x_at) // batch)
     steps = max(per_pass, least_steps)
     first, second = np.zeros_like(net.flat), np.zeros_like(net.flat)
     done = 0
     while done < steps:
         order = rng.permutation(len(x_at))
-        for b in range(0, len(order), BATCH):
-            pick = order[b:b + BATCH]
+        for b in range(0, len(order), batch):
+            pick = order[b:b + batch]
             _, g = net.gradient(x_at[pick], y[pick].ravel(), real[pick].ravel())
             done += 1
             first += 0.1 * (g - first)
@@ -402,19 +415,30 @@ def train_network(rows: DataFrame, vocabulary: Vocabulary, path: str, words: int
     """Rounds of local training and averaging on one in ``share`` of ``rows`` (doc_id, text), which
     have ``words`` words. A trainer takes the rows of a partition in bounded runs."""
     flat = Network.start(vocabulary).flat
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(share)) == 0).select("doc_id", "text")
+    taken = rows.select("doc_id", "text")
+    if share > 1:
+        taken = taken.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(share)) == 0)
 
     def encode(batches):
-        sub = subwords(path)
+        sub, place_of = subwords(path), vocabulary.place_of.astype(np.uint16)
         for b in batches:
-            ids = [sub.text(words_of(t)).astype(np.int32) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))],
-                                             names=["doc_id", "ids"])
+            places = [place_of[sub.text(words_of(t))].tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(places, pa.binary())], names=["doc_id", "places"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     trainers = max(1, min(shuffle_parts(rows), words // share // TRAINER_WORDS))
-    sample = materialize(sample.mapInArrow(encode, f"doc_id {kind}, ids array<int>")
-                         .repartition(trainers, F.xxhash64("doc_id")).sortWithinPartitions("doc_id"))
+    # dealt and ordered by a hash, so that each trainer sees a mixture; the text's part in it spreads a repeated id
+    mixed = F.xxhash64("doc_id", "places")
+    taken = materialize(taken.mapInArrow(encode, f"doc_id {kind}, places binary").select(mixed.alias("mix"), "places")
+                        .repartition(trainers, "mix").sortWithinPartitions("mix").select("places"))
+
+    def average(block: pa.Table) -> pa.Table:
+        n = block.column("n").to_numpy().astype(np.float64)
+        total = np.zeros(len(block.column("w")[0].as_py()) // 4)
+        for k, w in zip(n, block.column("w").to_pylist()):
+            total += k * np.frombuffer(w, np.float32)
+        return pa.table({"at": block.column("at")[:1], "w": pa.array([(total / n.sum()).astype(np.float32).tobytes()], pa.binary())})
+
     for turn in range(rounds):
         rate = RATE / (1 + turn)
 
@@ -422,25 +446,27 @@ def train_network(rows: DataFrame, vocabulary: Vocabulary, path: str, words: int
             # a trainer learns from one bounded run of texts after the other
             tokens, held, size = 0, [], 0
             for b in batches:
-                for ids in b.column(1):
-                    x = np.asarray(ids.values, np.int32)
-                    held.append(x)
-                    size += len(x)
-                    if size > 1 << 19:
-                        flat = train_locally(flat, vocabulary, held, rate, 0, SEED + turn)
-                        tokens, held, size = tokens + size, [], 0
+                for places in b.column(0):
+                    x = np.frombuffer(places.as_py(), np.uint16).astype(np.int32)
+                    for lo in range(0, len(x), RUN_TOKENS):
+                        held.append(x[lo:lo + RUN_TOKENS])
+                        size += len(held[-1])
+                        if size >= RUN_TOKENS:
+                            flat = train_places(flat, held, rate, 0, SEED + turn)
+                            tokens, held, size = tokens + size, [], 0
             if held:
-                flat = train_locally(flat, vocabulary, held, rate, 0 if tokens else least_steps, SEED + turn)
+                flat = train_places(flat, held, rate, 0 if tokens else least_steps, SEED + turn)
                 tokens += size
             if tokens:
+                blocks = [flat[lo:lo + BLOCK].tobytes() for lo in range(0, len(flat), BLOCK)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat.astype(np.float64) * tokens),
-                     pa.array(np.full(len(flat), tokens, np.int64))], names=["at", "w", "n"])
+                    [pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array(blocks, pa.binary()),
+                     pa.array(np.full(len(blocks), tokens, np.int64))], names=["at", "w", "n"])
 
-        table = (sample.mapInArrow(learn, "at int, w double, n long").groupBy("at")
-                 .agg((F.sum("w") / F.sum("n")).alias("w")).orderBy("at").toArrow())
+        table = (taken.mapInArrow(learn, "at int, w binary, n long").groupBy("at")
+                 .applyInArrow(average, "at int, w binary").toArrow().sort_by("at"))
         if table.num_rows:
-            flat = table.column("w").to_numpy().astype(np.float32)
+            flat = np.frombuffer(b"".join(table.column("w").to_pylist()), np.float32)
     return flat
 
 

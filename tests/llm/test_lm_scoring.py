@@ -135,3 +135,25 @@ def test_nulls_rare_words_repeated_rows_and_empty_tables(spark, monkeypatch):
     assert lm.score_texts(df.limit(0), learn).collect() == []
     none = lm.score_texts(df, F.lit(False)).collect()
     assert len(none) == 7 and all(r.n_known == 0 and r.train_tokens == 0 and r.held_out for r in none)
+
+
+def test_every_learning_row_trains_the_network(spark):
+    sub = lm.subwords(lm.RANK_FILE)
+    df = spark.range(200).where(F.pmod(F.xxhash64("id", F.lit(lm.SEED)), F.lit(48)) != 0).limit(30)
+    # rows that one in 48 leaves out; the last has a pattern of its own
+    ids = sorted(r.id for r in df.collect())
+    docs = [(d, "one two three " * 20) for d in ids[:-1]] + [(ids[-1], "purple elephants dance quietly " * 20)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    voc = lm.Vocabulary(np.bincount(np.concatenate([sub.text(lm.words_of(t)) for _, t in docs]), minlength=sub.size).astype(float))
+    flat = lm.train_network(rows, voc, lm.RANK_FILE, sum(len(t.split()) for _, t in docs))
+    start = lm.Network.start(voc).flat
+    texts = ["one two three " * 5, "purple elephants dance quietly " * 5]
+    before, after = (lm.Scorer(voc, f, lm.RANK_FILE).score(texts) for f in (start, flat))
+    assert (after > before + 1).all()
+
+
+def test_rare_ids_have_places_of_their_own():
+    counts = np.zeros(50_258)
+    counts[:20_000] = np.arange(20_000, 0, -1)
+    places = lm.Vocabulary(counts).place_of[:20_000]
+    assert len(set(places.tolist())) == 20_000
