@@ -11,6 +11,11 @@ gathers the matrix' columns of a batch's n-grams and adds them up per text.
 log likelihoods by the square root of the n-grams' number, so that long texts
 do not all come out as 1.
 
+The posterior only compares the learned languages, so text of another language, another script or
+noise can score 1. Its fit tells: the chosen language's mean log likelihood of an n-gram, with
+an allowance for short texts, against the ``FIT_QUANTILE`` of that language's learning rows, less a margin. Those are
+weighed by the counts of the half of the rows that they are not in, as unseen texts are.
+
 Defined results: null texts and texts without a letter are ``und`` with
 score 0; so is every text if there is nothing to learn from. Of equally likely
 languages the first by name is chosen.
@@ -33,6 +38,14 @@ SMOOTHING = 0.5
 UNKNOWN = "und"
 #: The pipeline keeps documents of a known language at this score or above.
 LEAST_SCORE = 0.35
+#: Share of a language's learning rows that may fit worse than its least fit.
+FIT_QUANTILE = 0.001
+#: How far a text may fall below that quantile, which few learning rows give only roughly.
+FIT_MARGIN = 0.75
+#: Standard deviations of the mean that are allowed to a text for its length.
+FIT_SLACK = 3.0
+#: Width of a bin of the histogram of fits.
+FIT_STEP = 0.01
 #: Code points that one scoring step handles: bounds a worker's memory.
 STEP_POINTS = 1 << 20
 
@@ -107,9 +120,23 @@ class Model:
 
     def __init__(self, languages: list[str], logs: np.ndarray, prior: np.ndarray, orders=ORDERS):
         self.languages, self.logs, self.prior, self.orders = languages, logs, prior, tuple(orders)
+        #: least fit that a text of each language needs: any, until it has been learned
+        self.least_fit = np.full(len(languages), -np.inf)
+        p = np.exp(np.asarray(logs, np.float64))
+        mean = (p * logs).sum(axis=0)
+        self.spread = np.sqrt(np.maximum((p * np.square(logs)).sum(axis=0) - mean ** 2, 0))
+
+    def fit(self, total: np.ndarray, count: np.ndarray, language: np.ndarray) -> np.ndarray:
+        """Mean log likelihood of the texts' n-grams, with the allowance for few of them."""
+        count = np.maximum(count, 1)
+        return total / count + FIT_SLACK * self.spread[language] / np.sqrt(count)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        labels, scores = [], np.zeros(len(texts))
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score, and whether the text fits that language."""
+        labels, scores, fits = [], np.zeros(len(texts)), np.zeros(len(texts), bool)
         filled = [t or "" for t in texts]
         for lo, hi in _steps(filled):
             part = filled[lo:hi]
@@ -119,57 +146,101 @@ class Model:
             bucket, owner, has = grams(part, self.orders, len(self.logs))
             count = np.bincount(owner, minlength=len(part))
             total = np.stack([np.bincount(owner, self.logs[bucket, k], len(part)) for k in range(len(self.languages))], 1)
+            raw = total
             total = (total + self.prior) / np.sqrt(np.maximum(count, 1))[:, None]
             total -= total.max(axis=1, keepdims=True)
             best = total.argmax(axis=1)
+            fits[lo:hi] = has & (self.fit(raw[np.arange(len(part)), best], count, best) >= self.least_fit[best])
             scores[lo:hi] = np.where(has, 1.0 / np.exp(total).sum(axis=1), 0.0)
             labels += [self.languages[b] if h else UNKNOWN for b, h in zip(best.tolist(), has.tolist())]
-        return labels, scores
+        return labels, scores, fits
 
 
 def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", orders=ORDERS, buckets: int = BUCKETS,
-          smoothing: float = SMOOTHING) -> Model:
-    """Model learned from all rows of non-null text and language. The driver
-    gets at most languages x buckets counts."""
+          smoothing: float = SMOOTHING, fit: bool = True) -> Model:
+    """Model learned from all rows of non-null text and language; with ``fit`` also the least fit of each
+    language, in a second pass. The driver gets at most 2 x languages x buckets counts."""
     prepare(rows.sparkSession)
     if buckets & (buckets - 1):
         raise ValueError("buckets must be a power of two")
-    src = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    src = (rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+           .where("text IS NOT NULL AND lang IS NOT NULL").withColumn("half", (F.crc32(F.encode("text", "utf-8")) % 2).cast("int")))
 
     def count(batches):
-        sums: dict[str, np.ndarray] = {}
-        texts_of: dict[str, int] = {}
+        sums: dict[tuple[str, int], np.ndarray] = {}
+        texts_of: dict[tuple[str, int], int] = {}
         for b in batches:
-            texts, langs = b.column(0).to_pylist(), b.column(1).to_pylist()
-            names = sorted(set(langs))
+            texts, kinds = b.column(0).to_pylist(), list(zip(b.column(1).to_pylist(), b.column(2).to_pylist()))
+            names = sorted(set(kinds))
             for n in names:
                 sums.setdefault(n, np.zeros(buckets, np.int64))
-            code = np.array([names.index(x) for x in langs], np.int64)
+            code = np.array([names.index(x) for x in kinds], np.int64)
             for lo, hi in _steps(texts):
                 bucket, owner, has = grams(texts[lo:hi], orders, buckets)
                 got = np.bincount(code[lo:hi][owner] * buckets + bucket, minlength=len(names) * buckets)
                 for k, n in enumerate(names):
                     sums[n] += got[k * buckets:(k + 1) * buckets]
                     texts_of[n] = texts_of.get(n, 0) + int((code[lo:hi] == k).sum())
-        for n, v in sums.items():
+        for (n, half), v in sums.items():
             at = np.flatnonzero(v)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([n] * (len(at) + 1), pa.string()), pa.array(np.append(at, -1)),
-                 pa.array(np.append(v[at], texts_of.get(n, 0)))], names=["lang", "bucket", "n"])
+                [pa.array([n] * (len(at) + 1), pa.string()), pa.array(np.full(len(at) + 1, half, np.int32)),
+                 pa.array(np.append(at, -1)), pa.array(np.append(v[at], texts_of.get((n, half), 0)))],
+                names=["lang", "half", "bucket", "n"])
 
-    table = (src.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-             .toArrow())
+    table = (src.mapInArrow(count, "lang string, half int, bucket long, n long").groupBy("lang", "half", "bucket")
+             .agg(F.sum("n").alias("n")).toArrow())
     names = sorted(set(table.column("lang").to_pylist()))
-    counts, texts = np.zeros((buckets, len(names))), np.zeros(len(names))
-    column = np.array([names.index(x) for x in table.column("lang").to_pylist()], np.int64)
-    bucket, n = table.column("bucket").to_numpy(), table.column("n").to_numpy()
+    halves, texts = np.zeros((2, buckets, len(names))), np.zeros(len(names))
+    place = {n: k for k, n in enumerate(names)}
+    column = np.array([place[x] for x in table.column("lang").to_pylist()], np.int64)
+    half, bucket, n = (table.column(c).to_numpy() for c in ("half", "bucket", "n"))
     real = bucket >= 0
-    counts[bucket[real], column[real]] = n[real]
-    texts[column[~real]] = n[~real]
+    halves[half[real], bucket[real], column[real]] = n[real]
+    np.add.at(texts, column[~real], n[~real])
     if not names:
-        return Model([], counts, texts, orders)
-    logs = np.log(counts + smoothing) - np.log(counts.sum(axis=0) + smoothing * buckets)
-    return Model(names, logs.astype(np.float32), np.log(texts / texts.sum()), orders)
+        return Model([], halves[0], texts, orders)
+
+    def logs_of(counts):
+        return (np.log(counts + smoothing) - np.log(counts.sum(axis=0) + smoothing * buckets)).astype(np.float32)
+
+    model = Model(names, logs_of(halves.sum(axis=0)), np.log(texts / texts.sum()), orders)
+    if fit:
+        model.least_fit = _least_fits(src, model, [logs_of(h) for h in halves], place)
+    return model
+
+
+def _least_fits(src: DataFrame, model: Model, halves: list[np.ndarray], place: dict[str, int]) -> np.ndarray:
+    """Per language the low quantile of its rows' fits, each by the half that it is not in. The driver gets
+    a histogram per language."""
+    shared = src.sparkSession.sparkContext.broadcast((model, halves))
+
+    def bins(batches):
+        model, halves = shared.value
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            lang = np.array([place[x] for x in b.column(1).to_pylist()], np.int64)
+            half = b.column(2).to_numpy()
+            for lo, hi in _steps(texts):
+                bucket, owner, has = grams(texts[lo:hi], model.orders, len(model.logs))
+                own, other = lang[lo:hi], 1 - half[lo:hi]
+                total = np.zeros(hi - lo)
+                for h in (0, 1):
+                    at = other[owner] == h
+                    total += np.bincount(owner[at], halves[h][bucket[at], own[owner[at]]], hi - lo)
+                fit = model.fit(total, np.bincount(owner, minlength=hi - lo), own)
+                at, n = np.unique(np.stack([own, np.floor(fit / FIT_STEP).astype(np.int64)], 1)[has], axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array(n)], names=["lang", "bin", "n"])
+
+    found = src.mapInArrow(bins, "lang long, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow().sort_by("bin")
+    lang, at, n = (found.column(c).to_numpy() for c in ("lang", "bin", "n"))
+    least = np.full(len(model.languages), -np.inf)
+    for k in range(len(least)):
+        mine = lang == k
+        if mine.any():
+            below = n[mine].cumsum()
+            least[k] = at[mine][np.searchsorted(below, FIT_QUANTILE * below[-1], side="right")] * FIT_STEP - FIT_MARGIN
+    return least
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,15 +260,16 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
-    """``docs`` of a learned language at a score of ``least`` or more, all columns unchanged."""
+    """``docs`` that fit a learned language, at a score of ``least`` or more, all columns unchanged."""
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 
     def run(batches):
         for b in batches:
-            labels, scores = shared.value.predict(b.column(place).to_pylist())
-            yield b.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(labels, scores.tolist())], pa.bool_()))
+            labels, scores, fits = shared.value.judge(b.column(place).to_pylist())
+            yield b.filter(pa.array([x != UNKNOWN and s >= least and f for x, s, f in zip(labels, scores.tolist(), fits.tolist())],
+                                    pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -213,5 +285,5 @@ def _fold(id_col: str):
 
 def op8_language_id(spark, sf_dir) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
-    model = train(learning_rows(docs))
+    model = train(learning_rows(docs), fit=False)
     return identify(docs, model).select("doc_id", (_fold("doc_id") == 2).alias("held_out"), "lang_pred", "score")

@@ -75,3 +75,21 @@ def test_nulls_long_repeated_and_empty_tables(spark):
     none = li.train(df.limit(0))
     assert {r.lang_pred for r in li.identify(df, none).collect()} == {"und"}
     assert li.identify(df.limit(0), m).collect() == []
+
+
+FOREIGN = {
+    "polish": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem "
+              "i sumieniem i powinni postępować wobec innych w duchu braterstwa. ",
+    "russian": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью. ",
+    "chinese": "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。",
+    "noise": "xkq zvbw jjfh qpwt vzxk bqnm wrtg hjkl zxcv qwrt pfgh vbnm kjhg xzcq wqpz ",
+}
+
+
+def test_pipeline_drops_unlearned_languages_scripts_and_noise(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = li.train(li.learning_rows(docs))
+    alien = spark.createDataFrame([(-k, t * n, None) for k, (t, n) in enumerate(
+        [(t, n) for t in FOREIGN.values() for n in (2, 20)], 1)], docs.schema)
+    assert [r.doc_id for r in li.keep_known(alien, model).collect()] == []
+    assert li.keep_known(docs, model).count() >= 0.99 * docs.count()
