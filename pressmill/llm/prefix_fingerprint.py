@@ -7,7 +7,10 @@ extension of two places is found by binary search over the span's length.
 
 A text's fingerprint is its length and whole-text hashes. The likeness of two is
 the share of the longer text that the longest common extension covers
-from the front, together with the one from the back: 1 for equal texts.
+from the front, together with the one from the back: 1 for equal texts. Their coverage goes on past every edit:
+characters count that stand in a span of ``SPAN`` characters that the other text has at any place (or
+all of the shorter text, if it is shorter), or in the extensions from the front and the back. The text with
+fewer of them is set against the longer one's length.
 
 The query sets each text against an edited copy, whose tail comes from the next
 document in descending id order. Only neighbours meet: ids are cut into ranges
@@ -34,6 +37,8 @@ from pressmill.llm.common import prepare, read, shuffle_parts
 #: Primes below 2**31: products stay in 62 bits, sums of 2**32 residues in 63.
 MODULI = (2147483647, 2147483629, 2147483587)
 BASES = (911382323, 972663749, 1000000007)
+#: Characters of the spans that coverage looks for.
+SPAN = 16
 _LAST = -(1 << 63)
 
 
@@ -44,6 +49,13 @@ class Powers:
         self.moduli = moduli
         self.bases = [b % m for b, m in zip(bases, moduli)]
         self.tables = [np.ones(1, np.int64) for _ in moduli]
+        self.back: Powers | None = None
+
+    def inverse(self) -> Powers:
+        """Powers of the bases' inverses, which shift a span to the front."""
+        if self.back is None:
+            self.back = Powers(self.moduli, [pow(b, -1, m) for m, b in zip(self.moduli, self.bases)])
+        return self.back
 
     def upto(self, n: int) -> list[np.ndarray]:
         for k, (m, b) in enumerate(zip(self.moduli, self.bases)):
@@ -66,6 +78,7 @@ class PrefixHashes:
             s = np.zeros(n + 1, np.int64)
             np.cumsum(symbols * t[:n] % m, out=s[1:])
             self.sums.append(s)
+        self.spans: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def key(self) -> str:
         return f"{self.n:x}-" + "".join(f"{int(s[-1]) % m:08x}" for s, m in zip(self.sums, self.powers.moduli))
@@ -114,6 +127,37 @@ class PrefixHashes:
             return front / longer
         return min(front + self.common_suffix(other), shorter) / longer
 
+    def span_keys(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all spans of a length by place (two moduli in one number), and sorted."""
+        if length not in self.spans:
+            n = self.n - length + 1
+            keys = np.zeros(n, np.int64)
+            for s, m, t in zip(self.sums[:2], self.powers.moduli, self.powers.inverse().upto(n)):
+                keys = (keys << 31) | ((s[length:] - s[:n]) % m * t[:n] % m)
+            self.spans[length] = keys, np.sort(keys)
+        return self.spans[length]
+
+    def coverage(self, other: PrefixHashes) -> float:
+        longer, shorter = max(self.n, other.n), min(self.n, other.n)
+        if not shorter:
+            return float(not longer)
+        front = self.common_prefix(other)
+        if front == longer:
+            return 1.0
+        back, length = self.common_suffix(other), min(SPAN, shorter)
+        covered = []
+        for a, b in ((self, other), (other, self)):
+            keys, there = a.span_keys(length)[0], b.span_keys(length)[1]
+            found = there[np.minimum(np.searchsorted(there, keys), len(there) - 1)] == keys
+            ends = np.zeros(a.n + 1, np.int64)
+            ends[:len(keys)] += found
+            ends[length:] -= found
+            inside = ends[:-1].cumsum() > 0
+            inside[:front] = True
+            inside[a.n - back:] = True
+            covered.append(int(inside.sum()))
+        return min(covered) / longer
+
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, fingerprint per row."""
@@ -162,7 +206,7 @@ def _ranges(src: DataFrame, parts: int) -> tuple[list[int], dict[int, list[int]]
 
 def edited_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next. Ids are integers."""
+    near_edited, near_next (likeness), cover_edited, cover_next (coverage). Ids are integers."""
     prepare(df.sparkSession)
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keyed = src.withColumn("key", F.coalesce("doc_id", F.lit(_LAST)))
@@ -189,7 +233,7 @@ def edited_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              .mapInArrow(deal, "place int, guest boolean, key long, tie long, doc_id long, body binary")
              .repartition(parts, "place").sortWithinPartitions("place", "guest", F.desc("key"), "tie"))
     schema = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-              "near_edited double, near_next double")
+              "near_edited double, near_next double, cover_edited double, cover_next double")
     names = [c.split()[0] for c in schema.split(", ")]
 
     def stream(batches):
@@ -208,12 +252,12 @@ def edited_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     edited = before[:n - n // 3] + text[:n // 3]
                     changed = PrefixHashes(edited, powers)
                     row = (before_id, n, hashlib.sha256(edited.encode("utf-8")).hexdigest(), hashes.key(), changed.key(),
-                           hashes.likeness(changed), hashes.likeness(own))
+                           hashes.likeness(changed), hashes.likeness(own), hashes.coverage(changed), hashes.coverage(own))
                     for column, v in zip(out, row):
                         column.append(v)
                 held = None if guest else (place, doc_id, text, own)
             if out[0]:
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
     return dealt.mapInArrow(stream, schema)

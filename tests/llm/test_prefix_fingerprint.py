@@ -83,3 +83,39 @@ def test_nulls_repeated_rows_long_and_empty_tables(spark):
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
     assert pf.edited_pairs(df.limit(0)).collect() == []
     assert pf.fingerprints(df).count() == 6
+
+
+def cover(a, b):
+    """Coverage by plain comparison of spans."""
+    if not a or not b:
+        return float(a == b)
+    f = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    s = next((k for k, (x, y) in enumerate(zip(a[::-1], b[::-1])) if x != y), min(len(a), len(b)))
+    n, got = min(pf.SPAN, len(a), len(b)), []
+    for x, y in ((a, b), (b, a)):
+        have = {y[i:i + n] for i in range(len(y) - n + 1)}
+        inside = set(range(f)) | set(range(len(x) - s, len(x)))
+        for i in range(len(x) - n + 1):
+            if x[i:i + n] in have:
+                inside.update(range(i, i + n))
+        got.append(len(inside))
+    return min(got) / max(len(a), len(b))
+
+
+def test_coverage_goes_on_past_scattered_edits(spark):
+    rng, powers = random.Random(3), pf.Powers()
+    for _ in range(300):
+        a = "".join(rng.choice("ab😀") for _ in range(rng.randint(0, 60)))
+        b = list(a) if rng.random() < 0.5 else [rng.choice("ab😀") for _ in range(rng.randint(0, 60))]
+        for _ in range(rng.randint(0, 3)):
+            b.insert(rng.randint(0, len(b)), rng.choice("ab"))
+        b = "".join(b)
+        ha, hb = pf.PrefixHashes(a, powers), pf.PrefixHashes(b, powers)
+        assert ha.coverage(hb) == hb.coverage(ha) == cover(a, b) >= ha.likeness(hb)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    copy = [w if k % 25 else "changed" for k, w in enumerate(words)]
+    stranger = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400))
+    docs = [(3, " ".join(words), "", ""), (2, " ".join(copy), "", ""), (1, stranger, "", "")]
+    rows = {r.doc_id: r for r in pf.edited_pairs(spark.createDataFrame(docs, SCHEMA), parts=2).collect()}
+    assert rows[3].near_next < 0.1 and rows[3].cover_next > 0.9 and rows[2].cover_next < 0.05
+    assert rows[3].cover_next == cover(docs[0][1], docs[1][1])
