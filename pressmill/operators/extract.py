@@ -57,10 +57,30 @@ def title_of(html) -> Column:
     return tx.strip(tx.collapse_ws(tx.unescape_html(tx.untag(t))))
 
 
+def articles_html(html) -> Column:
+    """Inner HTML of all outermost <article> elements, '' if none is closed. End
+    tags are matched by depth; what is still open after the last end tag ends there."""
+    closed = F.regexp_extract(_c(html), r"(?is)^(.*)</article\s*>", 1)
+    # every piece begins with a start or end tag, but for text before the first
+    pieces = F.split(closed, r"(?i)(?=</?article\b)")
+
+    def step(state, piece):
+        begin, end, depth = piece.rlike(r"(?i)^<article\b"), piece.rlike(r"(?i)^</article\b"), state["depth"]
+        after = F.when(begin, depth + 1).when(end, F.greatest(depth - 1, F.lit(0))).otherwise(depth)
+        kept = (F.when(begin & (depth == 0), F.regexp_replace(piece, r"(?is)^<article\b[^>]*>", "\n"))
+                .when(after > 0, piece).otherwise(F.lit("")))
+        return F.struct(after.alias("depth"), F.concat(state["kept"], F.array(kept)).alias("kept"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
+    return F.regexp_replace(F.aggregate(pieces, start, step, lambda state: F.array_join(state["kept"], "")), r"^\n", "")
+
+
 def main_html(html) -> Column:
-    """X1 fast path: inner HTML of the first <article>, else <main>, else <body>."""
+    """X1 fast path: inner HTML of the outermost <article>s, else of <main>, else of <body>."""
     h = _c(html)
-    art = F.regexp_extract(h, r"(?is)<article\b[^>]*>(.*?)</article>", 1)
+    # the depth is only counted on pages with more than one start tag
+    art = (F.when(h.rlike(r"(?is)<article\b.*<article\b"), articles_html(h))
+           .otherwise(F.regexp_extract(h, r"(?is)<article\b[^>]*>(.*?)</article>", 1)))
     main = F.regexp_extract(h, r"(?is)<main\b[^>]*>(.*?)</main>", 1)
     body = F.regexp_extract(h, r"(?is)<body\b[^>]*>(.*?)</body>", 1)
     return F.coalesce(tx.non_empty(art), tx.non_empty(main), body)

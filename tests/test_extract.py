@@ -87,3 +87,17 @@ def test_odd_linked_data_does_not_end_the_job(spark):
     out = {r["url"]: r for r in extract.harvest_tags(df).collect()}
     assert (out["a"]["ld_author"], out["a"]["ld_published"]) == ("A. Writer", None)
     assert (out["b"]["ld_author"], out["b"]["ld_created"]) == (None, "2024-01-02")
+
+
+def test_nested_and_repeated_articles(spark):
+    pages = [("http://n/", "<body><article class='x'><p>one</p><article><p>teaser</p></article><p>two</p></article><p>foot</p></body>",
+              ["one", "teaser", "two"]),
+             ("http://r/", "<body><ARTICLE><p>one</p></ARTICLE><p>between</p><article id=2><p>two</p></article><p>foot</p></body>",
+              ["one", "two"]),
+             ("http://u/", "<body><article><p>one</p><article><p>two</p></article><p>foot</p></body>", ["one", "two"]),
+             ("http://o/", "<body><article><p>one</p></article><p>foot</p></body>", ["one"]),
+             ("http://e/", "<body><article><p>one</p><article><p>two</p></body>", ["one", "two"])]
+    r = _responses(spark, [(u, None, 200, "text/html", "utf-8", html) for u, html, _ in pages])
+    got = {a["article_url"]: a["body"] for a in extract.page_articles(r).collect()}
+    for url, _, want in pages:
+        assert [w for w in ("one", "teaser", "two", "between", "foot") if w in got[url]] == want
