@@ -53,7 +53,7 @@ def _word(w: str) -> tuple[int, int]:
     """Buckets of a word's lower-cased letters (-1 if it has none) and of its shape."""
     letters = _NOT_LETTERS("", w).lower()
     runs, last = [], ""
-    for c in w[:64]:
+    for c in w:
         kind = "a" if c.islower() else "A" if c.isupper() else "9" if c.isdigit() else "l" if c.isalpha() else c
         if kind != last:
             runs.append(kind)

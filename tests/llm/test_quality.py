@@ -74,3 +74,8 @@ def test_sample_is_bounded(spark):
     finally:
         ql.fit = real
     assert seen == [10]
+
+
+def test_shape_reads_the_whole_word():
+    word = "a" * 64
+    assert ql._word.__wrapped__(word + "9" * 64)[1] != ql._word.__wrapped__(word + "a" * 64)[1]
