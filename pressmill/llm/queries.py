@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pressmill.llm import byte_bpe, exact_dedup, language_id, lm_scoring, near_dedup, packing, prefix_fingerprint, quality, sharding, url_filter
+from pressmill.llm import (byte_bpe, centroid_clusters, exact_dedup, language_id, license_scan, lm_scoring, merkle_manifest,
+                           near_dedup, packing, prefix_fingerprint, quality, sharding, url_filter)
+
 
 def pipeline(spark, sf_dir):
     """The top-level pipeline, which is shipped beside the package."""
@@ -21,10 +23,15 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_quality": quality.op9_quality,
     "op10_packing": packing.op10_packing,
+    "op11_centroid_clusters": centroid_clusters.op11_centroid_clusters,
+    "op12_merkle_manifest": merkle_manifest.op12_merkle_manifest,
+    "op13_license_scan": license_scan.op13_license_scan,
     "pipeline": pipeline,
 }
 
 ORACLES = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
+    "op11_centroid_clusters": centroid_clusters.OP11_SQL,
+    "op12_merkle_manifest": merkle_manifest.OP12_SQL,
 }
