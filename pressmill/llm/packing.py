@@ -160,6 +160,27 @@ def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[floa
     return float(best[capacity]), counts
 
 
+def inverse_of(matrix: np.ndarray) -> np.ndarray:
+    """The inverse by row operations. This runs on the driver, beside a live session, where a threaded
+    linear algebra library may wait for itself; so neither this nor ``matvec`` calls one."""
+    m = len(matrix)
+    work = np.hstack([matrix.astype(float), np.eye(m)])
+    for k in range(m):
+        lead = k + int(np.abs(work[k:, k]).argmax())
+        if abs(work[lead, k]) < 1e-12:
+            raise ValueError("singular matrix")
+        work[[k, lead]] = work[[lead, k]]
+        work[k] /= work[k, k]
+        others = work[:, k].copy()
+        others[k] = 0.0
+        work -= others[:, None] * work[k]
+    return work[:, m:]
+
+
+def matvec(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    return (matrix * vector).sum(axis=1)
+
+
 def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int,
                    gap: float = 5e-4, rounds: int = 3_000, patience: int = 150) -> tuple[np.ndarray, np.ndarray]:
     """Column generation for min sum(x), patterns @ x = demand: (patterns as
@@ -167,10 +188,10 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int,
     sequences are within ``gap`` of the least that the total length allows, or when
     ``patience`` rounds have saved less than a hundredth of that; any basis is a plan."""
     m = len(sizes)
-    least = float(demand @ sizes) / capacity
+    least = float((demand * sizes).sum()) / capacity
     basis = np.diag((capacity // sizes).astype(float))
     inverse = np.diag(1.0 / np.diag(basis))
-    x = inverse @ demand
+    x = matvec(inverse, demand)
     before = np.inf
     for step in range(rounds):
         if step % patience == 0:
@@ -182,7 +203,7 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int,
         if value <= 1 + 1e-6 or x.sum() <= least * (1 + gap):
             break
         column = pattern.astype(float)
-        way = inverse @ column
+        way = matvec(inverse, column)
         ratio = np.full(m, np.inf)
         up = way > 1e-9
         ratio[up] = x[up] / way[up]
@@ -195,10 +216,10 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int,
         inverse[leave] = row
         if step % 100 == 99:  # rounding errors add up
             try:
-                inverse = np.linalg.inv(basis)
-            except np.linalg.LinAlgError:
+                inverse = inverse_of(basis)
+            except ValueError:
                 break
-        x = np.maximum(inverse @ demand, 0.0)
+        x = np.maximum(matvec(inverse, demand), 0.0)
     return np.rint(basis).astype(np.int64), x
 
 

@@ -102,3 +102,33 @@ def test_knapsack_against_brute_force():
                             best = max(best, float(n @ values))
         value, counts = pk.knapsack(values, sizes, 12)
         assert abs(value - best) < 1e-9 and counts @ sizes <= 12 and abs(counts @ values - best) < 1e-9
+
+
+def test_solver_beyond_its_refresh_beside_a_session(spark):
+    """More than 100 steps, so the basis is inverted anew, with a live session and default threads, under a time limit."""
+    import subprocess
+    import sys
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(128, 128)) + 8 * np.eye(128)
+    assert np.abs(pk.inverse_of(m) @ m - np.eye(128)).max() < 1e-9
+    code = """
+import sys
+import numpy as np
+sys.path.insert(0, ".")
+from pressmill.session import build_session
+from pressmill.llm import packing as pk
+spark = build_session("local[2]", 2)
+assert spark.range(10).count() == 10
+calls = []
+inverse_of = pk.inverse_of
+pk.inverse_of = lambda m: calls.append(1) or inverse_of(m)
+rng = np.random.default_rng(5)
+sizes = np.arange(1, 129)
+demand = rng.integers(1, 4000, 128).astype(float)
+patterns, x = pk.solve_patterns(sizes, demand, 128, gap=0.0, patience=400)
+assert calls and np.allclose((patterns * x).sum(axis=1), demand, atol=1e-5), len(calls)
+print("steps done", len(calls))
+spark.stop()
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=180)
+    assert "steps done" in done.stdout, done.stderr[-2000:]
