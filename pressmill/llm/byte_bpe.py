@@ -39,7 +39,7 @@ from pressmill.llm.common import prepare, read
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Pre-tokens, and blank-separated units, remembered per worker.
-MEMORY = 500_000
+MEMORY = 1_000_000
 #: Longer ones are forgotten after the batch they stand in.
 MEMORY_CHARS = 64
 
@@ -47,6 +47,7 @@ MEMORY_CHARS = 64
 _WORD_BITS = 8
 #: A blank that may not be cut before: white space or the end follows.
 _LOOSE_BLANK = re.compile(r" (?:\s|$)").search
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
 
 class ByteBPE:
@@ -59,7 +60,9 @@ class ByteBPE:
         self.text_of = {i: str(i) for i in self.by_id}
         self.memory = memory
         self.tokens: dict[str, tuple[int, ...]] = {}
-        self.units: dict[str, tuple[int, ...]] = {}  # key: what follows the blank
+        # keys: what follows the blank
+        self.units: dict[str, tuple[int, ...]] = {}
+        self.trips: dict[str, tuple[str, bytes]] = {}
         self.pairs: dict[int, int] = {}  # joined rank of two ids, -1 if there is none
         self.shift = max(ranks.values()).bit_length()
         try:
@@ -193,9 +196,11 @@ class ByteBPE:
             begin = end
         return out
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        tokens, units, split = self.tokens, self.units, self.split
-        for table in (tokens, units):
+    def _read(self, texts: list[str], known: dict) -> tuple[list, dict, list]:
+        """Per text its pre-tokens up to the first blank and its units behind; the pre-tokens of the units that
+        ``known`` lacks; the pre-tokens that were new. All pre-tokens have their ids in ``tokens`` then."""
+        tokens, split = self.tokens, self.split
+        for table in (tokens, known):
             if len(table) > self.memory:
                 table.clear()
         plans, fresh = [], set()
@@ -203,24 +208,53 @@ class ByteBPE:
             if self.cuts_at_blanks and not _LOOSE_BLANK(t):
                 head, *rest = t.split(" ")
                 plans.append((split(head), rest))
-                fresh |= set(rest).difference(units)
+                fresh |= set(rest).difference(known)
             else:
                 plans.append((split(t), ()))
-        cut = {u: split(" " + u) for u in fresh}
+        # letters alone are one pre-token with the blank before them
+        cut = {u: [" " + u] if _LETTERS(u) else split(" " + u) for u in fresh}
         unseen = {p for head, _ in plans for p in head}
         unseen.update(chain.from_iterable(cut.values()))
         unseen = list(unseen.difference(tokens))
         for p, ids in zip(unseen, self.merge([p.encode("utf-8") for p in unseen])):
             tokens[p] = ids
-        flat, token = chain.from_iterable, tokens.__getitem__
+        return plans, cut, unseen
+
+    @staticmethod
+    def _forget(table: dict, new) -> None:
+        for x in new:
+            if len(x) > MEMORY_CHARS:
+                del table[x]
+
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        units, flat = self.units, chain.from_iterable
+        plans, cut, unseen = self._read(texts, units)
+        token = self.tokens.__getitem__
         for u, pieces in cut.items():
             units[u] = token(pieces[0]) if len(pieces) == 1 else tuple(flat(map(token, pieces)))
         unit = units.__getitem__
         out = [[*flat(map(token, head)), *flat(map(unit, rest))] for head, rest in plans]
-        for table, new in ((tokens, unseen), (units, fresh)):
-            for x in new:
-                if len(x) > MEMORY_CHARS:
-                    del table[x]
+        self._forget(self.tokens, unseen)
+        self._forget(units, cut)
+        return out
+
+    def round_trips(self, texts: list[str]) -> list[tuple[str, bytes]]:
+        """Per text its decimal ids joined by one blank and the bytes that its ids decode to. Both are
+        made once per unit, from the unit's ids, and joined from there."""
+        known, flat, decimal = self.trips, chain.from_iterable, self.text_of.__getitem__
+        plans, cut, unseen = self._read(texts, known)
+        token = self.tokens.__getitem__
+        for u, pieces in cut.items():
+            ids = token(pieces[0]) if len(pieces) == 1 else (*flat(map(token, pieces)),)
+            known[u] = (" ".join(map(decimal, ids)), self.decode(ids))
+        trip, out = known.__getitem__, []
+        for head, rest in plans:
+            ids = [*flat(map(token, head))]
+            front = [(" ".join(map(decimal, ids)), self.decode(ids))] if ids else []
+            shown, data = zip(*front, *map(trip, rest)) if ids or rest else ((), ())
+            out.append((" ".join(shown), b"".join(data)))
+        self._forget(self.tokens, unseen)
+        self._forget(known, cut)
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -278,13 +312,13 @@ def token_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches):
         bpe = coder(path, pattern)
-        sha, decimal = hashlib.sha256, bpe.text_of.__getitem__
+        sha = hashlib.sha256
         for b in batches:
             sizes, left, right = [], [], []
-            for ids in bpe.encode_batch([t or "" for t in b.column(1).to_pylist()]):
-                sizes.append(len(ids))
-                left.append(sha(" ".join(map(decimal, ids)).encode()).hexdigest())
-                right.append(sha(bpe.decode(ids)).hexdigest())
+            for ids, data in bpe.round_trips([t or "" for t in b.column(1).to_pylist()]):
+                sizes.append(ids.count(" ") + 1 if ids else 0)
+                left.append(sha(ids.encode()).hexdigest())
+                right.append(sha(data).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(sizes, pa.int64()), pa.array(left, pa.string()), pa.array(right, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
