@@ -1,12 +1,16 @@
 """Keyword and place enrichment, tags.
 
 * keywords: TF-IDF over the corpus, top ``k`` terms per article;
-* locations: word n-grams (1-3) joined to a gazetteer of place names;
+* locations: an Aho-Corasick automaton of a gazetteer's names over the words of the text, longest match;
 * tags: keyword -> slug; tag table upsert (first name wins); bridge rows.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +19,10 @@ from pressmill.session import materialize
 from pressmill.schemas import LOCATION_TYPES
 
 TOKEN = r"\p{L}+"
+#: Words of place names, and of texts when they are searched for places.
+PLACE_WORD = r"[\p{L}\p{N}]+"
+#: Names that one automaton holds; a larger gazetteer is searched piece by piece.
+PIECE_NAMES = 500_000
 
 
 def terms(df: DataFrame, key: str, text_col: str) -> DataFrame:
@@ -38,8 +46,13 @@ def keywords(df: DataFrame, key: str = "id", text_col: str = "body", k: int = 50
     # read them (the checkpoint keeps the by-key partitioning the window reuses)
     tf = materialize(terms(d, key, text_col))
     n_docs = df.select(F.count(F.lit(1)).alias("n"))
-    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = spark.sql(
+    return score_terms(tf, tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), n_docs, key, k)
+
+
+def score_terms(tf: DataFrame, dfreq: DataFrame, n_docs: DataFrame, key: str = "id", k: int = 50) -> DataFrame:
+    """The ``k`` best terms of each text, from term counts (key, term, tf), document frequencies (term, df) and the
+    number of documents (one row, n): (key, term, score, rank)."""
+    scored = tf.sparkSession.sql(
         "SELECT t.*, t.tf * ln((SELECT n FROM {n_docs}) / d.df) AS score FROM {tf} t JOIN {dfreq} d USING (term)",
         n_docs=n_docs, tf=tf, dfreq=dfreq)
     # order on the score rounded to 9 places so last-bit differences of the
@@ -55,22 +68,90 @@ def gazetteer_from_tables(nation: DataFrame, region: DataFrame) -> DataFrame:
             .unionByName(region.select(F.lower(F.col("r_name")).alias("phrase"), F.lit("region").alias("type"))))
 
 
-def locations(df: DataFrame, gazetteer: DataFrame, key: str = "id", text_col: str = "body") -> DataFrame:
-    """J7 (+P11, P12): (key, name, type) for every place the text mentions,
-    once each; only country / city / region places count."""
-    words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN), 0)
-    w = df.select(key, words.alias("w"))
-    grams = w.select(key, F.explode(F.array(
-        F.transform(F.col("w"), lambda x: x),
-        F.transform(F.slice(F.col("w"), 1, F.greatest(F.size("w") - 1, F.lit(0))),
-                    lambda x, i: F.concat_ws(" ", x, F.col("w")[i + 1])),
-        F.transform(F.slice(F.col("w"), 1, F.greatest(F.size("w") - 2, F.lit(0))),
-                    lambda x, i: F.concat_ws(" ", x, F.col("w")[i + 1], F.col("w")[i + 2])),
-    )).alias("g"))
-    phrases = grams.select(key, F.explode("g").alias("phrase"))
-    gaz = gazetteer.filter(F.col("type").isin(*LOCATION_TYPES))
-    hits = phrases.join(gaz, "phrase").select(key, "phrase", "type").dropDuplicates([key, "phrase", "type"])
-    return hits.select(key, ux.delete_symbols(ux.title_case(F.col("phrase"))).alias("name"), "type")
+def place_words(text: Column) -> Column:
+    """The lower-cased words of a text, joined by one blank."""
+    return F.array_join(F.regexp_extract_all(F.lower(text), F.lit(PLACE_WORD), 0), " ")
+
+
+_MACHINES: dict = {}
+
+
+def _machine(number: str, names: list[str]):
+    """One automaton per worker and broadcast gazetteer."""
+    if number not in _MACHINES:
+        import ahocorasick
+        _MACHINES.clear()
+        m = _MACHINES[number] = ahocorasick.Automaton()
+        for name in names:
+            m.add_word(f" {name} ", name)
+        m.make_automaton()
+    return _MACHINES[number]
+
+
+def _hits(texts: DataFrame, key: str, names: list[str], longest: bool) -> DataFrame:
+    """(key, start, stop, phrase) of every place where a name's words stand in ``texts`` (key, words); with ``longest``
+    without those within a longer one."""
+    held = texts.sparkSession.sparkContext.broadcast(names)
+    number = uuid.uuid4().hex
+
+    def run(batches):
+        for b in batches:
+            machine = _machine(number, held.value) if held.value else None
+            at, found = [], []
+            for row, words in enumerate(b.column(1).to_pylist() if machine else []):
+                if not words:
+                    continue
+                hits = sorted(((end - len(n) - 1, end, n) for end, n in machine.iter(f" {words} ")), key=lambda h: (h[0], -h[1]))
+                reach = -1
+                for hit in hits:
+                    if not longest or hit[1] > reach:
+                        reach = hit[1]
+                        at.append(row)
+                        found.append(hit)
+            start, stop, phrase = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(at, pa.int64())), pa.array(start, pa.int64()), pa.array(stop, pa.int64()),
+                 pa.array(phrase, pa.string())], names=[key, "start", "stop", "phrase"])
+
+    return texts.mapInArrow(run, f"`{key}` {texts.schema[key].dataType.simpleString()}, start long, stop long, phrase string")
+
+
+def locations(df: DataFrame, gazetteer: DataFrame, key: str = "id", text_col: str = "body",
+              piece_names: int = PIECE_NAMES) -> DataFrame:
+    """J7 (+P11, P12): (key, name, type) for every place the text mentions, once each; only country / city / region
+    places count. Names (phrase, type) have any number of words; a name within a longer one does not count there.
+
+    The names of a gazetteer of up to ``piece_names`` go to every worker as one automaton. A larger one
+    is cut by a hash of the name into pieces of that size, the texts are searched for each piece, and the longest matches
+    are found over all of them; at most one piece at a time is on the driver."""
+    gaz = materialize(gazetteer.filter(F.col("type").isin(*LOCATION_TYPES)).select(
+        place_words(F.col("phrase")).alias("words"), ux.delete_symbols(ux.title_case(F.col("phrase"))).alias("name"), "type")
+        .filter("words <> ''").distinct())
+    names = gaz.select("words").distinct()
+    pieces = max(1, -(-names.count() // piece_names))
+    texts = df.select(key, place_words(F.col(text_col)).alias("words"))
+    found = []
+    for p in range(pieces):
+        part = [r[0] for r in names.filter(F.pmod(F.xxhash64("words"), F.lit(pieces)) == p).collect()]
+        found.append(_hits(texts, key, part, longest=pieces == 1))
+    hits = reduce(DataFrame.unionByName, found)
+    if pieces > 1:  # behind a match that reaches as far or further
+        ahead = Window.partitionBy(key).orderBy("start", F.desc("stop")).rowsBetween(Window.unboundedPreceding, -1)
+        hits = hits.withColumn("reach", F.max("stop").over(ahead)).filter("reach IS NULL OR stop > reach")
+    return (hits.select(key, F.col("phrase").alias("words")).distinct().join(gaz, "words")
+            .select(key, "name", "type").distinct())
+
+
+def records(articles: DataFrame, kw: DataFrame, places: DataFrame, key: str = "id") -> DataFrame:
+    """E2 + E4: ``articles`` (key, processed) with keywords (the terms by rank, joined by commas), locations (a JSON
+    object whose ``coordinates`` lists {name, type}; NULL where there are none) and n_locations."""
+    kws = kw.groupBy(key).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), ",").alias("keywords"))
+    locs = places.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("name", "type"))).alias("c"))
+    return (articles.join(kws, key, "left").join(locs, key, "left")
+            .select(key, F.coalesce("keywords", F.lit("")).alias("keywords"),
+                    F.when(F.col("c").isNotNull(), F.to_json(F.struct(F.col("c").alias("coordinates")))).alias("locations"),
+                    F.coalesce(F.size("c"), F.lit(0)).alias("n_locations"), "processed"))
 
 
 def tag_rows(kw: DataFrame, key: str = "id") -> DataFrame:

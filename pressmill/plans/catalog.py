@@ -499,24 +499,15 @@ def keywords_topk(spark, sf_dir):
                      F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("locations", """
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\\p{L}+') AS w FROM documents),
-g AS (
-    SELECT doc_id, unnest(w) AS phrase FROM w
-    UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w
-    UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w) - 1),
-                                                   lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w),
-gaz AS (SELECT lower(n_name) AS phrase, 'country' AS type FROM nation
-        UNION ALL SELECT lower(r_name), 'region' FROM region)
-SELECT DISTINCT doc_id, phrase AS name, type FROM g JOIN gaz USING (phrase)
+@query("locations", f"""
+WITH {O.locations_cte('loc', 'documents', 'doc_id', 'text')}
+SELECT doc_id, name, type FROM loc
 """)
 def locations(spark, sf_dir):
-    """Places (countries, regions) the documents mention, from a gazetteer
-    seeded by the nation and region tables."""
+    """Places (countries, cities, regions) the documents mention, longest name at each place."""
     from pressmill.operators import enrich
     docs = read_table(spark, sf_dir, "documents")
-    gaz = enrich.gazetteer_from_tables(read_table(spark, sf_dir, "nation"), read_table(spark, sf_dir, "region"))
-    return enrich.locations(docs.select("doc_id", "text"), gaz, "doc_id", "text")
+    return enrich.locations(docs.select("doc_id", "text"), derive.gazetteer(spark, sf_dir), "doc_id", "text")
 
 
 def _kw5(spark, sf_dir):
@@ -572,10 +563,14 @@ def article_tags(spark, sf_dir):
 @query("enrich_record", f"""
 WITH {O.ARTICLES_CTE},
 gate AS (SELECT id, body FROM articles WHERE translated AND NOT processed),
-{O.keywords_cte('kw', 'gate', 'id', 'body', 10)}
-SELECT g.id, coalesce(string_agg(kw.term, ',' ORDER BY kw.rank), '') AS keywords, CAST(0 AS BIGINT) AS n_locations,
-       true AS processed
-FROM gate g LEFT JOIN kw USING (id) GROUP BY g.id
+{O.keywords_cte('kw', 'gate', 'id', 'body', 10)},
+{O.locations_cte('loc', 'gate', 'id', 'body')},
+places AS (SELECT id, count(*) AS n, '{{"coordinates":[' || string_agg('{{"name":"' || name || '","type":"' || type || '"}}', ','
+                                                                       ORDER BY name, type) || ']}}' AS locations
+           FROM loc GROUP BY id),
+words AS (SELECT id, string_agg(term, ',' ORDER BY rank) AS keywords FROM kw GROUP BY id)
+SELECT g.id, coalesce(keywords, '') AS keywords, locations, coalesce(n, 0) AS n_locations, true AS processed
+FROM gate g LEFT JOIN words USING (id) LEFT JOIN places USING (id)
 """)
 def enrich_record(spark, sf_dir):
     """E1 + E2 + E4: translated, unprocessed articles get their keyword and
@@ -584,16 +579,9 @@ def enrich_record(spark, sf_dir):
     arts = derive.articles(spark, sf_dir).withColumn("translated_body", F.col("body"))
     gate = enrich.enrichment_gate(arts)
     kw = enrich.keywords(gate.select("id", "body"), "id", "body", 10)
-    gaz = enrich.gazetteer_from_tables(read_table(spark, sf_dir, "nation"), read_table(spark, sf_dir, "region"))
-    loc = enrich.locations(gate.select("id", "body"), gaz, "id", "body")
-    kws = kw.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))),
-                                                          lambda x: x["term"]), ",").alias("keywords"))
-    locs = loc.groupBy("id").agg(F.count(F.lit(1)).alias("n_locations"))
-    return (gate.select("id", "translated_body")
-            .join(kws, "id", "left").join(locs, "id", "left")
-            .select("id", F.coalesce("keywords", F.lit("")).alias("keywords"),
-                    F.coalesce("n_locations", F.lit(0)).alias("n_locations"),
-                    enrich.mark_processed(F.col("translated_body")).alias("processed")))
+    loc = enrich.locations(gate.select("id", "body"), derive.gazetteer(spark, sf_dir), "id", "body")
+    done = gate.select("id", enrich.mark_processed(F.col("translated_body")).alias("processed"))
+    return enrich.records(done, kw, loc, "id")
 
 
 # ---------------------------------------------------------------------------
@@ -1053,7 +1041,8 @@ def stream_url_dedup(spark, sf_dir):
     already queued by saved 'article' searches."""
     from pressmill.streaming import jobs
     store = derive.searches(spark, sf_dir).filter(F.col("article_url").isNotNull()).select("article_url")
-    return jobs.url_dedup(spark, _stream(spark, sf_dir, "events"), store).select("article_url")
+    cands = jobs.candidate_urls(_stream(spark, sf_dir, "events"))
+    return jobs.url_dedup(spark, cands, store).select("article_url")
 
 
 @query("stream_quota_windows", """
@@ -1061,16 +1050,15 @@ WITH v AS (SELECT time_bucket(INTERVAL 2 MINUTE, ts) AS window_start, user_id,
                   CAST(floor(value * 100) AS BIGINT) AS volume FROM events),
 wm AS (SELECT max(ts) - INTERVAL 10 MINUTE AS watermark FROM events)
 SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, user_id, CAST(sum(volume) AS BIGINT) AS volume,
-       count(*) AS calls, sum(volume) > 2000 AS over_limit
-FROM v, wm WHERE window_start + INTERVAL 2 MINUTE <= wm.watermark
-GROUP BY window_start, user_id
+       count(*) AS calls, sum(volume) > 2000 AS over_limit, window_start + INTERVAL 2 MINUTE <= any_value(watermark) AS final
+FROM v, wm GROUP BY window_start, user_id
 """)
 def stream_quota_windows(spark, sf_dir):
-    """M7: translate volume per caller per 2-minute event-time window, with a
-    10-minute watermark; only windows the watermark has closed are final."""
+    """M7: translate volume per caller per 2-minute event-time window over all rows, late ones and open windows
+    included; ``final`` says whether the watermark (10 minutes) has closed the window."""
     from pressmill.streaming import jobs
     w = jobs.quota_windows(spark, _stream(spark, sf_dir, "events"))
-    return w.select(_ts_text("window_start").alias("window_start"), "user_id", "volume", "calls", "over_limit")
+    return w.select(_ts_text("window_start").alias("window_start"), "user_id", "volume", "calls", "over_limit", "final")
 
 
 @query("stream_email_links", f"""
@@ -1089,13 +1077,12 @@ def stream_email_links(spark, sf_dir):
 
 @query("stream_enrich", ORACLES["enrich_record"])
 def stream_enrich(spark, sf_dir):
-    """M3 (+E1-E4): arriving articles pass the enrichment gate and get their
-    keyword record and processed flag, micro-batch by micro-batch."""
+    """M3 (+E1-E4): arriving articles pass the enrichment gate; their keyword and location records are scored against
+    the document frequencies of all micro-batches."""
     from pressmill.streaming import jobs
     arts = derive.articles(spark, sf_dir, docs=_stream(spark, sf_dir, "documents"))
     arts = arts.withColumn("translated_body", F.col("body"))
-    out = jobs.enrich(spark, arts, read_table(spark, sf_dir, "nation"), read_table(spark, sf_dir, "region"))
-    return out.select("id", "keywords", "n_locations", "processed")
+    return jobs.enrich(spark, arts, derive.gazetteer(spark, sf_dir)).select("id", "keywords", "locations", "n_locations", "processed")
 
 
 @query("stream_export", f"""

@@ -8,8 +8,8 @@ test corpus carries only ASCII whitespace).
 
 from __future__ import annotations
 
-from pressmill.plans.derive import CRAWL_EPOCH, PERIOD_BY_TOP_EVENT, SOURCE_LISTS, TRASH_RULES, TYPE_BY_FIRST_EVENT
-from pressmill.schemas import CHANNELS
+from pressmill.plans.derive import CRAWL_EPOCH, PERIOD_BY_TOP_EVENT, PLACE_TYPES, SOURCE_LISTS, TRASH_RULES, TYPE_BY_FIRST_EVENT
+from pressmill.schemas import CHANNELS, LOCATION_DELETE_CHARS
 
 
 def q(s: str) -> str:
@@ -275,3 +275,30 @@ links AS (
            CASE WHEN starts_with(hs[k + 1], '/') THEN site || hs[k + 1] ELSE hs[k + 1] END AS link,
            ts[k + 1] AS text
     FROM (SELECT *, unnest(range(0, len(hs))) AS k FROM nav))"""
+
+
+def locations_cte(name: str, source: str, key: str, text: str) -> str:
+    """``name``(key, name, type): places of the derived gazetteer, by comparing every name with the words at every place
+    where its first word stands; names within a longer one do not count there."""
+    words = "array_to_string(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+'), ' ')"
+    item = "string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')"
+    kinds = "['" + "', '".join(PLACE_TYPES) + "']"
+    marks = LOCATION_DELETE_CHARS.replace("'", "''")
+    return f"""{name}_gaz AS (
+  SELECT DISTINCT string_split({words.format('phrase')}, ' ') AS p,
+         translate(array_to_string(list_transform(string_split(phrase, ' '),
+             lambda x: replace(upper(x[1]), 'ẞ', 'Ss') || lower(substr(x, 2))), ' '), '{marks}', '') AS name, type
+  FROM (SELECT lower(n_name) AS phrase, 'country' AS type FROM nation
+        UNION ALL SELECT lower(r_name), 'region' FROM region
+        UNION ALL SELECT array_to_string({item}[1:2 + item_id % 3], ' '), {kinds}[item_id % 4 + 1] FROM benchmark
+        UNION ALL SELECT array_to_string({item}[1:5 + item_id % 3], ' '), {kinds}[(item_id + 1) % 4 + 1] FROM benchmark)
+  WHERE type <> 'continent' AND {words.format('phrase')} <> ''),
+{name}_w AS (SELECT {key}, string_split({words.format(text)}, ' ') AS w FROM {source}),
+{name}_at AS (SELECT {key}, w, i, w[i] AS first FROM {name}_w, unnest(range(1, len(w) + 1)) AS r(i)),
+{name}_hits AS (
+  SELECT DISTINCT a.{key}, a.i, a.i + len(g.p) AS stop, g.p, g.name, g.type
+  FROM {name}_at a JOIN {name}_gaz g ON g.p[1] = a.first AND a.w[a.i:a.i + len(g.p) - 1] = g.p),
+{name} AS (
+  SELECT DISTINCT {key}, name, type FROM {name}_hits h
+  WHERE NOT EXISTS (SELECT 1 FROM {name}_hits o WHERE o.{key} = h.{key} AND o.i <= h.i AND o.stop >= h.stop
+                    AND o.stop - o.i > h.stop - h.i))"""

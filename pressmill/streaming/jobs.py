@@ -1,15 +1,16 @@
 """Structured Streaming jobs (M1-M8).
 
-The harvested system polls on timers; here the same work runs as streams:
+The harvested system polls on timers; here the same work runs as streams. What a micro-batch has to
+leave for later ones lies in tables kept by epoch (``epochs.py``), in forms that merge, so results do not
+depend on how a table is cut into files or in what order they come:
 
-* M5 URL seen-before: watermark + ``dropDuplicatesWithinWatermark`` for the
-  in-flight window, then an anti-join against the article store (and what
-  the sink already holds) in ``foreachBatch`` for everything older;
-* M7 quota windows: event-time tumbling windows with a watermark;
-* M3 enrichment: the E1 gate as a stream filter, E2-E4 per micro-batch;
-* M4 mailbox links: F4 flattening on arriving email searches;
+* M1, M6 due gate: ticks held until the watermark passes them, decided in time order;
 * M2 export: K1-K4 per micro-batch with the push ledger (M8: a replayed
-  micro-batch finds its articles in the ledger and pushes nothing twice).
+  micro-batch finds its articles in the ledger and pushes nothing twice);
+* M3 enrichment: running document frequencies, scored when read;
+* M4 mailbox links: F4 flattening on arriving email searches;
+* M5 URL seen-before: a store in buckets behind bitmaps (``seen.py``);
+* M7 quota windows: partial sums per window and micro-batch.
 
 Every job keeps its checkpoint and sink under the shared checkpoint folder,
 so a restarted driver or lost executor resumes from the last committed
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 
 from pressmill.schemas import QUOTA_VOLUME
 from pressmill.session import checkpoint_dir
+from pressmill.streaming.epochs import EpochTable
+from pressmill.streaming.seen import SeenUrls
 
 
 def stream_paths(spark: SparkSession, name: str, run_id: str | None = None) -> tuple[str, str]:
@@ -56,46 +59,74 @@ def _run(writer, trigger: dict | None):
     return q
 
 
-def url_dedup(spark: SparkSession, events: DataFrame, store_urls: DataFrame, name: str = "url_dedup",
-              delay: str = "1 hour", trigger: dict | None = None, run_id: str | None = None) -> DataFrame:
-    """M5: candidate URLs of arriving events, once each, never one already
-    stored or already emitted. Returns the sink as a batch DataFrame."""
-    ckpt, sink = stream_paths(spark, name, run_id)
-    cand = (events.select(F.col("ts").cast("timestamp").alias("ts"),
-                          F.concat(F.lit("https://news.example.org/item/"),
-                                   F.get_json_object("props", "$.k")).alias("article_url"))
-            .withWatermark("ts", delay)
-            .dropDuplicatesWithinWatermark(["article_url"]))
-    store = store_urls.select("article_url")
+def candidate_urls(events: DataFrame) -> DataFrame:
+    """Candidates of arriving events: ts, article_url (as asked for), final_url (after redirects)."""
+    url = F.concat(F.lit("https://news.example.org/item/"), F.get_json_object("props", "$.k"))
+    return events.select(F.col("ts").cast("timestamp").alias("ts"), url.alias("article_url"), url.alias("final_url"))
 
-    def push(batch: DataFrame, epoch: int):
-        new = batch.select("article_url").dropDuplicates(["article_url"]).join(store, "article_url", "left_anti")
-        if _has_epochs(spark, sink):  # what earlier micro-batches emitted (a replay of this one rewrites it)
-            seen = spark.read.parquet(sink).filter(F.col("epoch") < epoch).select("article_url")
-            new = new.join(seen, "article_url", "left_anti")
-        new.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
 
-    _run(cand.writeStream.foreachBatch(push).option("checkpointLocation", ckpt), trigger)
+def url_dedup(spark: SparkSession, candidates: DataFrame, store_urls: DataFrame, name: str = "url_dedup",
+              trigger: dict | None = None, run_id: str | None = None) -> DataFrame:
+    """M5 + F11: candidate URLs (ts, article_url, final_url), once each. A candidate is known if its requested or its
+    final URL is stored or came out earlier. There is no watermark, so a late row is a row like any other:
+    the store of seen URLs answers for any time past. Returns the sink: article_url, final_url, epoch."""
+    ckpt, base = stream_paths(spark, name, run_id)
+    sink, seen = f"{base}/new", SeenUrls(spark, f"{base}/seen")
+    if seen.store.last() < 0:  # a resumed stream has it
+        seen.add(0, store_urls.select(F.col("article_url").alias("url")).distinct())
+
+    def push(batch: DataFrame, epoch: int):
+        rows = batch.where("article_url IS NOT NULL").select(
+            "article_url", F.coalesce("final_url", "article_url").alias("final_url"), "ts")
+        for key in ("article_url", "final_url"):  # the earliest of each, by either key
+            first = F.min(F.struct("ts", "article_url", "final_url")).alias("r")
+            rows = rows.groupBy(F.col(key).alias("k")).agg(first).select("r.*")
+        urls = rows.select(F.explode(F.array("article_url", "final_url")).alias("url")).distinct()
+        met, _ = seen.met(epoch + 1, urls)
+        if met is not None:
+            for key in ("article_url", "final_url"):
+                rows = rows.join(met.select(F.col("url").alias(key)), key, "left_anti")
+        rows.select("article_url", "final_url").write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+        new = spark.read.parquet(f"{sink}/epoch={epoch}")
+        seen.add(epoch + 1, new.select(F.explode(F.array("article_url", "final_url")).alias("url")).distinct())
+
+    _run(candidates.writeStream.foreachBatch(push).option("checkpointLocation", ckpt), trigger)
     return spark.read.parquet(sink)
 
 
 def quota_windows(spark: SparkSession, events: DataFrame, name: str = "quota_windows",
                   window: str = "2 minutes", delay: str = "10 minutes", trigger: dict | None = None,
                   run_id: str | None = None) -> DataFrame:
-    """M7: characters per caller per tumbling window; windows over the
-    volume limit are flagged. Append mode: a window is final once the
-    watermark (max event time - delay) has passed its end."""
-    ckpt, sink = stream_paths(spark, name, run_id)
-    w = (events.select(F.col("ts").cast("timestamp").alias("ts"), "user_id",
-                       F.floor(F.col("value") * 100).cast("bigint").alias("volume"))
-         .withWatermark("ts", delay)
-         .groupBy(F.window("ts", window), "user_id")
-         .agg(F.sum("volume").alias("volume"), F.count(F.lit(1)).alias("calls"))
-         .select(F.col("window.start").alias("window_start"), "user_id", "volume", "calls",
-                 (F.col("volume") > QUOTA_VOLUME).alias("over_limit")))
-    _run(w.writeStream.outputMode("append").format("parquet").option("path", sink)
-         .option("checkpointLocation", ckpt), trigger)
-    return spark.read.parquet(sink)
+    """M7: characters per caller per tumbling event-time window; windows over the volume limit are flagged.
+
+    A micro-batch leaves one partial sum per window and caller. Partial sums add up, so the windows hold all rows in
+    whatever order they came: a late row adds to its window and is counted in ``late_calls``, an open window
+    is there with ``final`` false. A window is final once the watermark (newest event time - delay) has passed its end;
+    a row is late if it came in a later micro-batch than that."""
+    ckpt, base = stream_paths(spark, name, run_id)
+    sums = EpochTable(spark, f"{base}/sums", lambda df: df.groupBy("window_start", "window_end", "user_id").agg(
+        F.sum("volume").alias("volume"), F.sum("calls").alias("calls"), F.sum("late_calls").alias("late_calls")))
+    marks = EpochTable(spark, f"{base}/marks", lambda df: df.agg(F.max("newest").alias("newest")))
+
+    def mark(df):
+        return None if df is None else df.first()["newest"]
+
+    def push(batch: DataFrame, epoch: int):
+        rows = batch.select(F.col("ts").cast("timestamp").alias("ts"), "user_id",
+                            F.floor(F.col("value") * 100).cast("bigint").alias("volume"))
+        part = (rows.groupBy(F.window("ts", window).alias("w"), "user_id")
+                .agg(F.sum("volume").alias("volume"), F.count(F.lit(1)).alias("calls"), F.max("ts").alias("newest")))
+        before = mark(marks.before(epoch))
+        late = F.lit(False) if before is None else F.col("w.end") <= F.lit(before) - F.expr(f"INTERVAL {delay}")
+        part = part.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "user_id", "volume",
+                           "calls", F.when(late, F.col("calls")).otherwise(0).alias("late_calls"), "newest")
+        sums.write(epoch, part)
+        marks.write(epoch, sums.delta(epoch).agg(F.max("newest").alias("newest")))
+
+    _run(events.writeStream.foreachBatch(push).option("checkpointLocation", ckpt), trigger)
+    newest = mark(marks.now())
+    return sums.now().select("window_start", "user_id", "volume", "calls", (F.col("volume") > QUOTA_VOLUME).alias("over_limit"),
+                             "late_calls", (F.col("window_end") <= F.lit(newest) - F.expr(f"INTERVAL {delay}")).alias("final"))
 
 
 def email_links(spark: SparkSession, email_rows: DataFrame, name: str = "email_links",
@@ -110,31 +141,33 @@ def email_links(spark: SparkSession, email_rows: DataFrame, name: str = "email_l
     return spark.read.parquet(sink)
 
 
-def enrich(spark: SparkSession, articles: DataFrame, nation: DataFrame, region: DataFrame,
-           name: str = "enrich", trigger: dict | None = None, run_id: str | None = None) -> DataFrame:
-    """M3: the enrichment gate as a stream filter; each micro-batch gets its
-    keyword record (top 10 TF-IDF terms of the batch), place count, and the
-    processed flag. The sink is append-only and keyed by article id."""
+def enrich(spark: SparkSession, articles: DataFrame, gazetteer: DataFrame,
+           name: str = "enrich", k: int = 10, trigger: dict | None = None, run_id: str | None = None) -> DataFrame:
+    """M3: the enrichment gate as a stream filter. A micro-batch leaves its articles' term counts and places, and adds
+    its document count and document frequencies to a running table. Scores are formed when the records are
+    read, against the frequencies of everything that has come by then, so they do not
+    depend on how the articles were dealt to micro-batches. Returns the records: id, keywords (the ``k`` best terms),
+    locations, n_locations, processed."""
     from pressmill.operators import enrich as en
-    ckpt, sink = stream_paths(spark, name, run_id)
+    ckpt, base = stream_paths(spark, name, run_id)
+    # the empty term, which no text has, counts the documents
+    freqs = EpochTable(spark, f"{base}/frequencies", lambda df: df.groupBy("term").agg(F.sum("df").alias("df")))
     gated = en.enrichment_gate(articles)
-    gaz = en.gazetteer_from_tables(nation, region)
 
     def process(batch: DataFrame, epoch: int):
-        b = batch.select("id", "body", "translated_body")
-        kw = en.keywords(b.select("id", "body"), "id", "body", 10)
-        loc = en.locations(b.select("id", "body"), gaz, "id", "body")
-        kws = kw.groupBy("id").agg(F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), ",").alias("keywords"))
-        locs = loc.groupBy("id").agg(F.count(F.lit(1)).alias("n_locations"))
-        (b.join(kws, "id", "left").join(locs, "id", "left")
-         .select("id", F.coalesce("keywords", F.lit("")).alias("keywords"),
-                 F.coalesce("n_locations", F.lit(0)).alias("n_locations"),
-                 en.mark_processed(F.col("translated_body")).alias("processed"))
-         .write.mode("overwrite").parquet(f"{sink}/epoch={epoch}"))   # a replayed epoch rewrites itself
+        b = batch.select("id", "body", F.col("translated_body").isNotNull().alias("processed"))
+        en.terms(b, "id", "body").write.mode("overwrite").parquet(f"{base}/terms/epoch={epoch}")
+        b.select("id", "processed").write.mode("overwrite").parquet(f"{base}/articles/epoch={epoch}")
+        en.locations(b, gazetteer, "id", "body").write.mode("overwrite").parquet(f"{base}/places/epoch={epoch}")
+        term_rows, art_rows = (spark.read.parquet(f"{base}/{t}/epoch={epoch}") for t in ("terms", "articles"))
+        freqs.write(epoch, term_rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")).unionByName(
+            art_rows.agg(F.count(F.lit(1)).alias("df")).withColumn("term", F.lit(""))))
 
     _run(gated.writeStream.foreachBatch(process).option("checkpointLocation", ckpt), trigger)
-    return spark.read.parquet(sink)
+    arts, terms, places = (spark.read.parquet(f"{base}/{t}").drop("epoch") for t in ("articles", "terms", "places"))
+    known = freqs.now()
+    kw = en.score_terms(terms, known.where("term <> ''"), known.where("term = ''").select(F.col("df").alias("n")), "id", k)
+    return en.records(arts, kw, places, "id")
 
 
 def export(spark: SparkSession, articles: DataFrame, searches: DataFrame, name: str = "export",
@@ -164,46 +197,68 @@ def export(spark: SparkSession, articles: DataFrame, searches: DataFrame, name:
     return spark.read.parquet(ledger)
 
 
-_PERIOD_SECONDS = {"hourly": 3600, "daily": 86400, "weekly": 7 * 86400}
-
-
-def _period_seconds(period) -> int:
-    """hourly / daily / weekly; anything else is 30 days."""
-    return _PERIOD_SECONDS.get(period, 30 * 86400)
-
-
-def _gate(key, pdfs, state):
-    """Per search: a tick is due when the search never ran or its period has
-    strictly passed since the last due tick; due ticks advance the state."""
-    import pandas as pd
-    last = state.get[0] if state.exists else None
-    chunks = [p for p in pdfs]
-    out_cols = ["search_pk", "tick_id", "tick_ts", "due"]
-    if not chunks:
-        yield pd.DataFrame(columns=out_cols)
-        return
-    batch = pd.concat(chunks).sort_values(["tick_ts", "tick_id"])
-    due = []
-    for ts, period in zip(batch["tick_ts"], batch["period"]):
-        ok = last is None or (ts - last).total_seconds() > _period_seconds(period)
-        if ok:
-            last = ts
-        due.append(ok)
-    state.update((last,))
-    yield pd.DataFrame({"search_pk": batch["search_pk"].values, "tick_id": batch["tick_id"].values,
-                        "tick_ts": batch["tick_ts"].values, "due": due})
-
-
-def due_gate(spark: SparkSession, ticks: DataFrame, name: str = "due_gate", trigger: dict | None = None,
-             run_id: str | None = None) -> DataFrame:
-    """M1 + M6: scheduler ticks ``(search_pk, tick_id, tick_ts, period)``
-    pass through a per-search state holding the last run time (one value
-    per search, kept in the checkpointed state store)."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-    ckpt, sink = stream_paths(spark, name, run_id)
-    out = ticks.groupBy("search_pk").applyInPandasWithState(
-        _gate, "search_pk long, tick_id long, tick_ts timestamp, due boolean", "last timestamp",
-        "append", GroupStateTimeout.NoTimeout)
-    _run(out.writeStream.outputMode("append").format("parquet").option("path", sink)
-         .option("checkpointLocation", ckpt), trigger)
-    return spark.read.parquet(sink)
+def due_gate(spark: SparkSession, ticks: DataFrame, name: str = "due_gate", delay: str | None = None,
+             trigger: dict | None = None, run_id: str | None = None) -> DataFrame:
+    """M1 + M6: scheduler ticks ``(search_pk, tick_id, tick_ts, period)`` in time order, whatever order they come in.
+
+    Ticks are held until the watermark (newest tick - ``delay``) has passed them; a micro-batch then
+    decides all that it releases, from its searches' last due times. A tick behind what was released
+    already cannot be put in order any more: it comes out with ``late`` and without a decision. When an
+    ``availableNow`` run has drained its source, the ticks still held are released. Without a ``delay`` ticks are
+    held until then, which orders any table; a continuous run has to name one.
+    Returns search_pk, tick_id, tick_ts, due, late."""
+    from pressmill.operators.gate import due_ticks
+    drains = trigger is None or "availableNow" in trigger or "once" in trigger
+    if delay is None and not drains:
+        raise ValueError("a continuous run needs a delay")
+    ckpt, base = stream_paths(spark, name, run_id)
+    held, sink = EpochTable(spark, f"{base}/held", every=1 << 30), f"{base}/decided"
+    # what a micro-batch leaves has slot 2 * epoch, what the end of a drained run adds the odd one behind it
+    last = EpochTable(spark, f"{base}/last", lambda df: df.groupBy("search_pk").agg(F.max("last_due").alias("last_due")))
+    marks = EpochTable(spark, f"{base}/marks", lambda df: df.agg(F.max("newest").alias("newest"), F.max("released").alias("released")))
+
+    def mark(slot):
+        got = marks.before(slot)
+        row = None if got is None else got.first()
+        return (None, None) if row is None else (row["newest"], row["released"])
+
+    def release(slot: int, after, upto, late):
+        rows = spark.read.parquet(f"{base}/held/delta").drop("epoch")
+        ready = rows.where(F.col("tick_ts") <= F.lit(upto)) if after is None else rows.where(
+            (F.col("tick_ts") > F.lit(after)) & (F.col("tick_ts") <= F.lit(upto)))
+        decided = due_ticks(ready, last.before(slot)).withColumn("late", F.lit(False))
+        if late is not None:
+            decided = decided.unionByName(late.select("search_pk", "tick_id", "tick_ts", F.lit(None).cast("boolean").alias("due"),
+                                                      F.lit(True).alias("late")))
+        decided.write.mode("overwrite").parquet(f"{sink}/slot={slot}")
+        done = spark.read.parquet(f"{sink}/slot={slot}")
+        last.write(slot, done.where("due").groupBy("search_pk").agg(F.max("tick_ts").alias("last_due")))
+
+    def push(batch: DataFrame, epoch: int):
+        newest, released = mark(2 * epoch)
+        held.write(epoch, batch.select("search_pk", "tick_id", "tick_ts", "period"))
+        rows = held.delta(epoch)
+        here = rows.agg(F.max("tick_ts")).first()[0]
+        newest = here if newest is None else newest if here is None else max(newest, here)
+        no_time = rows.where("tick_ts IS NULL OR search_pk IS NULL")  # never due, nothing to wait for
+        if delay is None or newest is None:
+            upto = released
+        else:
+            upto = spark.range(1).select(F.lit(newest) - F.expr(f"INTERVAL {delay}")).first()[0]
+            upto = upto if released is None else max(upto, released)
+        late = rows.where(F.col("tick_ts") <= F.lit(released)) if released is not None else None
+        if upto is not None:
+            release(2 * epoch, released, upto, late)
+        untimed = no_time.select("search_pk", "tick_id", "tick_ts", F.lit(False).alias("due"), F.lit(False).alias("late"))
+        untimed.write.mode("overwrite").parquet(f"{base}/untimed/epoch={epoch}")
+        marks.write(2 * epoch, spark.createDataFrame([(newest, upto)], "newest timestamp, released timestamp"))
+
+    _run(ticks.writeStream.foreachBatch(push).option("checkpointLocation", ckpt), trigger)
+    if drains and held.last() >= 0:
+        slot = 2 * held.last() + 1
+        newest, released = mark(slot)
+        if newest is not None and (released is None or released < newest):
+            release(slot, released, newest, None)
+            marks.write(slot, spark.createDataFrame([(newest, newest)], "newest timestamp, released timestamp"))
+    untimed = spark.read.parquet(f"{base}/untimed").drop("epoch")
+    return spark.read.parquet(sink).drop("slot").unionByName(untimed) if marks.now().first()["released"] else untimed
