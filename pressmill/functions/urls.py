@@ -127,4 +127,6 @@ def decode_payload(payload_bytes, charset) -> Column:
         out = F.when(cs == name, F.translate(latin, upper, table)).otherwise(out)
     for name, unit in (("UTF-16", 2), ("UTF-16BE", 2), ("UTF-16LE", 2), ("UTF-32", 4)):
         out = F.when((cs == name) & (F.octet_length(b) % unit == 0), F.decode(b, name)).otherwise(out)
+    for name in ("UTF-32BE", "UTF-32LE"):  # the decoder goes by the mark
+        out = F.when((cs == name) & (F.octet_length(b) % 4 == 0), F.decode(b, "UTF-32")).otherwise(out)
     return out

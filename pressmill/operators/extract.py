@@ -5,10 +5,9 @@ Two paths:
 * the native fast path (X1): title from ``<title>``, main content from the
   first ``<article>`` (then ``<main>``, then ``<body>``) with regular
   expressions, all inside codegen;
-* the tag harvest (X1 density fallback, X2-X5, X8): one ``mapInPandas``
-  pass with the standard-library HTML parser, emitting per page the few
-  attributes the precedence rules need. Precedence, date parsing and
-  assembly stay in Spark expressions.
+* the tree passes (``functions/htmltree.py``): X1 scoring for pages that mark no article, and the tag harvest (X2-X5,
+  X8), one ``mapInPandas`` pass that emits per page the few attributes the precedence rules need. Precedence
+  and assembly stay in Spark expressions; dates go through the grammar of ``functions/dates.py``.
 
 Only the harvest crosses to Python; keep ``html`` out of every plan after it.
 """
@@ -16,14 +15,17 @@ Only the harvest crosses to Python; keep ``html`` out of every plan after it.
 from __future__ import annotations
 
 import json
-from html.parser import HTMLParser
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pressmill.functions import htmltree
 from pressmill.functions import text as tx
+from pressmill.functions.charset import page_text
+from pressmill.functions.dates import first_date, parse_date
 from pressmill.functions.urls import is_html
 from pressmill.schemas import DATE_CLASS_PATTERN, DATE_META_KEYS
 
@@ -38,6 +40,14 @@ def successful(responses: DataFrame) -> DataFrame:
             .withColumn("article_url", F.coalesce(F.col("final_url"), F.col("url"))))
 
 
+def decoded(responses: DataFrame) -> DataFrame:
+    """A BINARY ``payload`` as text, in the charset that its mark, header, meta tag or bytes tell; text stays."""
+    if not isinstance(responses.schema["payload"].dataType, T.BinaryType):
+        return responses
+    charset = F.col("charset") if "charset" in responses.columns else None
+    return responses.withColumn("payload", page_text(F.col("payload"), F.col("content_type"), charset))
+
+
 def pages_as_responses(pages: DataFrame) -> DataFrame:
     """The landed-page table as responses: every page was fetched with 200 text/html."""
     return pages.select(
@@ -103,9 +113,9 @@ def page_articles(responses: DataFrame, candidates: DataFrame | None = None,
     non-HTML responses keep the initial title/body and become trash (G4).
 
     With ``density_fallback`` the pages that have neither ``<article>`` nor
-    ``<main>`` (and only those) cross to the Python harvest, which picks the
-    block with the most text; all other pages stay on the native path."""
-    r = successful(responses)
+    ``<main>`` (and only those) cross to Python, which scores their trees;
+    all other pages stay on the native path. Binary payloads are decoded first."""
+    r = decoded(successful(responses))
     if candidates is not None:
         c = candidates.select(F.col("article_url").alias("_req_url"),
                               F.col("title").alias("init_title"), F.col("body").alias("init_body"),
@@ -120,11 +130,7 @@ def page_articles(responses: DataFrame, candidates: DataFrame | None = None,
     if density_fallback:
         structured = F.col("payload").rlike(r"(?i)<(article|main)\b")
         fast = r.filter(~F.col("is_html") | structured)
-        slow = r.filter(F.col("is_html") & ~structured)
-        dense = harvest_tags(slow, key_cols=slow.columns)     # every column passes through
-        slow = (dense.withColumn("_main", F.coalesce(F.nullif(F.col("dense_text_html"), F.lit("")), F.col("_main")))
-                .select(*r.columns))
-        r = fast.unionByName(slow)
+        r = fast.unionByName(scored_content(r.filter(F.col("is_html") & ~structured)))
     title = F.when(F.col("is_html"), prefer(title_of("payload"), F.col("init_title"))).otherwise(F.col("init_title"))
     raw_body = F.when(F.col("is_html"), prefer(F.col("_main"), F.col("init_body"))).otherwise(F.col("init_body"))
     body = tx.collapse_ws(tx.clean_html(raw_body))
@@ -152,98 +158,9 @@ HARVEST_SCHEMA = T.StructType([
     T.StructField("class_dates", T.ArrayType(T.StringType())),
     T.StructField("og_image", T.StringType()),
     T.StructField("first_img", T.StringType()),
-    T.StructField("dense_text_html", T.StringType()),
 ])
 
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source",
-         "track", "wbr"}
-
-
-class _Harvester(HTMLParser):
-    """Collects what the author/date/image precedence rules look at."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.stack = []          # open elements: [tag, attrs, text parts, is_capture]
-        self.metas = []
-        self.ld_json = None
-        self._in_ld = False
-        self._ld_parts = []
-        self.itemprop_author = None
-        self.rel_author = None
-        self.class_author = None
-        self.time_date = None
-        self.span_date = None
-        self.class_dates = []
-        self.first_img = None
-        self.blocks = []         # (text length, html) of candidate content blocks
-
-    def handle_starttag(self, tag, attrs):
-        a = {k.lower(): (v or "") for k, v in attrs}
-        if tag == "meta":
-            self.metas.append(a)
-            return
-        if tag == "img":
-            if self.first_img is None and a.get("src"):
-                self.first_img = a["src"]
-            return
-        if tag == "script" and a.get("type", "").lower() == "application/ld+json" and self.ld_json is None:
-            self._in_ld = True
-            self._ld_parts = []
-        if tag in _VOID:
-            return
-        self.stack.append([tag, a, [], self.getpos()])
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in _VOID and self.stack and self.stack[-1][0] == tag:
-            self.handle_endtag(tag)
-
-    def handle_data(self, data):
-        if self._in_ld:
-            self._ld_parts.append(data)
-            return
-        for el in self.stack:
-            el[2].append(data)
-
-    def handle_endtag(self, tag):
-        if tag == "script" and self._in_ld:
-            self.ld_json = "".join(self._ld_parts)
-            self._in_ld = False
-        # close up to the matching open element
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                for el in reversed(self.stack[i:]):
-                    self._closed(el)
-                del self.stack[i:]
-                return
-
-    def _closed(self, el):
-        tag, a, parts, _ = el
-        text = "".join(parts).strip()
-        cls = a.get("class", "")
-        if a.get("itemprop", "").lower() == "author":
-            self.itemprop_author = text if text else a.get("content")
-        if tag == "a" and "author" in a.get("rel", "").lower().split():
-            self.rel_author = text
-        if "art-author" in cls.lower():
-            self.class_author = text
-        if tag == "time" and self.time_date is None:
-            if a.get("datetime"):
-                self.time_date = a["datetime"]
-            elif cls.split()[:1] and cls.split()[0].lower() == "timestamp":
-                self.time_date = text
-        if tag == "span" and a.get("itemprop") == "datePublished" and self.span_date is None:
-            self.span_date = a.get("content") or text
-        if cls and _DATE_CLASS.search(cls):
-            self.class_dates.append(text)
-        if tag in ("div", "section", "td"):
-            self.blocks.append((len(text), text))
-
-
-import re as _re  # noqa: E402
-
-_DATE_CLASS = _re.compile(DATE_CLASS_PATTERN, _re.IGNORECASE)
+_DATE_CLASS = re.compile(DATE_CLASS_PATTERN, re.IGNORECASE)
 
 
 def _meta_date(metas):
@@ -275,39 +192,49 @@ def _text_or_none(value):
     return value if isinstance(value, str) else None
 
 
+def _linked_data(nodes) -> dict:
+    """The first linked-data script, if it is an object."""
+    script = next((n for n in nodes if n.tag == "script" and n.attrs.get("type", "").lower() == "application/ld+json"), None)
+    try:
+        data = json.loads(script.text()) if script is not None else None
+    except ValueError:  # bad JSON says nothing
+        return {}
+    return data if isinstance(data, dict) else {}
+
+
 def harvest_one(html: str | None) -> dict:
-    h = _Harvester()
+    """What the author, date and image rules look at, taken from the tree in document order."""
     out = {f.name: None for f in HARVEST_SCHEMA.fields}
     if not html:
         return out
-    try:
-        h.feed(html)
-        h.close()
-    except Exception:  # malformed markup: keep what was collected
-        pass
-    if h.ld_json:
-        try:
-            data = json.loads(h.ld_json)
-            if isinstance(data, dict):
-                author = data.get("author")
-                if isinstance(author, dict):
-                    out["ld_author"] = _text_or_none(author.get("name"))
-                out["ld_published"] = _text_or_none(data.get("datePublished"))
-                out["ld_created"] = _text_or_none(data.get("dateCreated"))
-        except ValueError:
-            pass
-    out["meta_author"] = _meta_author(h.metas)
-    out["itemprop_author"] = h.itemprop_author
-    out["rel_author"] = h.rel_author
-    out["class_author"] = h.class_author
-    out["meta_date"] = _meta_date(h.metas)
-    out["time_date"] = h.time_date
-    out["span_date"] = h.span_date
-    out["class_dates"] = h.class_dates or None
-    out["og_image"] = _og_image(h.metas)
-    out["first_img"] = h.first_img
-    if h.blocks:
-        out["dense_text_html"] = max(h.blocks, key=lambda b: b[0])[1]
+    nodes = list(htmltree.parse(html).nodes())
+    metas = [n.attrs for n in nodes if n.tag == "meta"]
+    data = _linked_data(nodes)
+    if isinstance(data.get("author"), dict):
+        out["ld_author"] = _text_or_none(data["author"].get("name"))
+    out["ld_published"], out["ld_created"] = _text_or_none(data.get("datePublished")), _text_or_none(data.get("dateCreated"))
+    class_dates = []
+    for n in nodes:
+        cls, prop = n.attrs.get("class", ""), n.attrs.get("itemprop", "")
+        if prop.lower() == "author" and n.tag != "meta":
+            out["itemprop_author"] = n.text().strip() or n.attrs.get("content")
+        if n.tag == "a" and "author" in n.attrs.get("rel", "").lower().split():
+            out["rel_author"] = n.text().strip()
+        if "art-author" in cls.lower():
+            out["class_author"] = n.text().strip()
+        if n.tag == "time" and out["time_date"] is None:
+            if n.attrs.get("datetime"):
+                out["time_date"] = n.attrs["datetime"]
+            elif n.classes()[:1] and n.classes()[0].lower() == "timestamp":
+                out["time_date"] = n.text().strip()
+        if n.tag == "span" and prop == "datePublished" and out["span_date"] is None:
+            out["span_date"] = n.attrs["content"] if "content" in n.attrs else n.text().strip()
+        if n.tag == "img" and out["first_img"] is None and n.attrs.get("src"):
+            out["first_img"] = n.attrs["src"]
+        if cls and _DATE_CLASS.search(cls):
+            class_dates.append(n.text().strip())
+    out["meta_author"], out["meta_date"], out["og_image"] = _meta_author(metas), _meta_date(metas), _og_image(metas)
+    out["class_dates"] = class_dates or None
     return out
 
 
@@ -327,51 +254,37 @@ def harvest_tags(responses: DataFrame, key_cols=("url",)) -> DataFrame:
     return responses.select(*cols).mapInPandas(lambda it: _harvest_batches(it, key_cols), schema)
 
 
+def scored_content(responses: DataFrame, out: str = "_main") -> DataFrame:
+    """X1 for pages that mark no article: ``out`` becomes the inner HTML of the part of the tree that scores best; a page
+    without any text keeps its ``out``."""
+    def run(it):
+        for pdf in it:
+            best = [htmltree.content_html(x) if x else None for x in pdf["payload"]]
+            pdf[out] = [old if new is None else new for new, old in zip(best, pdf[out])]
+            yield pdf
+
+    return responses.mapInPandas(run, responses.schema)
+
+
 # ---------------------------------------------------------------------------
-# Date parsing (X6) and precedence
+# Dates (X6) and precedence
 # ---------------------------------------------------------------------------
-_DATE_FORMATS = [
-    "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSX",
-    "yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd'T'HH:mm:ssZ", "yyyy-MM-dd'T'HH:mmX", "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyyMMddHHmm", "yyyyMMdd",
-    "MM/dd/yyyy hh:mma", "MM/dd/yyyy HH:mm", "MM/dd/yyyy", "MMMM d, yyyy, h:mm a", "MMMM d, yyyy h:mm a",
-    "MMMM d, yyyy", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss", "d MMMM yyyy", "MMM d, yyyy",
-    "h:mm:ss a MMMM d, yyyy",
-]
-
-
-def parse_date(x) -> Column:
-    """First format that parses; weekday names are dropped first (the
-    parser has no weekday-name pattern letter); failure gives NULL."""
-    s = F.trim(F.regexp_replace(_c(x), r"(?i)\b(mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s*", ""))
-    s = F.regexp_replace(s, r"\s+", " ")
-    s2 = F.regexp_replace(F.regexp_replace(s, r"(?i)(\d)\s*am\b", "$1 AM"), r"(?i)(\d)\s*pm\b", "$1 PM")
-    s3 = F.regexp_replace(s2, r" (AM|PM)\b", "$1")
-    cands = []
-    for f in _DATE_FORMATS:
-        cands.append(F.try_to_timestamp(s2, F.lit(f)))
-        if "a" in f:
-            cands.append(F.try_to_timestamp(s3, F.lit(f.replace(" a", "a"))))
-    return F.coalesce(*cands)
-
-
-def article_meta(harvest: DataFrame) -> DataFrame:
-    """Authors, published date and top image per page from the harvest."""
+def article_meta(harvest: DataFrame, anchor: Column | None = None) -> DataFrame:
+    """Authors, published date and top image per page from the harvest. ``anchor`` is the time that relative dates and
+    dates without a year go by."""
     h = harvest
     # HTML sources override LD-JSON; the later HTML rules override earlier ones
     author = prefer(F.col("class_author"), F.col("rel_author"), F.col("itemprop_author"),
                     F.col("meta_author"), F.col("ld_author"))
-    ld_date = F.coalesce(parse_date("ld_published"), parse_date("ld_created"))            # X3
-    meta_date = parse_date("meta_date")                                                  # X4
-    class_date = F.get(F.filter(F.transform(F.coalesce("class_dates", F.array().cast("array<string>")),
-                                            lambda t: parse_date(t)), lambda d: d.isNotNull()), 0)
-    tag_date = F.when(F.col("time_date").isNotNull(), parse_date("time_date")).otherwise(
-        F.when(F.col("span_date").isNotNull(), parse_date("span_date")).otherwise(class_date))  # X5
+    ld_date = F.coalesce(parse_date("ld_published", anchor), parse_date("ld_created", anchor))   # X3
+    meta_date = parse_date("meta_date", anchor)                                                 # X4
+    class_date = first_date("class_dates", anchor)
+    tag_date = F.when(F.col("time_date").isNotNull(), parse_date("time_date", anchor)).otherwise(
+        F.when(F.col("span_date").isNotNull(), parse_date("span_date", anchor)).otherwise(class_date))  # X5
     published = F.coalesce(ld_date, meta_date, tag_date)                                  # X7
     image = F.coalesce(F.nullif(F.col("og_image"), F.lit("")), F.col("first_img"))       # X8
     keys = [c for c in h.columns if c not in HARVEST_SCHEMA.fieldNames()]
     return h.select(*keys, F.coalesce(author, F.lit("")).alias("authors"),
                     published.alias("post_ts"),
                     F.date_format(published, "yyyy-MM-dd HH:mm:ss").alias("post_date_created"),
-                    F.coalesce(image, F.lit("")).alias("top_image_url"),
-                    F.col("dense_text_html"))
+                    F.coalesce(image, F.lit("")).alias("top_image_url"))

@@ -22,7 +22,11 @@ def build_articles(responses: DataFrame, rules: DataFrame, profile: DataFrame, p
                    key: str = "page_id", candidates: DataFrame | None = None,
                    searches: DataFrame | None = None, search_pk: DataFrame | None = None) -> DataFrame:
     arts = extract.page_articles(responses, candidates, density_fallback=True)
-    meta = extract.article_meta(extract.harvest_tags(extract.successful(responses), key_cols=(key,)))
+    # a table of pages that are all fetched has no crawl time; relative dates then have nothing to go by
+    crawled = "crawled_at" in responses.columns
+    harvest = extract.harvest_tags(extract.decoded(extract.successful(responses)),
+                                   key_cols=(key, "crawled_at") if crawled else (key,))
+    meta = extract.article_meta(harvest, F.col("crawled_at") if crawled else None)
     arts = arts.join(meta.select(key, "authors", "post_date_created", "post_ts", "top_image_url"), key, "left")
     # the extracted rows (HTML gone) feed several branches below: cut the
     # lineage once so the Python harvest never runs again for them

@@ -1,6 +1,6 @@
 """HTML search-result pages -> candidates.
 
-One ``mapInPandas`` pass with the standard-library HTML parser, driven by the
+One ``mapInPandas`` pass over the tolerant tree of ``functions/htmltree.py``, driven by the
 per-engine selector table (container element/class, snippet element/class).
 For each result container it takes the first link's href and text and the
 first snippet element's text ('' when missing). The Python step only walks
@@ -9,13 +9,12 @@ markup; redirect unwrapping and stripping run as Spark expressions after it.
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pressmill.functions import htmltree
 from pressmill.functions import text as tx
 from pressmill.functions.urls import unwrap_redirect
 from pressmill.schemas import HTML_ENGINE_SELECTORS
@@ -31,80 +30,28 @@ RESULT_SCHEMA = T.StructType([
     T.StructField("snippet", T.StringType()),
 ])
 
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "wbr"}
-
-
-def _class_match(cls: str, want: str, exact: bool) -> bool:
-    return cls == want if exact else want in cls
-
-
-class _ResultParser(HTMLParser):
-    def __init__(self, sel):
-        super().__init__(convert_charrefs=True)
-        self.ctag, self.cclass, self.stag, self.sclass, _ = sel
-        self.exact = self.ctag == "div"   # div containers match the class exactly, li containers by contains
-        self.depth = 0
-        self.items = []
-        self.cur = None          # open result container
-        self.cur_depth = None
-        self.in_a = None         # depth of the first link while open
-        self.in_s = None         # depth of the first snippet element while open
-
-    def handle_starttag(self, tag, attrs):
-        a = {k: (v or "") for k, v in attrs}
-        if tag in _VOID:
-            return
-        self.depth += 1
-        if self.cur is None:
-            if tag == self.ctag and _class_match(a.get("class", ""), self.cclass, self.exact):
-                self.cur = {"href": None, "a": [], "s": [], "has_s": False}
-                self.cur_depth = self.depth
-            return
-        if tag == "a" and self.cur["href"] is None:
-            self.cur["href"] = a.get("href", "")
-            self.in_a = self.depth
-        if (tag == self.stag and not self.cur["has_s"]
-                and (self.sclass is None or a.get("class", "") == self.sclass)):
-            self.cur["has_s"] = True
-            self.in_s = self.depth
-
-    def handle_endtag(self, tag):
-        if tag in _VOID:
-            return
-        if self.in_a == self.depth:
-            self.in_a = None
-        if self.in_s == self.depth:
-            self.in_s = None
-        if self.cur is not None and self.cur_depth == self.depth:
-            self.items.append(self.cur)
-            self.cur = None
-        self.depth -= 1
-
-    def handle_data(self, data):
-        if self.cur is None:
-            return
-        if self.in_a is not None:
-            self.cur["a"].append(data)
-        if self.in_s is not None:
-            self.cur["s"].append(data)
-
 
 def parse_result_page(engine: str, html: str | None) -> list[tuple]:
+    """(item_no, href, link text, snippet) per result container, in document order. A container's first link and first
+    snippet element count, wherever they stand in it; a result within another one is a result of its own."""
     sel = _SEL.get(engine)
     if sel is None or not html:
         return []
-    p = _ResultParser(sel)
-    try:
-        p.feed(html)
-        p.close()
-    except Exception:  # malformed markup: keep the results found so far
-        pass
+    ctag, cclass, stag, sclass, skip = sel
     out = []
-    for it in p.items:
-        if sel[4] and (it["href"] is None or not it["has_s"]):
+    for box in htmltree.parse(html).nodes():
+        # div containers match the class exactly, li containers by contains
+        cls = box.attrs.get("class", "")
+        if box.tag != ctag or not (cls == cclass if ctag == "div" else cclass in cls):
+            continue
+        inside = list(box.nodes())[1:]
+        link = next((n for n in inside if n.tag == "a" and "href" in n.attrs), None)
+        snippet = next((n for n in inside if n.tag == stag and (sclass is None or n.attrs.get("class", "") == sclass)), None)
+        if skip and (link is None or snippet is None):
             continue
-        out.append((it["href"] or "", "".join(it["a"]), "".join(it["s"])))
-    return [(i, h, a, s) for i, (h, a, s) in enumerate(out)]
+        out.append((len(out), link.attrs["href"] if link is not None else "", link.text() if link is not None else "",
+                    snippet.text() if snippet is not None else ""))
+    return out
 
 
 def _batches(it, keys):
