@@ -41,6 +41,7 @@ def sniff(payload: Column, content_type: Column, charset: Column | None = None)
     return F.coalesce(F.element_at(F.create_map(*pairs), name), name)
 
 
-def page_text(payload: Column, content_type: Column, charset: Column | None = None) -> Column:
-    """The page's characters, without a byte order mark. Bytes that the charset does not have are replaced."""
-    return F.regexp_replace(decode_payload(payload, sniff(payload, content_type, charset)), "^﻿", "")
+def page_text(payload: Column, charset: Column) -> Column:
+    """The page's characters in a charset that ``sniff`` names, without a byte order mark. Bytes that the charset does not
+    have are replaced."""
+    return F.regexp_replace(decode_payload(payload, charset), "^\ufeff", "")

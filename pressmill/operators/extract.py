@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from pressmill.functions import htmltree
 from pressmill.functions import text as tx
-from pressmill.functions.charset import page_text
+from pressmill.functions.charset import page_text, sniff
 from pressmill.functions.dates import first_date, parse_date
 from pressmill.functions.urls import is_html
 from pressmill.schemas import DATE_CLASS_PATTERN, DATE_META_KEYS
@@ -44,8 +44,20 @@ def decoded(responses: DataFrame) -> DataFrame:
     """A BINARY ``payload`` as text, in the charset that its mark, header, meta tag or bytes tell; text stays."""
     if not isinstance(responses.schema["payload"].dataType, T.BinaryType):
         return responses
-    charset = F.col("charset") if "charset" in responses.columns else None
-    return responses.withColumn("payload", page_text(F.col("payload"), F.col("content_type"), charset))
+    rest = [c for c in responses.columns if c != "payload"]
+    charset = F.col("charset") if "charset" in rest else None
+    # one-element generators: a plain projection would be copied into every expression that reads the payload
+    named = responses.select(*rest, "payload", F.explode(F.array(sniff(F.col("payload"), F.col("content_type"), charset))).alias("_charset"))
+    return named.select(*rest, F.explode(F.array(page_text(F.col("payload"), F.col("_charset")))).alias("payload")).select(*responses.columns)
+
+
+def rejected(responses: DataFrame, key: str = "url") -> DataFrame:
+    """(key, reason) of responses that become no article: the request failed, or nothing is left of the body."""
+    failed = F.coalesce(F.col("status"), F.lit(200)) >= 400
+    kept = page_articles(responses, density_fallback=True).select(F.col(key).alias("_kept")).distinct()
+    rest = responses.filter(~failed).select(key).join(kept, F.col(key) == F.col("_kept"), "left_anti")
+    return (responses.filter(failed).select(key, F.concat(F.lit("http "), F.col("status")).alias("reason"))
+            .unionByName(rest.select(key, F.lit("no body text").alias("reason"))))
 
 
 def pages_as_responses(pages: DataFrame) -> DataFrame:

@@ -871,6 +871,33 @@ def rss_items(spark, sf_dir):
                         "post_date_created")
 
 
+@query("feed_entries", f"""
+WITH {O.NAV_CTE},
+kinds AS (SELECT * FROM (VALUES (0, 'rss'), (1, 'rdf'), (2, 'atom'), (3, 'rss')) AS k(kind, dialect))
+SELECT page_id, dialect, 0 AS item_no, {O.strip('url')} AS article_url, {O.strip('title_text')} AS title,
+       {O.strip('lead')} AS body, {_FEED_TS} AS post_date_created
+FROM nav JOIN kinds ON kind = page_id % 5
+UNION ALL
+SELECT page_id, dialect, k + 1, {O.strip('link')}, {O.strip('text')}, '', {_FEED_TS} FROM links JOIN kinds ON kind = page_id % 5
+WHERE kind < 3
+""")
+def feed_entries(spark, sf_dir):
+    """Feeds in RSS 2.0, RDF and Atom, and broken ones up to their fault, as stripped candidates."""
+    from pressmill.sources import feed_reader
+    items = feed_reader.feed_items(feed_reader.read_feeds(derive.feed_payloads(_pages(spark, sf_dir))), unwrap_param="url")
+    return items.select("page_id", "dialect", "item_no", "article_url", "title", "body", "post_date_created")
+
+
+@query("feed_errors", """
+SELECT page_id, CASE WHEN page_id % 5 = 3 THEN 'rss' END AS dialect, page_id % 5 = 3 AS is_feed FROM pages WHERE page_id % 5 >= 3
+""")
+def feed_errors(spark, sf_dir):
+    """Feeds that break off and payloads that are none (the message is the XML parser's own)."""
+    from pressmill.sources import feed_reader
+    e = feed_reader.feed_errors(feed_reader.read_feeds(derive.feed_payloads(_pages(spark, sf_dir))))
+    return e.select("page_id", "dialect", F.col("dialect").isNotNull().alias("is_feed"))
+
+
 @query("cse_results", f"""
 WITH {O.NAV_CTE},
 complete AS (SELECT host FROM nav GROUP BY host HAVING bool_and(NOT contains(url, '#')))
@@ -984,32 +1011,28 @@ def link_files(spark, sf_dir):
 # Page metadata (authors, dates, images) through the tag harvest
 # ---------------------------------------------------------------------------
 def _page_meta(spark, sf_dir):
-    pages = _pages(spark, sf_dir)
-    h = extract.harvest_tags(extract.pages_as_responses(pages), key_cols=("page_id", "url"))
-    return extract.article_meta(h)
+    """Metadata of the pages that were fetched as HTML."""
+    r = extract.successful(derive.rich_responses(spark, sf_dir))
+    r = r.filter(ux.is_html(F.col("content_type")))
+    return extract.article_meta(extract.harvest_tags(extract.decoded(r), key_cols=("page_id", "article_url")))
 
 
-@query("page_meta")
+@query("page_meta", f"""
+WITH {O.RICH_CTE}
+SELECT page_id, authors, post_date_created, top_image_url FROM rich WHERE status < 400 AND is_html
+""")
 def page_meta(spark, sf_dir):
-    """Authors (LD-JSON, meta, itemprop, rel, class precedence),
-    publication date (LD-JSON > meta keys > time/span/class tags, parsed by
-    format list) and top image of every landed page. No SQL form: the rules
-    walk HTML; checked on inline pages in tests."""
-    m = _page_meta(spark, sf_dir)
-    return m.select("page_id", "authors", "post_date_created", "top_image_url",
-                    F.length(F.coalesce("dense_text_html", F.lit(""))).alias("dense_chars"))
-
-
-@query("image_worklist", """
-WITH img AS (
-    SELECT page_id,
-           coalesce(nullif(regexp_extract(html, '<meta[^>]*property="og:image"[^>]*content="([^"]*)"', 1), ''),
-                    regexp_extract(html, '<img[^>]*src="([^"]*)"', 1)) AS top_image_url
-    FROM pages)
+    """X2-X8 + P15: authors (LD-JSON, meta, itemprop, rel, class precedence),
+    publication date (LD-JSON > meta keys > time/span/class tags, through the date
+    grammar) and top image, from raw bytes in several charsets."""
+    return _page_meta(spark, sf_dir).select("page_id", "authors", "post_date_created", "top_image_url")
+
+
+@query("image_worklist", f"""
+WITH {O.RICH_CTE}
 SELECT page_id, top_image_url, lower(regexp_extract(top_image_url, '\\.([A-Za-z0-9]+)$', 1)) AS ext
-FROM img
-WHERE top_image_url <> ''
-  AND regexp_matches(lower(top_image_url), '\\.(bmp|gif|ico|ief|jpe|jpeg|jpg|png|svg|tif|tiff|webp|ras|pnm|pbm|pgm|ppm|rgb|xbm|xpm|xwd|heic|heif|avif)$')
+FROM rich
+WHERE status < 400 AND is_html AND regexp_matches(lower(top_image_url), '\\.(jpg|png)$')
 """)
 def image_worklist(spark, sf_dir):
     """K7 (+X8, P5): pages whose top image (og:image, else first <img>) still
@@ -1021,6 +1044,28 @@ def image_worklist(spark, sf_dir):
                     F.lower(F.regexp_extract("top_image_url", r"\.([A-Za-z0-9]+)$", 1)).alias("ext"))
 
 
+@query("scored_content", f"""
+WITH {O.PAGE_ARTICLES_CTE}, {O.RICH_CTE}
+SELECT page_id, r.article_url, title, body FROM page_art JOIN rich r USING (page_id)
+WHERE r.status < 400 AND r.is_html AND length(body) > 0
+""")
+def scored_content(spark, sf_dir):
+    """X1 + P15 + S11: articles of pages that mark none, found by scoring their trees, from raw bytes in several charsets.
+    They have to be what the same pages' <article> elements held."""
+    r = derive.rich_responses(spark, sf_dir).filter(ux.is_html(F.col("content_type")))
+    return extract.page_articles(r, density_fallback=True).select("page_id", "article_url", "title", "body")
+
+
+@query("rejected_responses", f"""
+WITH {O.RICH_CTE}
+SELECT page_id, CASE WHEN status >= 400 THEN 'http ' || status ELSE 'no body text' END AS reason
+FROM rich WHERE status >= 400 OR NOT is_html
+""")
+def rejected_responses(spark, sf_dir):
+    """S11 + T4: responses that become no article, with the reason."""
+    return extract.rejected(derive.rich_responses(spark, sf_dir), "page_id").select("page_id", "reason")
+
+
 # ---------------------------------------------------------------------------
 # Streams (availableNow runs; the sink is returned as a batch DataFrame)
 # ---------------------------------------------------------------------------
@@ -1167,16 +1212,23 @@ def language_fallback(spark, sf_dir):
     return filled.select("doc_id", "agreed_language", "source_language")
 
 
-@query("article_assembly")
+@query("article_assembly", f"""
+WITH {O.PAGE_ARTICLES_CTE}, {O.RICH_CTE},
+arts AS (SELECT p.page_id, r.article_url, p.title, p.body, r.authors, r.post_date_created, r.top_image_url
+         FROM page_art p JOIN rich r USING (page_id) WHERE r.status < 400 AND r.is_html AND length(p.body) > 0),
+page_text AS (SELECT page_id, {O.untag('body')} AS t FROM arts),
+{O.lang_model_cte()}, {O.detect_cte('det', 'page_text', 'page_id', 't')}
+SELECT page_id, article_url, title, length(body) AS n_chars, authors, post_date_created, top_image_url, detected AS source_language,
+       coalesce(detected = 'en', false) AS translated, {O.initial_status(O.trash_exists('article_url', 'body'), 'NULL')} AS status
+FROM arts LEFT JOIN det USING (page_id)
+""")
 def article_assembly(spark, sf_dir):
-    """X9 end to end: landed pages -> article rows with title, cleaned body,
-    authors, publication date, top image, detected language, English
-    pass-through and status. Checked on row counts here; every step has its
-    own SQL-checked query."""
+    """X9 end to end: raw responses (bytes in several charsets, failed and redirected requests, no marked articles) ->
+    article rows with title, cleaned body, authors, publication date, top image, detected language, English
+    pass-through and status."""
     from pressmill.plans.assembly import build_articles
     prof, prior = _lang_model(spark, sf_dir)
-    resp = extract.pages_as_responses(_pages(spark, sf_dir))
-    a = build_articles(resp, derive.trash_rules(spark), prof, prior)
+    a = build_articles(derive.rich_responses(spark, sf_dir), derive.trash_rules(spark), prof, prior)
     return a.select("page_id", "article_url", "title", F.length("body").alias("n_chars"), "authors",
                     "post_date_created", "top_image_url", "source_language", "translated", "status")
 

@@ -277,3 +277,92 @@ def html_result_payloads(pages: DataFrame) -> DataFrame:
             F.lit('<html><head><title>Bing</title></head><body><ol id="b_results">'), bing,
             F.lit("</ol></body></html>")))
     return n.select("page_id", engine.alias("engine"), doc.alias("payload"))
+
+
+def feed_payloads(pages: DataFrame) -> DataFrame:
+    """One feed per page, in the dialect that its id picks: RSS 2.0, RDF, Atom, an RSS feed that breaks off behind its
+    first item, and a page that is no feed. Items as in ``rss_payloads``."""
+    n = nav_links(pages)
+    local = F.lit(FEED_EPOCH).cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("page_id").cast("int"))
+    rfc = F.concat(F.date_format(local, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0100"))
+    iso = F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+01:00"))
+
+    def cdata(c):
+        return F.concat(F.lit("<![CDATA["), c, F.lit("]]>"))
+
+    def items(make):
+        rest = F.transform("links", lambda l: make(
+            l["text"], F.concat(F.lit("https://news.google.com/news/url?sa=t&url="), F.url_encode(l["url"])), F.lit("")))
+        return make(F.col("title_text"), F.col("url"), F.col("lead")), F.array_join(rest, "")
+
+    def rss(title, link, desc):
+        return F.concat(F.lit("<item><title>"), cdata(title), F.lit("</title><link>"), _xml_escape(link), F.lit("</link><description>"),
+                        cdata(desc), F.lit("</description><pubDate>"), rfc, F.lit("</pubDate></item>"))
+
+    def rdf(title, link, desc):
+        return F.concat(F.lit("<item><title>"), cdata(title), F.lit("</title><link>"), _xml_escape(link), F.lit("</link><description>"),
+                        cdata(desc), F.lit("</description><dc:date>"), iso, F.lit("</dc:date></item>"))
+
+    def atom(title, link, desc):
+        return F.concat(F.lit("<entry><title>"), cdata(title), F.lit('</title><link rel="self" href="/feed"/><link href="'),
+                        F.replace(_xml_escape(link), F.lit('"'), F.lit("&quot;")), F.lit('"/><summary>'), cdata(desc),
+                        F.lit("</summary><published>"), iso, F.lit("</published></entry>"))
+
+    kind = F.pmod("page_id", F.lit(5))
+    first, rest = items(rss)
+    doc = F.when(kind == 0, F.concat(F.lit('<rss version="2.0"><channel><title>feed</title>'), first, rest, F.lit("</channel></rss>")))
+    doc = doc.when(kind == 3, F.concat(F.lit('<rss version="2.0"><channel>'), first, F.lit("<item><title>")))
+    first, rest = items(rdf)
+    doc = doc.when(kind == 1, F.concat(
+        F.lit('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/" '
+              'xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>feed</title></channel>'), first, rest, F.lit("</rdf:RDF>")))
+    first, rest = items(atom)
+    doc = doc.when(kind == 2, F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>feed</title>'), first, rest, F.lit("</feed>")))
+    return n.select("page_id", doc.otherwise(F.concat(F.lit("<html><head><title>"), F.col("raw_title"))).alias("payload"))
+
+
+def rich_day(page_id=None):
+    """The publication day that ``rich_responses`` gives a page."""
+    return F.date_add(F.lit("2015-01-01").cast("date"), (F.pmod(page_id if page_id is not None else F.col("page_id"), F.lit(2000))).cast("int"))
+
+
+def rich_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The landed pages as raw responses: no page marks its article, each carries an author, a date or an image in the form
+    that its id picks, and the bytes are in the charset that its id picks. Some requests failed or gave another
+    content type, some were redirected."""
+    pages = read_table(spark, sf_dir, "pages")
+    pid, n = F.col("page_id"), F.col("page_id").cast("string")
+    day, form = rich_day(), F.pmod("page_id", F.lit(6))
+
+    def text(*parts):
+        return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+    iso = F.date_format(day, "yyyy-MM-dd")
+    head = (F.when(form == 0, text('<meta name="author" content=" Meta Author ', n, ' "><meta property="article:published_time" content="',
+                                   iso, 'T23:30:00-01:00"><meta property="og:image" content="https://img.example.org/', n, '.jpg">'))
+            .when(form == 1, text('<meta name="date" content="1999-01-01"><script type="application/ld+json">{"author": {"name": "LD Author ', n,
+                                  '"}, "datePublished": "', iso, '"}</script>'))
+            .when(form == 3, text('<meta property="og:image" content="https://img.example.org/', n, '.bin">'))
+            .when(form == 4, text('<script type="application/ld+json">{"author": {"name": "LD Author ', n, '"}, "dateCreated": "',
+                                  F.date_format(day, "d MMMM yyyy"), ', 5:06 pm"}</script>')).otherwise(F.lit("")))
+    tail = (F.when(form == 1, text('<span itemprop="author">Item Author ', n, '</span><img src="/pic/', n, '.PNG">'))
+            .when(form == 2, text('<a rel="nofollow author" href="/me">Rel Author ', n, '</a><time datetime="', F.date_format(day, "MMM d, yyyy"),
+                                  ' 6:42 AM">x</time><time datetime="2001-01-01">y</time>'))
+            .when(form == 3, text('<p class="art-author">Class Author ', n, '<p><span itemprop="datePublished" content="',
+                                  F.date_format(day, "MM/dd/yyyy"), '"></span>'))
+            .when(form == 5, text('<div class="pubdate">soon</div><div class="pubdate">On ', F.date_format(day, "d MMM yyyy"),
+                                  '<b></b></div><div class="pubdate">2002-02-02</div>')).otherwise(F.lit("")))
+    html = F.regexp_replace("html", "(?i)<article[^>]*>", '<div class="t7">')
+    html = F.replace(F.replace(html, F.lit("</article>"), F.lit("</div>")), F.lit("<footer>"), F.concat(tail, F.lit("<footer>")))
+    html = F.replace(html, F.lit("<title>"), F.concat(head, F.lit("<title>")))
+    cs = F.pmod("page_id", F.lit(5))
+    declared = F.lit('<meta charset="utf-8">')
+    latin = F.replace(html, declared, F.when(cs == 2, F.lit('<meta charset="iso-8859-1">')).otherwise(F.lit("")))
+    payload = (F.when(cs == 0, F.encode(html, "UTF-8")).when(cs == 1, F.encode(html, "UTF-16"))
+               .when(cs == 3, F.encode(F.replace(html, declared, F.lit("")), "UTF-8")).otherwise(F.encode(latin, "ISO-8859-1")))
+    kind = (F.when(cs == 0, F.lit("text/html; charset=UTF-8")).when(cs == 2, F.lit("text/html; charset=ISO-8859-1"))
+            .when(pid % 19 == 4, F.lit("application/pdf")).otherwise(F.lit("text/html")))
+    return pages.select(
+        "page_id", "url", F.when(pid % 13 == 2, F.concat(F.col("url"), F.lit("#moved"))).alias("final_url"),
+        F.when(pid % 11 == 3, 404).when(pid % 17 == 5, 503).otherwise(200).alias("status"), kind.alias("content_type"),
+        F.lit(None).cast("string").alias("charset"), payload.alias("payload"))

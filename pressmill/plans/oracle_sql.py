@@ -302,3 +302,22 @@ def locations_cte(name: str, source: str, key: str, text: str) -> str:
   SELECT DISTINCT {key}, name, type FROM {name}_hits h
   WHERE NOT EXISTS (SELECT 1 FROM {name}_hits o WHERE o.{key} = h.{key} AND o.i <= h.i AND o.stop >= h.stop
                     AND o.stop - o.i > h.stop - h.i))"""
+
+
+#: Twin of ``derive.rich_responses``: what the precedence rules have to find on each page that was fetched as HTML.
+RICH_CTE = f"""
+rich_raw AS (
+    SELECT page_id, page_id % 6 AS form, DATE '2015-01-01' + CAST(page_id % 2000 AS INTEGER) AS day,
+           CASE WHEN page_id % 13 = 2 THEN url || '#moved' ELSE url END AS article_url,
+           CASE WHEN page_id % 11 = 3 THEN 404 WHEN page_id % 17 = 5 THEN 503 ELSE 200 END AS status,
+           page_id % 19 <> 4 OR page_id % 5 IN (0, 2) AS is_html FROM pages),
+rich AS (
+    SELECT page_id, article_url, status, is_html,
+           CASE form WHEN 0 THEN 'Meta Author ' || page_id WHEN 1 THEN 'Item Author ' || page_id WHEN 2 THEN 'Rel Author ' || page_id
+                     WHEN 3 THEN 'Class Author ' || page_id WHEN 4 THEN 'LD Author ' || page_id ELSE '' END AS authors,
+           strftime(CASE form WHEN 0 THEN day + INTERVAL 24 HOUR + INTERVAL 30 MINUTE WHEN 2 THEN day + INTERVAL 6 HOUR + INTERVAL 42 MINUTE
+                              WHEN 4 THEN day + INTERVAL 17 HOUR + INTERVAL 6 MINUTE ELSE CAST(day AS TIMESTAMP) END,
+                    '%Y-%m-%d %H:%M:%S') AS post_date_created,
+           CASE form WHEN 0 THEN 'https://img.example.org/' || page_id || '.jpg' WHEN 1 THEN '/pic/' || page_id || '.PNG'
+                     WHEN 3 THEN 'https://img.example.org/' || page_id || '.bin' ELSE '' END AS top_image_url
+    FROM rich_raw)"""

@@ -198,8 +198,8 @@ RSS_DOC = "channel STRUCT<item: ARRAY<STRUCT<title: STRING, link: STRING, descri
 XML_SEARCH_DOC = (
     "response STRUCT<error: STRUCT<_VALUE: STRING, _code: STRING>, "
     "found: ARRAY<STRUCT<_VALUE: BIGINT, _priority: STRING>>, `found-human`: STRING, "
-    "results: STRUCT<grouping: STRUCT<group: ARRAY<STRUCT<doc: STRUCT<"
-    "url: STRING, title: STRING, passages: STRING>>>>>>"
+    "results: STRUCT<grouping: STRUCT<group: ARRAY<STRUCT<doc: ARRAY<STRUCT<"
+    "url: STRING, title: STRING, passages: STRING>>>>>>>"
 )
 
 OPTIONS = T.MapType(T.StringType(), T.StringType())

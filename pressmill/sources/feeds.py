@@ -16,6 +16,7 @@ from pressmill.functions import text as tx
 from pressmill.functions.urls import unwrap_redirect
 from pressmill.schemas import CSE_PAGE, RSS_DOC, SOCIAL_PAGE, XML_SEARCH_DOC
 
+_DOCS = "array<struct<url: string, title: string, passages: string>>"
 RSS_ITEM = "title STRING, link STRING, description STRING, pubDate STRING"
 
 
@@ -95,11 +96,14 @@ def parse_xml_search(df: DataFrame, payload: str = "payload") -> tuple[DataFrame
     x = df.select(*keys, F.from_xml(F.col(payload), XML_SEARCH_DOC).alias("_x"))
     err = F.col("_x.response.error")
     good = x.filter(err.isNull())
-    docs = good.select(*keys, F.posexplode("_x.response.results.grouping.group").alias("item_no", "_g"))
+    # a group may hold several docs, or none
+    every = F.flatten(F.transform("_x.response.results.grouping.group",
+                                  lambda g: F.coalesce(g["doc"], F.array().cast(_DOCS))))
+    docs = good.select(*keys, F.posexplode(every).alias("item_no", "_d"))
     items = docs.select(*keys, "item_no", *candidate(
-        F.coalesce(F.col("_g.doc.url"), F.lit("")),
-        F.coalesce(tx.untag(F.col("_g.doc.title")), F.lit("")),
-        F.coalesce(tx.untag(F.col("_g.doc.passages")), F.lit(""))))
+        F.coalesce(F.col("_d.url"), F.lit("")),
+        F.coalesce(tx.untag(F.col("_d.title")), F.lit("")),
+        F.coalesce(tx.untag(F.col("_d.passages")), F.lit(""))))
     found = F.coalesce(F.get(F.col("_x.response.found"), 0)["_VALUE"], F.lit(0))
     totals = good.select(*keys, found.alias("found"), F.col("_x.response.`found-human`").alias("found_human"),
                          F.least(found / 10.0, F.lit(100.0)).alias("pages"))

@@ -72,6 +72,15 @@ def test_xml_error_envelope(spark):
     assert sorted((r["code"], r["description"]) for r in errors.collect()) == [(0, "Bad"), (15, "No results")]
 
 
+def test_xml_groups_of_several_docs(spark):
+    doc = "<doc><url>http://{0}/</url><title>T<hlword>x</hlword>{0}</title></doc>"
+    group = "<group>" + doc.format(1) + doc.format(2) + "</group><group></group><group>" + doc.format(3) + "</group>"
+    df = spark.createDataFrame([(1, "<yandexsearch><response><results><grouping>" + group + "</grouping></results></response></yandexsearch>")],
+                               "id int, payload string")
+    items = sorted((r.item_no, r.article_url, r.title) for r in feeds.parse_xml_search(df)[0].collect())
+    assert items == [(0, "http://1/", "Tx1"), (1, "http://2/", "Tx2"), (2, "http://3/", "Tx3")]
+
+
 def test_cse_request_without_items_gives_nothing(spark):
     df = spark.createDataFrame([("q1", '{"items": [{"link": "http://a", "title": "A", "snippet": "s"}]}'),
                                 ("q1", '{"kind": "x"}'),
