@@ -16,11 +16,12 @@ How it stays linear where groups are large:
 - In each table every member is first paired with the table's smallest id only. Links found
   so give components, and most members of a large group are in one by then.
 - Tables of the same members count once.
-- What is left are tables that hold several components. There a member meets a whole other
-  component: all its documents, whichever of them shares the table, so no candidate
-  pair is skipped. Both sides are dealt into blocks of bounded size, a task compares
-  blocks in memory, and one link per member and block is kept, for the component is
-  connected already. No row is made per pair.
+- What is left are tables that hold several components. Their members, each written once beside the table's
+  smallest id, are joined into families; a family's documents, in order of size, are dealt into blocks of bounded
+  weight, and every two blocks between which sizes can fit meet in one task. Documents of different components that share a
+  table (one of the U and one of the V) are compared in memory there, so no candidate pair
+  is skipped and no row is made per pair or per component: a document goes to as many tasks as there are
+  blocks of its size in its family, and a task gives as many links as it takes to connect what it connects.
 - Pairs whose minhashes agree in far fewer places than the threshold asks
   for (five standard deviations) are not fetched for confirmation.
 
@@ -39,7 +40,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressmill.llm.common import compact, materialize, prepare, read, shuffle_parts
@@ -49,8 +50,9 @@ THRESHOLD = 80  # per cent
 COLLECTIONS = 16
 ROWS = 3
 SEED = 77
-#: Members of a component that a task compares with one caller after the other.
-BLOCK = 2048
+#: Shingles that the documents of a block have, each document counting as ``DOC_WEIGHT`` more.
+BLOCK_WEIGHT = 1 << 18
+DOC_WEIGHT = 128
 #: Words remembered per worker.
 MEMORY = 1_000_000
 #: Shingles hashed at a time: bounds a worker's memory on very long texts.
@@ -135,7 +137,7 @@ def sketches(src: DataFrame, sketcher_args: tuple) -> DataFrame:
 
 
 def table_members(reps: DataFrame, collections: int) -> DataFrame:
-    """(key, id) of the tables that hold two documents or more."""
+    """(lead, id) of the tables that hold two documents or more: each member with the table's smallest id, once."""
     half = reps.select(F.col("doc_id").alias("id"), F.posexplode("halves").alias("at", "h"))
     shared = half.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
     # a document has 2 * collections halves, so these lists are bounded
@@ -149,7 +151,7 @@ def table_members(reps: DataFrame, collections: int) -> DataFrame:
         F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("lead < hi")
     # tables of the same members count once
     tables = tables.groupBy("lead", "hi", "members", "x", "y").agg(F.min("key").alias("key")).select("key", "lead")
-    return materialize(keys.join(tables, "key"))
+    return materialize(keys.join(tables, "key").where("lead < id").select("lead", "id").distinct())
 
 
 def _alike(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
@@ -209,40 +211,50 @@ def _confirm(pairs: DataFrame, src: DataFrame, sketcher_args: tuple, threshold:
     return both.mapInArrow(compare, "a long, b long")
 
 
-def _blocks(meets: DataFrame, belongs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Deal both sides of (id, other) x (b, other) into units (other, mb, sb) of bounded
-    size: every id of a component's callers meets every block of its members."""
-    sizes = (belongs.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("nm"))
-             .join(meets.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / F.lit(8 * BLOCK)).cast("int").alias("ns")), "other"))
-    unit = ["other", "mb", "sb"]
-    members = (belongs.join(sizes, "other").withColumn("mb", F.expr("cast(pmod(xxhash64(b), nm) as int)"))
-               .withColumn("sb", F.explode(F.expr("sequence(0, ns - 1)"))).select(*unit, F.col("b").alias("doc_id")))
-    callers = (meets.join(sizes, "other").withColumn("sb", F.expr("cast(pmod(xxhash64(id), ns) as int)"))
-               .withColumn("mb", F.explode(F.expr("sequence(0, nm - 1)"))).select(*unit, F.col("id").alias("doc_id")))
-    return members, callers
-
-
-def _meet(members: DataFrame, callers: DataFrame, data: DataFrame, compare, schema: str) -> DataFrame:
-    """Bring each unit's members, then its callers, past ``compare(unit, ids, datas)``, which takes
-    the members and returns a function of a caller (id, data) giving output rows, and one of the end."""
-    both = (members.withColumn("side", F.lit(0)).unionByName(callers.withColumn("side", F.lit(1))).join(data, "doc_id"))
-    parts = max(8, shuffle_parts(data))
-    sorted_ = (both.select("other", "mb", "sb", "side", "doc_id", "data").repartition(parts, "other", "mb", "sb")
-               .sortWithinPartitions("other", "mb", "sb", "side", "doc_id"))
+def _dealt(docs: DataFrame) -> DataFrame:
+    """``docs`` (family, doc_id, n, ...) with block: the families' documents in order of size, in blocks of bounded
+    weight. A range partition holds a bounded part of a family; sums per partition give the rest."""
+    order = ["family", "n", "doc_id"]
+    cut = materialize(docs.repartitionByRange(shuffle_parts(docs), *order).sortWithinPartitions(*order)
+                      .withColumn("pid", F.spark_partition_id()))
+    weight = F.col("n") + F.lit(DOC_WEIGHT)
+    within = Window.partitionBy("pid", "family").orderBy("n", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    parts = cut.groupBy("pid", "family").agg(F.sum(weight).alias("w"))
+    parts = parts.select("pid", "family", (F.sum("w").over(Window.partitionBy("family").orderBy("pid")) - F.col("w")).alias("before"))
+    at = F.coalesce(F.sum(weight).over(within), F.lit(0)) + F.col("before")
+    return (cut.join(parts, ["pid", "family"]).withColumn("block", F.floor(at / F.lit(BLOCK_WEIGHT)).cast("long")).drop("pid", "before"))
+
+
+def _block_pairs(docs: DataFrame, threshold: int) -> DataFrame:
+    """(family, x, y): the blocks x <= y of a family between which a link's sizes fit."""
+    spans = docs.groupBy("family", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    return (spans.select("family", F.col("block").alias("x"), F.col("hi").alias("xhi"))
+            .join(spans.select("family", F.col("block").alias("y"), F.col("lo").alias("ylo")), "family")
+            .where((F.col("x") <= F.col("y")) & (100 * F.col("xhi") >= threshold * F.col("ylo"))).select("family", "x", "y"))
+
+
+def _meet(sides: DataFrame, compare, schema: str) -> DataFrame:
+    """Bring each unit's (family, x, y) documents of block x (side 0), then those of block y (side 1), past
+    ``compare(unit, ids, datas)``, which takes side 0 and returns a function of a document (id, data) of side 1 giving
+    output rows, and one of the end."""
+    unit_of = ["family", "x", "y"]
+    parts = max(8, shuffle_parts(sides))
+    sorted_ = (sides.select(*unit_of, "side", "doc_id", "data").repartition(parts, *unit_of)
+               .sortWithinPartitions(*unit_of, "side", "doc_id"))
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
         unit, ids, datas, call, end = None, [], [], None, None
         for b in batches:
             out = []
-            for o, mb, sb, side, doc, value in zip(*(b.column(c).to_pylist() for c in range(6))):
-                if (o, mb, sb) != unit:
+            for f, x, y, side, doc, value in zip(*(b.column(c).to_pylist() for c in range(6))):
+                if (f, x, y) != unit:
                     out += end() if end else []
-                    unit, ids, datas, call, end = (o, mb, sb), [], [], None, None
+                    unit, ids, datas, call, end = (f, x, y), [], [], None, None
                 if side == 0:
                     ids.append(doc)
                     datas.append(value)
-                elif ids:  # a block may have no member
+                elif ids:
                     if call is None:
                         call, end = compare(unit, ids, datas)
                     out += call(doc, value)
@@ -254,23 +266,30 @@ def _meet(members: DataFrame, callers: DataFrame, data: DataFrame, compare, sche
     return sorted_.mapInArrow(run, schema)
 
 
-def _meet_sketches(threshold: int):
-    """Callers that minhashes and sizes do not rule out, and the members they are like."""
+def _meet_sketches(threshold: int, collections: int):
+    """The documents of each side that have a partner in another component which shares a table with them and
+    which minhashes and sizes do not rule out."""
 
     def compare(unit, ids, datas):
-        sig = np.array([np.frombuffer(d[8:], np.uint16) for d in datas])
-        n = np.array([int.from_bytes(d[:8], "big") for d in datas])
+        heads = np.array([np.frombuffer(d[:16], ">i8") for d in datas])
+        n, component = heads[:, 0], heads[:, 1]
+        halves = np.array([np.frombuffer(d[16:16 + 16 * collections], ">i8") for d in datas])
+        sig = np.array([np.frombuffer(d[16 + 16 * collections:], np.uint16) for d in datas])
         used = np.zeros(len(ids), bool)
         t, k = threshold / 100, sig.shape[1]
         least = (t - 5 * np.sqrt(t * (1 - t) / k)) * k
 
         def call(doc, value):
-            own = int.from_bytes(value[:8], "big")
-            fine = ((sig == np.frombuffer(value[8:], np.uint16)).sum(axis=1) >= least)
-            fine &= 100 * np.minimum(n, own) >= threshold * np.maximum(n, own)
-            if not fine.any():
+            own, of = np.frombuffer(value[:16], ">i8")
+            near = np.flatnonzero((component != of) & (100 * np.minimum(n, own) >= threshold * np.maximum(n, own)))
+            if len(near):
+                near = near[(sig[near] == np.frombuffer(value[16 + 16 * collections:], np.uint16)).sum(axis=1) >= least]
+            if len(near):
+                same = halves[near] == np.frombuffer(value[16:16 + 16 * collections], ">i8")
+                near = near[same[:, :collections].any(axis=1) & same[:, collections:].any(axis=1)]
+            if not len(near):
                 return []
-            used[fine] = True
+            used[near] = True
             return [(*unit, 1, doc)]
 
         return call, lambda: [(*unit, 0, ids[k]) for k in np.flatnonzero(used)]
@@ -279,23 +298,36 @@ def _meet_sketches(threshold: int):
 
 
 def _meet_sets(threshold: int):
-    """One link per caller to a member whose full set is alike enough."""
+    """Links between documents whose full sets are alike enough, as many as it takes to connect what they connect: the
+    components that a unit has joined already are remembered in it."""
 
     def compare(unit, ids, datas):
-        sets = [np.frombuffer(d, np.uint64) for d in datas]
+        component = [int.from_bytes(d[:8], "big", signed=True) for d in datas]
+        sets = [np.frombuffer(d[8:], np.uint64) for d in datas]
         n = np.array([len(x) for x in sets])
         every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
         order = np.argsort(every, kind="stable")
         every, owner = every[order], owner[order]
+        root: dict[int, int] = {}
+
+        def find(c):
+            while (up := root.get(c, c)) != c:
+                root[c] = c = root.get(up, up)
+            return c
 
         def call(doc, value):
-            own = np.frombuffer(value, np.uint64)
+            of, own = int.from_bytes(value[:8], "big", signed=True), np.frombuffer(value[8:], np.uint64)
             lo, hi = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
             count = hi - lo
             at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
             common = np.bincount(owner[at], minlength=len(sets))
-            fine = np.flatnonzero(100 * common >= threshold * (n + len(own) - common))
-            return [(ids[fine[0]], doc)] if len(fine) else []
+            out = []
+            for k in np.flatnonzero(100 * common >= threshold * (n + len(own) - common)).tolist():
+                a, b = find(component[k]), find(of)
+                if a != b:
+                    root[a] = b
+                    out.append((ids[k], doc))
+            return out
 
         return call, lambda: []
 
@@ -328,37 +360,45 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
-def _label(members: DataFrame, groups: DataFrame) -> DataFrame:
-    return (members.join(groups, "id", "left")
-            .withColumn("component", F.coalesce("component", "id")))
-
-
 def near_links(src: DataFrame, reps: DataFrame, sketcher_args: tuple, threshold: int) -> DataFrame:
     """(id, component) of the representatives that have a link."""
-    members = table_members(reps, sketcher_args[1])
-    star = members.where("lead < id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    star = compact(_alike(star, reps, threshold))
+    pairs = table_members(reps, sketcher_args[1]).select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    star = compact(_alike(pairs, reps, threshold))
     links = compact(_confirm(star, src, sketcher_args, threshold))
     groups = components(links)
 
-    # tables that still hold several components
-    labelled = _label(members.select("key", "id"), groups)
-    split = (labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .where("lo < hi").select("key"))
-    rest = compact(labelled.join(split, "key").join(reps.select(F.col("doc_id").alias("id"), "n"), "id"))
-    # a link needs sizes that fit: only components with such a member in the table are met
-    others = rest.groupBy("key", F.col("component").alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    fits = (100 * F.col("n") >= threshold * F.col("lo")) & (100 * F.col("hi") >= threshold * F.col("n"))
-    meets = compact(rest.join(others, "key").where(F.expr("other < component") & fits).select("id", "other").distinct())
-    if meets.isEmpty():
+    # leads whose tables still hold several components: their members form families
+    of = groups.select("id", "component")
+    labelled = (pairs.join(of.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
+                .join(of.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
+                .select("a", "b", (F.coalesce("ca", "a") != F.coalesce("cb", "b")).alias("apart")))
+    leads = labelled.where("apart").select("a").distinct()
+    edges = compact(pairs.join(leads, "a", "left_semi"))
+    if edges.isEmpty():
+        return groups
+    families = components(edges).withColumnRenamed("component", "family")
+    families = families.unionByName(families.select(F.col("family").alias("id"), "family").distinct())
+    info = reps.select(F.col("doc_id").alias("id"), "n", "sig", "halves")
+    docs = (families.join(of, "id", "left").join(info, "id")
+            .select("family", F.col("id").alias("doc_id"), "n", F.coalesce("component", "id").alias("component"), "sig", "halves"))
+    docs = materialize(_dealt(docs))
+    units = compact(_block_pairs(docs, threshold))
+
+    def number(c):
+        return F.unhex(F.lpad(F.hex(c), 16, "0"))
+
+    sketch = F.concat(number(F.col("n")), number(F.col("component")),
+                      F.unhex(F.array_join(F.transform("halves", lambda h: F.lpad(F.hex(h), 16, "0")), "")), F.col("sig"))
+    light = docs.select("family", "block", "doc_id", sketch.alias("data"))
+    sides = [light.join(units.withColumn("block", F.col(k)), ["family", "block"]).drop("block").withColumn("side", F.lit(at))
+             for at, k in enumerate(("x", "y"))]
+    hits = compact(_meet(sides[0].unionByName(sides[1]), _meet_sketches(threshold, sketcher_args[1]),
+                         "family long, x long, y long, side long, doc_id long"))
+    if hits.isEmpty():
         return groups
-    belongs = compact(_label(rest.select("id").distinct(), groups).select(F.col("id").alias("b"), F.col("component").alias("other")))
-    sketch = reps.select("doc_id", F.concat(F.unhex(F.lpad(F.hex("n"), 16, "0")), "sig").alias("data"))
-    hits = compact(_meet(*_blocks(meets, belongs), sketch, _meet_sketches(threshold),
-                             "other long, mb long, sb long, side long, doc_id long"))
-    sets = _full_sets(src, hits.select("doc_id"), sketcher_args).withColumnRenamed("set", "data")
-    sides = [hits.where(F.col("side") == k).drop("side") for k in (0, 1)]
-    more = _meet(*sides, sets, _meet_sets(threshold), "a long, b long")
+    sets = (_full_sets(src, hits.select("doc_id"), sketcher_args).join(docs.select("doc_id", "component"), "doc_id")
+            .select("doc_id", F.concat(number(F.col("component")), "set").alias("data")))
+    more = _meet(hits.join(sets, "doc_id"), _meet_sets(threshold), "a long, b long")
     return components(links.unionByName(more))
 
 

@@ -83,7 +83,7 @@ def test_query_against_brute_force(spark):
 
 def test_large_family_meets_in_blocks(spark, monkeypatch):
     # many members below the threshold to the smallest id, some linked only among themselves
-    monkeypatch.setattr(nd, "BLOCK", 7)
+    monkeypatch.setattr(nd, "BLOCK_WEIGHT", 1500)
     rng = random.Random(3)
     base = [f"w{i}" for i in range(60)]
     texts = variants(rng, base, 120, 9)
