@@ -5,12 +5,14 @@ Any two spans are then equal exactly if their differences of prefixes,
 shifted to a common power, agree under every modulus, and the longest common
 extension of two places is found by binary search over the span's length.
 
-A text's fingerprint is its length and whole-text hashes. The likeness of two is
-the share of the longer text that the longest common extension covers
-from the front, together with the one from the back: 1 for equal texts. Their coverage goes on past every edit:
-characters count that stand in a span of ``SPAN`` characters that the other text has at any place (or
-all of the shorter text, if it is shorter), or in the extensions from the front and the back. The text with
-fewer of them is set against the longer one's length.
+The likeness of two texts goes on past every edit: characters count that stand in a span of ``SPAN``
+characters that the other text has at any place (or all of the shorter text, if it is shorter), or in the
+longest common extensions from the front and the back. The text with fewer of them is set against
+the longer one's length: 1 for equal texts.
+
+A fingerprint in writing is the text's length, whole-text hashes and the ``MINIMA`` smallest span hashes, so fingerprints
+that are stored apart from their texts can be compared too: ``written_likeness`` is the share of
+the smallest span hashes of both that both have, an estimate of the spans in common of all spans.
 
 The query sets each text against an edited copy, whose tail comes from the next
 document in descending id order. Only neighbours meet: ids are cut into ranges
@@ -39,6 +41,8 @@ MODULI = (2147483647, 2147483629, 2147483587)
 BASES = (911382323, 972663749, 1000000007)
 #: Characters of the spans that coverage looks for.
 SPAN = 16
+#: Span hashes that a written fingerprint carries.
+MINIMA = 48
 _LAST = -(1 << 63)
 
 
@@ -79,9 +83,14 @@ class PrefixHashes:
             np.cumsum(symbols * t[:n] % m, out=s[1:])
             self.sums.append(s)
         self.spans: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.written: str | None = None
 
     def key(self) -> str:
-        return f"{self.n:x}-" + "".join(f"{int(s[-1]) % m:08x}" for s, m in zip(self.sums, self.powers.moduli))
+        """The fingerprint in writing: length, whole-text hashes, smallest span hashes."""
+        if self.written is None:
+            whole = "".join(f"{int(s[-1]) % m:08x}" for s, m in zip(self.sums, self.powers.moduli))
+            self.written = f"{self.n:x}-{whole}-" + ".".join(f"{v:08x}" for v in self.minima())
+        return self.written
 
     def same_span(self, i: int, other: PrefixHashes, j: int, length: int) -> bool:
         """Whether [i, i + length) here equals [j, j + length) there."""
@@ -118,15 +127,6 @@ class PrefixHashes:
                 hi = mid - 1
         return lo
 
-    def likeness(self, other: PrefixHashes) -> float:
-        longer, shorter = max(self.n, other.n), min(self.n, other.n)
-        if not longer:
-            return 1.0
-        front = self.common_prefix(other)
-        if front == shorter:
-            return front / longer
-        return min(front + self.common_suffix(other), shorter) / longer
-
     def span_keys(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all spans of a length by place (two moduli in one number), and sorted."""
         if length not in self.spans:
@@ -137,7 +137,16 @@ class PrefixHashes:
             self.spans[length] = keys, np.sort(keys)
         return self.spans[length]
 
-    def coverage(self, other: PrefixHashes) -> float:
+    def minima(self) -> list[int]:
+        """The smallest distinct span hashes, to 32 bits."""
+        if not self.n:
+            return []
+        ordered, take = self.span_keys(min(SPAN, self.n))[1], MINIMA
+        while len(found := np.unique(ordered[:take] >> 30)) < MINIMA and take < len(ordered):
+            take *= 4
+        return found[:MINIMA].tolist()
+
+    def likeness(self, other: PrefixHashes) -> float:
         longer, shorter = max(self.n, other.n), min(self.n, other.n)
         if not shorter:
             return float(not longer)
@@ -148,7 +157,11 @@ class PrefixHashes:
         covered = []
         for a, b in ((self, other), (other, self)):
             keys, there = a.span_keys(length)[0], b.span_keys(length)[1]
-            found = there[np.minimum(np.searchsorted(there, keys), len(there) - 1)] == keys
+            # spans within the extensions are known to be there
+            lo = max(0, front - length + 1)
+            hi = max(lo, min(len(keys), a.n - back))
+            found = np.zeros(len(keys), np.int64)
+            found[lo:hi] = there[np.minimum(np.searchsorted(there, keys[lo:hi]), len(there) - 1)] == keys[lo:hi]
             ends = np.zeros(a.n + 1, np.int64)
             ends[:len(keys)] += found
             ends[length:] -= found
@@ -159,6 +172,20 @@ class PrefixHashes:
         return min(covered) / longer
 
 
+def written_likeness(one: str, two: str) -> float:
+    """Likeness of two fingerprints in writing."""
+    if one == two:
+        return 1.0
+    a, b = (set(f.rsplit("-", 1)[1].split(".")) - {""} for f in (one, two))
+    if not a or not b:
+        return 0.0
+    # what is smaller than all that both sides list is known of both
+    whole = [len(x) < MINIMA for x in (a, b)]
+    bound = min((max(x) for x, w in zip((a, b), whole) if not w), default=max(a | b))
+    seen = {x for x in a | b if x <= bound}
+    return len(a & b & seen) / len(seen) if seen else 0.0
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, fingerprint per row."""
     prepare(df.sparkSession)
@@ -233,7 +260,7 @@ def edited_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              .mapInArrow(deal, "place int, guest boolean, key long, tie long, doc_id long, body binary")
              .repartition(parts, "place").sortWithinPartitions("place", "guest", F.desc("key"), "tie"))
     schema = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-              "near_edited double, near_next double, cover_edited double, cover_next double")
+              "near_edited double, near_next double, written_edited double, written_next double")
     names = [c.split()[0] for c in schema.split(", ")]
 
     def stream(batches):
@@ -251,8 +278,9 @@ def edited_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     n = hashes.n
                     edited = before[:n - n // 3] + text[:n // 3]
                     changed = PrefixHashes(edited, powers)
-                    row = (before_id, n, hashlib.sha256(edited.encode("utf-8")).hexdigest(), hashes.key(), changed.key(),
-                           hashes.likeness(changed), hashes.likeness(own), hashes.coverage(changed), hashes.coverage(own))
+                    keys = hashes.key(), changed.key(), own.key()
+                    row = (before_id, n, hashlib.sha256(edited.encode("utf-8")).hexdigest(), *keys[:2], hashes.likeness(changed),
+                           hashes.likeness(own), written_likeness(keys[0], keys[1]), written_likeness(keys[0], keys[2]))
                     for column, v in zip(out, row):
                         column.append(v)
                 held = None if guest else (place, doc_id, text, own)

@@ -22,15 +22,20 @@ def brute(rows):
 
 
 def near(a, b):
-    if not a and not b:
-        return 1.0
-    f = 0
-    while f < min(len(a), len(b)) and a[f] == b[f]:
-        f += 1
-    s = 0
-    while s < min(len(a), len(b)) and a[len(a) - 1 - s] == b[len(b) - 1 - s]:
-        s += 1
-    return min(f + s, min(len(a), len(b))) / max(len(a), len(b))
+    """Likeness by plain comparison of spans."""
+    if not a or not b:
+        return float(a == b)
+    f = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    s = next((k for k, (x, y) in enumerate(zip(a[::-1], b[::-1])) if x != y), min(len(a), len(b)))
+    n, got = min(pf.SPAN, len(a), len(b)), []
+    for x, y in ((a, b), (b, a)):
+        have = {y[i:i + n] for i in range(len(y) - n + 1)}
+        inside = set(range(f)) | set(range(len(x) - s, len(x)))
+        for i in range(len(x) - n + 1):
+            if x[i:i + n] in have:
+                inside.update(range(i, i + n))
+        got.append(len(inside))
+    return min(got) / max(len(a), len(b))
 
 
 def test_span_equality_and_extensions_against_strings():
@@ -46,7 +51,7 @@ def test_span_equality_and_extensions_against_strings():
             ext = ha.common_prefix(hb, i, j)
             assert a[i:i + ext] == b[j:j + ext]
             assert i + ext == len(a) or j + ext == len(b) or a[i + ext] != b[j + ext]
-        assert ha.likeness(hb) == near(a, b)
+        assert ha.likeness(hb) == hb.likeness(ha) == near(a, b)
         assert (ha.key() == hb.key()) == (a == b)
 
 
@@ -85,24 +90,12 @@ def test_nulls_repeated_rows_long_and_empty_tables(spark):
     assert pf.fingerprints(df).count() == 6
 
 
-def cover(a, b):
-    """Coverage by plain comparison of spans."""
-    if not a or not b:
-        return float(a == b)
-    f = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    s = next((k for k, (x, y) in enumerate(zip(a[::-1], b[::-1])) if x != y), min(len(a), len(b)))
-    n, got = min(pf.SPAN, len(a), len(b)), []
-    for x, y in ((a, b), (b, a)):
-        have = {y[i:i + n] for i in range(len(y) - n + 1)}
-        inside = set(range(f)) | set(range(len(x) - s, len(x)))
-        for i in range(len(x) - n + 1):
-            if x[i:i + n] in have:
-                inside.update(range(i, i + n))
-        got.append(len(inside))
-    return min(got) / max(len(a), len(b))
+def jaccard(a, b):
+    x, y = ({t[i:i + pf.SPAN] for i in range(len(t) - pf.SPAN + 1)} for t in (a, b))
+    return len(x & y) / len(x | y)
 
 
-def test_coverage_goes_on_past_scattered_edits(spark):
+def test_likeness_goes_on_past_scattered_edits(spark):
     rng, powers = random.Random(3), pf.Powers()
     for _ in range(300):
         a = "".join(rng.choice("ab😀") for _ in range(rng.randint(0, 60)))
@@ -111,11 +104,30 @@ def test_coverage_goes_on_past_scattered_edits(spark):
             b.insert(rng.randint(0, len(b)), rng.choice("ab"))
         b = "".join(b)
         ha, hb = pf.PrefixHashes(a, powers), pf.PrefixHashes(b, powers)
-        assert ha.coverage(hb) == hb.coverage(ha) == cover(a, b) >= ha.likeness(hb)
+        assert ha.likeness(hb) == hb.likeness(ha) == near(a, b)
     words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
     copy = [w if k % 25 else "changed" for k, w in enumerate(words)]
     stranger = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400))
     docs = [(3, " ".join(words), "", ""), (2, " ".join(copy), "", ""), (1, stranger, "", "")]
     rows = {r.doc_id: r for r in pf.edited_pairs(spark.createDataFrame(docs, SCHEMA), parts=2).collect()}
-    assert rows[3].near_next < 0.1 and rows[3].cover_next > 0.9 and rows[2].cover_next < 0.05
-    assert rows[3].cover_next == cover(docs[0][1], docs[1][1])
+    assert rows[3].near_next > 0.9 and rows[3].written_next > 0.5
+    assert rows[2].near_next < 0.05 and rows[2].written_next < 0.05
+    assert 0.6 < rows[3].near_edited < 0.75 and rows[3].near_next == near(docs[0][1], docs[1][1])
+
+
+def test_written_fingerprints_estimate_the_spans_in_common():
+    rng, powers = random.Random(11), pf.Powers()
+    off = []
+    for _ in range(80):
+        a = "".join(rng.choice("abcdefgh ") for _ in range(rng.choice([20, 50, 400, 3000])))
+        cut = rng.randint(0, len(a))
+        b = a[:cut] + "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(20, 400)))
+        got = pf.written_likeness(pf.PrefixHashes(a, powers).key(), pf.PrefixHashes(b, powers).key())
+        off.append(got - jaccard(a, b))
+        assert abs(off[-1]) < 0.35
+    assert abs(sum(off) / len(off)) < 0.04
+    same = pf.PrefixHashes("one text", powers).key()
+    assert pf.written_likeness(same, pf.PrefixHashes("one text", powers).key()) == 1.0
+    assert pf.written_likeness(same, pf.PrefixHashes("", powers).key()) == 0.0
+    repeated = pf.PrefixHashes("ab" * 5_000, powers)  # two spans in all
+    assert len(repeated.minima()) == 2
