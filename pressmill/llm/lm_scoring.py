@@ -1,18 +1,18 @@
 """Language-model scoring with a causal self-attention model, trained in numpy.
 
 Texts are words (ASCII white space between, A-Z lower-cased) and one end. A word's
-subword ids come from a given byte-level vocabulary. The model predicts the next id in two steps, its group and then
-the member of the group (groups follow the ids' frequency, so the frequent ones share
-few products). Of the 50,258 ids of the rank file the 50,175 most frequent have a place of
-their own; the rest (83) share the last member by their counts.
+subword ids come from a given byte-level vocabulary. The model predicts the next id in three steps, its group, the
+branch of the group and the member of the branch (all follow the ids' frequency, so the frequent ones share
+few products). Of the 50,258 ids of the rank file the 50,652 places leave every id its own; a larger file's
+rarest ids would share the last place by their counts.
 One attention layer with a feed-forward layer reads the ids before, in windows of
 ``WINDOW`` places. Windows overlap: of each, only the last ``FRESH`` places are scored, so
 every token is scored once and has ``WINDOW - FRESH`` places of context at least (or
 all there are). Windows go through attention in batches, under a causal mask.
 
 What is learned: word and subword counts and the network's weights come from all learning
-rows; the weights in ``ROUNDS`` rounds over them of local training (one trainer per partition, in
-bounded runs, Adam) and averaging of the weights.
+rows; the weights in one round over them of local training (one trainer per partition, in
+bounded runs, Adam on the rows of weights that a batch touches) and averaging, each row of weights by its steps.
 
 Beside the model's score there is the add-0.1 unigram score over words. Counts of the
 most frequent words (``HOT_WORDS`` at most) go to every worker; a text's other words
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressmill.llm.common import materialize, prepare, read, shuffle_parts
+from pressmill.llm.common import prepare, read, shuffle_parts
 from pressmill.session import checkpoint_dir
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -44,27 +44,27 @@ WINDOW = 48
 FRESH = 32
 WIDTH = 16
 HIDDEN = 32
-GROUPS = 224
-MEMBERS = 224
+#: Choices at each of the three levels of the output; that many cubed are the places.
+SIDE = 37
+PLACES = SIDE ** 3
+#: Logits beyond this are shifted by their row's largest, so that no exponential overflows.
+MOST_LOGIT = np.float32(60)
 #: Words whose counts go to every worker.
 HOT_WORDS = 200_000
 #: Tokens of the texts that are scored together (a longer text alone).
 STEP_TOKENS = 1 << 18
-#: One in so many learning rows trains the network: all do.
-SHARE = 1
-ROUNDS = 2
 #: Words per trainer, as far as there are partitions.
 TRAINER_WORDS = 100_000
-#: Steps that a trainer takes per round at least, over its rows again if they are few.
+#: Steps that a trainer takes at least, over its rows again if they are few.
 LEAST_STEPS = 60
-RATE = 4e-3
+RATE = 2e-2
 #: Windows per step: the first for few windows, growing with them to the second.
 BATCH = 32
 MOST_BATCH = 256
 #: Tokens that a trainer holds at once; longer texts are trained in pieces.
 RUN_TOKENS = 1 << 19
-#: Weights per row when trainers' results are averaged.
-BLOCK = 1024
+#: Weights per row when trainers' results are averaged, about.
+BLOCK = 1 << 13
 #: Windows that are scored together.
 SCORED = 512
 #: Distinct words that a task counts before it hands them on.
@@ -120,43 +120,44 @@ class Vocabulary:
     """Place of each id in order of count; ids beyond the last place share it (``inner``: log10 of the share)."""
 
     def __init__(self, counts: np.ndarray):
-        size = GROUPS * MEMBERS
         order = np.argsort(-counts, kind="stable")
-        self.place_of = np.full(len(counts), size - 1, np.int32)
-        self.place_of[order[:size - 1]] = np.arange(min(size - 1, len(counts)))
+        self.place_of = np.full(len(counts), PLACES - 1, np.int32)
+        self.place_of[order[:PLACES - 1]] = np.arange(min(PLACES - 1, len(counts)))
         smooth = counts + 0.5
-        total = np.bincount(self.place_of, smooth, size)
+        total = np.bincount(self.place_of, smooth, PLACES)
         self.inner = np.log10(smooth / total[self.place_of])
-        total = np.maximum(total, 1e-3).reshape(GROUPS, MEMBERS)
-        self.group_logs = np.log(total.sum(axis=1) / total.sum())
-        self.member_logs = np.log(total / total.sum(axis=1, keepdims=True))
+        total = np.maximum(total, 1e-3).reshape(SIDE, SIDE, SIDE)
+        shares = []
+        for level in (total.sum(axis=(1, 2)), total.sum(axis=2), total):
+            shares.append(np.log(level / level.sum(axis=-1, keepdims=True)))
+        self.group_logs, self.branch_logs, self.member_logs = shares
+
+
+#: name, shape of each block of weights, in the order of the flat vector. The last row of a softmax's matrix is its bias.
+DENSE = [("place", (WINDOW, WIDTH)), ("wq", (WIDTH, WIDTH)), ("wk", (WIDTH, WIDTH)), ("wv", (WIDTH, WIDTH)), ("wo", (WIDTH, WIDTH)),
+         ("w1", (WIDTH, HIDDEN)), ("b1", (HIDDEN,)), ("w2", (HIDDEN, WIDTH)), ("group", (WIDTH + 1, SIDE))]
+#: Blocks of which a step touches single rows.
+SPARSE = [("embed", (PLACES + 1, WIDTH)), ("branch", (SIDE, WIDTH + 1, SIDE)), ("member", (SIDE * SIDE, WIDTH + 1, SIDE))]
+DENSE_SIZE = sum(math.prod(shape) for _, shape in DENSE)
+#: What stands before a text.
+START = PLACES
 
 
-#: name, shape of each block of weights, in the order of the flat vector
-SHAPES = [("embed", (GROUPS * MEMBERS + 1, WIDTH)), ("place", (WINDOW, WIDTH)), ("wq", (WIDTH, WIDTH)), ("wk", (WIDTH, WIDTH)),
-          ("wv", (WIDTH, WIDTH)), ("wo", (WIDTH, WIDTH)), ("w1", (WIDTH, HIDDEN)), ("b1", (HIDDEN,)), ("w2", (HIDDEN, WIDTH)),
-          ("group", (WIDTH, GROUPS)), ("group_bias", (GROUPS,)), ("member", (GROUPS, WIDTH, MEMBERS)),
-          ("member_bias", (GROUPS, MEMBERS))]
-#: What stands before a text.
-START = GROUPS * MEMBERS
+def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, where each begins, and the end) of keys in order."""
+    begin = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
+    return sorted_keys[begin], np.append(begin, len(sorted_keys))
 
 
-def _segments(group: np.ndarray):
-    """(group, rows) for each group that occurs."""
-    order = np.argsort(group, kind="stable")
-    ends = np.bincount(group, minlength=GROUPS).cumsum()
-    begin = 0
-    for g, end in enumerate(ends.tolist()):
-        if end > begin:
-            yield g, order[begin:end]
-        begin = end
+def _with_ones(h: np.ndarray) -> np.ndarray:
+    return np.concatenate([h, np.ones((*h.shape[:-1], 1), np.float32)], axis=-1)
 
 
 class Network:
     def __init__(self, flat: np.ndarray):
         self.flat = np.array(flat, np.float32)
         self.w, at = {}, 0
-        for name, shape in SHAPES:
+        for name, shape in DENSE + SPARSE:
             n = math.prod(shape)
             self.w[name] = self.flat[at:at + n].reshape(shape)
             at += n
@@ -166,97 +167,124 @@ class Network:
     @classmethod
     def start(cls, vocabulary: Vocabulary, seed: int = SEED) -> Network:
         rng = np.random.default_rng(seed)
-        fixed = {"group_bias": vocabulary.group_logs, "member_bias": vocabulary.member_logs, "b1": np.zeros(HIDDEN)}
-        scale = {"group": 0.08, "member": 0.08, "place": 0.08}
-        return cls(np.concatenate([(fixed[n] if n in fixed else rng.normal(0, scale.get(n, 0.25), math.prod(shape))).ravel()
-                                   for n, shape in SHAPES]))
+        biases = {"group": vocabulary.group_logs, "branch": vocabulary.branch_logs, "member": vocabulary.member_logs}
+        parts = []
+        for name, shape in DENSE + SPARSE:
+            x = rng.normal(0, 0.08 if name in biases or name == "place" else 0.25, shape)
+            if name in biases:
+                x[..., -1, :] = biases[name].reshape(x[..., -1, :].shape)
+            parts.append(np.zeros(shape) if name == "b1" else x)
+        return cls(np.concatenate([x.ravel() for x in parts]))
 
     def forward(self, x_at: np.ndarray):
         """Last layer at the fresh places of each window, and what the backward pass needs."""
-        w, d = self.w, WIDTH
-        x = w["embed"][x_at] + w["place"]
+        w, d, n = self.w, WIDTH, len(x_at)
+        x = w["embed"][x_at]
+        x += w["place"]
         flat, fresh = x.reshape(-1, d), np.ascontiguousarray(x[:, WINDOW - FRESH:]).reshape(-1, d)
-        n = len(x)
-        k, v = (flat @ w["wk"]).reshape(n, WINDOW, d), (flat @ w["wv"]).reshape(n, WINDOW, d)
+        k, v = (flat @ w["wk"]).reshape(n, WINDOW, d), _with_ones((flat @ w["wv"]).reshape(n, WINDOW, d))
         q = (fresh @ w["wq"]).reshape(n, FRESH, d)
-        a = np.matmul(q, k.transpose(0, 2, 1))
-        a *= np.float32(d ** -0.5)
-        a += self.mask
-        np.exp(a, out=a)
-        a /= a.sum(axis=2, keepdims=True)
-        o = np.matmul(a, v).reshape(-1, d)
+        q *= np.float32(d ** -0.5)
+        e = np.matmul(q, k.transpose(0, 2, 1))
+        e += self.mask
+        if e.max(initial=0) > MOST_LOGIT:
+            e -= e.max(axis=2, keepdims=True)
+        np.exp(e, out=e)
+        o = np.matmul(e, v)  # the ones give each row's sum
+        norm = o[..., d:]
+        o = (o[..., :d] / norm).reshape(-1, d)
         h1 = fresh + o @ w["wo"]
         r = h1 @ w["w1"]
         r += w["b1"]
         np.maximum(r, 0, out=r)
-        return h1 + r @ w["w2"], (flat, fresh, k, v, q, a, o, h1, r)
+        return h1 + r @ w["w2"], (flat, fresh, k, v, q, e, norm, o, h1, r)
+
+    def _softmax(self, h: np.ndarray, y: np.ndarray):
+        """Of rows in order of their place: exponentials at the three levels, the logit of each
+        place and the runs of equal branches and members."""
+        w, rows = self.w, np.arange(len(y))
+        e = np.empty((3, len(y), SIDE), np.float32)
+        np.matmul(h, w["group"], out=e[0])
+        runs = []
+        for level, name, keys in ((1, "branch", y // (SIDE * SIDE)), (2, "member", y // SIDE)):
+            which, at = _runs(keys)
+            for g, lo, hi in zip(which.tolist(), at.tolist(), at[1:].tolist()):
+                np.matmul(h[lo:hi], w[name][g], out=e[level, lo:hi])
+            runs.append((name, which, at))
+        digits = (y // (SIDE * SIDE), y // SIDE % SIDE, y % SIDE)
+        chosen = sum(e[level, rows, c].astype(np.float64) for level, c in enumerate(digits))
+        if e.max(initial=0) > MOST_LOGIT:  # of each row the largest goes first, so that none overflows
+            most = e.max(axis=2, keepdims=True)
+            e -= most
+            chosen -= most.sum(axis=(0, 2), dtype=np.float64)
+        np.exp(e, out=e)
+        return e, e @ np.ones(SIDE, np.float32), chosen, digits, runs
 
     def log_probabilities(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural logs of the ids' places, by the last layer."""
-        group, member = np.divmod(y, MEMBERS)
-        logits = h @ self.w["group"]
-        logits += self.w["group_bias"]
-        out = logits[np.arange(len(y)), group].astype(np.float64)
-        np.exp(logits, out=logits)
-        norm = logits.sum(axis=1, dtype=np.float64)
-        for g, rows in _segments(group):
-            logits = h[rows] @ self.w["member"][g]
-            logits += self.w["member_bias"][g]
-            out[rows] += logits[np.arange(len(rows)), member[rows]]
-            np.exp(logits, out=logits)
-            norm[rows] *= logits.sum(axis=1)
-        return out - np.log(norm)
+        if not len(y):
+            return np.zeros(0)
+        order = np.argsort(y.astype(np.uint16), kind="stable")
+        _, norm, chosen, _, _ = self._softmax(_with_ones(h[order]), y[order].astype(np.int64))
+        out = np.empty(len(y))
+        out[order] = chosen - np.log(norm.astype(np.float64)).sum(axis=0)
+        return out
 
-    def gradient(self, x_at: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[float, np.ndarray]:
-        """Mean loss over the real places, and its gradient as a flat vector."""
-        w, d = self.w, WIDTH
-        h, (flat, fresh, k, v, q, a, o, h1, r) = self.forward(x_at)
-        n, rows = len(x_at), np.arange(len(y))
-        group, member = np.divmod(y, MEMBERS)
-        total = max(1, int(real.sum()))
-        weight = (real / total).astype(np.float32)
-
-        def softmax(logits, chosen, weight):
-            """Loss, and gradient by the logits."""
-            logits -= logits.max(axis=1, keepdims=True)
-            p = np.exp(logits)
-            p /= p.sum(axis=1, keepdims=True)
-            at = np.arange(len(chosen))
-            loss = -float(np.log(np.maximum(p[at, chosen], 1e-12)) @ weight)
-            p[at, chosen] -= 1
-            p *= weight[:, None]
-            return loss, p
-
-        loss, p = softmax(h @ w["group"] + w["group_bias"], group, weight)
-        g = {"group": h.T @ p, "group_bias": p.sum(axis=0),
-             "member": np.zeros_like(w["member"]), "member_bias": np.zeros_like(w["member_bias"])}
-        dh = p @ w["group"].T
-        for k_, rows in _segments(group):
-            part, p = softmax(h[rows] @ w["member"][k_] + w["member_bias"][k_], member[rows], weight[rows])
-            loss += part
-            g["member"][k_], g["member_bias"][k_] = h[rows].T @ p, p.sum(axis=0)
-            dh[rows] += p @ w["member"][k_].T
+    def touched_gradient(self, x_at: np.ndarray, y: np.ndarray, real: np.ndarray):
+        """Mean loss over the real places; its gradient by the dense weights, and per sparse
+        block (rows that the batch touches, gradient by them)."""
+        w, d, n = self.w, WIDTH, len(x_at)
+        last, (flat, fresh, k, v, q, e, norm, o, h1, r) = self.forward(x_at)
+        at = np.flatnonzero(real)
+        at = at[np.argsort(y[at].astype(np.uint16), kind="stable")]
+        total = max(1, len(at))
+        dh, sparse = np.zeros_like(last), {}
+        h, rows = _with_ones(last[at]), np.arange(len(at))
+        p, sums, chosen, digits, runs = self._softmax(h, y[at])
+        loss = float((np.log(sums.astype(np.float64)).sum() - chosen.sum()) / total)
+        p *= (np.float32(1 / total) / sums)[..., None]
+        for level, c in enumerate(digits):
+            p[level, rows, c] -= np.float32(1 / total)
+        g = {"group": h.T @ p[0]}
+        dsoft = p[0] @ w["group"].T
+        for level, (name, which, begin) in enumerate(runs, 1):
+            by = np.empty((len(which), d + 1, SIDE), np.float32)
+            for j, (key, lo, hi) in enumerate(zip(which.tolist(), begin.tolist(), begin[1:].tolist())):
+                np.matmul(h[lo:hi].T, p[level, lo:hi], out=by[j])
+                dsoft[lo:hi] += p[level, lo:hi] @ w[name][key].T
+            sparse[name] = (which, by.reshape(len(which), -1))
+        dh[at] = dsoft[:, :d]
         g["w2"] = r.T @ dh
         dr = (dh @ w["w2"].T) * (r > 0)
         g["w1"], g["b1"] = h1.T @ dr, dr.sum(axis=0)
-        dh = dh + dr @ w["w1"].T
+        dh += dr @ w["w1"].T
         g["wo"] = o.T @ dh
         do = (dh @ w["wo"].T).reshape(n, FRESH, d)
-        da = np.matmul(do, v.transpose(0, 2, 1))
-        dv = np.matmul(a.transpose(0, 2, 1), do).reshape(-1, d)
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(d ** -0.5)
-        dq = np.matmul(ds, k).reshape(-1, d)
+        # e / norm is the attention; its gradient by the logits is e * (do . v - do . o) / norm
+        do = np.concatenate([do, -(do * o.reshape(n, FRESH, d)).sum(axis=2, keepdims=True)], axis=2) / norm
+        ds = np.matmul(do, v.transpose(0, 2, 1))
+        ds *= e
+        dv = np.matmul(e.transpose(0, 2, 1), do[..., :d]).reshape(-1, d)
+        dq = (np.matmul(ds, k) * np.float32(d ** -0.5)).reshape(-1, d)
         dk = np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, d)
         g["wq"], g["wk"], g["wv"] = fresh.T @ dq, flat.T @ dk, flat.T @ dv
         dx = (dk @ w["wk"].T + dv @ w["wv"].T).reshape(n, WINDOW, d)
         dx[:, WINDOW - FRESH:] += (dh + dq @ w["wq"].T).reshape(n, FRESH, d)
         g["place"] = dx.sum(axis=0)
-        at = x_at.ravel()
-        order = np.argsort(at, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) > 0]))
-        g["embed"] = np.zeros_like(w["embed"])
-        g["embed"][at[order[first]]] = np.add.reduceat(dx.reshape(-1, d)[order], first, axis=0)
-        return loss, np.concatenate([g[name].ravel() for name, _ in SHAPES])
+        order = np.argsort(x_at.ravel().astype(np.uint16), kind="stable")
+        which, begin = _runs(x_at.ravel()[order])
+        sparse["embed"] = (which, np.add.reduceat(dx.reshape(-1, d)[order], begin[:-1], axis=0))
+        return loss, np.concatenate([g[name].ravel() for name, _ in DENSE]), sparse
+
+    def gradient(self, x_at: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[float, np.ndarray]:
+        """Mean loss over the real places, and its gradient as a flat vector."""
+        loss, dense, sparse = self.touched_gradient(x_at, y, real)
+        out = [dense]
+        for name, shape in SPARSE:
+            full = np.zeros((shape[0], math.prod(shape[1:])), np.float32)
+            full[sparse[name][0]] = sparse[name][1]
+            out.append(full.ravel())
+        return loss, np.concatenate(out)
 
 
 def windows(places: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -289,62 +317,101 @@ class Scorer:
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """log10 probability of each text."""
-        sub, voc, net = subwords(self.path), self.vocabulary, self.network
-        out = np.zeros(len(texts))
+        sub, voc = subwords(self.path), self.vocabulary
         ids = [sub.text(words_of(t)) for t in texts]
+        return self.score_places([voc.place_of[x] for x in ids]) + np.array([voc.inner[x].sum() for x in ids])
+
+    def score_places(self, texts: list[np.ndarray]) -> np.ndarray:
+        """log10 probability of texts of places."""
+        net, out = self.network, np.zeros(len(texts))
         lo = 0
-        while lo < len(ids):  # texts of bounded total size; a longer one goes alone
+        while lo < len(texts):  # texts of bounded total size; a longer one goes alone
             hi, size = lo, 0
-            while hi < len(ids) and (hi == lo or size + len(ids[hi]) <= STEP_TOKENS):
-                size += len(ids[hi])
+            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= STEP_TOKENS):
+                size += len(texts[hi])
                 hi += 1
-            sizes = np.array([len(x) for x in ids[lo:hi]])
-            flat = np.concatenate(ids[lo:hi])
-            owner = np.repeat(np.arange(hi - lo), sizes)
-            out[lo:hi] += np.bincount(owner, voc.inner[flat], hi - lo)
-            x_at, y, real, text = windows(voc.place_of[flat], sizes)
+            sizes = np.array([len(x) for x in texts[lo:hi]])
+            x_at, y, real, text = windows(np.concatenate(texts[lo:hi]), sizes)
             logs = np.zeros(len(y))
             for b in range(0, len(x_at), SCORED):  # blocks that stay in the processor's cache
                 part = slice(b * FRESH, (b + SCORED) * FRESH)
                 keep = real[part]
                 h = net.forward(x_at[b:b + SCORED])[0]
                 logs[part][keep] = net.log_probabilities(h[keep], y[part][keep])
-            out[lo:hi] += np.bincount(text, logs, hi - lo) / math.log(10)
+            out[lo:hi] = np.bincount(text, logs, hi - lo) / math.log(10)
             lo = hi
         return out
 
 
+class Trainer:
+    """Adam from the given weights; a step updates the dense weights and the sparse rows that its batch
+    touches, each row by its own count of steps. The rate falls over ``tokens``, the expected number."""
+
+    def __init__(self, flat: np.ndarray, rate: float, tokens: float, least_steps: int, seed: int):
+        self.net = Network(flat)
+        self.rate, self.rng = rate, np.random.default_rng(seed)
+        windows_expected = max(1.0, tokens / FRESH)
+        self.batch = int(min(MOST_BATCH, max(BATCH, windows_expected // LEAST_STEPS)))
+        self.expected = max(least_steps, windows_expected / self.batch)
+        self.done = 0
+        self.rows = {name: self.net.w[name].reshape(shape[0], -1) for name, shape in SPARSE}
+        self.rows["dense"] = self.net.flat[:DENSE_SIZE].reshape(1, -1)
+        self.first = {name: np.zeros_like(x) for name, x in self.rows.items()}
+        self.second = {name: np.zeros_like(x) for name, x in self.rows.items()}
+        self.steps = {name: np.zeros(len(x), np.int64) for name, x in self.rows.items()}
+
+    def _update(self, name: str, which: np.ndarray, g: np.ndarray, rate: float) -> None:
+        self.steps[name][which] += 1
+        n = self.steps[name][which][:, None]
+        first, second = self.first[name][which], self.second[name][which]
+        first += np.float32(0.1) * (g - first)
+        second += np.float32(0.01) * (g * g - second)
+        self.first[name][which], self.second[name][which] = first, second
+        first *= (rate / (1 - 0.9 ** n)).astype(np.float32)
+        second *= (1 / (1 - 0.99 ** n)).astype(np.float32)
+        np.sqrt(second, out=second)
+        second += np.float32(1e-8)
+        first /= second
+        self.rows[name][which] -= first
+
+    def learn(self, texts: list[np.ndarray], least_steps: int = 0) -> None:
+        """One pass over the windows of texts of places, or more up to ``least_steps`` steps."""
+        sizes = np.array([len(t) for t in texts])
+        x_at, y, real, _ = windows(np.concatenate(texts), sizes)
+        y, real = y.reshape(-1, FRESH), real.reshape(-1, FRESH)
+        stop = self.done + max(-(-len(x_at) // self.batch), least_steps)
+        while self.done < stop:
+            order = self.rng.permutation(len(x_at))
+            for b in range(0, len(order), self.batch):
+                pick = order[b:b + self.batch]
+                _, dense, sparse = self.net.touched_gradient(x_at[pick], y[pick].ravel(), real[pick].ravel())
+                rate = self.rate * max(0.05, 1 - 0.95 * self.done / self.expected)
+                self._update("dense", np.zeros(1, np.int64), dense[None], rate)
+                for name, (which, g) in sparse.items():
+                    self._update(name, which, g, rate)
+                self.done += 1
+                if self.done >= stop:
+                    break
+
+    def touched(self):
+        """(start in the flat vector, weights, steps) per row that was trained, in bounded runs of rows."""
+        at = 0
+        for name in ("dense", *(name for name, _ in SPARSE)):
+            rows, width = self.rows[name], self.rows[name].shape[1]
+            per = max(1, BLOCK // width)
+            for lo in range(0, len(rows), per):
+                steps = self.steps[name][lo:lo + per]
+                if steps.any():
+                    yield at + lo * width, rows[lo:lo + per], steps
+            at += rows.size
+
+
 def train_locally(flat: np.ndarray, vocabulary: Vocabulary, texts: list[np.ndarray], rate: float, least_steps: int,
                   seed: int) -> np.ndarray:
     """Adam from the given weights over the windows of texts of ids."""
-    return train_places(flat, [vocabulary.place_of[t] for t in texts], rate, least_steps, seed)
-
-
-def train_places(flat: np.ndarray, texts: list[np.ndarray], rate: float, least_steps: int, seed: int) -> np.ndarray:
-    """Adam from the given weights over the windows of texts of places."""
-    net = Network(flat)
-    sizes = np.array([len(t) for t in texts])
-    x_at, y, real, _ = windows(np.concatenate(texts), sizes)
-    y, real = y.reshape(-1, FRESH), real.reshape(-1, FRESH)
-    rng = np.random.default_rng(seed)
-    batch = min(MOST_BATCH, max(BATCH, len(x_at) // LEAST_STEPS))
-    per_pass = -(-len(x_at) // batch)
-    steps = max(per_pass, least_steps)
-    first, second = np.zeros_like(net.flat), np.zeros_like(net.flat)
-    done = 0
-    while done < steps:
-        order = rng.permutation(len(x_at))
-        for b in range(0, len(order), batch):
-            pick = order[b:b + batch]
-            _, g = net.gradient(x_at[pick], y[pick].ravel(), real[pick].ravel())
-            done += 1
-            first += 0.1 * (g - first)
-            second += 0.01 * (g * g - second)
-            net.flat -= (rate * (1 - 0.9 * done / steps) * (first / (1 - 0.9 ** done))
-                         / (np.sqrt(second / (1 - 0.99 ** done)) + 1e-8)).astype(np.float32)
-            if done >= steps:
-                break
-    return net.flat
+    trainer = Trainer(flat, rate, sum(map(len, texts)), least_steps, seed)
+    trainer.learn([vocabulary.place_of[t] for t in texts], least_steps)
+    return trainer.net.flat
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -410,63 +477,75 @@ def subword_counts(counts: DataFrame, path: str) -> np.ndarray:
     return out
 
 
-def train_network(rows: DataFrame, vocabulary: Vocabulary, path: str, words: int, share: int = SHARE, rounds: int = ROUNDS,
-                  least_steps: int = LEAST_STEPS) -> np.ndarray:
-    """Rounds of local training and averaging on one in ``share`` of ``rows`` (doc_id, text), which
-    have ``words`` words. A trainer takes the rows of a partition in bounded runs."""
-    flat = Network.start(vocabulary).flat
-    taken = rows.select("doc_id", "text")
-    if share > 1:
-        taken = taken.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(share)) == 0)
+def encoded(rows: DataFrame, vocabulary: Vocabulary, path: str) -> DataFrame:
+    """``rows`` (with a column text) with places (16 bits each) and inner (log10 of the shares in a common
+    place) instead of text."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast((vocabulary.place_of.astype(np.uint16), vocabulary.inner))
+    kept = [c for c in rows.columns if c != "text"]
 
-    def encode(batches):
-        sub, place_of = subwords(path), vocabulary.place_of.astype(np.uint16)
+    def run(batches):
+        sub, (place_of, inner) = subwords(path), shared.value
         for b in batches:
-            places = [place_of[sub.text(words_of(t))].tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(places, pa.binary())], names=["doc_id", "places"])
+            ids = [sub.text(words_of(t)) for t in b.column(len(kept)).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:len(kept)], pa.array([place_of[x].tobytes() for x in ids], pa.binary()),
+                 pa.array([float(inner[x].sum()) for x in ids], pa.float64())], names=[*kept, "places", "inner"])
+
+    types = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return rows.select(*kept, "text").mapInArrow(run, f"{types}, places binary, inner double")
+
+
+def train_network(rows: DataFrame, vocabulary: Vocabulary, path: str, words: int, least_steps: int = LEAST_STEPS) -> np.ndarray:
+    """As ``train_on_places``, on ``rows`` (doc_id, text), which have ``words`` words."""
+    return train_on_places(encoded(rows.select("doc_id", "text"), vocabulary, path), vocabulary, words, words * 3, least_steps)
+
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    trainers = max(1, min(shuffle_parts(rows), words // share // TRAINER_WORDS))
+def train_on_places(rows: DataFrame, vocabulary: Vocabulary, words: int, tokens: float, least_steps: int = LEAST_STEPS) -> np.ndarray:
+    """One round over all ``rows`` (doc_id, places): a trainer takes the rows of a partition in bounded runs; a row of weights
+    becomes the mean of the trainers that touched it, by their steps on it."""
+    flat = Network.start(vocabulary).flat
+    trainers = max(1, min(shuffle_parts(rows), words // TRAINER_WORDS))
     # dealt and ordered by a hash, so that each trainer sees a mixture; the text's part in it spreads a repeated id
     mixed = F.xxhash64("doc_id", "places")
-    taken = materialize(taken.mapInArrow(encode, f"doc_id {kind}, places binary").select(mixed.alias("mix"), "places")
-                        .repartition(trainers, "mix").sortWithinPartitions("mix").select("places"))
+    taken = (rows.select(mixed.alias("mix"), "places").repartition(trainers, "mix").sortWithinPartitions("mix").select("places"))
+    start = rows.sparkSession.sparkContext.broadcast(flat)
+
+    def learn(batches):
+        # a trainer learns from one bounded run of texts after the other
+        trainer, held, size = None, [], 0
+        for b in batches:
+            for places in b.column(0):
+                x = np.frombuffer(places.as_py(), np.uint16).astype(np.int32)
+                for lo in range(0, len(x), RUN_TOKENS):
+                    held.append(x[lo:lo + RUN_TOKENS])
+                    size += len(held[-1])
+                    if size >= RUN_TOKENS:
+                        trainer = trainer or Trainer(start.value, RATE, tokens / trainers, least_steps, SEED)
+                        trainer.learn(held)
+                        held, size = [], 0
+        if held:
+            more = 0 if trainer else least_steps
+            trainer = trainer or Trainer(start.value, RATE, size, least_steps, SEED)
+            trainer.learn(held, more)
+        if trainer:
+            for at, w, n in trainer.touched():
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([w.tobytes()], pa.binary()),
+                                                  pa.array([n.tobytes()], pa.binary())], names=["at", "w", "n"])
 
     def average(block: pa.Table) -> pa.Table:
-        n = block.column("n").to_numpy().astype(np.float64)
-        total = np.zeros(len(block.column("w")[0].as_py()) // 4)
-        for k, w in zip(n, block.column("w").to_pylist()):
-            total += k * np.frombuffer(w, np.float32)
-        return pa.table({"at": block.column("at")[:1], "w": pa.array([(total / n.sum()).astype(np.float32).tobytes()], pa.binary())})
-
-    for turn in range(rounds):
-        rate = RATE / (1 + turn)
-
-        def learn(batches, flat=flat, rate=rate, turn=turn):
-            # a trainer learns from one bounded run of texts after the other
-            tokens, held, size = 0, [], 0
-            for b in batches:
-                for places in b.column(0):
-                    x = np.frombuffer(places.as_py(), np.uint16).astype(np.int32)
-                    for lo in range(0, len(x), RUN_TOKENS):
-                        held.append(x[lo:lo + RUN_TOKENS])
-                        size += len(held[-1])
-                        if size >= RUN_TOKENS:
-                            flat = train_places(flat, held, rate, 0, SEED + turn)
-                            tokens, held, size = tokens + size, [], 0
-            if held:
-                flat = train_places(flat, held, rate, 0 if tokens else least_steps, SEED + turn)
-                tokens += size
-            if tokens:
-                blocks = [flat[lo:lo + BLOCK].tobytes() for lo in range(0, len(flat), BLOCK)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array(blocks, pa.binary()),
-                     pa.array(np.full(len(blocks), tokens, np.int64))], names=["at", "w", "n"])
-
-        table = (taken.mapInArrow(learn, "at int, w binary, n long").groupBy("at")
-                 .applyInArrow(average, "at int, w binary").toArrow().sort_by("at"))
-        if table.num_rows:
-            flat = np.frombuffer(b"".join(table.column("w").to_pylist()), np.float32)
+        at, total, steps = block.column("at")[0].as_py(), 0.0, 0
+        for n, w in zip(block.column("n").to_pylist(), block.column("w").to_pylist()):
+            n = np.frombuffer(n, np.int64).astype(np.float64)[:, None]
+            total, steps = total + n * np.frombuffer(w, np.float32).reshape(len(n), -1), steps + n
+        before = start.value[at:at + total.size].reshape(total.shape)
+        w = np.where(steps > 0, total / np.maximum(steps, 1), before).astype(np.float32)
+        return pa.table({"at": pa.array([at], pa.int32()), "w": pa.array([w.tobytes()], pa.binary())})
+
+    table = taken.mapInArrow(learn, "at int, w binary, n binary").groupBy("at").applyInArrow(average, "at int, w binary").toArrow()
+    for at, w in zip(table.column("at").to_pylist(), table.column("w").to_pylist()):
+        w = np.frombuffer(w, np.float32)
+        flat[at:at + len(w)] = w
     return flat
 
 
@@ -527,21 +606,24 @@ def score_texts(df: DataFrame, learn, id_col: str = "doc_id", text_col: str = "t
     counts = written(word_counts(learning.select("text")))
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("distinct")).first()
     least, hot = hot_words(counts)
-    vocabulary = Vocabulary(subword_counts(counts, path))
-    flat = train_network(learning, vocabulary, path, size["total"])
-
+    ids = subword_counts(counts, path)
+    vocabulary = Vocabulary(ids)
     tied = src.withColumn("tie", F.xxhash64("text"))
     rare = counts.where(F.col("c") < least)
     base = unigram_scores(tied, rare, hot, size["total"], size["distinct"])
+    places = written(encoded(tied.select("doc_id", "tie", (~learn).alias("held_out"), "text"), vocabulary, path))
+    flat = train_on_places(places.where(~F.col("held_out")), vocabulary, size["total"], float(ids.sum()))
+
     shared = spark.sparkContext.broadcast(Scorer(vocabulary, flat, path))
     kind = src.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            scores = shared.value.score(b.column(3).to_pylist())
+            texts = [np.frombuffer(x, np.uint16).astype(np.int32) for x in b.column(3).to_pylist()]
+            scores = shared.value.score_places(texts) + b.column(4).to_numpy()
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(scores)], names=["doc_id", "tie", "held_out", "score"])
 
-    scored = tied.select("doc_id", "tie", (~learn).alias("held_out"), "text").mapInArrow(
+    scored = places.select("doc_id", "tie", "held_out", "places", "inner").mapInArrow(
         run, f"doc_id {kind}, tie long, held_out boolean, score double")
     base = base.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "tokens", "known", "base", "copies")
     return (scored.join(base, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))

@@ -53,17 +53,65 @@ def test_probabilities_sum_to_one_and_do_not_see_ahead(model):
     ids = rng.integers(0, 300, 20)
     x_at, y, real, _ = lm.windows(ids, np.array([20]))
     h, _ = net.forward(x_at)
-    every = np.arange(lm.GROUPS * lm.MEMBERS)
+    every = np.arange(lm.PLACES)
     for place in (0, 7, 19):
         logs = net.log_probabilities(np.repeat(h[place:place + 1], len(every), axis=0), every)
         assert math.isclose(np.exp(logs).sum(), 1.0, rel_tol=1e-4)
-    assert math.isclose((10 ** voc.inner)[voc.place_of == lm.GROUPS * lm.MEMBERS - 1].sum(), 1.0, rel_tol=1e-6)
+    assert (voc.inner == 0).all()  # fewer ids than places: none is shared
+    larger = lm.Vocabulary(rng.integers(0, 9, 60_000).astype(float))
+    shared = larger.place_of == lm.PLACES - 1
+    assert shared.sum() == 60_000 - lm.PLACES + 1
+    assert math.isclose((10 ** larger.inner)[shared].sum(), 1.0, rel_tol=1e-6)
     changed = ids.copy()
     changed[10:] = rng.integers(0, 300, 10)
     other, _ = net.forward(lm.windows(changed, np.array([20]))[0])
     assert np.allclose(h[:11], other[:11], atol=1e-5) and not np.allclose(h[12:20], other[12:20], atol=1e-5)
 
 
+def plain_score(voc, net, ids):
+    """log10 probability of a text's ids, token by token: each attends to the places of its own window before it."""
+    w = {name: x.astype(np.float64) for name, x in net.w.items()}
+    places = [int(voc.place_of[i]) for i in ids]
+    fed = [lm.START] * (lm.WINDOW - lm.FRESH + 1) + places
+    total = sum(voc.inner[i] for i in ids)
+    for i, y in enumerate(places):
+        first = i // lm.FRESH * lm.FRESH
+        own = lm.WINDOW - lm.FRESH + i - first
+        x = np.array([w["embed"][fed[first + j]] + w["place"][j] for j in range(own + 1)])
+        a = (x @ w["wk"]) @ (x[-1] @ w["wq"]) / math.sqrt(lm.WIDTH)
+        a = np.exp(a - a.max())
+        h = x[-1] + (a / a.sum()) @ (x @ w["wv"]) @ w["wo"]
+        h = h + np.maximum(h @ w["w1"] + w["b1"], 0) @ w["w2"]
+        levels = [(w["group"], y // lm.SIDE ** 2), (w["branch"][y // lm.SIDE ** 2], y // lm.SIDE % lm.SIDE),
+                  (w["member"][y // lm.SIDE], y % lm.SIDE)]
+        for weights, choice in levels:
+            logits = h @ weights[:-1] + weights[-1]
+            total += (logits[choice] - logits.max() - math.log(np.exp(logits - logits.max()).sum())) / math.log(10)
+    return total
+
+
+def test_scores_against_plain_attention(model):
+    voc, net = model
+    sub = lm.subwords(lm.RANK_FILE)
+    texts = ["", "one word", "A text that runs over several windows " * 12, None, "zebra \u00e9t\u00e9 \U0001f600 " * 9]
+    # the second time with weights so large that exponentials would overflow
+    for flat in (net.flat, net.flat * 40):
+        scores = lm.Scorer(voc, flat, lm.RANK_FILE).score(texts)
+        for t, got in zip(texts, scores):
+            want = plain_score(voc, lm.Network(flat), sub.text(lm.words_of(t)))
+            assert math.isclose(got, want, rel_tol=1e-3), (t, got, want)
+
+
+def test_averaging_weighs_rows_by_their_steps_and_keeps_untouched_ones(spark):
+    voc = lm.Vocabulary(np.ones(lm.subwords(lm.RANK_FILE).size))
+    rows = spark.createDataFrame([(1, "one two three " * 50)], "doc_id long, text string")
+    flat, start = lm.train_network(rows, voc, lm.RANK_FILE, 150), lm.Network.start(voc).flat
+    embed = lm.Network(flat).w["embed"] != lm.Network(start).w["embed"]
+    used = {int(voc.place_of[i]) for i in lm.subwords(lm.RANK_FILE).text(lm.words_of("one two three"))} | {lm.START}
+    assert set(np.flatnonzero(embed.any(axis=1)).tolist()) <= used
+    assert (flat[:lm.DENSE_SIZE] != start[:lm.DENSE_SIZE]).any()
+
+
 def test_windows_score_each_token_once_with_its_context():
     rng = np.random.default_rng(4)
     sizes = np.array([1, lm.FRESH, lm.FRESH + 1, 100, 3])
@@ -115,7 +163,6 @@ def test_training_lowers_held_out_loss():
 
 def test_nulls_rare_words_repeated_rows_and_empty_tables(spark, monkeypatch):
     monkeypatch.setattr(lm, "LEAST_STEPS", 2)
-    monkeypatch.setattr(lm, "SHARE", 1)
     monkeypatch.setattr(lm.hot_words, "__defaults__", (2,))  # most words meet their counts in the join
     df = spark.createDataFrame([(1, None, "x", "y"), (None, "", "x", "y"), (2, "a b a \x00 rare", "x", "y"),
                                 (2, "a b a \x00 rare", None, None), (2, "other", "x", "y"), (7, "unseen words", "x", "y"),
