@@ -18,6 +18,10 @@ from pressmill.schemas import (EXPORT_BATCH, EXPORT_SINCE, QUOTA_VOLUME, QUOTA_W
                                SEARCH_TYPE_LABELS, SOURCE_LABELS, SOURCES)
 
 
+#: Places of an article, as the enrichment record writes them.
+LOCATIONS = "coordinates array<struct<name string, type string>>"
+
+
 def export_selection(articles: DataFrame, searches: DataFrame) -> DataFrame:
     """K1 (+J1): translated, processed, not pushed, crawled since the cut-off,
     and attached to a search that has a search_id."""
@@ -42,16 +46,26 @@ def batches(selection: DataFrame, size: int = EXPORT_BATCH, max_batches: int | N
 
 
 def payload(batched: DataFrame, tag_names: DataFrame | None = None, key: str = "id") -> DataFrame:
-    """K2: the transfer document per article (named fields, nested tags)."""
+    """K2: the transfer document per article: 18 named fields, nested tags and locations.
+
+    ``batched`` may lack what enrichment adds (authors, post_date_created, top_image_url, top_image, locations as a
+    JSON text); such a field is null. ``tag_names`` is (key, tags)."""
     b = batched
     if tag_names is not None:
         b = b.join(tag_names, key, "left")
     else:
         b = b.withColumn("tags", F.array().cast("array<string>"))
+    for name, kind in (("authors", "string"), ("post_date_created", "timestamp"), ("top_image_url", "string"),
+                       ("top_image", "string"), ("locations", "string")):
+        if name not in b.columns:
+            b = b.withColumn(name, F.lit(None).cast(kind))
+    stamp = "yyyy-MM-dd HH:mm:ss"
     doc = F.struct(
-        "article_url", "source_language", "title", "translated_title", "body", "translated_body",
-        F.date_format("post_date_crawled", "yyyy-MM-dd HH:mm:ss").alias("post_date_crawled"),
-        "translated", "processed", "search_id", "channel", "status",
+        "article_url", "source_language", "title", "translated_title", "body", "translated_body", "authors",
+        F.date_format("post_date_created", stamp).alias("post_date_created"),
+        F.date_format("post_date_crawled", stamp).alias("post_date_crawled"),
+        "translated", "top_image_url", "top_image", "processed", "search_id", "channel", "status",
+        F.from_json("locations", LOCATIONS).alias("locations"),
         F.transform(F.coalesce("tags", F.array().cast("array<string>")),
                     lambda t: F.struct(t.alias("name"))).alias("tags"),
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressmill.schemas import EMAIL_LINKS, ENGINE_PAGING, OPTION_ENGINES, OPTIONS, SOURCES
+from pressmill.schemas import EMAIL_LINKS, ENGINE_PAGING, ENGINE_REQUESTS, OPTION_ENGINES, OPTIONS, SOURCES
 
 
 def _ts(now) -> Column:
@@ -94,12 +94,35 @@ def engine_spec(spark) -> DataFrame:
         ENGINE_PAGING, "engine string, kind string, step int, base int, max_depth int")
 
 
+def _map(pairs: dict) -> Column:
+    if not pairs:
+        return F.create_map().cast("map<string,string>")
+    return F.create_map(*[x if isinstance(x, Column) else F.lit(x) for kv in pairs.items() for x in kv])
+
+
+def engine_request(start: Column, size: Column, params: Column) -> list[Column]:
+    """``address`` and ``request`` (all parameters by name) of a request page; ``params`` override the
+    engine's own. Engines with a client library of their own have no address and only ``params``."""
+    address, own = F.lit(None).cast("string"), _map({})
+    for engine, url, fixed, position, count in ENGINE_REQUESTS:
+        pairs = dict(fixed)
+        if position:
+            pairs[position] = start.cast("string")
+        if count:
+            pairs[count] = size.cast("string")
+        address = F.when(F.col("engine") == engine, F.lit(url)).otherwise(address)
+        own = F.when(F.col("engine") == engine, _map(pairs)).otherwise(own)
+    kept = F.map_filter(own, lambda k, _: ~F.map_contains_key(params, k))
+    return [address.alias("address"), F.map_concat(kept, params).alias("request")]
+
+
 def request_plan(work: DataFrame, spec: DataFrame) -> DataFrame:
     """F5 + F6 + F9: engine work rows -> one row per request page.
 
     Unknown engines get no pages (``engine_errors`` lists them). Depth is
     clamped per engine; depth 0 gives no page. Options decoded from JSON
-    override request parameters of the engines that take them (last value wins)."""
+    override request parameters of the engines that take them (last value wins).
+    ``params`` are the query and the options, ``request`` all parameters sent to ``address``."""
     w = work.filter(F.col("kind") == "engine").drop("kind")
     s = F.broadcast(spec.withColumnRenamed("kind", "paging"))
     j = w.join(s, "engine", "inner")
@@ -119,7 +142,8 @@ def request_plan(work: DataFrame, spec: DataFrame) -> DataFrame:
                  F.explode(pages).alias("page"), params.alias("params"))
     start = F.when(F.col("paging") == "paged", F.col("base") + F.col("step") * F.col("page"))
     size = F.when(F.col("paging") == "single", F.col("step") * F.col("depth"))
-    return j.select("search_pk", "engine", "page", start.alias("start"), size.alias("size"), "params")
+    j = j.select("search_pk", "engine", "page", start.alias("start"), size.alias("size"), "params")
+    return j.select("*", *engine_request(F.col("start"), F.col("size"), F.col("params")))
 
 
 def engine_errors(work: DataFrame, spec: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pressmill.functions import urls as ux
 from pressmill.operators import dedup, extract, frontier, triage
 from pressmill.plans import derive
 from pressmill.plans import oracle_sql as O
+from pressmill.schemas import ENGINE_REQUESTS
 from pressmill.session import ensure_conf, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -633,6 +634,13 @@ def search_work(spark, sf_dir):
     return w.select("search_pk", "kind", "target", "engine", "depth")
 
 
+_ADDRESS_SQL = "CASE engine " + " ".join(f"WHEN '{e}' THEN '{url}'" for e, url, *_ in ENGINE_REQUESTS) + " END"
+_PARAMS_SQL = ",\n           ".join(
+    f"CASE WHEN engine = '{e}' THEN {value} END" for e, _, fixed, position, count in ENGINE_REQUESTS
+    for value in [*(f"'{k}={v}'" for k, v in fixed.items()), *([f"'{position}=' || (base + step * page)"] if position else []),
+                  *([f"'{count}=' || (step * d)"] if count else [])])
+
+
 @query("request_plan", f"""
 WITH {O.SEARCHES_CTE}, due AS (SELECT * FROM searches WHERE {_DUE_SQL}),
 work AS (SELECT id AS search_pk, query AS target, unnest(string_split(source, ', ')) AS engine,
@@ -648,7 +656,11 @@ p AS (SELECT *, unnest(CASE WHEN paging = 'paged' THEN CASE WHEN d > 0 THEN rang
                             ELSE [0] END) AS page FROM j)
 SELECT search_pk, engine, page, CASE WHEN paging = 'paged' THEN base + step * page END AS start,
        CAST(CASE WHEN paging = 'single' THEN step * d END AS BIGINT) AS size, target AS q,
-       CASE WHEN engine = 'google_cse' THEN exact_terms END AS exact_terms
+       CASE WHEN engine = 'google_cse' THEN exact_terms END AS exact_terms,
+       {_ADDRESS_SQL} AS address,
+       array_to_string(list_sort(list_filter(['q=' || target, {_PARAMS_SQL},
+           CASE WHEN engine = 'google_cse' THEN 'exactTerms=' || exact_terms END,
+           CASE WHEN engine = 'google_cse' AND exact_terms IS NOT NULL THEN 'excludeTerms=spam' END], lambda x: x IS NOT NULL)), '&') AS request
 FROM p
 """)
 def request_plan(spark, sf_dir):
@@ -658,7 +670,9 @@ def request_plan(spark, sf_dir):
     plan = frontier.request_plan(w, frontier.engine_spec(spark))
     return plan.select("search_pk", "engine", F.col("page").cast("bigint").alias("page"),
                        F.col("start").cast("bigint").alias("start"), F.col("size").cast("bigint").alias("size"),
-                       F.col("params")["q"].alias("q"), F.col("params")["exactTerms"].alias("exact_terms"))
+                       F.col("params")["q"].alias("q"), F.col("params")["exactTerms"].alias("exact_terms"), "address",
+                       F.array_join(F.array_sort(F.transform(F.map_entries("request"), lambda e: F.concat(
+                           e["key"], F.lit("="), e["value"]))), "&").alias("request"))
 
 
 @query("search_validation", f"""
@@ -725,20 +739,39 @@ def export_batches(spark, sf_dir):
 
 
 @query("export_payload", f"""
-WITH {_STATUS_ARTICLES}
+WITH {_STATUS_ARTICLES},
+{O.keywords_cte('kw', 'sel', 'id', 'body', 5)},
+slugs AS (SELECT DISTINCT id, {O.slugify('term')} AS slug, term FROM kw WHERE {O.slugify('term')} <> ''),
+tagged AS (SELECT slug, min(struct_pack(i := id, n := term)).n AS name FROM slugs GROUP BY slug),
+tags AS (SELECT id, list(DISTINCT {{'name': name}} ORDER BY {{'name': name}}) AS tags FROM slugs JOIN tagged USING (slug) GROUP BY id),
+{O.locations_cte('loc', 'sel', 'id', 'body')},
+places AS (SELECT id, {{'coordinates': list({{'name': name, 'type': type}} ORDER BY name, type)}} AS locations FROM loc GROUP BY id)
 SELECT id, position // 50 AS batch_id,
        to_json({{'article_url': article_url, 'source_language': source_language, 'title': title,
                 'translated_title': CASE WHEN translated THEN title END,
                 'body': body, 'translated_body': CASE WHEN translated THEN body END,
+                'authors': CASE WHEN id % 5 <> 0 THEN 'Reporter ' || (id % 97) END,
+                'post_date_created': {O.ts_text('(post_date_crawled - to_days(CAST(id % 30 AS INTEGER)))')},
                 'post_date_crawled': {O.ts_text('post_date_crawled')}, 'translated': translated,
+                'top_image_url': CASE WHEN id % 3 = 0 THEN 'https://img.example.org/' || id || '.jpg' ELSE '' END,
+                'top_image': CASE WHEN id % 6 = 0 THEN 'article-images/' || id || '.jpg' END,
                 'processed': processed, 'search_id': search_id, 'channel': s_channel, 'status': st,
-                'tags': []::STRUCT(name VARCHAR)[]}})::VARCHAR AS payload
-FROM sel
+                'locations': locations, 'tags': coalesce(tags, []::STRUCT(name VARCHAR)[])}})::VARCHAR AS payload
+FROM sel LEFT JOIN tags USING (id) LEFT JOIN places USING (id)
 """)
 def export_payload(spark, sf_dir):
-    """K2: the transfer document of every exported article."""
-    from pressmill.operators import export
-    p = export.payload(_batched(spark, sf_dir))
+    """K2: the transfer document of every exported article, with its tags (E3, J5) and places."""
+    from pressmill.operators import enrich, export
+    from pressmill.session import materialize
+    b = _batched(spark, sf_dir)
+    texts = b.select("id", "body")
+    kw = materialize(enrich.keywords(texts, "id", "body", 5))
+    rows = enrich.tag_rows(kw, "id")
+    tags = rows.groupBy("slug").agg(F.min(F.struct("id", "name"))["name"].alias("name"))
+    names = enrich.tag_names(rows.select("id", "slug"), tags, "id")
+    places = enrich.locations(texts, derive.gazetteer(spark, sf_dir), "id", "body")
+    record = enrich.records(b.select("id", "processed"), kw, places, "id").select("id", "locations")
+    p = export.payload(derive.with_details(b).join(record, "id"), names)
     return p.select("id", F.col("batch_id").cast("bigint").alias("batch_id"), "payload")
 
 

@@ -80,6 +80,15 @@ def articles(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) ->
     )
 
 
+def with_details(arts: DataFrame) -> DataFrame:
+    """Articles with stand-in authors, creation dates and images (some have none)."""
+    i = F.col("id")
+    return (arts.withColumn("authors", F.when(i % 5 != 0, F.concat(F.lit("Reporter "), i % 97)))
+            .withColumn("post_date_created", F.col("post_date_crawled") - F.make_dt_interval((i % 30).cast("int")))
+            .withColumn("top_image_url", F.when(i % 3 == 0, F.concat(F.lit("https://img.example.org/"), i, F.lit(".jpg"))).otherwise(""))
+            .withColumn("top_image", F.when(i % 6 == 0, F.concat(F.lit("article-images/"), i, F.lit(".jpg")))))
+
+
 def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events")
     users = ev.groupBy("user_id").agg(

@@ -49,6 +49,17 @@ ENGINE_PAGING = [
     ("social", "single", 10, 0, None),
     ("yandex", "first", 0, 0, None),
 ]
+# fixed: where each engine is asked and with which parameters (credentials are the fetcher's):
+# (engine, address, fixed parameters, parameter of the position, parameter of the size)
+ENGINE_REQUESTS = [
+    ("google", "https://google.com/search", {"sa": "N"}, "start", None),
+    ("google_scholar", "https://scholar.google.com/scholar", {"sa": "N"}, "start", None),
+    ("google_news", "https://news.google.com/news", {"output": "rss"}, None, "num"),
+    ("google_cse", "https://www.googleapis.com/customsearch/v1", {"safe": "medium"}, "start", None),
+    ("google_blogs", "https://google.com/search", {"tbm": "nws", "tbs": "nrt:b"}, "start", None),
+    ("bing", "https://www.bing.com/search", {}, "first", None),
+    ("social", "https://api.social-searcher.com/v2/search", {}, None, "limit"),
+]
 # engines whose requests take the saved search's options
 OPTION_ENGINES = ("google_cse",)
 # HTML result-page selectors per engine: container class, link/title element,

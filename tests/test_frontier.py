@@ -53,6 +53,21 @@ def test_options_override_only_where_the_engine_takes_them(spark):
     assert got == {1: {"q": "other", "siteSearch": "a"}, 2: {"q": "own"}, 3: {"q": "own"}}
 
 
+def test_each_engine_gets_its_own_parameters(spark):
+    engines = ["google", "google_scholar", "google_news", "google_cse", "google_blogs", "bing", "social", "yandex"]
+    w = spark.createDataFrame([(1, "engine", "a b", e, 2, '{"safe": "off"}' if e == "google_cse" else None) for e in engines],
+                              "search_pk long, kind string, target string, engine string, depth int, options string")
+    got = {(r["engine"], r["page"]): (r["address"], r["request"])
+           for r in frontier.request_plan(w, frontier.engine_spec(spark)).collect()}
+    assert got["google", 1] == ("https://google.com/search", {"q": "a b", "start": "10", "sa": "N"})
+    assert got["google_blogs", 0][1] == {"q": "a b", "start": "0", "tbm": "nws", "tbs": "nrt:b"}
+    assert got["google_cse", 1][1] == {"q": "a b", "start": "11", "safe": "off"}  # an option overrides
+    assert got["google_news", 0][1] == {"q": "a b", "num": "20", "output": "rss"}
+    assert got["bing", 1][1] == {"q": "a b", "first": "11"}
+    assert got["social", 0][1] == {"q": "a b", "limit": "20"}
+    assert got["yandex", 0] == (None, {"q": "a b"})
+
+
 def test_candidates_and_new_urls(spark):
     c = frontier.normalise_candidates(spark.createDataFrame([("http://a/",), ("http://a/",), ("http://b/",)],
                                                             "candidate string"))
