@@ -56,14 +56,24 @@ def unescape_html(c) -> Column:
     return x
 
 
+_WITH_CONTENT = ["script", "style", "iframe", "object", "applet", "noembed", "select", "textarea", "button"]
+_TAG_ONLY = ["iframe", "object", "applet", "embed", "param", "form", "input", "meta", "link", "base"]
+#: What clean_html takes out, in this order, as patterns that Java and RE2 read alike.
+UNSAFE = [
+    r"(?is)<(?:" + "|".join(rf"{t}\b[^>]*>.*?</{t}" for t in _WITH_CONTENT) + r")\s*>",
+    r"(?s)<!--.*?-->",
+    r"(?is)</?(?:" + "|".join(_TAG_ONLY) + r")(?:[\s/][^>]*)?>",
+    r"""(?i)\s+on[a-z]+\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""",
+    r"""(?i)\s+(?:href|src|action|background)\s*=\s*("\s*(?:java|vb)script:[^"]*"|'\s*(?:java|vb)script:[^']*'|(?:java|vb)script:[^\s>]+)""",
+]
+
+
 def clean_html(c) -> Column:
-    """Drop scripts, styles, comments and inline event handlers; bare text
-    (no element at all) is wrapped in one paragraph."""
+    """Drop scripts, styles, comments, embedded objects, form controls (a form's text stays), page metadata, inline
+    event handlers and script addresses; bare text (no element at all) is wrapped in one paragraph."""
     x = _c(c)
-    x = F.regexp_replace(x, r"(?is)<script\b[^>]*>.*?</script\s*>", "")
-    x = F.regexp_replace(x, r"(?is)<style\b[^>]*>.*?</style\s*>", "")
-    x = F.regexp_replace(x, r"(?s)<!--.*?-->", "")
-    x = F.regexp_replace(x, r"""(?i)\s+on[a-z]+\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "")
+    for pattern in UNSAFE:
+        x = F.regexp_replace(x, pattern, "")
     # bound once: the branches below would otherwise each re-run the chain
     return let(x, lambda v: F.when(v.rlike(r"<[A-Za-z]"), v).otherwise(F.concat(F.lit("<p>"), v, F.lit("</p>"))))
 

@@ -8,6 +8,7 @@ test corpus carries only ASCII whitespace).
 
 from __future__ import annotations
 
+from pressmill.functions.text import UNSAFE
 from pressmill.plans.derive import CRAWL_EPOCH, PERIOD_BY_TOP_EVENT, PLACE_TYPES, SOURCE_LISTS, TRASH_RULES, TYPE_BY_FIRST_EVENT
 from pressmill.schemas import CHANNELS, LOCATION_DELETE_CHARS
 
@@ -40,10 +41,8 @@ def unescape_html(x: str) -> str:
 
 
 def clean_html(x: str) -> str:
-    x = f"regexp_replace({x}, '(?is)<script\\b[^>]*>.*?</script\\s*>', '', 'g')"
-    x = f"regexp_replace({x}, '(?is)<style\\b[^>]*>.*?</style\\s*>', '', 'g')"
-    x = f"regexp_replace({x}, '(?s)<!--.*?-->', '', 'g')"
-    x = f"regexp_replace({x}, '(?i)\\s+on[a-z]+\\s*=\\s*(\"[^\"]*\"|''[^'']*''|[^\\s>]+)', '', 'g')"
+    for pattern in UNSAFE:
+        x = f"regexp_replace({x}, {q(pattern)}, '', 'g')"
     return f"(CASE WHEN regexp_matches({x}, '<[A-Za-z]') THEN {x} ELSE '<p>' || {x} || '</p>' END)"
 
 

@@ -89,3 +89,17 @@ def test_whitespace_markup_cleaning(spark):
     assert r[0]["w"] == "a b c"
     assert r[1]["c"] == "<p>English</p>"
     assert r[2]["c"] == "<p>t</p>"
+
+
+def test_clean_html_drops_embedded_objects_controls_and_script_addresses(spark):
+    cases = {
+        '<p>a<iframe src="x">b</iframe>c</p>': "<p>ac</p>",
+        '<p>a<embed src="x"/>b<object><param name="q">c</object>d</p>': "<p>abd</p>",
+        '<form action="/s"><p>kept</p><input name="q"><button>go</button></form>': "<p>kept</p>",
+        '<p><a href="javascript:x()">l</a><a HREF=\' vbscript:y\'>m</a><a href="/java">n</a></p>':
+            '<p><a>l</a><a>m</a><a href="/java">n</a></p>',
+        "<p>x</p><iframe src='unclosed'><p>y</p>": "<p>x</p><p>y</p>",
+        "<p><formula>f</formula><basefont>g</p>": "<p><formula>f</formula><basefont>g</p>",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.c for r in df.select("t", tx.clean_html("t").alias("c")).collect()} == cases
