@@ -55,6 +55,17 @@ def ensure_conf(spark: SparkSession) -> None:
     ship_package(spark)
 
 
+#: Rows per Arrow batch handed to a Python worker at most, where rows carry whole texts or pages.
+TEXT_BATCH_ROWS = 256
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of whole texts small, whatever the session came with."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_BATCH_ROWS:
+        spark.conf.set(key, str(TEXT_BATCH_ROWS))
+
+
 _SHIPPED: set = set()
 
 
