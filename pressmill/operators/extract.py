@@ -28,6 +28,7 @@ from pressmill.functions.charset import page_text, sniff
 from pressmill.functions.dates import first_date, parse_date
 from pressmill.functions.urls import is_html
 from pressmill.schemas import DATE_CLASS_PATTERN, DATE_META_KEYS
+from pressmill.session import small_batches
 
 
 def _c(x) -> Column:
@@ -219,7 +220,8 @@ def harvest_one(html: str | None) -> dict:
     out = {f.name: None for f in HARVEST_SCHEMA.fields}
     if not html:
         return out
-    nodes = list(htmltree.parse(html).nodes())
+    root = htmltree.parse(html)
+    nodes = list(root.nodes())
     metas = [n.attrs for n in nodes if n.tag == "meta"]
     data = _linked_data(nodes)
     if isinstance(data.get("author"), dict):
@@ -247,6 +249,7 @@ def harvest_one(html: str | None) -> dict:
             class_dates.append(n.text().strip())
     out["meta_author"], out["meta_date"], out["og_image"] = _meta_author(metas), _meta_date(metas), _og_image(metas)
     out["class_dates"] = class_dates or None
+    root.release()
     return out
 
 
@@ -263,6 +266,7 @@ def harvest_tags(responses: DataFrame, key_cols=("url",)) -> DataFrame:
     key_fields = [responses.schema[k] for k in key_cols]
     schema = T.StructType(key_fields + HARVEST_SCHEMA.fields)
     cols = key_cols + ([] if "payload" in key_cols else ["payload"])
+    small_batches(responses.sparkSession)
     return responses.select(*cols).mapInPandas(lambda it: _harvest_batches(it, key_cols), schema)
 
 
@@ -275,6 +279,7 @@ def scored_content(responses: DataFrame, out: str = "_main") -> DataFrame:
             pdf[out] = [old if new is None else new for new, old in zip(best, pdf[out])]
             yield pdf
 
+    small_batches(responses.sparkSession)
     return responses.mapInPandas(run, responses.schema)
 
 

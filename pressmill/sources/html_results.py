@@ -18,6 +18,7 @@ from pressmill.functions import htmltree
 from pressmill.functions import text as tx
 from pressmill.functions.urls import unwrap_redirect
 from pressmill.schemas import HTML_ENGINE_SELECTORS
+from pressmill.session import small_batches
 
 _SEL = {e: (ct, cc, st, sc, skip) for e, ct, cc, st, sc, skip in HTML_ENGINE_SELECTORS}
 # google-family result links are wrapped by a redirector (parameter q)
@@ -39,7 +40,8 @@ def parse_result_page(engine: str, html: str | None) -> list[tuple]:
         return []
     ctag, cclass, stag, sclass, skip = sel
     out = []
-    for box in htmltree.parse(html).nodes():
+    root = htmltree.parse(html)
+    for box in root.nodes():
         # div containers match the class exactly, li containers by contains
         cls = box.attrs.get("class", "")
         if box.tag != ctag or not (cls == cclass if ctag == "div" else cclass in cls):
@@ -51,6 +53,7 @@ def parse_result_page(engine: str, html: str | None) -> list[tuple]:
             continue
         out.append((len(out), link.attrs["href"] if link is not None else "", link.text() if link is not None else "",
                     snippet.text() if snippet is not None else ""))
+    root.release()
     return out
 
 
@@ -70,6 +73,7 @@ def parse_html_results(df: DataFrame, engine: str = "engine", payload: str = "pa
     if engine not in keys:
         raise ValueError("the engine column is required")
     schema = T.StructType([df.schema[k] for k in keys] + RESULT_SCHEMA.fields)
+    small_batches(df.sparkSession)
     raw = df.select(*keys, payload).mapInPandas(lambda it: _batches(it, keys), schema)
     href = F.when(F.col(engine).isin(*_UNWRAP), unwrap_redirect(F.col("href"), "q")).otherwise(F.col("href"))
     return raw.select(*keys, "item_no", tx.strip(href).alias("article_url"), tx.strip(F.col("link_text")).alias("title"),
