@@ -38,9 +38,14 @@ class EpochTable:
 
     def before(self, epoch: int) -> DataFrame | None:
         """The merged rows of all earlier epochs, None if there are none."""
-        paths = self._parts(epoch)
         # file by file, so that a folder's name is not taken for a column
-        return self.merge(reduce(DataFrame.unionByName, [self.spark.read.parquet(p) for p in paths])) if paths else None
+        parts = [self.spark.read.parquet(p) for p in self._parts(epoch) if self._any_file(p)]
+        return self.merge(reduce(DataFrame.unionByName, parts)) if parts else None
+
+    def _any_file(self, path: str) -> bool:
+        """Whether anything was written: no rows in folders by a column leave no file, not even one with the schema."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return any(not f.getPath().getName().startswith("_") for f in p.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(p))
 
     def now(self) -> DataFrame | None:
         return self.before(self.last() + 1)
@@ -52,12 +57,15 @@ class EpochTable:
         """This epoch's delta (in folders by ``by``, if named), and the base that it completes."""
         self._save(rows, f"{self.path}/delta/epoch={epoch}", by)
         if (epoch + 1) % self.every == 0:
-            self._save(self.before(epoch + 1) if not self._finished("base", epoch) else self._again(epoch),
-                       f"{self.path}/base/epoch={epoch}", by)
+            base = self.before(epoch + 1) if not self._finished("base", epoch) else self._again(epoch)
+            if base is not None:
+                self._save(base, f"{self.path}/base/epoch={epoch}", by)
 
-    def _again(self, epoch: int) -> DataFrame:
+    def _again(self, epoch: int) -> DataFrame | None:
         """The base of a replayed epoch, from what it was made of (not from itself)."""
-        return self.merge(reduce(DataFrame.unionByName, [x for x in (self.before(epoch), self.delta(epoch)) if x is not None]))
+        own = self.delta(epoch) if self._any_file(f"{self.path}/delta/epoch={epoch}") else None
+        parts = [x for x in (self.before(epoch), own) if x is not None]
+        return self.merge(reduce(DataFrame.unionByName, parts)) if parts else None
 
     @staticmethod
     def _save(rows: DataFrame, path: str, by: str | None) -> None:
