@@ -69,8 +69,6 @@ BLOCK = 1 << 13
 SCORED = 512
 #: Distinct words that a task counts before it hands them on.
 COUNT_AT_ONCE = 300_000
-MEMORY = 400_000
-MEMORY_CHARS = 64
 SEED = 5
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -91,24 +89,20 @@ class Subwords:
         self.end = max(ranks.values()) + 1
         self.size = self.end + 1
         self.lib = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[bytes, bytes] = {}
+        self.begins = np.zeros(self.size, bool)
+        self.begins[[r for t, r in ranks.items() if t.startswith(b" ")]] = True
 
-    def word(self, w: bytes) -> bytes:
-        return np.array(self.lib.encode_ordinary(" " + w.decode("utf-8")), np.uint32).tobytes()
+    def words(self, words: list[bytes]) -> np.ndarray:
+        """Ids of the words, each with a blank before it. Words are encoded in one go: no match of the pattern goes
+        beyond the blank between two words, unless they hold white space of their own (other than ASCII's)."""
+        text = b" ".join([b"", *words]).decode("utf-8")
+        if text.isascii() or " ".join(["", *text.split()]) == text:
+            return np.array(self.lib.encode_ordinary(text), np.uint32)
+        return np.array([i for w in words for i in self.lib.encode_ordinary(" " + w.decode("utf-8"))], np.uint32)
 
     def text(self, words: list[bytes]) -> np.ndarray:
         """Ids of the words and the end."""
-        known = self.known
-        if len(known) > MEMORY:
-            known.clear()
-        fresh = set(words).difference(known)
-        for w in fresh:
-            known[w] = self.word(w)
-        ids = np.frombuffer(b"".join(map(known.__getitem__, words)) + self.end.to_bytes(4, "little"), np.uint32)
-        for w in fresh:
-            if len(w) > MEMORY_CHARS:
-                del known[w]
-        return ids
+        return np.append(self.words(words), np.uint32(self.end))
 
 
 @lru_cache(maxsize=2)
@@ -149,8 +143,15 @@ def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sorted_keys[begin], np.append(begin, len(sorted_keys))
 
 
+def _picked(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``rows[at]``, for places that exist: numpy is faster where it needs not report others."""
+    return rows.take(at, axis=0, mode="clip")
+
+
 def _with_ones(h: np.ndarray) -> np.ndarray:
-    return np.concatenate([h, np.ones((*h.shape[:-1], 1), np.float32)], axis=-1)
+    out = np.ones((*h.shape[:-1], h.shape[-1] + 1), np.float32)
+    out[..., :-1] = h
+    return out
 
 
 class Network:
@@ -179,7 +180,7 @@ class Network:
     def forward(self, x_at: np.ndarray):
         """Last layer at the fresh places of each window, and what the backward pass needs."""
         w, d, n = self.w, WIDTH, len(x_at)
-        x = w["embed"][x_at]
+        x = _picked(w["embed"], x_at)
         x += w["place"]
         flat, fresh = x.reshape(-1, d), np.ascontiguousarray(x[:, WINDOW - FRESH:]).reshape(-1, d)
         k, v = (flat @ w["wk"]).reshape(n, WINDOW, d), _with_ones((flat @ w["wv"]).reshape(n, WINDOW, d))
@@ -225,7 +226,7 @@ class Network:
         if not len(y):
             return np.zeros(0)
         order = np.argsort(y.astype(np.uint16), kind="stable")
-        _, norm, chosen, _, _ = self._softmax(_with_ones(h[order]), y[order].astype(np.int64))
+        _, norm, chosen, _, _ = self._softmax(_with_ones(_picked(h, order)), y[order].astype(np.int64))
         out = np.empty(len(y))
         out[order] = chosen - np.log(norm.astype(np.float64)).sum(axis=0)
         return out
@@ -239,7 +240,7 @@ class Network:
         at = at[np.argsort(y[at].astype(np.uint16), kind="stable")]
         total = max(1, len(at))
         dh, sparse = np.zeros_like(last), {}
-        h, rows = _with_ones(last[at]), np.arange(len(at))
+        h, rows = _with_ones(_picked(last, at)), np.arange(len(at))
         p, sums, chosen, digits, runs = self._softmax(h, y[at])
         loss = float((np.log(sums.astype(np.float64)).sum() - chosen.sum()) / total)
         p *= (np.float32(1 / total) / sums)[..., None]
@@ -273,7 +274,7 @@ class Network:
         g["place"] = dx.sum(axis=0)
         order = np.argsort(x_at.ravel().astype(np.uint16), kind="stable")
         which, begin = _runs(x_at.ravel()[order])
-        sparse["embed"] = (which, np.add.reduceat(dx.reshape(-1, d)[order], begin[:-1], axis=0))
+        sparse["embed"] = (which, np.add.reduceat(_picked(dx.reshape(-1, d), order), begin[:-1], axis=0))
         return loss, np.concatenate([g[name].ravel() for name, _ in DENSE]), sparse
 
     def gradient(self, x_at: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[float, np.ndarray]:
@@ -464,10 +465,11 @@ def subword_counts(counts: DataFrame, path: str) -> np.ndarray:
         total = np.zeros(sub.size)
         for b in batches:
             words, c = b.column(0).to_pylist(), b.column(1).to_numpy()
-            ids = [np.array([sub.end], np.uint32) if w == _END else np.frombuffer(sub.word(w), np.uint32) for w in words]
-            if ids:
-                sizes = np.array([len(x) for x in ids])
-                total += np.bincount(np.concatenate(ids), np.repeat(c, sizes), sub.size)
+            ends = np.array([w == _END for w in words], bool)
+            total[sub.end] += c[ends].sum()
+            ids = sub.words([w for w in words if w != _END])
+            # of a word's ids the first begins with the blank before it, and no other
+            total += np.bincount(ids, c[~ends][np.cumsum(sub.begins[ids]) - 1], sub.size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], names=["id", "n"])
 

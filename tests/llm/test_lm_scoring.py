@@ -204,3 +204,34 @@ def test_rare_ids_have_places_of_their_own():
     counts[:20_000] = np.arange(20_000, 0, -1)
     places = lm.Vocabulary(counts).place_of[:20_000]
     assert len(set(places.tolist())) == 20_000
+
+
+def test_words_encoded_together_have_the_ids_of_each_alone(spark):
+    sub = lm.subwords(lm.RANK_FILE)
+    plain = ["a", "it's're", "'s", "12ab", "--", "\x1c", "a\x00b", "été", "\U0001f600", "​z"]
+    spaced = ["\xa0", "\x85a", "b　", "c d", "  "]  # white space, though not ASCII's: it stays in a word
+    rng = np.random.default_rng(7)
+    for some in ([], plain, spaced, plain + spaced, *(rng.choice(plain + spaced, 6).tolist() for _ in range(200))):
+        each = [i for w in some for i in sub.lib.encode_ordinary(" " + w)]
+        got = sub.text([w.encode() for w in some])
+        assert got.dtype == np.uint32 and got.tolist() == [*each, sub.end]
+    for some in (plain, spaced):
+        counts = spark.createDataFrame([(w.encode(), n) for n, w in enumerate(["", *some], 1)], "word binary, c long")
+        want = np.zeros(sub.size)
+        want[sub.end] = 1
+        for n, w in enumerate(some, 2):
+            np.add.at(want, sub.lib.encode_ordinary(" " + w), n)
+        assert (lm.subword_counts(counts, lm.RANK_FILE) == want).all()
+
+
+def test_texts_are_encoded_in_one_call():
+    sub, calls = lm.Subwords(lm.RANK_FILE), []
+
+    class Counted:
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return lm.subwords(lm.RANK_FILE).lib.encode_ordinary(text)
+
+    sub.lib = Counted()
+    sub.text(lm.words_of("Every word of a text, été too"))
+    assert calls == [" every word of a text, été too"]
